@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evspark.llm import decontaminate, html_main, langid, packing, quality, suffix_tree_lm, token_edits, toxicity
+from evspark.llm import decontaminate, html_main, jaccard, langid, packing, quality, suffix_dedup, suffix_tree_lm, token_edits, toxicity
 from evspark.llm.common import fold, table
 
 
@@ -29,6 +29,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
@@ -57,6 +61,10 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 4) == 2
@@ -72,10 +80,12 @@ def queries() -> dict:
             ("op1_packing", op1_packing),
             ("op2_decontamination", op2_decontamination),
             ("op3_html_extraction", op3_html_extraction),
+            ("op4_jaccard_join", op4_jaccard_join),
             ("op5_toxicity", op5_toxicity),
             ("op6_quality_rules", op6_quality_rules),
             ("op7_token_counts", op7_token_counts),
             ("op8_lm_scoring", op8_lm_scoring),
+            ("op9_suffix_dedup", op9_suffix_dedup),
             ("op10_language_id", op10_language_id),
         )
     }
