@@ -1,5 +1,72 @@
-"""From documents to packed sequences: quality, near duplicates, repeated passages, benchmarks, packing."""
+"""From documents to packed sequences: quality, near duplicates, repeated passages, benchmarks, packing.
 
-STAGES = []
+Each stage takes the rows that the one before kept and returns rows with the columns of documents; the
+last one returns packed pieces. Between stages the rows are written and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evspark.llm import decontaminate, jaccard, packing, quality, suffix_dedup
+from evspark.llm.common import checkpoint, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source.
+
+    A row is known by its id and a hash of what is judged, so null and repeated ids do no harm.
+    """
+    row = F.struct(F.col("doc_id"), F.xxhash64("text", "lang", "source"))
+    keyed = docs.withColumn("__row", row)
+    rejected = quality.quality_rules(keyed.select("__row", "text", "lang", "source"), "__row").where(~F.col("kept")).select("__row")
+    return keyed.join(rejected.distinct(), "__row", "left_anti").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each class; rows without an id stay."""
+    classes = jaccard.near_duplicates(docs.select("doc_id", "text"))
+    later = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes that an earlier document has in a run of 50."""
+    found = suffix_dedup.deduplicate(docs)
+    changed = F.col("removal.n_removed") > 0
+    text = F.when(changed, suffix_dedup.kept_text()).otherwise(F.col("text"))
+    found = found.withColumn("text", text)
+    found = found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no run of ten words of a benchmark item occurs."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_free", benchmark_free),
+    ("packing", packed),
+]
+
+#: Chosen paths, suffix sorting and tokenization can't be said in SQL; the stages are tested by brute force.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = checkpoint(docs)
+    return docs

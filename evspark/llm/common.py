@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 #: Bit set on the last id of a chunk that closes a sentence or a line.
 SENTENCE_END = np.uint32(1 << 31)
 ID_MASK = np.uint32((1 << 31) - 1)
-_CLOSES = re.compile(r"""[.!?]["')\]»”’]*$""")
+_CLOSES = re.compile(r"""(?:[.!?]["')\]»”’]*|\n)$""")
+_CLOSING = re.compile(r"([^\W\d_]+)([.,!?;:]?)\n?")
+_ENDS = frozenset(".!?\"')]»”’\n")
+_MARKS = frozenset(".,!?;:\n")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +57,15 @@ def to_id(value: str | None) -> int | None:
     return None if value is None else int(value)
 
 
+def _closed(ids: bytes) -> bytes:
+    """The ids with the last one marked as closing a sentence."""
+    if not ids:
+        return ids
+    out = np.frombuffer(ids, np.uint32).copy()
+    out[-1] |= SENTENCE_END
+    return out.tobytes()
+
+
 class ChunkTokens(dict):
     """Ids of white-space delimited chunks under a public tokenizer, as little-endian uint32 bytes.
 
@@ -61,25 +73,48 @@ class ChunkTokens(dict):
     ``limit`` chunks are kept; the cache then starts anew.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 800_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.marks = Tokenizer.from_file(path), limit, {}
 
     def learn(self, chunks: Iterable[str]) -> None:
-        missing = list(set(chunks).difference(self))
-        if len(self) + len(missing) > self.limit:
+        chunks = set(chunks)
+        missing = chunks.difference(self)
+        if len(self) + 2 * len(missing) > self.limit:
             self.clear()
-            missing = list(set(chunks))
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = np.array(got.ids, np.uint32)
-                if ids.size and (chunk[-1] == "\n" or _CLOSES.search(chunk)):
-                    ids[-1] |= SENTENCE_END
-                self[chunk] = ids.tobytes()
+            missing = chunks
+        # a run of letters and the mark or line end after it are split by the tokenizer in any case
+        plain = {c: _CLOSING.fullmatch(c) for c in missing if c and (c[-1] in _MARKS)}
+        bases = {m[1] for m in plain.values() if m}
+        fresh = [c for c in {*missing, *bases} if c not in self and not plain.get(c)]
+        for i in range(0, len(fresh), 512):
+            self._encode(fresh[i : i + 512])
+        for c, m in plain.items():
+            if m:
+                self[c] = self[m[1]] + self._mark(m[2], c[-1] == "\n") if m[2] else _closed(self[m[1]])
+
+    def _mark(self, mark: str, line_end: bool) -> bytes:
+        if (mark, line_end) not in self.marks:
+            ids = np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, np.uint32).tobytes()
+            self.marks[mark, line_end] = _closed(ids) if line_end or _CLOSES.search(mark) else ids
+        return self.marks[mark, line_end]
+
+    def _encode(self, chunks: list[str]) -> None:
+        """One call for many chunks, joined by blanks; a token belongs to the chunk in which it starts."""
+        starts = np.cumsum([0, *[len(c) + 1 for c in chunks]])
+        got = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        ids = np.array(got.ids, np.uint32)
+        at = np.searchsorted(starts, np.array([o[0] for o in got.offsets], np.int64), "right") - 1
+        edge = np.searchsorted(at, np.arange(len(chunks) + 1))
+        last = edge[1:] - 1
+        closing = np.array([c[-1:] in _ENDS and bool(_CLOSES.search(c)) for c in chunks]) & (edge[1:] > edge[:-1])
+        ids[last[closing]] |= SENTENCE_END
+        raw, edge = ids.tobytes(), (4 * edge).tolist()
+        for c, x, y in zip(chunks, edge[:-1], edge[1:], strict=True):
+            self[c] = raw[x:y]
 
     def __missing__(self, chunk: str) -> bytes:
         self.learn((chunk,))
@@ -96,8 +131,8 @@ class ChunkTokens(dict):
 
 
 def split_chunks(text: str) -> list[str]:
-    """Chunks between blanks, tabs and line ends; a chunk before a line end keeps it."""
-    return text.replace("\t", " ").replace("\r", " ").replace("\n", "\n ").split(" ")
+    """Chunks between blanks, tabs and line ends, A-Z lower-cased; a chunk before a line end keeps it."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").replace("\t", " ").replace("\r", " ").replace("\n", "\n ").split(" ")
 
 
 _LOADED: dict[str, ChunkTokens] = {}

@@ -62,7 +62,8 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+    found = suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "removal.n_bytes", "removal.n_removed", "removal.n_spans", "removal.kept_sha256")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evspark.llm.common import checkpoint
@@ -316,14 +316,14 @@ def repeated_windows(
 _OPEN = np.dtype([("a", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("count", "<i4"), ("left", "<i4")])
 
 
-def _fetched(joined: DataFrame, span: int, buckets: int) -> DataFrame:
+def _fetched(joined: DataFrame, text_col: str, span: int, buckets: int) -> DataFrame:
     """(bucket, blob) of open segments with their bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows, bytes_ = [], []
-            for doc, text, open_ in zip(pdf["doc"], pdf["text"], pdf["open"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
+            for doc, text, open_ in zip(pdf["__doc"], pdf[text_col], pdf["__open"], strict=True):
+                data = (text or "").encode("utf-8", "surrogatepass")
                 for x in open_:
                     part = data[x["start"] : x["end"]]
                     if len(part) == x["end"] - x["start"]:
@@ -371,21 +371,23 @@ def _compared(span: int, gram: int):
     return work
 
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, *, span: int, gram: int) -> DataFrame:
-    """(doc, spans): the byte ranges [start, end) to remove, not yet merged."""
-    spark = docs.sparkSession
+def repeated_spans(keyed: DataFrame, text_col: str, *, span: int, gram: int) -> DataFrame:
+    """(__doc, __spans): the byte ranges [start, end) to remove, not yet merged; ``keyed`` has __doc.
+
+    Both here and where the ranges are applied, all of ``keyed`` is joined by __doc, so that its
+    texts are shuffled once.
+    """
+    spark = keyed.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    ).where(F.octet_length("text") >= span)
-    packed = _anchored(rows, span, gram, buckets)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    packed = _anchored(keyed.select(F.col("__doc").alias("doc"), text.alias("text")).where(F.octet_length("text") >= span), span, gram, buckets)
     settled_or_open = _by_bucket(_spread(packed), _any(span), "doc long, start long, end long, left int, anchor long", parts)
     found = checkpoint(settled_or_open)
     done = found.where(F.col("left") < 0).select("doc", "start", "end")
-    open_ = found.where(F.col("left") >= 0).groupBy("doc").agg(F.collect_list(F.struct("start", "end", "left", "anchor")).alias("open"))
-    compared = _by_bucket(_fetched(rows.join(open_, "doc"), span, buckets), _compared(span, gram), "doc long, start long, end long", parts)
-    return done.union(compared).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    open_ = found.where(F.col("left") >= 0).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "end", "left", "anchor")).alias("__open"))
+    compared = _by_bucket(_fetched(keyed.join(open_, "__doc"), text_col, span, buckets), _compared(span, gram), "doc long, start long, end long", parts)
+    return done.union(compared).groupBy(F.col("doc").alias("__doc")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
 
 
 def _spread(packed: DataFrame) -> DataFrame:
@@ -427,27 +429,33 @@ def _cut(text: bytes, spans) -> tuple[bytes, int, int]:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, span: int = 50, gram: int = 16) -> DataFrame:
-    """Per document: id, n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256.
+    """The documents with a struct ``removal`` of n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256.
 
     Each byte covered by a string of ``span`` bytes that also starts in a document with a smaller id is
     removed. Null and empty texts keep nothing and lose nothing; a null id counts as larger than all
     others; rows that repeat an id share one set of spans (never each other's, as no id is smaller); an
-    empty table gives no rows; other columns are ignored; texts are read whole (to 256 MB each).
+    empty table gives no rows; other columns are carried along; texts are read whole (to 256 MB each).
     """
-    spans = repeated_spans(docs, id_col, text_col, span=span, gram=gram)
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    )
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    def removal(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, ranges in zip(texts, found, strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            kept, removed, runs = _cut(data, ranges) if ranges is not None else (data, 0, 0)
+            rows.append((len(data), removed, runs, kept, hashlib.sha256(kept).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 1000):
-                out = []
-                for doc, text, found in zip(*[pdf[c].iloc[lo : lo + 1000] for c in ("doc", "text", "spans")], strict=True):
-                    data = text.encode("utf-8", "surrogatepass")
-                    kept, removed, runs = _cut(data, found) if found is not None else (data, 0, 0)
-                    out.append((doc, len(data), removed, runs, kept, hashlib.sha256(kept).hexdigest()))
-                yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-
-    got = rows.join(spans, "doc", "left").mapInPandas(run, "doc long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    return got.withColumn("doc", F.when(F.col("doc") != NULL_ID, F.col("doc"))).withColumnRenamed("doc", id_col)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
+    joined = keyed.join(repeated_spans(keyed, text_col, span=span, gram=gram), "__doc", "left")
+    return joined.withColumn("removal", removal(text, F.col("__spans"))).drop("__doc", "__spans")
+
+
+def kept_text(kept: str = "removal.kept") -> Column:
+    """The kept bytes as text; a character of which only a part was kept goes."""
+
+    @F.pandas_udf("string")
+    def decoded(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    return decoded(F.col(kept))
