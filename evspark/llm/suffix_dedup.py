@@ -141,7 +141,7 @@ def _anchored(docs: DataFrame, span: int, gram: int, buckets: int) -> DataFrame:
                     rows["g"] = mix(g) & KEPT
                     found.append(rows)
                     held += len(a)
-                if found and (held >= 1_500_000 or at == len(order) - 1):
+                if found and (held >= 400_000 or at == len(order) - 1):
                     open_, done = _settle(np.concatenate(found))
                     bucket = (open_["a"] >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(open_), np.int64)
                     by = np.lexsort((open_["start"], open_["doc"], bucket))
