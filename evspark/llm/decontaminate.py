@@ -69,11 +69,13 @@ def find_hits(
         ]
         each = F.array(*each) if each else F.array().cast(shape)
         at = at.select("key", "words", "at", F.explode(each).alias("w")).select("key", "words", "at", "w.length", "w.hash")
-    hashes = windows.select("hash", "length").distinct()
-    found = at.join(F.broadcast(hashes) if small else hashes, ["hash", "length"]).select(
-        "key", "at", "length", "hash", F.slice("words", F.col("at"), F.col("length")).alias("found")
-    )
-    grams = windows.select("hash", "gram", "item")
+    hashes, grams = windows.select("hash", "length").distinct(), windows.select("hash", "gram", "item")
+    if small:
+        found = at.join(F.broadcast(hashes), ["hash", "length"])
+    else:  # only places are shuffled; the words are joined again to the few that hit
+        found = at.select("key", "at", "length", "hash").join(hashes, ["hash", "length"])
+        found = found.alias("f").join(rows.hint("merge").alias("r"), F.col("f.key").eqNullSafe(F.col("r.key"))).select("f.*", "r.words")
+    found = found.select("key", "at", "length", "hash", F.slice("words", F.col("at"), F.col("length")).alias("found"))
     hits = found.join(F.broadcast(grams) if small else grams, "hash").where(F.col("found") == F.col("gram"))
     return hits.select("key", "item", "at", "length")
 

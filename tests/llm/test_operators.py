@@ -291,7 +291,7 @@ def test_lm(spark, docs, none):
     from math import log10
 
     train = [r.text for r in docs.where("doc_id % 2 = 0").collect()]
-    got = suffix_tree_lm.score(docs, docs.where("doc_id % 2 = 0"), head_share=0.01).collect()
+    got = suffix_tree_lm.score(docs, docs.where("doc_id % 2 = 0"), group_col="lang", head_share=0.01).collect()
     tokens = [t for text in train for t in [*re.findall(r"[^\x20\x09-\x0D]+", lowered(text)), None]]
     c = Counter(tokens)
     n, v = len(tokens), len(c)
