@@ -40,6 +40,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most ``rows`` whole texts at once in a Python worker, for operators that hold several copies of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def ascii_lower(text: str) -> str:
     """Lower-case A-Z only."""
     return text.lower() if text.isascii() else text.translate(_AZ)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.common import checkpoint
+from evspark.llm.common import checkpoint, small_batches
 from evspark.llm.jaccard import mix
 
 #: Odd base of the polynomial hashes, its inverse modulo 2**64, and the id that stands for null.
@@ -125,34 +125,38 @@ def _spans(rows: np.ndarray, span: int) -> pd.DataFrame:
 def _anchored(docs: DataFrame, span: int, gram: int, buckets: int) -> DataFrame:
     """(bucket, blob) of segments, and with bucket -1 spans that are settled within a batch."""
 
+    shift = np.uint64(64 - (buckets - 1).bit_length())
+
+    def packed(found: list[np.ndarray]) -> pd.DataFrame:
+        open_, done = _settle(np.concatenate(found))
+        bucket = (open_["a"] >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(open_), np.int64)
+        by = np.lexsort((open_["start"], open_["doc"], bucket))
+        open_, bucket = open_[by], bucket[by]
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        stop = np.append(edge[1:], len(bucket))
+        out = [(int(bucket[x]), _pack(open_[x:y])) for x, y in zip(edge, stop, strict=True) if y > x]
+        if len(done):
+            out.append((-1, _pack(done)))
+        return pd.DataFrame(out, columns=["bucket", "blob"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shift = np.uint64(64 - (buckets - 1).bit_length())
+        found, held = [], 0
         for pdf in batches:
-            found, held = [], 0
-            ids, texts = pdf["doc"].to_numpy(), pdf["text"]
-            order = np.argsort(ids, kind="stable")
-            for at, i in enumerate(order):
-                data = np.frombuffer(texts.iloc[i].encode("utf-8", "surrogatepass"), np.uint8)
+            for doc, text in zip(pdf["doc"].to_numpy(), pdf["text"], strict=True):
+                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 a, place, first, count = segments(data, span, gram)
-                if len(a):
-                    rows = np.zeros(len(a), _ROW)
-                    rows["a"], rows["doc"], rows["start"], rows["count"], rows["left"] = a & KEPT, ids[i], first, count, place - first
-                    g = Prefixes(data).of(first, first + count + span - 1)
-                    rows["g"] = mix(g) & KEPT
-                    found.append(rows)
-                    held += len(a)
-                if found and (held >= 400_000 or at == len(order) - 1):
-                    open_, done = _settle(np.concatenate(found))
-                    bucket = (open_["a"] >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(open_), np.int64)
-                    by = np.lexsort((open_["start"], open_["doc"], bucket))
-                    open_, bucket = open_[by], bucket[by]
-                    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                    stop = np.append(edge[1:], len(bucket))
-                    out = [(int(bucket[x]), _pack(open_[x:y])) for x, y in zip(edge, stop, strict=True) if y > x]
-                    if len(done):
-                        out.append((-1, _pack(done)))
-                    yield pd.DataFrame(out, columns=["bucket", "blob"])
+                if not len(a):
+                    continue
+                rows = np.zeros(len(a), _ROW)
+                rows["a"], rows["doc"], rows["start"], rows["count"], rows["left"] = a & KEPT, doc, first, count, place - first
+                rows["g"] = mix(Prefixes(data).of(first, first + count + span - 1)) & KEPT
+                found.append(rows)
+                held += len(a)
+                if held >= 400_000:
+                    yield packed(found)
                     found, held = [], 0
+        if found:
+            yield packed(found)
 
     return docs.mapInPandas(run, PACKED)
 
@@ -293,9 +297,9 @@ def repeated_windows(
         mine, least = own[later], lead[later]
         reach = np.arange(span)
         ok = np.ones(len(mine), bool)
-        for lo in range(0, len(mine), 100_000):
-            x, y = (at[mine[lo : lo + 100_000]] - before)[:, None] + reach, (at[least[lo : lo + 100_000]] - before)[:, None] + reach
-            ok[lo : lo + 100_000] = (data[x] == data[y]).all(1)
+        for lo in range(0, len(mine), 20_000):
+            x, y = (at[mine[lo : lo + 20_000]] - before)[:, None] + reach, (at[least[lo : lo + 20_000]] - before)[:, None] + reach
+            ok[lo : lo + 20_000] = (data[x] == data[y]).all(1)
         if not ok.all():  # hashes collided: compare the bytes themselves
             start = at[own] - before
             whole = np.ascontiguousarray(data[start[:, None] + reach]).view(f"V{span}")[:, 0]
@@ -436,6 +440,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others; rows that repeat an id share one set of spans (never each other's, as no id is smaller); an
     empty table gives no rows; other columns are carried along; texts are read whole (to 256 MB each).
     """
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     def removal(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
         rows = []
