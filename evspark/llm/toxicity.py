@@ -48,6 +48,12 @@ class Classifier:
         return float(1.0 / (1.0 + np.exp(-np.clip(logit + self.bias, -40, 40))))
 
 
+def _surprise(hits: int, n: int, rate: float) -> float:
+    """Log-likelihood ratio of hits among n against the given rate."""
+    p = hits / n
+    return n * sum(x * np.log(x / y) for x, y in ((p, rate), (1 - p, 1 - rate)) if x > 0)
+
+
 def _matrix(texts: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the set features."""
     rows, cols = [], []
@@ -59,9 +65,13 @@ def _matrix(texts: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, n
 
 
 def fit(
-    texts: list[str], labels: list[int], *, terms=IDENTITY_TERMS, least_df: int = 6, l1: float = 2e-4, swap_penalty: float = 1.0, rounds: int = 150
+    texts: list[str], labels: list[int], *, terms=IDENTITY_TERMS, least_df: int = 6, evidence: float = -2.0, l1: float = 2e-5, swap_penalty: float = 1.0, rounds: int = 400
 ) -> Classifier:
-    """Proximal gradient steps with momentum on logistic loss, swap penalty and L1."""
+    """Proximal gradient steps with momentum on logistic loss, swap penalty and L1.
+
+    Only features enter whose split between the labels is beyond chance, given how many there are: their log-likelihood
+    ratio exceeds the logarithm of the number of features by ``evidence``.
+    """
     sets = [words_of(t) for t in texts]
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
@@ -75,7 +85,7 @@ def fit(
         if label:
             hit.update(found)
     rate = y.mean()
-    names = sorted(f for f, n in df.items() if n >= least_df and abs(hit[f] - n * rate) >= 2.0 * np.sqrt(n * rate * (1 - rate)))
+    names = sorted(f for f, n in df.items() if n >= least_df and _surprise(hit[f], n, rate) >= np.log(len(df)) + evidence)
     index = {f: i for i, f in enumerate(names)}
     swaps, origin = [], []
     place = {t: i for i, t in enumerate(terms)}
