@@ -48,11 +48,8 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def ascii_lower(text: str) -> str:
-    """Lower-case A-Z only."""
-    return text.lower() if text.isascii() else text.translate(_AZ)
-
-
-_AZ = {c: c + 32 for c in range(65, 91)}
+    """Lower-case A-Z only, as bytes do."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -139,7 +136,7 @@ class ChunkTokens(dict):
 
 def split_chunks(text: str) -> list[str]:
     """Chunks between blanks, tabs and line ends, A-Z lower-cased; a chunk before a line end keeps it."""
-    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").replace("\t", " ").replace("\r", " ").replace("\n", "\n ").split(" ")
+    return ascii_lower(text).replace("\t", " ").replace("\r", " ").replace("\n", "\n ").split(" ")
 
 
 _LOADED: dict[str, ChunkTokens] = {}
