@@ -26,6 +26,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 NULL_ID = (1 << 63) - 1
 HALF, KEPT = np.uint64(32), np.uint64(0xFFFFFFFFFFFF0000)  # the bits of hashes that are kept
+MOST = 1_000_000  # bytes of text whose suffixes are sorted at once
 PLACE = np.uint64(28)  # low bits of a rank that hold the place in the text
 
 
@@ -360,8 +361,21 @@ def _compared(span: int, gram: int):
         size = t["count"].astype(np.int64) - 1 + span
         base = np.cumsum(size) - size
         order = np.argsort(t["a"], kind="stable")
-        t, base = t[order], base[order]
-        seg, win = repeated_windows(data, base, t["count"].astype(np.int64), t["left"].astype(np.int64), t["doc"], t["a"], span, gram)
+        t, base, size = t[order], base[order], size[order]
+        first = np.flatnonzero(np.concatenate([[True], t["a"][1:] != t["a"][:-1]]))
+        ends = np.append(np.cumsum(size), 0)
+        cuts = [0]
+        for f in first[1:].tolist():  # whole anchors, about a megabyte of text at a time
+            if ends[f - 1] - (ends[cuts[-1] - 1] if cuts[-1] else 0) >= MOST:
+                cuts.append(f)
+        found = []
+        for lo, hi in zip(cuts, [*cuts[1:], len(t)], strict=True):
+            own, n = t[lo:hi], size[lo:hi]
+            at = np.cumsum(n) - n
+            part = data[np.repeat(base[lo:hi] - at, n) + np.arange(int(n.sum()))]
+            seg, win = repeated_windows(part, at, own["count"].astype(np.int64), own["left"].astype(np.int64), own["doc"], own["a"], span, gram)
+            found.append((seg + lo, win))
+        seg, win = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
         if not len(seg):
             return
         doc, start = t["doc"][seg], t["start"][seg].astype(np.int64) + win
@@ -383,7 +397,7 @@ def repeated_spans(keyed: DataFrame, text_col: str, *, span: int, gram: int) ->
     """
     spark = keyed.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
+    buckets = 8 * parts
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     packed = _anchored(keyed.select(F.col("__doc").alias("doc"), text.alias("text")).where(F.octet_length("text") >= span), span, gram, buckets)
     settled_or_open = _by_bucket(_spread(packed), _any(span), "doc long, start long, end long, left int, anchor long", parts)
@@ -432,7 +446,7 @@ def _cut(text: bytes, spans) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, span: int = 50, gram: int = 16) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, span: int = 50, gram: int = 24) -> DataFrame:
     """The documents with a struct ``removal`` of n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256.
 
     Each byte covered by a string of ``span`` bytes that also starts in a document with a smaller id is
