@@ -52,7 +52,7 @@ def profiled(spark, d):
     return docs.select("doc_id", *[c.alias(n) for n, c in T.heuristic_profile(F.col("text")).items()])
 
 
-@query("op25_heuristic_profile", f"WITH {PROFILE_SQL} SELECT doc_id, question_type, CAST(complexity AS DOUBLE) AS complexity, CAST(quantitativity AS DOUBLE) AS quantitativity, CAST(spatial_specificity AS DOUBLE) AS spatial_specificity, CAST(temporal_specificity AS DOUBLE) AS temporal_specificity, CAST(methodological_depth AS DOUBLE) AS methodological_depth, CAST(confidence AS DOUBLE) AS confidence FROM p2")
+@query("ev25_heuristic_profile", f"WITH {PROFILE_SQL} SELECT doc_id, question_type, CAST(complexity AS DOUBLE) AS complexity, CAST(quantitativity AS DOUBLE) AS quantitativity, CAST(spatial_specificity AS DOUBLE) AS spatial_specificity, CAST(temporal_specificity AS DOUBLE) AS temporal_specificity, CAST(methodological_depth AS DOUBLE) AS methodological_depth, CAST(confidence AS DOUBLE) AS confidence FROM p2")
 def _(spark, d):
     got = profiled(spark, d)
     return got.select(*[F.col(c).cast("double").alias(c) if t.startswith(("dec", "dou")) else F.col(c) for c, t in got.dtypes])
@@ -75,22 +75,22 @@ def routed(spark, d):
     return route.route(demo(spark, d, "profiles"))
 
 
-@query("op33_route", ROUTED_SQL + "SELECT question_id, rule_hit, model_name, evidence_mode, CAST(top_k_per_doc AS BIGINT) AS top_k_per_doc, CAST(global_budget AS BIGINT) AS global_budget, use_draft FROM routed")
+@query("ev33_route", ROUTED_SQL + "SELECT question_id, rule_hit, model_name, evidence_mode, CAST(top_k_per_doc AS BIGINT) AS top_k_per_doc, CAST(global_budget AS BIGINT) AS global_budget, use_draft FROM routed")
 def _(spark, d):
     return routed(spark, d).select("question_id", "rule_hit", "model_name", "evidence_mode", "top_k_per_doc", "global_budget", "use_draft")
 
 
-@query("op34_route_histogram", ROUTED_SQL + "SELECT 'rule_hit' AS dimension, rule_hit AS value, count(*) AS n FROM routed GROUP BY ALL UNION ALL SELECT 'evidence_mode', evidence_mode, count(*) FROM routed GROUP BY ALL UNION ALL SELECT 'model_name', model_name, count(*) FROM routed GROUP BY ALL")
+@query("ev34_route_histogram", ROUTED_SQL + "SELECT 'rule_hit' AS dimension, rule_hit AS value, count(*) AS n FROM routed GROUP BY ALL UNION ALL SELECT 'evidence_mode', evidence_mode, count(*) FROM routed GROUP BY ALL UNION ALL SELECT 'model_name', model_name, count(*) FROM routed GROUP BY ALL")
 def _(spark, d):
     return route.route_histogram(routed(spark, d))
 
 
-@query("op34_heuristic_histogram", f"WITH {PROFILE_SQL}, {CONFIG_SQL} SELECT rule_hit, count(*) AS n FROM (SELECT {RULE_SQL} AS rule_hit FROM p2) GROUP BY 1")
+@query("ev34_heuristic_histogram", f"WITH {PROFILE_SQL}, {CONFIG_SQL} SELECT rule_hit, count(*) AS n FROM (SELECT {RULE_SQL} AS rule_hit FROM p2) GROUP BY 1")
 def _(spark, d):
     return route.route(profiled(spark, d)).groupBy("rule_hit").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("op34_route_health", ROUTED_SQL + "SELECT *, n_rules >= 3 AND n_fallback < 0.5 * total AND n_meaningful >= 2 AS healthy FROM (SELECT count(DISTINCT rule_hit) AS n_rules, count(*) AS total, count(*) FILTER (rule_hit = 'fallback') AS n_fallback, count(DISTINCT rule_hit) FILTER (rule_hit NOT IN ('fallback', 'safety-tier3')) AS n_meaningful FROM routed)")
+@query("ev34_route_health", ROUTED_SQL + "SELECT *, n_rules >= 3 AND n_fallback < 0.5 * total AND n_meaningful >= 2 AS healthy FROM (SELECT count(DISTINCT rule_hit) AS n_rules, count(*) AS total, count(*) FILTER (rule_hit = 'fallback') AS n_fallback, count(DISTINCT rule_hit) FILTER (rule_hit NOT IN ('fallback', 'safety-tier3')) AS n_meaningful FROM routed)")
 def _(spark, d):
     return route.route_health(routed(spark, d))
 
@@ -99,12 +99,12 @@ TARGETS = {"tier-1-def": 4, "tier-2b": 6, "tier-3": 5, "tier-2a": 3, "tier-m": 8
 SCALED = route.scaled_targets(TARGETS, 60)
 
 
-@query("op35_tier_sample", ROUTED_SQL + ", t(rule_hit, target) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in SCALED.items()) + ") SELECT question_id, rule_hit, rank FROM (SELECT *, row_number() OVER (PARTITION BY rule_hit ORDER BY ord, question_id) AS rank FROM routed JOIN t USING (rule_hit)) WHERE rank <= target")
+@query("ev35_tier_sample", ROUTED_SQL + ", t(rule_hit, target) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in SCALED.items()) + ") SELECT question_id, rule_hit, rank FROM (SELECT *, row_number() OVER (PARTITION BY rule_hit ORDER BY ord, question_id) AS rank FROM routed JOIN t USING (rule_hit)) WHERE rank <= target")
 def _(spark, d):
     return route.tier_sample(routed(spark, d), TARGETS, 60).select("question_id", "rule_hit", "rank")
 
 
-@query("op36_route_flags", ROUTED_SQL + "SELECT question_id, rule_hit = 'safety-tier3' AS is_safety, coalesce(confidence >= 0.6 AND confidence < 0.7, false) AS is_borderline, CASE WHEN rule_hit IN ('tier-1-def', 'tier-1', 'fallback', 'tier-1-def-parse-rescue') THEN 'small' WHEN rule_hit IN ('tier-3', 'safety-tier3') THEN 'large' ELSE 'medium' END AS bucket FROM routed")
+@query("ev36_route_flags", ROUTED_SQL + "SELECT question_id, rule_hit = 'safety-tier3' AS is_safety, coalesce(confidence >= 0.6 AND confidence < 0.7, false) AS is_borderline, CASE WHEN rule_hit IN ('tier-1-def', 'tier-1', 'fallback', 'tier-1-def-parse-rescue') THEN 'small' WHEN rule_hit IN ('tier-3', 'safety-tier3') THEN 'large' ELSE 'medium' END AS bucket FROM routed")
 def _(spark, d):
     return route.route_flags(routed(spark, d)).select("question_id", "is_safety", "is_borderline", "bucket")
 
@@ -113,7 +113,7 @@ _R = [r.replace("'", "''") for r in route.QUALITY_RULES]
 _NUM = "(quantitativity >= 0.5 OR needs_numeric_emphasis)"
 
 
-@query("op37_quality_rules", ROUTED_SQL + f"""SELECT question_id, len(r) AS n_answer_rules, coalesce(array_to_string(list_transform(r, lambda x, i: i || '. ' || x), chr(10)), '') AS answer_rules,
+@query("ev37_quality_rules", ROUTED_SQL + f"""SELECT question_id, len(r) AS n_answer_rules, coalesce(array_to_string(list_transform(r, lambda x, i: i || '. ' || x), chr(10)), '') AS answer_rules,
  question || CASE WHEN {_NUM} THEN ' [numbers]' ELSE '' END || CASE WHEN methodological_depth > 0.6 THEN ' [methods]' ELSE '' END AS query_hint
  FROM (SELECT *, list_filter([CASE WHEN evidence_mode IN ('excerpts_narrow', 'excerpts_full') THEN '{_R[0]}' END, CASE WHEN {_NUM} THEN '{_R[1]}' END, CASE WHEN {_NUM} THEN '{_R[2]}' END, CASE WHEN spatial_specificity >= 0.5 THEN '{_R[3]}' END, CASE WHEN temporal_specificity >= 0.5 THEN '{_R[4]}' END, CASE WHEN methodological_depth >= 0.6 THEN '{_R[5]}' END], lambda x: x IS NOT NULL) AS r FROM routed)""")
 def _(spark, d):
@@ -123,23 +123,23 @@ def _(spark, d):
 UNIT_LIST = "[" + ", ".join(f"'{u}'" for u in T.UNITS) + "]"
 
 
-@query("op17_tokens", f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, coalesce(array_to_string(list_sort(list_distinct(t))[1:20], ' '), '') AS first_tokens FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)")
+@query("ev17_tokens", f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, coalesce(array_to_string(list_sort(list_distinct(t))[1:20], ' '), '') AS first_tokens FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)")
 def _(spark, d):
     t = T.tokens(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"), F.array_join(F.slice(F.array_sort(F.array_distinct(t)), 1, 20), " ").alias("first_tokens"))
 
 
-@query("op18_19_24_text_columns", with_tables("candidates") + "SELECT doc_id, CAST(greatest(1, len(abstract) // 4) AS BIGINT) AS tokens, 'W' || doc_id AS work_id, CASE WHEN len(abstract) > 1400 THEN left(abstract, 1400) || '...' ELSE abstract END AS preview FROM candidates")
+@query("ev18_19_24_text_columns", with_tables("candidates") + "SELECT doc_id, CAST(greatest(1, len(abstract) // 4) AS BIGINT) AS tokens, 'W' || doc_id AS work_id, CASE WHEN len(abstract) > 1400 THEN left(abstract, 1400) || '...' ELSE abstract END AS preview FROM candidates")
 def _(spark, d):
     return demo(spark, d, "candidates").select("doc_id", T.est_tokens(F.col("abstract")).alias("tokens"), T.work_id(F.col("uri")).alias("work_id"), T.abstract_preview(F.col("abstract")).alias("preview"))
 
 
-@query("op20_numeric_count")
+@query("ev20_numeric_count")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", T.numeric_count(F.col("text")).alias("n_numbers"))
 
 
-@query("op21_unit_hits", f"SELECT doc_id, len(list_intersect(list_distinct({TOKENS.format('text')}), {UNIT_LIST})) AS n_units FROM documents")
+@query("ev21_unit_hits", f"SELECT doc_id, len(list_intersect(list_distinct({TOKENS.format('text')}), {UNIT_LIST})) AS n_units FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", T.unit_hits(F.col("text")).alias("n_units"))
 
@@ -161,7 +161,7 @@ HEAD_SQL = "CASE WHEN len(line) = 0 OR len(line) > 90 THEN NULL " + " ".join(f"W
 ) + " END"
 
 
-@query("op22_detect_heading", f"WITH {LINES_SQL} SELECT heading, count(*) AS n FROM (SELECT {HEAD_SQL} AS heading FROM (SELECT line, trim(line, ' .:') AS core FROM lines)) WHERE heading IS NOT NULL GROUP BY 1")
+@query("ev22_detect_heading", f"WITH {LINES_SQL} SELECT heading, count(*) AS n FROM (SELECT {HEAD_SQL} AS heading FROM (SELECT line, trim(line, ' .:') AS core FROM lines)) WHERE heading IS NOT NULL GROUP BY 1")
 def _(spark, d):
     return lines(spark, d).select(T.detect_heading(F.col("line")).alias("heading")).where("heading IS NOT NULL").groupBy("heading").agg(F.count(F.lit(1)).alias("n"))
 
@@ -172,19 +172,19 @@ sections AS (SELECT * FROM (SELECT doc_id, section_no, coalesce(max(name), 'unkn
  CASE WHEN section_no = 0 THEN 1 ELSE min(page) END AS page_start, max(coalesce(next_page, page)) AS page_end FROM numbered GROUP BY doc_id, section_no) WHERE text <> '')"""
 
 
-@query("op23_sectionize", f"WITH {SECTIONS_SQL} SELECT doc_id, section_no, heading, text, page_start, page_end FROM sections")
+@query("ev23_sectionize", f"WITH {SECTIONS_SQL} SELECT doc_id, section_no, heading, text, page_start, page_end FROM sections")
 def _(spark, d):
     return C.sectionize(lines(spark, d))
 
 
-@query("op26_chunk")
+@query("ev26_chunk")
 def _(spark, d):
     return C.chunk(C.sectionize(lines(spark, d)))
 
 
 PAIRS_SQL = "list_transform(list_sort(list({'pos': pos, 'f': [attribute, value, description]})), lambda p: p.f)"
 
-@query("op27_query_terms", with_tables("questions", "av_pairs").rstrip() + f""", flat AS (SELECT question_id, question, flatten(p) AS f FROM questions JOIN (SELECT question_id, {PAIRS_SQL} AS p FROM av_pairs GROUP BY 1) USING (question_id))
+@query("ev27_query_terms", with_tables("questions", "av_pairs").rstrip() + f""", flat AS (SELECT question_id, question, flatten(p) AS f FROM questions JOIN (SELECT question_id, {PAIRS_SQL} AS p FROM av_pairs GROUP BY 1) USING (question_id))
 SELECT question_id, array_to_string(list_sort(list_filter(list_distinct(list_concat({TOKENS.format('question')}, flatten(list_transform(f, lambda x: {TOKENS.format('x')})))), lambda w: len(w) >= 3)), ' ') AS keywords,
 array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(f, lambda x: trim(x)), lambda x: x <> '' AND len(x) <= 40), lambda x: lower(x)))), '|') AS literals FROM flat""")
 def _(spark, d):
@@ -199,7 +199,7 @@ def scored_chunks(spark, d):
     return C.score_chunks(chunks, C.query_terms(demo(spark, d, "questions"), demo(spark, d, "av_pairs")))
 
 
-@query("op28_score_chunks")
+@query("ev28_score_chunks")
 def _(spark, d):
     return scored_chunks(spark, d).withColumn("score", F.round("score", 6)).drop("text")
 
@@ -209,7 +209,7 @@ def kept_chunks(spark, d):
     return C.topk_under_budget(scored)
 
 
-@query("op29_topk_under_budget")
+@query("ev29_topk_under_budget")
 def _(spark, d):
     return kept_chunks(spark, d).select("question_id", "doc_id", "section_no", "chunk_no", "tokens", F.round("score", 6).alias("score"))
 
@@ -218,12 +218,12 @@ def excerpts(spark, d):
     return C.global_budget_select(kept_chunks(spark, d))
 
 
-@query("op30_global_budget_select")
+@query("ev30_global_budget_select")
 def _(spark, d):
     return excerpts(spark, d).select("question_id", "excerpt_no", "doc_id", "section_no", "chunk_no", "page", "tokens", "score")
 
 
-@query("op31_excerpt_stats")
+@query("ev31_excerpt_stats")
 def _(spark, d):
     return C.excerpt_stats(scored_chunks(spark, d), excerpts(spark, d))
 
@@ -243,7 +243,7 @@ def hits(spark, d):
     return retrieve.bm25_topk(demo(spark, d, "questions"), demo(spark, d, "candidates"), 16)
 
 
-@query("op06_bm25_topk", _bm25_sql(16))
+@query("ev06_bm25_topk", _bm25_sql(16))
 def _(spark, d):
     return hits(spark, d)
 
@@ -256,7 +256,7 @@ def graph(spark, d):
     return docs, keywords, edges
 
 
-@query("op05_kg_expand", """WITH edges AS (SELECT l_orderkey AS doc_id, l_partkey AS keyword_id, max(l_quantity) / 50 AS score FROM lineitem GROUP BY ALL HAVING max(l_quantity) / 50 >= 0.3),
+@query("ev05_kg_expand", """WITH edges AS (SELECT l_orderkey AS doc_id, l_partkey AS keyword_id, max(l_quantity) / 50 AS score FROM lineitem GROUP BY ALL HAVING max(l_quantity) / 50 >= 0.3),
 first AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, keyword_id) AS rank FROM edges QUALIFY rank <= 3),
 second AS (SELECT keyword_id, doc_id AS other_id, score AS s2, row_number() OVER (PARTITION BY keyword_id ORDER BY score DESC, doc_id) AS place FROM edges JOIN orders ON o_orderkey = doc_id WHERE o_orderkey % 7 <> 0 QUALIFY place <= 2)
 SELECT o_custkey AS question_id, first.doc_id, rank, keyword_id, p_name AS name, score AS keyword_score, coalesce(string_agg(place || ':' || other_id || ':' || round(s2, 4), ' ' ORDER BY place), '') AS secondary
@@ -269,7 +269,7 @@ def _(spark, d):
     return got.withColumn("secondary", F.array_join(line, " "))
 
 
-@query("op32_tfidf_cosine", with_tables("questions", "candidates").rstrip() + f""", docs AS (SELECT question_id, idx, {TOKENS.format("abstract || ' ' || title")} AS w FROM candidates UNION ALL SELECT question_id, -1, {TOKENS.format('question')} FROM questions),
+@query("ev32_tfidf_cosine", with_tables("questions", "candidates").rstrip() + f""", docs AS (SELECT question_id, idx, {TOKENS.format("abstract || ' ' || title")} AS w FROM candidates UNION ALL SELECT question_id, -1, {TOKENS.format('question')} FROM questions),
 size AS (SELECT question_id, count(*) AS n FROM docs GROUP BY 1), tf AS (SELECT question_id, idx, term, count(*) / l AS tf FROM (SELECT question_id, idx, len(w) AS l, unnest(w) AS term FROM docs) GROUP BY question_id, idx, term, l),
 df AS (SELECT question_id, term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tf JOIN size USING (question_id) GROUP BY question_id, term, n),
 v AS (SELECT question_id, idx, term, tf * idf AS x FROM tf JOIN df USING (question_id, term)), nrm AS (SELECT question_id, idx, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL),

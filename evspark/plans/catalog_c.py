@@ -66,7 +66,7 @@ def streamed_throttle(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["flagship_evidence"] = lambda spark, d: longs(evidence(spark, d))
-QUERIES["op78_stream_reuse_throttle"] = lambda spark, d: longs(streamed_throttle(spark, d))
-QUERIES["op79_stream_results_upsert"] = lambda spark, d: longs(latest_events(spark, d))
-ORACLES["op79_stream_results_upsert"] = "SELECT user_id AS k, event_id AS ord, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
-ORACLES["op78_stream_reuse_throttle"] = THROTTLE_SQL
+QUERIES["ev78_stream_reuse_throttle"] = lambda spark, d: longs(streamed_throttle(spark, d))
+QUERIES["ev79_stream_results_upsert"] = lambda spark, d: longs(latest_events(spark, d))
+ORACLES["ev79_stream_results_upsert"] = "SELECT user_id AS k, event_id AS ord, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
+ORACLES["ev78_stream_reuse_throttle"] = THROTTLE_SQL
