@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -189,12 +190,12 @@ def fetch_counters(report: DataFrame) -> DataFrame:
 
 def cache_audit(pdfs: DataFrame, texts: DataFrame, failures: DataFrame) -> DataFrame:
     """One row: sizes of the inventories, empty files, orphans on both sides, success in percent."""
-    a = pdfs.agg(F.count(F.lit(1)).alias("n_pdfs"), F.count_if(F.col("bytes") == 0).alias("empty_pdfs"))
-    b = texts.agg(F.count(F.lit(1)).alias("n_texts"))
-    c = failures.agg(F.count(F.lit(1)).alias("n_failures"))
-    d = texts.join(pdfs, "work_id", "left_anti").agg(F.count(F.lit(1)).alias("texts_without_pdf"))
-    e = pdfs.join(texts, "work_id", "left_anti").agg(F.count(F.lit(1)).alias("pdfs_without_text"))
-    one = a.crossJoin(b).crossJoin(c).crossJoin(d).crossJoin(e)  # single rows
+    parts = {
+        "n_pdfs": pdfs, "empty_pdfs": pdfs.where(F.col("bytes") == 0), "n_texts": texts, "n_failures": failures,
+        "texts_without_pdf": texts.join(pdfs, "work_id", "left_anti"), "pdfs_without_text": pdfs.join(texts, "work_id", "left_anti"),
+    }
+    counts = reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(name)) for name, df in parts.items()])
+    one = counts.groupBy().pivot("name", list(parts)).agg(F.first("n"))
     total = F.col("n_texts") + F.col("n_failures")
     return one.withColumn("success_percent", F.when(total > 0, F.round(100 * F.col("n_texts") / total, 1)).otherwise(0.0))
 

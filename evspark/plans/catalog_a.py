@@ -193,9 +193,8 @@ def _(spark, d):
 
 
 def scored_chunks(spark, d):
-    n = table(spark, d, "benchmark").agg(F.count(F.lit(1)).alias("n_q"))
-    chunks = C.chunk(C.sectionize(lines(spark, d)), 120, 20).crossJoin(F.broadcast(n))  # one row
-    chunks = chunks.withColumns({"question_id": F.col("doc_id") % F.col("n_q"), "doc_index": F.floor(F.col("doc_id") / F.col("n_q"))}).drop("n_q")
+    asked = demo(spark, d, "candidates").select("doc_id", "question_id", F.col("idx").alias("doc_index"))
+    chunks = C.chunk(C.sectionize(lines(spark, d)), 120, 20).join(asked, "doc_id")
     return C.score_chunks(chunks, C.query_terms(demo(spark, d, "questions"), demo(spark, d, "av_pairs")))
 
 

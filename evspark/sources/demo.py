@@ -15,7 +15,7 @@ def _case(index: str, values) -> str:
     return f"CASE {index} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 
 
-_N = "(SELECT count(*) AS n FROM benchmark) AS size"
+_N = "(SELECT count(*) FROM benchmark)"
 _TITLE = "left(split_part(text, chr(10), 1), 100)"
 _SCORE = "CASE WHEN (doc_id * {k} + 3) % 97 = 0 THEN NULL ELSE CAST((doc_id * {m} + {sq}) % 10 + 1 AS INT) END"
 CRITERIA = (
@@ -24,11 +24,11 @@ CRITERIA = (
 
 TABLES = {
     "questions": "SELECT item_id AS question_id, item_id AS ord, text AS question FROM benchmark",
-    "candidates": f"""SELECT doc_id % n AS question_id, CAST(floor(doc_id / n) AS BIGINT) AS idx, doc_id,
+    "candidates": f"""SELECT doc_id % {_N} AS question_id, CAST(floor(doc_id / {_N}) AS BIGINT) AS idx, doc_id,
       CASE WHEN doc_id % 13 = 0 THEN 'RETRACTED: ' WHEN doc_id % 17 = 0 THEN 'Trend unlikely: ' ELSE '' END || {_TITLE} AS title, text AS abstract,
       'https://openalex.org/W' || CAST(doc_id AS STRING) AS uri, CASE WHEN doc_id % 11 = 0 THEN 'withdrawn' END AS status,
       CASE WHEN doc_id % 5 = 0 THEN 'failed' WHEN doc_id % 5 = 1 THEN 'already_failed' ELSE 'ok' END AS download_status
-      FROM documents, {_N}""",
+      FROM documents""",
     "av_pairs": """SELECT item_id AS question_id, pos, split_part(text, ' ', 1 + pos) AS attribute, split_part(text, ' ', 4 + pos) AS value,
       split_part(text, ' ', 7 + pos) || ' ' || split_part(text, ' ', 8 + pos) AS description, ((item_id * 7 + pos * 13) % 21) / 20.0 AS centrality
       FROM benchmark, (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) AS p""",
@@ -36,13 +36,13 @@ TABLES = {
       (doc_id * 7 % 101) / 100.0 AS complexity, (doc_id * 11 % 101) / 100.0 AS quantitativity, (doc_id * 13 % 101) / 100.0 AS spatial_specificity,
       (doc_id * 17 % 101) / 100.0 AS temporal_specificity, (doc_id * 19 % 101) / 100.0 AS methodological_depth, doc_id % 9 = 0 AS needs_numeric_emphasis,
       CASE WHEN doc_id % 23 = 0 THEN NULL ELSE 0.5 + (doc_id * 3 % 51) / 100.0 END AS confidence FROM documents""",
-    "answers": f"""SELECT conv_id * 1000 + turn AS answer_id, conv_id % n AS question_id, conv_id, turn, turn AS ord,
+    "answers": f"""SELECT conv_id * 1000 + turn AS answer_id, conv_id % {_N} AS question_id, conv_id, turn, turn AS ord,
       CASE WHEN turn % 7 = 6 THEN '' ELSE 'question ' || CAST(conv_id AS STRING) END AS question,
       CASE WHEN conv_id % 19 = 0 THEN 'ERROR: ' ELSE '' END || text || ' [' || CAST(turn % 5 + 1 AS STRING) || '][' || CAST((turn + conv_id) % 7 + 1 AS STRING) || ', '
       || CAST(conv_id % 40 + 1 AS STRING) || '] with 42.7 and 2020, 3, 77.' || CASE WHEN conv_id % 3 = 0 THEN chr(10) || '## References' || chr(10) || '[1] A (2001). T. https://openalex.org/W'
       || CAST(conv_id AS STRING) || chr(10) || '[2] Unknown (n.d.). T.' ELSE '' END AS text, CASE WHEN conv_id % 2 = 0 THEN text || ' 77.' ELSE text END AS context,
       {_case("turn % 7", ("tier-1-def", "tier-2b", "tier-3", "tier-2a", "tier-m", "tier-1", "fallback"))} AS rule_hit, turn % 2 = 0 AS use_draft, conv_id % 4 AS n_references
-      FROM conversations, {_N} WHERE role = 'assistant'""",
+      FROM conversations WHERE role = 'assistant'""",
     "judged": f"""SELECT CAST(floor(doc_id / 4) AS BIGINT) AS question_id, {_case("doc_id % 4", ("zero_shot", "two_step", "no_ontology", "ontology"))} AS pipeline, doc_id AS ord,
       {", ".join(_SCORE.format(k=k + 5, m=2 * k + 3, sq=k * k) + " AS " + c for k, c in enumerate(CRITERIA))} FROM documents""",
     "fives": f"""SELECT doc_id, {", ".join(f"CAST(CASE WHEN doc_id % 29 = {k} THEN -1 WHEN doc_id % 6 = 0 THEN 5 WHEN doc_id % 6 = 1 THEN 4 ELSE (doc_id * {2 * k + 3} + {k * k}) % 5 + 1 END AS INT) AS s{k}" for k in range(5))} FROM documents""",
@@ -57,8 +57,8 @@ TABLES = {
       CASE WHEN doc_id % 4 = 0 THEN 'https://b.org/x.PDF' END AS primary_pdf, CASE WHEN doc_id % 5 = 0 THEN 'https://www.mdpi.com/' || CAST(doc_id AS STRING) END AS oa_url FROM documents""",
     "fetches": """SELECT 'https://openalex.org/W' || CAST(doc_id AS STRING) AS uri, CASE doc_id % 6 WHEN 0 THEN 'no_pdf' WHEN 1 THEN 'pdf_failed' WHEN 2 THEN 'extract_failed' WHEN 3 THEN 'no_meta' ELSE 'ok' END AS status
       FROM documents WHERE doc_id % 9 <> 0""",
-    "assessed": f"""SELECT doc_id % n AS question_id, CAST(floor(doc_id / n) AS BIGINT) AS idx, {_TITLE} AS title, left(text, 300) AS abstract, 'https://openalex.org/W' || CAST(doc_id AS STRING) AS uri,
-      (doc_id * 31 % 101) / 100.0 AS relevance_score, doc_id % 3 <> 0 AS include FROM documents, {_N}""",
+    "assessed": f"""SELECT doc_id % {_N} AS question_id, CAST(floor(doc_id / {_N}) AS BIGINT) AS idx, {_TITLE} AS title, left(text, 300) AS abstract, 'https://openalex.org/W' || CAST(doc_id AS STRING) AS uri,
+      (doc_id * 31 % 101) / 100.0 AS relevance_score, doc_id % 3 <> 0 AS include FROM documents""",
 }
 
 
