@@ -25,7 +25,7 @@ from evspark.llm.jaccard import mix
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 NULL_ID = (1 << 63) - 1
-HALF, KEPT = np.uint64(32), np.uint64(0xFFFFFFFFFFFF0000)  # the bits of hashes that are kept
+HALF, KEPT = np.uint64(32), np.uint64(0xFFFFFFFFFF000000)  # the bits of hashes that are kept
 MOST = 1_000_000  # bytes of text whose suffixes are sorted at once
 PLACE = np.uint64(28)  # low bits of a rank that hold the place in the text
 
@@ -82,22 +82,25 @@ def _pack(rows: np.ndarray) -> bytes:
     step = np.diff(rows["doc"], prepend=rows["doc"][:1])
     wide = bool(len(step) and (np.abs(step).max() >= 1 << 31))
     head = np.array([len(rows), wide, rows["doc"][0] if len(rows) else 0], "<i8")
-    high = [np.ascontiguousarray(rows[c]).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for c in ("a", "g")]  # 48 bits
-    steps = step.astype("<i8" if wide else "<i4").tobytes()
-    return b"".join([head.tobytes(), *high, steps, rows["start"].tobytes(), rows["count"].tobytes(), rows["left"].tobytes()])
+    high = [_planes(rows[c])[3:].tobytes() for c in ("a", "g")]  # 40 bits
+    steps = _planes(step.astype("<i8" if wide else "<i4")).tobytes()
+    return b"".join([head.tobytes(), *high, steps, _planes(rows["start"]).tobytes(), rows["count"].tobytes(), rows["left"].tobytes()])
+
+
+def _planes(column: np.ndarray) -> np.ndarray:
+    """The first bytes of all values, then the second ones, and so on: zeros come together."""
+    return np.ascontiguousarray(column).view(np.uint8).reshape(-1, column.dtype.itemsize).T
 
 
 def _unpack(blob: bytes) -> np.ndarray:
     n, wide, first = np.frombuffer(blob, "<i8", 3)
     out, at = np.zeros(n, _ROW), 24
-    for name in ("a", "g"):
-        wide_bytes = np.zeros((n, 8), np.uint8)
-        wide_bytes[:, 2:] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(n, 6)
-        out[name] = wide_bytes.view("<u8")[:, 0]
-        at += 6 * n
-    for name, kind in (("doc", "<i8" if wide else "<i4"), ("start", "<i4"), ("count", "u1"), ("left", "u1")):
-        part = np.frombuffer(blob, kind, n, at)
-        at += part.nbytes
+    for name, kind, low in (("a", "<u8", 3), ("g", "<u8", 3), ("doc", "<i8" if wide else "<i4", 0), ("start", "<i4", 0), ("count", "u1", 0), ("left", "u1", 0)):
+        size = np.dtype(kind).itemsize
+        planes = np.zeros((size, n), np.uint8)
+        planes[low:] = np.frombuffer(blob, np.uint8, (size - low) * n, at).reshape(-1, n)
+        at += (size - low) * int(n)
+        part = np.ascontiguousarray(planes.T).view(kind)[:, 0]
         out[name] = first + np.cumsum(part, dtype=np.int64) if name == "doc" else part
     return out
 
