@@ -25,10 +25,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class; rows without an id stay."""
-    classes = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    later = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the least id of each class; rows without an id stay.
+
+    Rows of one id with different texts are told apart by a hash of the text.
+    """
+    keyed = docs.withColumn("__row", F.xxhash64("text"))
+    classes = jaccard.near_duplicates(keyed.select("doc_id", "text", "__row"), row_col="__row")
+    later = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id", "__row").distinct()
+    return keyed.join(later, ["doc_id", "__row"], "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

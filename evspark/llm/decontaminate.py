@@ -137,10 +137,13 @@ def decontaminate(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns.
 
-    Same defined cases as ``decontaminate``; documents with a null id stay only if clean.
+    Every row is judged by its own text: rows are told apart by id and a hash of the text, so a row with a
+    null or repeated id stays if it is clean, whatever the others hold. Texts are scanned whole.
     """
-    hit = find_hits(docs, benchmark, id_col, **options).select(F.col("key").alias("__hit_key")).distinct()
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("__hit_key")), "left_anti")
+    text = F.col(options.get("text_col", "text")).cast("string")
+    keyed = docs.withColumn("__row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash")))
+    hit = find_hits(keyed, benchmark, "__row", **options).select(F.col("key").alias("__row")).distinct()
+    return keyed.join(hit, "__row", "left_anti").select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

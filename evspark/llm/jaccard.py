@@ -88,7 +88,8 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, n: int, runs: int, depth: int, threshold: float) -> DataFrame:
-    """(id, sig, size, sketch, keys) for rows of id and text."""
+    """(id, sig, size, sketch, keys) for rows of id and text; and ``row`` where they have it."""
+    more = [c for c in docs.columns if c == "row"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -97,9 +98,10 @@ def features(docs: DataFrame, n: int, runs: int, depth: int, threshold: float) -
                 for i, text in zip(part["id"], part["text"], strict=True):
                     s = ngram_set(text, n)
                     rows.append((i, xxhash.xxh128_digest(s.tobytes()), len(s), sketch(s).tobytes(), paths(s, runs, depth, threshold).view(np.int64)))
-                yield pd.DataFrame(rows, columns=["id", "sig", "size", "sketch", "keys"])
+                found = pd.DataFrame(rows, columns=["id", "sig", "size", "sketch", "keys"])
+                yield found.assign(**{c: part[c].to_numpy() for c in more})
 
-    return docs.mapInPandas(run, "id long, sig binary, size long, sketch binary, keys array<long>")
+    return docs.mapInPandas(run, ", ".join(["id long, sig binary, size long, sketch binary, keys array<long>", *[f"{c} long" for c in more]]))
 
 
 def _groups(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
@@ -212,6 +214,7 @@ def near_duplicates(
     bucket: int = 2048,
     block: int = 256,
     block_tokens: int = 2_000_000,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per document: id, class_id (least id of all that links reach) and n_links (other documents
     whose n-gram sets have Jaccard similarity of ``threshold`` or more).
@@ -220,9 +223,13 @@ def near_duplicates(
     words (null, empty) are equal sets and so one class; equal texts link to each other; a row with a
     null id has a null class and no links; rows that repeat an id are each counted; an empty table
     gives no rows; other columns are ignored; texts of any length are read whole. Buckets and
-    components of any size are compared in blocks, so nothing is capped.
+    components of any size are compared in blocks, so nothing is capped. A column ``row_col`` of longs is
+    carried along, to tell rows of one id apart.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    more = [] if row_col is None else ["row"]
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(row_col).cast("long").alias(c) for c in more]
+    )
     named = rows.where(F.col("id").isNotNull())
     runs = runs_for(recall, depth)
     feats = checkpoint(features(named, n, runs, depth, threshold))
@@ -264,6 +271,7 @@ def near_duplicates(
     info = info.withColumn("root", F.coalesce("root", "sig"))
     classes = info.groupBy("root").agg(F.min("rep").alias("class_id"))
     info = info.join(classes, "root").select("sig", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    found = feats.select("id", "sig").join(info, "sig").select("id", "class_id", "n_links")
-    lost = rows.where(F.col("id").isNull()).select("id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return found.union(lost).withColumnRenamed("id", id_col)
+    found = feats.select("id", "sig", *more).join(info, "sig").select("id", "class_id", "n_links", *more)
+    lost = rows.where(F.col("id").isNull()).select("id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), *more)
+    out = found.union(lost).withColumnRenamed("id", id_col)
+    return out.withColumnRenamed("row", row_col) if more else out

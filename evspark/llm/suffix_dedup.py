@@ -74,7 +74,7 @@ def segments(data: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
 
 
 PACKED = "bucket int, blob binary"
-_ROW = np.dtype([("a", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("count", "u1"), ("left", "u1")])
+_ROW = np.dtype([("a", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4"), ("count", "u1"), ("left", "u1")])
 
 
 def _pack(rows: np.ndarray) -> bytes:
@@ -84,7 +84,8 @@ def _pack(rows: np.ndarray) -> bytes:
     head = np.array([len(rows), wide, rows["doc"][0] if len(rows) else 0], "<i8")
     high = [_planes(rows[c])[3:].tobytes() for c in ("a", "g")]  # 40 bits
     steps = _planes(step.astype("<i8" if wide else "<i4")).tobytes()
-    return b"".join([head.tobytes(), *high, steps, _planes(rows["start"]).tobytes(), rows["count"].tobytes(), rows["left"].tobytes()])
+    rest = [_planes(rows[c]).tobytes() for c in ("row", "start", "count", "left")]
+    return b"".join([head.tobytes(), *high, steps, *rest])
 
 
 def _planes(column: np.ndarray) -> np.ndarray:
@@ -95,7 +96,7 @@ def _planes(column: np.ndarray) -> np.ndarray:
 def _unpack(blob: bytes) -> np.ndarray:
     n, wide, first = np.frombuffer(blob, "<i8", 3)
     out, at = np.zeros(n, _ROW), 24
-    for name, kind, low in (("a", "<u8", 3), ("g", "<u8", 3), ("doc", "<i8" if wide else "<i4", 0), ("start", "<i4", 0), ("count", "u1", 0), ("left", "u1", 0)):
+    for name, kind, low in (("a", "<u8", 3), ("g", "<u8", 3), ("doc", "<i8" if wide else "<i4", 0), ("row", "<i8", 0), ("start", "<i4", 0), ("count", "u1", 0), ("left", "u1", 0)):
         size = np.dtype(kind).itemsize
         planes = np.zeros((size, n), np.uint8)
         planes[low:] = np.frombuffer(blob, np.uint8, (size - low) * n, at).reshape(-1, n)
@@ -121,9 +122,35 @@ def _settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[~later], rows[later]
 
 
-def _spans(rows: np.ndarray, span: int) -> pd.DataFrame:
-    """Bytes covered by the whole segments: doc, start, end."""
-    return pd.DataFrame({"doc": rows["doc"], "start": rows["start"], "end": rows["start"] + rows["count"].astype(np.int32) + span - 1})
+def _content(p: Prefixes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of a range, by which a row of its id is known to hold it."""
+    return mix(p.of(start, end)) & KEPT
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """start and end in one number that sorts as both."""
+    return (start.astype(np.int64) << 32) | end.astype(np.int64)
+
+
+def _held(data: bytes, place: list[int], content: list[int]) -> np.ndarray:
+    """Which of the ranges stand in these bytes."""
+    place, content = np.array(place, np.int64), np.array(content, np.int64)
+    start, end = place >> 32, place & 0xFFFFFFFF
+    p = Prefixes(np.frombuffer(data, np.uint8))
+    ok = end <= len(data)
+    ok[ok] = _content(p, start[ok], end[ok]) == content[ok].view(np.uint64)
+    return ok
+
+
+def _spans(rows: np.ndarray, span: int, left: np.ndarray, anchor: np.ndarray) -> pd.DataFrame:
+    """Bytes of the whole segments and their hash; left is -1 where they are settled."""
+    place = _ranges(rows["start"], rows["start"] + rows["count"].astype(np.int32) + span - 1)
+    return pd.DataFrame({"doc": rows["doc"], "row": rows["row"], "place": place, "content": rows["g"].view(np.int64), "mark": _mark(left, anchor)})
+
+
+def _mark(left: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """The anchor's kept bits and, in the low ones it has free, left; -1 for settled ranges."""
+    return np.where(left < 0, -1, anchor.view(np.int64) | left)
 
 
 def _anchored(docs: DataFrame, span: int, gram: int, buckets: int) -> DataFrame:
@@ -134,7 +161,7 @@ def _anchored(docs: DataFrame, span: int, gram: int, buckets: int) -> DataFrame:
     def packed(found: list[np.ndarray]) -> pd.DataFrame:
         open_, done = _settle(np.concatenate(found))
         bucket = (open_["a"] >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(open_), np.int64)
-        by = np.lexsort((open_["start"], open_["doc"], bucket))
+        by = np.lexsort((open_["start"], open_["row"], open_["doc"], bucket))
         open_, bucket = open_[by], bucket[by]
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         stop = np.append(edge[1:], len(bucket))
@@ -146,13 +173,14 @@ def _anchored(docs: DataFrame, span: int, gram: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, held = [], 0
         for pdf in batches:
-            for doc, text in zip(pdf["doc"].to_numpy(), pdf["text"], strict=True):
+            for doc, row, text in zip(pdf["doc"].to_numpy(), pdf["row"].to_numpy(), pdf["text"], strict=True):
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 a, place, first, count = segments(data, span, gram)
                 if not len(a):
                     continue
                 rows = np.zeros(len(a), _ROW)
-                rows["a"], rows["doc"], rows["start"], rows["count"], rows["left"] = a & KEPT, doc, first, count, place - first
+                rows["a"], rows["doc"], rows["row"] = a & KEPT, doc, row
+                rows["start"], rows["count"], rows["left"] = first, count, place - first
                 rows["g"] = mix(Prefixes(data).of(first, first + count + span - 1)) & KEPT
                 found.append(rows)
                 held += len(a)
@@ -196,16 +224,9 @@ def _shared(span: int):
         low = np.minimum.reduceat(open_["doc"], np.flatnonzero(new))[run]
         high = np.maximum.reduceat(open_["doc"], np.flatnonzero(new))[run]
         rows = open_[low < high]
-        spans = _spans(done, span)
-        yield pd.DataFrame(
-            {
-                "doc": np.concatenate([spans["doc"], rows["doc"]]),
-                "start": np.concatenate([spans["start"], rows["start"]]),
-                "end": np.concatenate([spans["end"], rows["start"] + rows["count"].astype(np.int32) + span - 1]),
-                "left": np.concatenate([np.full(len(spans), -1), rows["left"]]),
-                "anchor": np.concatenate([np.zeros(len(spans), np.int64), rows["a"].view(np.int64)]),
-            }
-        )
+        settled = np.full(len(done), -1)
+        yield _spans(done, span, settled, done["a"].copy())
+        yield _spans(rows, span, rows["left"].astype(np.int64), rows["a"].copy())
 
     return work
 
@@ -321,7 +342,7 @@ def repeated_windows(
     return np.concatenate(segs), np.concatenate(wins)
 
 
-_OPEN = np.dtype([("a", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("count", "<i4"), ("left", "<i4")])
+_OPEN = np.dtype([("a", "<i8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4"), ("count", "<i4"), ("left", "<i4")])
 
 
 def _fetched(joined: DataFrame, text_col: str, span: int, buckets: int) -> DataFrame:
@@ -330,13 +351,14 @@ def _fetched(joined: DataFrame, text_col: str, span: int, buckets: int) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows, bytes_ = [], []
-            for doc, text, open_ in zip(pdf["__doc"], pdf[text_col], pdf["__open"], strict=True):
+            for doc, row, text, open_ in zip(pdf["__doc"], pdf["__row"], pdf[text_col], pdf["__open"], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                for x in open_:
-                    part = data[x["start"] : x["end"]]
-                    if len(part) == x["end"] - x["start"]:
-                        rows.append((x["anchor"], doc, x["start"], x["end"] - x["start"] - span + 1, x["left"]))
-                        bytes_.append(part)
+                held = _held(data, [x["place"] for x in open_], [x["content"] for x in open_])
+                for x, ok in zip(open_, held.tolist(), strict=True):
+                    if ok:  # else it is a range of another row with this id
+                        start, end = x["place"] >> 32, x["place"] & 0xFFFFFFFF
+                        rows.append((x["mark"] & ~0xFF, doc, row, start, end - start - span + 1, x["mark"] & 0xFF))
+                        bytes_.append(data[start:end])
             if not rows:
                 continue
             table = np.array(rows, _OPEN)
@@ -371,44 +393,48 @@ def _compared(span: int, gram: int):
         for f in first[1:].tolist():  # whole anchors, about a megabyte of text at a time
             if ends[f - 1] - (ends[cuts[-1] - 1] if cuts[-1] else 0) >= MOST:
                 cuts.append(f)
-        found = []
         for lo, hi in zip(cuts, [*cuts[1:], len(t)], strict=True):
             own, n = t[lo:hi], size[lo:hi]
             at = np.cumsum(n) - n
             part = data[np.repeat(base[lo:hi] - at, n) + np.arange(int(n.sum()))]
             seg, win = repeated_windows(part, at, own["count"].astype(np.int64), own["left"].astype(np.int64), own["doc"], own["a"], span, gram)
-            found.append((seg + lo, win))
-        seg, win = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-        if not len(seg):
-            return
-        doc, start = t["doc"][seg], t["start"][seg].astype(np.int64) + win
-        by = np.lexsort((start, doc))
-        doc, start = doc[by], start[by]
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + span)])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(doc)) - 1
-        yield pd.DataFrame({"doc": doc[first], "start": start[first], "end": start[last] + span})
+            if not len(seg):
+                continue
+            by = np.lexsort((win, seg))
+            seg, win = seg[by], win[by]
+            new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (win[1:] > win[:-1] + span)])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(seg)) - 1
+            seg, win, end = seg[first], win[first], win[last] + span
+            content = _content(Prefixes(part), at[seg] + win, at[seg] + end)
+            start = own["start"][seg].astype(np.int64)
+            place = _ranges(start + win, start + end)
+            yield pd.DataFrame({"doc": own["doc"][seg], "row": own["row"][seg], "place": place, "content": content.view(np.int64)})
 
     return work
 
 
 def repeated_spans(keyed: DataFrame, text_col: str, *, span: int, gram: int) -> DataFrame:
-    """(__doc, __spans): the byte ranges [start, end) to remove, not yet merged; ``keyed`` has __doc.
+    """(__doc, __row, __spans): the byte ranges [start, end) to remove, not yet merged; ``keyed`` has __doc and __row.
 
-    Both here and where the ranges are applied, all of ``keyed`` is joined by __doc, so that its
-    texts are shuffled once.
+    Documents are compared by __doc, but ranges belong to (__doc, __row) and are marked by a hash of their
+    bytes, so that a range is never taken for one of another row with the same id. Both here and where the
+    ranges are applied, all of ``keyed`` is joined by these two, so that its texts are shuffled once.
     """
     spark = keyed.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 8 * parts
+    key = [F.col("doc").alias("__doc"), F.col("row").alias("__row")]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    packed = _anchored(keyed.select(F.col("__doc").alias("doc"), text.alias("text")).where(F.octet_length("text") >= span), span, gram, buckets)
-    settled_or_open = _by_bucket(_spread(packed), _any(span), "doc long, start long, end long, left int, anchor long", parts)
+    packed = _anchored(keyed.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), text.alias("text")).where(F.octet_length("text") >= span), span, gram, buckets)
+    settled_or_open = _by_bucket(_spread(packed), _any(span), "doc long, row long, place long, content long, mark long", parts)
     found = checkpoint(settled_or_open)
-    done = found.where(F.col("left") < 0).select("doc", "start", "end")
-    open_ = found.where(F.col("left") >= 0).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "end", "left", "anchor")).alias("__open"))
-    compared = _by_bucket(_fetched(keyed.join(open_, "__doc"), text_col, span, buckets), _compared(span, gram), "doc long, start long, end long", parts)
-    return done.union(compared).groupBy(F.col("doc").alias("__doc")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    done = found.where(F.col("mark") == -1).select("doc", "row", "place", "content")
+    # equal rows of one id have equal segments: a set keeps them once
+    open_ = found.where(F.col("mark") != -1).groupBy(*key).agg(F.collect_set(F.struct("place", "content", "mark")).alias("__open"))
+    fetched = _fetched(keyed.join(open_, ["__doc", "__row"]), text_col, span, buckets)
+    compared = _by_bucket(fetched, _compared(span, gram), "doc long, row long, place long, content long", parts)
+    return done.union(compared).groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("place", "content"))).alias("__spans"))
 
 
 def _spread(packed: DataFrame) -> DataFrame:
@@ -426,8 +452,8 @@ def _any(span: int):
             yield from shared([b[1:] for b in blobs])
             return
         for b in blobs:
-            s = _spans(_unpack(b[1:]), span)
-            yield s.assign(left=-1, anchor=0)
+            rows = _unpack(b[1:])
+            yield _spans(rows, span, np.full(len(rows), -1), rows["a"].copy())
 
     return work
 
@@ -436,8 +462,11 @@ def _cut(text: bytes, spans) -> tuple[bytes, int, int]:
     """(kept bytes, removed bytes, maximal removed runs)."""
     kept, at, removed, runs = [], 0, 0, 0
     end = -1
-    for s in spans:
-        a, b = s["start"], min(s["end"], len(text))
+    held = _held(text, [s["place"] for s in spans], [s["content"] for s in spans])
+    for s, ok in zip(spans, held.tolist(), strict=True):
+        if not ok:  # a range of another row with this id
+            continue
+        a, b = s["place"] >> 32, s["place"] & 0xFFFFFFFF
         if a > end:
             kept.append(text[max(at, 0) : a])
             runs += 1
@@ -454,8 +483,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Each byte covered by a string of ``span`` bytes that also starts in a document with a smaller id is
     removed. Null and empty texts keep nothing and lose nothing; a null id counts as larger than all
-    others; rows that repeat an id share one set of spans (never each other's, as no id is smaller); an
-    empty table gives no rows; other columns are carried along; texts are read whole (to 256 MB each).
+    others; rows of one id, or without one, never cut each other, as no id is smaller, and each loses only
+    ranges whose bytes it holds; an empty table gives no rows; other columns are carried along; texts are read
+    whole (to 256 MB each).
     """
     small_batches(docs.sparkSession)
 
@@ -469,9 +499,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
-    joined = keyed.join(repeated_spans(keyed, text_col, span=span, gram=gram), "__doc", "left")
-    return joined.withColumn("removal", removal(text, F.col("__spans"))).drop("__doc", "__spans")
+    keyed = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("__row", F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long")))
+    joined = keyed.join(repeated_spans(keyed, text_col, span=span, gram=gram), ["__doc", "__row"], "left")
+    return joined.withColumn("removal", removal(text, F.col("__spans"))).drop("__doc", "__row", "__spans")
 
 
 def kept_text(kept: str = "removal.kept") -> Column:

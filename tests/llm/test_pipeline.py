@@ -24,3 +24,30 @@ def test_stages(spark, tmp_path):
     assert sum(r.length for r in kept["packing"]) == sum(r.doc_tokens for r in kept["packing"] if r.start == 0)
     whole = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32").collect()
     assert sorted((r.doc_id, r.start + r.length) for r in whole)[-1][0] == max(r.doc_id for r in kept["packing"])
+
+
+def test_rows_of_one_id_are_judged_apart(spark, tmp_path):
+    """Two different texts under a null id and under a repeated id, in each stage."""
+    a, b, c, d, e = (prose(200, 700 + i) for i in range(5))
+    same = prose(60, 710)
+    hit, clean = a[:400] + "\n" + same + "\n" + b[:400], c[:400] + "\n" + prose(60, 711) + "\n" + d[:400]  # the same offsets
+    copy, bench = e.replace(" ", "  ", 1), " ".join(f"leak{i}" for i in range(12))
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def frame(rows):
+        return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], columns)
+
+    def out(stage, rows):
+        return sorted(((r.doc_id, r.text) for r in stage(spark, frame(rows), str(tmp_path)).collect()), key=str)
+
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for i in (7, None):
+        assert out(corpus_pipeline.quality_rules, [(i, clean), (i, "short")]) == [(i, clean)]
+        got = out(corpus_pipeline.near_duplicates, [(1, e), (i, copy), (i, clean), (i, "")])
+        assert got == sorted([(1, e), (i, clean), (i, "")] + [(i, copy)] * (i is None), key=str)
+        rows = [(1, prose(30, 712) + "\n" + same), (i, hit), (i, clean), (i, clean)]
+        kept = out(corpus_pipeline.repeated_passages, rows)
+        assert kept.count((i, clean)) == 2 and (i, hit) not in kept and len(kept) == 4
+        assert sum(len(t) for _, t in kept) <= sum(len(t) for _, t in rows) - len(same)
+        got = out(corpus_pipeline.benchmark_free, [(i, clean), (i, hit + " " + bench), (3, a)])
+        assert got == sorted([(i, clean), (3, a)], key=str)
