@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 SENTENCE_END = np.uint32(1 << 31)
 ID_MASK = np.uint32((1 << 31) - 1)
 _CLOSES = re.compile(r"""(?:[.!?]["')\]»”’]*|\n)$""")
-_CLOSING = re.compile(r"([^\W\d_]+)([.,!?;:]?)\n?")
+#: Small Latin letters that stay as they are, and a mark; the dotted I is out, as its small form has a loose dot.
+_CLOSING = re.compile(r"([a-zÀ-ÖØ-öø-įı-ɏ]+)([.,!?;:]?)\n?")
 _ENDS = frozenset(".!?\"')]»”’\n")
 _MARKS = frozenset(".,!?;:\n")
 
@@ -32,11 +34,15 @@ def fold(doc_id: Column, folds: int) -> Column:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the cluster's shared checkpoint folder.
 
-    A folder of our own is used only where the session names none, as in local tests.
+    A folder of our own is used only under a local master whose session names none, as in tests; elsewhere
+    that is an error, as executors would not see each other's files.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -70,35 +76,46 @@ def _closed(ids: bytes) -> bytes:
     return out.tobytes()
 
 
-class ChunkTokens(dict):
+class ChunkTokens:
     """Ids of white-space delimited chunks under a public tokenizer, as little-endian uint32 bytes.
 
-    The tokenizer never joins across white space, so a text's ids are those of its chunks. At most
-    ``limit`` chunks are kept; the cache then starts anew.
+    The tokenizer never joins across white space, so a text's ids are those of its chunks. What is learnt
+    is kept in two generations of at most ``limit`` chunks: when the younger is full it becomes the older
+    one, so that chunks in use stay and others go.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
-        super().__init__()
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.marks = Tokenizer.from_file(path), limit, {}
-
-    def learn(self, chunks: Iterable[str]) -> None:
-        chunks = set(chunks)
-        missing = chunks.difference(self)
-        if len(self) + 2 * len(missing) > self.limit:
-            self.clear()
-            missing = chunks
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def lookup(self, chunks: Iterable[str]) -> dict[str, bytes]:
+        """A table that holds every one of the chunks, for use until the next call."""
+        young = self.young
+        missing = {c for c in set(chunks) if c not in young}
+        if not missing:
+            return young
+        if len(young) + len(missing) > self.limit:
+            self.old, self.young = young, {}
+            young, missing = self.young, set(chunks)
+        if self.old:
+            old = self.old
+            known = {c: old[c] for c in missing if c in old}
+            young.update(known)
+            missing.difference_update(known)
         # a run of letters and the mark or line end after it are split by the tokenizer in any case
-        plain = {c: _CLOSING.fullmatch(c) for c in missing if c and (c[-1] in _MARKS)}
-        bases = {m[1] for m in plain.values() if m}
-        fresh = [c for c in {*missing, *bases} if c not in self and not plain.get(c)]
+        plain = {c: m for c in missing if c and c[-1] in _MARKS and (m := _CLOSING.fullmatch(c))}
+        fresh = {c for c in missing if c not in plain}
+        fresh.update(b for m in plain.values() if (b := m[1]) not in young)
+        fresh = list(fresh)
         for i in range(0, len(fresh), 512):
             self._encode(fresh[i : i + 512])
         for c, m in plain.items():
-            if m:
-                self[c] = self[m[1]] + self._mark(m[2], c[-1] == "\n") if m[2] else _closed(self[m[1]])
+            young[c] = young[m[1]] + self._mark(m[2], c[-1] == "\n") if m[2] else _closed(young[m[1]])
+        return young
 
     def _mark(self, mark: str, line_end: bool) -> bytes:
         if (mark, line_end) not in self.marks:
@@ -117,26 +134,21 @@ class ChunkTokens(dict):
         closing = np.array([c[-1:] in _ENDS and bool(_CLOSES.search(c)) for c in chunks]) & (edge[1:] > edge[:-1])
         ids[last[closing]] |= SENTENCE_END
         raw, edge = ids.tobytes(), (4 * edge).tolist()
-        for c, x, y in zip(chunks, edge[:-1], edge[1:], strict=True):
-            self[c] = raw[x:y]
-
-    def __missing__(self, chunk: str) -> bytes:
-        self.learn((chunk,))
-        return self[chunk]
+        self.young.update(zip(chunks, [raw[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)], strict=True))
 
     def flagged(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text with SENTENCE_END set where a sentence or line ends."""
         split = [split_chunks(t) for t in texts]
-        known = set()
-        for chunks in split:
-            known.update(chunks)
-        self.learn(known)
-        return [np.frombuffer(b"".join([self[c] for c in chunks]), np.uint32) for chunks in split]
+        ids = self.lookup(list(chain.from_iterable(split))).__getitem__
+        return [np.frombuffer(b"".join(map(ids, chunks)), np.uint32) for chunks in split]
 
 
 def split_chunks(text: str) -> list[str]:
-    """Chunks between blanks, tabs and line ends, A-Z lower-cased; a chunk before a line end keeps it."""
-    return ascii_lower(text).replace("\t", " ").replace("\r", " ").replace("\n", "\n ").split(" ")
+    """Chunks between blanks, tabs and line ends; a chunk before a line end keeps it.
+
+    A-Z are lower-cased, as the tokenizer would, but not where its special tokens may stand.
+    """
+    return (text if "<|" in text else ascii_lower(text)).replace("\t", " ").replace("\r", " ").replace("\n", "\n ").split(" ")
 
 
 _LOADED: dict[str, ChunkTokens] = {}

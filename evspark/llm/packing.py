@@ -31,7 +31,12 @@ def choose_cuts(
     """Cut positions (last included) of least cost; ``positions`` rise from 0 by at most ``window``."""
     n = len(positions)
     cost, back = [0.0] * n, [0] * n
-    index = {p: i for i, p in enumerate(positions)} if exact else {}
+    exact = tuple(e for e in exact if e < window)  # the queue's front gives a full window without padding
+    span = max(exact, default=0)
+    place = [-1] * (span + positions[-1] + 1)  # the candidate at each position, shifted by span
+    for i, p in enumerate(positions):
+        place[p + span] = i
+    shifts = [span - e for e in exact]
     queue: deque[tuple[int, float, int]] = deque([(0, 0.0, 0)])
     for j in range(1, n):
         p = positions[j]
@@ -40,9 +45,9 @@ def choose_cuts(
             queue.popleft()
         _, best, i = queue[0]
         best += window - p
-        for e in exact:
-            k = index.get(p - e)
-            if k is not None and cost[k] < best:
+        for e in shifts:
+            k = place[p + e]
+            if k >= 0 and cost[k] < best:
                 best, i = cost[k], k
         best += penalties[j]
         cost[j], back[j] = best, i
