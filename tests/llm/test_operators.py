@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evspark.llm import decontaminate, html_main, jaccard, langid, packing, quality, suffix_dedup, suffix_tree_lm, token_edits, toxicity
-from evspark.llm.common import ID_MASK, ChunkTokens, default_tokenizer
+from evspark.llm import decontaminate, html_main, jaccard, langid, packing, quality, suffix_dedup, token_edits, toxicity
+from evspark.llm.common import ID_MASK, ChunkTokens, default_tokenizer, split_chunks
 from evspark.llm.components import components
 
 R = random.Random(5)
@@ -90,6 +90,11 @@ def test_chunk_tokens_equal_the_tokenizer():
     cache = ChunkTokens(default_tokenizer(), limit=50)
     for text in [LONG[:3000], "A.. b ... C's don't\n\nÉcole. x!? 3.14 a_b İ K é , .\x1cz\xa0y\t<|endoftext|>", "Word\nword,\nWORD."]:
         assert (cache.flagged([text])[0] & ID_MASK).tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids
+    r = random.Random(8)
+    signs = [*"abzABZéÉİıßǅΣς.,!?:;'\"-1½٣你😀ﬁŉⅧªა ", *" \n\t\r  ", "\u0301", "\u0307", "İ:", "'s", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "\x85", "\u2003"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 30))) for _ in range(5000)]
+    for text, ids in zip(texts, cache.flagged(texts), strict=True):
+        assert (ids & ID_MASK).tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -242,14 +247,22 @@ def test_token_counts(docs, none):
     for seed in range(30):
         r = random.Random(seed)
         text = prose(r.randint(0, 300), seed)
-        spots = sorted(r.sample(range(len(text) + 1), min(len(text) + 1, 2 * r.randint(0, 6))))
-        edits = [(a, b, r.choice(["", " ", "x", "new words here", "\n"])) for a, b in zip(spots[::2], spots[1::2], strict=False)]
-        tree = token_edits.CountTree(text, cache, leaf=4)
+        chunks = split_chunks(text)
+        ids = cache.lookup(chunks)
+        tree = token_edits.CountTree.of_chunks(chunks, np.array([len(ids[c]) // 4 for c in chunks]), 4)
         assert tree.total == len(tokenizer.encode(text, add_special_tokens=False).ids)
-        tree.apply(edits)
-        for a, b, new in reversed(edits):
-            text = text[:a] + new + text[b:]
-        assert tree.text() == text and tree.total == len(tokenizer.encode(text, add_special_tokens=False).ids)
+        for _ in range(3):  # the tree goes on from one set of edits to the next
+            spots = sorted(r.sample(range(len(text) + 1), min(len(text) + 1, 2 * r.randint(0, 6))))
+            edits = [(a, b, r.choice(["", " ", "x", "new words here", "\n"])) for a, b in zip(spots[::2], spots[1::2], strict=False)]
+            got, _ = tree.apply(text, edits, cache)
+            for a, b, new in reversed(edits):
+                text = text[:a] + new + text[b:]
+            assert got == text and tree.total == len(tokenizer.encode(text, add_special_tokens=False).ids)
+            assert int(tree.chars.sum()) == len(text)
+    given = docs.where(F.col("doc_id") == 7).withColumn("edits", F.expr("array(named_struct('start', 3, 'stop', 9, 'new', 'x y'), named_struct('start', 50, 'stop', 50, 'new', null))"))
+    row = token_edits.apply_edits(token_edits.count_trees(given)).first()
+    assert row.text == LONG[:3] + "x y" + LONG[9:] and row.sums[1] == len(tokenizer.encode(row.text, add_special_tokens=False).ids) and row.n_reencoded < 60
+    assert row.source == "s" and token_edits.apply_edits(token_edits.count_trees(given.withColumn("edits", F.lit(None).cast(token_edits.EDITS)))).first().text == LONG
     extra = docs.withColumn("text", F.concat(F.col("text"), F.lit(" mail a.b@c.org, or 10.0.0.12 (+49 30 1234567).")))
     for table in (docs, extra):
         texts = {r.doc_id: r.text for r in table.collect()}
@@ -287,34 +300,6 @@ def test_language(spark, none):
     assert {r.score for r in langid.identify(docs, spark.sparkContext.broadcast(empty)).collect()} <= {0.0, 1.0}
 
 
-def test_lm(spark, docs, none):
-    from math import log10
-
-    train = [r.text for r in docs.where("doc_id % 2 = 0").collect()]
-    got = suffix_tree_lm.score(docs, docs.where("doc_id % 2 = 0"), group_col="lang", head_share=0.01).collect()
-    tokens = [t for text in train for t in [*re.findall(r"[^\x20\x09-\x0D]+", lowered(text)), None]]
-    c = Counter(tokens)
-    n, v = len(tokens), len(c)
-    rows = Counter()
-    for r in docs.collect():
-        own = [*re.findall(r"[^\x20\x09-\x0D]+", lowered(r.text)), None]
-        base = sum(log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in own)
-        rows[r.doc_id, len(own), sum(c[t] > 0 for t in own), n, round(base, 6)] += 1
-    assert rows == Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got)
-    assert all(r.score < 0 for r in got)
-    assert suffix_tree_lm.score(none, docs).count() == 0
-    assert suffix_tree_lm.score(docs, none).where("n_known > 0").count() == 0
-
-
-def test_suffix_tree_sums_to_one():
-    counts = {"": {"a": 5, "b": 3, "\n": 2}, "a": {"b": 4, "\n": 1}, "ba": {"b": 1, "\n": 6}}
-    tree = suffix_tree_lm.SuffixTree(counts, 0.1, 0.5)
-    assert set(tree.states) == {"", "a", "ba"}
-    for state in tree.states:
-        known = sum(10 ** tree.log10(state, s) for s in "ab\n")
-        assert known + (suffix_tree_lm.LETTERS - 3) * 10 ** tree.log10(state, "z") == pytest.approx(1, abs=1e-6)
-
-
 def test_toxicity(spark, none):
     r = random.Random(1)
     texts, labels = [], []
