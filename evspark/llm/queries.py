@@ -55,9 +55,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = fold(F.col("doc_id"), 5) == 1
-    scored = suffix_tree_lm.score(docs, docs.where(~held), group_col="lang")
+    scored = suffix_tree_lm.score(table(spark, sf_dir, "documents"), ~held, group_col="lang")
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
