@@ -1,9 +1,12 @@
 """Quality rules with robust multivariate outliers, by DataFrame functions only.
 
 Base rules look at single statistics. Beyond them each language and source gets a minimum covariance
-determinant estimate of the transformed statistics, found by concentration steps: mean and covariance
-of the rows whose Mahalanobis distance is under the group's quantile, repeated. Rows far outside
-are rejected.
+determinant estimate of the transformed statistics. Concentration steps start from three estimates (median and
+deviations, correlations of hyperbolic tangents, spatial signs); each step takes mean and covariance of the
+``share`` of rows that lie nearest, until no determinant falls any more, and the start of least determinant
+wins. A group's estimate is drawn towards its language's as if that had ``prior_rows`` rows in it. Rows
+beyond ``cutoff`` in squared Mahalanobis distance are rejected; 50 is the chi-square quantile of five degrees
+at a tail of 1.4e-9.
 """
 
 from __future__ import annotations
@@ -16,8 +19,12 @@ from evspark.llm.common import checkpoint
 
 #: Fixed character classes of the base statistics.
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
-#: (name, least variance) of the transformed statistics.
-FEATURES = (("x_words", 1.0), ("x_length", 0.25), ("x_symbols", 0.1), ("x_lines", 0.15), ("x_repeats", 0.15))
+#: (name, least variance) of the transformed statistics. The first two vary in every group; most clean texts have no symbols,
+#: repeated lines or repeated words, so that for the last three the floor is the scale on which a departure counts.
+FEATURES = (("x0", 0.05), ("x1", 0.02), ("x2", 0.1), ("x3", 0.15), ("x4", 0.15))
+P = len(FEATURES)
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+GROUP = ["level", "g0", "g1"]
 #: 0.75 over the chance that a chi-square of p + 2 degrees is under the 0.75 quantile of p degrees (p = 5).
 CONSISTENCY = 1.412
 BINS = 16
@@ -83,108 +90,145 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, group_cols: tuple[st
 
 
 def _features() -> list[Column]:
+    """Logarithm of the words, mean word length, and logarithms of the shares of symbols, repeated lines and words."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     return [
-        F.log(n.cast("double")).alias("x_words"),
-        (F.least(F.col("word_chars") / n, F.lit(40.0))).alias("x_length"),
-        F.log1p(200.0 * F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))).alias("x_symbols"),
-        F.log1p(10.0 * F.col("n_dup_lines") / F.sqrt(n.cast("double"))).alias("x_lines"),
-        F.log1p(10.0 * F.col("n_repeat_words") / n).alias("x_repeats"),
+        F.log(n.cast("double")).alias("x0"),
+        F.least(F.col("word_chars") / n, F.lit(40.0)).alias("x1"),
+        F.log1p(200.0 * F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))).alias("x2"),
+        F.log1p(10.0 * F.col("n_dup_lines") / F.sqrt(n.cast("double"))).alias("x3"),
+        F.log1p(10.0 * F.col("n_repeat_words") / n).alias("x4"),
     ]
 
 
-def _distance(p: int) -> Column:
-    """Squared Mahalanobis distance of (x0..) from (m0..) by the Cholesky factor (l00..)."""
-    x = [F.col(name) for name, _ in FEATURES]
-    ys: list[Column] = []
-    for i in range(p):
-        y = x[i] - F.col(f"m{i}")
+def _joined(rows: DataFrame, groups: DataFrame, keys: list[str], small: bool, salts: int = 64) -> DataFrame:
+    """rows with their group's figures, where a group may hold most of the rows.
+
+    ``groups`` is broadcast where it is known to be small; beyond that every group's row is repeated for
+    each of ``salts`` shares of its rows.
+    """
+    if small:
+        return rows.join(F.broadcast(groups), keys)
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
+
+
+def _factored(est: DataFrame) -> DataFrame:
+    """Adds the Cholesky factor l.. of the covariance c.. and the logarithm of its determinant."""
+    for i, j in PAIRS:
+        s = F.col(f"c{i}{j}")
+        for k in range(j):
+            s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(1e-12))) if i == j else s / F.col(f"l{j}{j}"))
+    return est.withColumn("log_det", 2.0 * sum((F.log(F.col(f"l{i}{i}")) for i in range(1, P)), F.log("l00")))
+
+
+def _with_distance(rows: DataFrame) -> DataFrame:
+    """Adds d2, the squared Mahalanobis distance of x.. from m.. by the factor l.. ."""
+    for i in range(P):
+        y = F.col(f"x{i}") - F.col(f"m{i}")
         for j in range(i):
             y = y - F.col(f"l{i}{j}") * F.col(f"y{j}")
-        ys.append((y / F.col(f"l{i}{i}")).alias(f"y{i}"))
-    return ys
-
-
-def _estimates(rows: DataFrame, scale: float) -> DataFrame:
-    """Mean and Cholesky factor of the scaled, floored covariance for each group ``g``."""
-    p = len(FEATURES)
-    names = [n for n, _ in FEATURES]
-    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    est = rows.groupBy("g").agg(
-        *[F.avg(n).alias(f"m{i}") for i, n in enumerate(names)],
-        *[F.avg(F.col(names[i]) * F.col(names[j])).alias(f"c{i}{j}") for i, j in pairs],
-    )
-    floor = {i: v for i, (_, v) in enumerate(FEATURES)}
-    est = est.select(
-        "g",
-        *[f"m{i}" for i in range(p)],
-        *[
-            (scale * (F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (floor[i] if i == j else 0.0)).alias(f"c{i}{j}")
-            for i, j in pairs
-        ],
+        rows = rows.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
+    d2 = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, P)), F.col("y0") * F.col("y0"))
+    return rows.withColumn("d2", d2).drop(*[f"y{i}" for i in range(P)])
+
+
+def _central(rows: DataFrame, values: list[Column], names: list[str], small: bool) -> DataFrame:
+    """Median of each value by group, to a 64th, from counts of bins."""
+    each = rows.select(*GROUP, F.posexplode(F.array(*[F.floor(v * 64).cast("long") for v in values])).alias("f", "bin"))
+    counts = each.groupBy(*GROUP, "f", "bin").agg(F.count(F.lit(1)).alias("n"))
+    of = W.partitionBy(*GROUP, "f")
+    below = counts.withColumn("up", F.sum("n").over(of.orderBy("bin"))).withColumn("all", F.sum("n").over(of))
+    half = below.where(2 * F.col("up") >= F.col("all"))
+    return half.groupBy(*GROUP).agg(*[(F.min(F.when(F.col("f") == i, F.col("bin"))) / 64.0 + 1 / 128).alias(name) for i, name in enumerate(names)])
+
+
+def _starts(rows: DataFrame, small: bool) -> DataFrame:
+    """Three first estimates (start, m.., c..) for each group."""
+    x, m = [F.col(f"x{i}") for i in range(P)], [f"m{i}" for i in range(P)]
+    mid = _central(rows, x, m, small)
+    off = _joined(rows, mid, GROUP, small)
+    spread = _central(off, [F.abs(v - F.col(c)) for v, c in zip(x, m, strict=True)], [f"s{i}" for i in range(P)], small)
+    centre = mid.join(spread, GROUP)
+    centre = centre.select(*GROUP, *m, *[F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + least).alias(f"s{i}") for i, (_, least) in enumerate(FEATURES)])
+    centre = checkpoint(centre)
+    z = _joined(rows, centre, GROUP, small).select(*GROUP, *[((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i in range(P)])
+    norm = F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, P)), F.col("z0") * F.col("z0"))), F.lit(1e-9))
+    shapes = {
+        "t": lambda i, j: F.covar_pop(F.tanh(f"z{i}"), F.tanh(f"z{j}")),
+        "u": lambda i, j: F.avg(F.col(f"z{i}") * F.col(f"z{j}") / (norm * norm)),
+    }
+    shaped = z.groupBy(*GROUP).agg(*[f(i, j).alias(f"{k}{i}{j}") for k, f in shapes.items() for i, j in PAIRS])
+    all_ = centre.join(shaped, GROUP)
+
+    def start(number: int, entry) -> Column:
+        c = [(entry(i, j) * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}{j}") for i, j in PAIRS]
+        return F.struct(F.lit(number).alias("start"), *m, *c)
+
+    each = F.array(
+        start(0, lambda i, j: F.lit(float(i == j))),
+        start(1, lambda i, j: F.col(f"t{i}{j}") + 0.05 * (i == j)),
+        start(2, lambda i, j: F.col(f"u{i}{j}") + 0.02 * (i == j)),
     )
-    for i in range(p):  # the factor, entry by entry
-        for j in range(i + 1):
-            s = F.col(f"c{i}{j}")
-            for k in range(j):
-                s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            entry = F.sqrt(F.greatest(s, F.lit(1e-9))) if i == j else s / F.col(f"l{j}{j}")
-            est = est.withColumn(f"l{i}{j}", entry)
-    return est.select("g", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i, j in pairs])
-
-
-def _with_distance(rows: DataFrame, est: DataFrame) -> DataFrame:
-    p = len(FEATURES)
-    keep = rows.columns
-    out = rows.join(est, "g")
-    for i, y in enumerate(_distance(p)):
-        out = out.withColumn(f"y{i}", y)
-    d2 = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, p)), F.col("y0") * F.col("y0"))
-    return out.select(*keep, d2.alias("d2"))
-
-
-def outlier_distance(stats: DataFrame, *, share: float = 0.75, steps: int = 3, min_rows: int = 200) -> DataFrame:
+    return all_.select(*GROUP, F.explode(each).alias("e")).select(*GROUP, "e.*")
+
+
+def _concentrated(rows: DataFrame, est: DataFrame, share: float, small: bool) -> DataFrame:
+    """The next estimates: of the rows under the group's quantile of distance, from sums over fine bins of distance."""
+    near = _with_distance(_joined(rows, est, GROUP, small)).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-3) * BINS).cast("int"))
+    by = [*GROUP, "start"]
+    sums = [*[F.sum(f"x{i}").alias(f"m{i}") for i in range(P)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}{j}") for i, j in PAIRS]]
+    bins = near.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.max("log_det").alias("before"), *sums)
+    of = W.partitionBy(*by)
+    below = bins.withColumn("under", F.sum("n").over(of.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(of))
+    kept = below.where(F.col("under") < share * F.col("all"))
+    names = ["n", *[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in PAIRS]]
+    total = kept.groupBy(*by).agg(*[F.sum(c).alias(c) for c in names], F.max("all").alias("all"), F.max("before").alias("before"))
+    mean = [F.col(f"m{i}") / F.col("n") for i in range(P)]
+    floor = {i: least for i, (_, least) in enumerate(FEATURES)}
+    cov = [(CONSISTENCY * (F.col(f"c{i}{j}") / F.col("n") - mean[i] * mean[j]) + (floor[i] if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
+    return total.select(*by, "all", "before", *[mean[i].alias(f"m{i}") for i in range(P)], *cov)
+
+
+def _kept(est: DataFrame, small: bool) -> DataFrame:
+    """The estimates with their factors, written; in one file where they are few."""
+    return checkpoint(_factored(est).coalesce(1) if small else _factored(est))
+
+
+def estimates(rows: DataFrame, small: bool, *, share: float = 0.75, steps: int = 20, settled: float = 1e-2, prior_rows: float = 200.0) -> DataFrame:
+    """(g0, g1, m.., c..): the estimate of each group of rows (key, g0, g1, x0..x4), drawn towards its language's.
+
+    Steps end when the determinants' logarithms fall by less than ``settled`` in every group, or after ``steps``.
+    ``small`` says that the groups are few enough to be broadcast.
+    """
+    levels = F.array(F.struct(F.lit(0).alias("level"), "g0", F.lit("").alias("g1")), F.struct(F.lit(1).alias("level"), "g0", "g1"))
+    leveled = rows.select("key", F.explode(levels).alias("g"), *[n for n, _ in FEATURES]).select("key", "g.*", *[n for n, _ in FEATURES])
+    est = _kept(_starts(leveled, small).withColumns({"all": F.lit(0).cast("long"), "before": F.lit(0.0)}), small)
+    for step in range(steps):
+        est = _kept(_concentrated(leveled, est, share, small), small)
+        fell = est.agg(F.max(F.col("before") - F.col("log_det"))).first()[0]
+        if fell is None or (fell < settled and step):
+            break
+    figures = [*[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in PAIRS]]
+    best = est.groupBy(*GROUP).agg(F.min_by(F.struct("all", *figures), F.struct("log_det", "start")).alias("e"))
+    own = best.where("level = 1").select("g0", "g1", "e")
+    whole = best.where("level = 0").select("g0", F.col("e").alias("w"))
+    weight = F.col("e.all") / (F.col("e.all") + prior_rows)
+    return own.join(whole, "g0").select("g0", "g1", *[(weight * F.col(f"e.{c}") + (1 - weight) * F.col(f"w.{c}")).alias(c) for c in figures])
+
+
+def outlier_distance(stats: DataFrame, *, max_broadcast_groups: int = 20_000, **options) -> DataFrame:
     """Adds d2, the squared robust distance of each row within its group.
 
-    ``stats`` has key, g0, g1 and the base statistics. A group is (g0, g1), or g0 where that has
-    fewer than ``min_rows`` rows. Quantiles come from counts of fine logarithmic bins, so no group is
-    gathered anywhere.
+    ``stats`` has key, g0, g1 and the base statistics. Medians and quantiles come from counts of fine bins and
+    covariances from sums over bins, so no group is gathered anywhere; groups' figures are broadcast up to
+    ``max_broadcast_groups`` groups and joined in salted shares beyond.
     """
-    sizes = stats.groupBy("g0", "g1").agg(F.count(F.lit(1)).alias("n"))
-    named = sizes.select(
-        F.col("g0").alias("h0"), F.col("g1").alias("h1"),
-        F.when(F.col("n") >= min_rows, F.concat_ws("\x01", "g0", "g1")).otherwise(F.col("g0")).alias("g"),
-    )
-    rows = stats.join(named, (F.col("g0") == F.col("h0")) & (F.col("g1") == F.col("h1"))).drop("h0", "h1")
-    rows = rows.select(*[c for c in rows.columns], *_features())
-    names = [n for n, _ in FEATURES]
-
-    def central(of: DataFrame, values: list[Column], q: float) -> DataFrame:
-        """The least bin under which a share q of the group's rows lie, for each value."""
-        each = of.select("g", F.posexplode(F.array(*values)).alias("f", "bin"))
-        counts = each.groupBy("g", "f", "bin").agg(F.count(F.lit(1)).alias("n"))
-        w = W.partitionBy("g", "f").orderBy("bin")
-        total = F.sum("n").over(W.partitionBy("g", "f"))
-        below = counts.withColumn("up", F.sum("n").over(w)).withColumn("all", total)
-        return below.where(F.col("up") >= q * F.col("all")).groupBy("g", "f").agg(F.min("bin").alias("bin"))
-
-    fine = [F.floor(F.col(n) * 64).cast("long") for n in names]
-    mid = central(rows, fine, 0.5).groupBy("g").pivot("f", list(range(len(names)))).agg(F.first("bin"))
-    mid = mid.select("g", *[((F.col(str(i)) + 0.5) / 64).alias(f"m{i}") for i in range(len(names))])
-    start = rows.join(mid, "g")
-    spread = [F.floor(F.abs(F.col(n) - F.col(f"m{i}")) * 64).cast("long") for i, n in enumerate(names)]
-    mad = central(start, spread, 0.5).groupBy("g").pivot("f", list(range(len(names)))).agg(F.first("bin"))
-    mad = mad.select(F.col("g").alias("h"), *[(1.4826 * (F.col(str(i)) + 0.5) / 64).alias(f"s{i}") for i in range(len(names))])
-    est = mid.join(mad, F.col("g") == F.col("h")).drop("h")
-    for i, (_, least) in enumerate(FEATURES):
-        for j in range(i + 1):
-            value = F.sqrt(F.col(f"s{i}") * F.col(f"s{i}") + least) if i == j else F.lit(0.0)
-            est = est.withColumn(f"l{i}{j}", value)
-    for _ in range(steps):
-        near = _with_distance(rows, est).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-3) * BINS).cast("long"))
-        cut = central(near, [F.col("bin")], share).select("g", F.col("bin").alias("cut"))
-        est = checkpoint(_estimates(near.join(cut, "g").where(F.col("bin") <= F.col("cut")), CONSISTENCY))
-    return _with_distance(rows, est)
+    rows = stats.select(*stats.columns, *_features())
+    small = rows.select("g0", "g1").distinct().count() <= max_broadcast_groups
+    est = _kept(estimates(rows, small, **options), small).drop("log_det")
+    return _with_distance(_joined(rows, est, ["g0", "g1"], small))
 
 
 def quality_rules(
@@ -196,21 +240,19 @@ def quality_rules(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     cutoff: float = 50.0,
-    share: float = 0.75,
-    steps: int = 3,
-    min_rows: int = 200,
+    **options,
 ) -> DataFrame:
     """Per document the base statistics, base_failed, d2 (null if base_failed) and kept.
 
     Null and empty texts have no words and fail the base rules; whole texts are measured; a null
     language or source is a group of its own; repeated rows and null ids are judged row by row; an empty
     table gives no rows; other columns are ignored. Only rows that pass the base rules shape the
-    estimates.
+    estimates; ``options`` are those of ``estimates``.
     """
     stats = checkpoint(statistics(docs, id_col, text_col, group_cols))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     cols = ["key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    judged = outlier_distance(stats.where(~failed), share=share, steps=steps, min_rows=min_rows)
+    judged = outlier_distance(stats.where(~failed), **options)
     good = judged.select(*cols, F.lit(False).alias("base_failed"), "d2", (F.col("d2") <= cutoff).alias("kept"))
     bad = stats.where(failed).select(*cols, F.lit(True).alias("base_failed"), F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
     return good.unionByName(bad).withColumnRenamed("key", id_col)
