@@ -2,7 +2,7 @@
 
 The n-grams of the benchmark's normalised words become a set of hashes. Every window of every
 document is hashed and looked up in that set, which is broadcast while it stays under a stated number
-of rows and joined by a shuffle beyond it; hits are then verified word by word.
+of bytes and joined by a shuffle beyond it; hits are then verified word by word.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of memory that a hash of a window takes in a broadcast table, with room to spare.
+HASH_BYTES = 64
 #: Fixed word pattern: ASCII letters and digits and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -47,15 +49,16 @@ def find_hits(
     item_text_col: str = "text",
     *,
     n: int = 10,
-    max_broadcast_windows: int = 2_000_000,
+    max_broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """One row per document, item and place: (key, item, at, length), ``at`` counting words from 1.
+    """One row per key, item and place: (key, item, at, length), ``at`` counting words from 1.
 
-    The lengths of the windows are at most ``n`` different numbers, so they are read to the driver.
+    ``id_col`` should tell texts apart. The lengths of the windows are at most ``n`` different numbers, so they
+    are read to the driver. Only hashes are broadcast, never words.
     """
     windows = item_windows(benchmark, item_col, item_text_col, n).withColumn("hash", F.xxhash64("gram"))
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())
-    small = windows.count() <= max_broadcast_windows
+    small = windows.count() * HASH_BYTES <= max_broadcast_bytes
     shape = "array<struct<length:int,hash:bigint>>"
     rows = docs.select(F.col(id_col).alias("key"), words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     at = rows.select("key", "words", F.posexplode("words").alias("at", "word")).withColumn("at", F.col("at") + 1)
@@ -76,7 +79,7 @@ def find_hits(
         found = at.select("key", "at", "length", "hash").join(hashes, ["hash", "length"])
         found = found.alias("f").join(rows.hint("merge").alias("r"), F.col("f.key").eqNullSafe(F.col("r.key"))).select("f.*", "r.words")
     found = found.select("key", "at", "length", "hash", F.slice("words", F.col("at"), F.col("length")).alias("found"))
-    hits = found.join(F.broadcast(grams) if small else grams, "hash").where(F.col("found") == F.col("gram"))
+    hits = found.join(grams, "hash").where(F.col("found") == F.col("gram"))
     return hits.select("key", "item", "at", "length")
 
 
@@ -103,29 +106,31 @@ def decontaminate(
     item_text_col: str = "text",
     *,
     n: int = 10,
-    max_broadcast_windows: int = 2_000_000,
+    max_broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """Per document: n_words, n_hit (words inside any occurring window), items (sorted ids as text),
-    spans (sorted (at, length)) and contaminated.
+    """Per row: id, text_hash, n_words, n_hit (words inside any occurring window), items (sorted ids as
+    text), spans (sorted (at, length)) and contaminated.
 
     A null or empty text has no words and no hits; items without words have no windows; an empty
-    benchmark contaminates nothing; documents of one id are taken as one (repeated rows with one id
-    count the words of each); a null id is a key like any other; an empty table gives no rows; other
-    columns are ignored. Texts are scanned whole.
+    benchmark contaminates nothing. Rows are told apart by id and a hash of the text, so rows that repeat an
+    id, or have none, are each judged by their own text. Repeated items, and items of one id, count once by
+    that id; an empty table gives no rows; other columns are ignored. Texts are scanned whole.
     """
-    hits = find_hits(docs, benchmark, id_col, text_col, item_col, item_text_col, n=n, max_broadcast_windows=max_broadcast_windows)
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text.cast("string")).alias("hash"), text.alias("text"))
+    keyed = rows.select(F.struct("id", "hash").alias("key"), "text")
+    hits = find_hits(keyed, benchmark, "key", "text", item_col, item_text_col, n=n, max_broadcast_bytes=max_broadcast_bytes)
     per = hits.groupBy("key").agg(
         F.sort_array(F.collect_set(F.struct("at", "length"))).alias("spans"),
         F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"),
     )
-    counted = docs.select(
-        F.col(id_col).alias("key"),
-        F.regexp_count(lowered(F.col(text_col)), F.lit(WORD)).cast("long").alias("n_words"),
-    ).groupBy("key").agg(F.sum("n_words").alias("n_words"))
-    both = counted.alias("d").join(per.alias("h"), F.col("d.key").eqNullSafe(F.col("h.key")), "left")
+    per = per.select(F.col("key.id").alias("of_id"), F.col("key.hash").alias("of_hash"), "spans", "items")
+    counted = rows.select("id", "hash", F.regexp_count(lowered(F.col("text")), F.lit(WORD)).cast("long").alias("n_words"))
+    both = counted.join(per, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")), "left")
     n_hit = F.coalesce(_covered(F.col("spans")), F.lit(0).cast("long"))
     return both.select(
-        F.col("d.key").alias(id_col),
+        F.col("id").alias(id_col),
+        F.col("hash").alias("text_hash"),
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -138,7 +143,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """The documents in which no window of the benchmark occurs, with all their columns.
 
     Every row is judged by its own text: rows are told apart by id and a hash of the text, so a row with a
-    null or repeated id stays if it is clean, whatever the others hold. Texts are scanned whole.
+    null or repeated id stays if it is clean, whatever the others hold. Null and empty texts stay; an empty table
+    gives no rows; names that begin with two underscores are reserved. Texts are scanned whole.
     """
     text = F.col(options.get("text_col", "text")).cast("string")
     keyed = docs.withColumn("__row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash")))
@@ -149,10 +155,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts without the words (and what stands between them) of the spans that ``decontaminate`` found.
 
-    The other columns are kept. Between kept words the text is unchanged.
+    Rows are matched by id and hash of the text, null ids too, so equal rows lose the same spans and others of that
+    id lose none. A text without spans, null or empty included, stays as it is; between kept words the text is
+    unchanged; other columns are kept; names that begin with two underscores are reserved.
     """
-    spans = found.where(F.size("spans") > 0).select(F.col(id_col).alias("__key"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("__key")), "left")
+    spans = found.where(F.size("spans") > 0).select(F.col(id_col).alias("__key"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    same = F.col(id_col).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
+    joined = docs.join(spans.dropDuplicates(["__key", "__hash"]), same, "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(ANY_CASE), F.lit(0))
     gaps = F.split(text, ANY_CASE)  # one more than there are words
@@ -161,4 +170,4 @@ def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text
         lambda x: ~F.exists("__spans", lambda s: (s["at"] <= x["i"] + 1) & (x["i"] + 1 < s["at"] + s["length"])),
     )
     cut = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(merged, lambda x: F.concat(x["w"], x["gap"])), ""))
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut)).drop("__key", "__spans")
+    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut)).drop("__key", "__hash", "__spans")

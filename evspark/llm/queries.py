@@ -100,24 +100,24 @@ WITH items AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(list_slice(w, i, i + 9), ' ') AS gram
   FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0
 ), docs AS (
-  SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents
 ), sizes AS (SELECT DISTINCT k FROM windows),
 places AS (
-  SELECT doc_id, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS gram
+  SELECT r, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS gram
   FROM docs, sizes, unnest(range(1, len(w) - k + 2)) AS t(i)
 ), hits AS (
-  SELECT doc_id, i, places.k, item_id FROM places JOIN windows ON places.k = windows.k AND places.gram = windows.gram
+  SELECT r, i, places.k, item_id FROM places JOIN windows ON places.k = windows.k AND places.gram = windows.gram
 ), words AS (
-  SELECT DISTINCT doc_id, i + j AS at FROM hits, unnest(range(0, k)) AS t(j)
-), n AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY doc_id),
+  SELECT DISTINCT r, i + j AS at FROM hits, unnest(range(0, k)) AS t(j)
+), n AS (SELECT r, count(*) AS n_hit FROM words GROUP BY r),
 found AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id
+  SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY r
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs d LEFT JOIN n USING (doc_id) LEFT JOIN found USING (doc_id)
+FROM docs d LEFT JOIN n USING (r) LEFT JOIN found USING (r)
 """
 
 
