@@ -2,13 +2,16 @@
 
 The first pass gives each block a label from its container, link density, length and stop-word
 density: good, bad, or ambiguous. The second lets ambiguous blocks inherit the label of the nearest
-decided neighbours within their part of the page.
+decided neighbours within their part of the page. Where no block comes out good, the two passes are made
+again without the tests that a page may fail as a whole: stop words (of four languages), and wrappers such
+as forms or classes if they hold most of the page's text outside links.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from evspark.llm.common import to_id
 
 #: Fixed lists: elements never shown or never part of an article, block elements, articles' containers.
-SILENT = "script style noscript template svg iframe object math canvas video audio select datalist".split()
+SILENT = "script style noscript template svg iframe select datalist".split()
 BOILERPLATE = "nav header footer aside form menu dialog button textarea label fieldset input".split()
 CONTAINERS = "html body main article section div header footer nav aside form menu dialog figure table ul ol dl fieldset td th tr blockquote details hgroup address center".split()
 BREAKS = set(CONTAINERS) | set("p h1 h2 h3 h4 h5 h6 li dt dd pre hr figcaption caption tbody thead tfoot summary title option legend".split())
@@ -38,9 +41,9 @@ STOP_WORDS = frozenset(
     "der die das und den von zu mit sich auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie "
     "el los las del y en un una que por con para no es se su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre".split()
 )
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.DOTALL
-)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.DOTALL)
+_LOOSE = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.DOTALL)  # where quotes are never closed
+_MODIFIER = re.compile(r"(?:has|with|without|no|is|not)[-_]", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 
@@ -49,60 +52,70 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidd
 class Block:
     text: str
     links: int  # code points inside links
-    around: bool  # inside boilerplate
+    around: int  # 2 inside boilerplate, 1 inside what may be boilerplate or a wrapper, else 0
     part: int  # number of the article it stands in, 0 outside
     heading: bool
     label: str = ""
 
 
+def _tags(page: str) -> Iterator[tuple[str, re.Match | None]]:
+    """(text, tag after it); each part of the page is scanned a bounded number of times."""
+    at, last, strict = 0, page.rfind(">"), True
+    begin = 0
+    while (start := page.find("<", at)) >= 0:
+        m = _TOKEN.match(page, start) if strict or page.startswith("<!", start) or page.startswith("<?", start) else _LOOSE.match(page, start)
+        if m is None and start < last and page[start + 1 : start + 2].isalpha() | page.startswith("</", start):
+            strict = False
+            m = _LOOSE.match(page, start)
+        if m is None:
+            if start > last and not page.startswith("<!--", start):
+                break  # no tag can end any more
+            at = start + 1
+            continue
+        yield page[begin:start], m
+        begin = at = m.end()
+        if m[1] and m[1].lower() in SILENT and page[start + 1] != "/" and not m[2].endswith("/"):
+            shut = re.compile(rf"</{m[1]}\b[^>]*>", re.IGNORECASE).search(page, at)
+            begin = at = shut.end() if shut else len(page)
+    yield page[begin:], None
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order; scripts, styles and comments are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # (element, around, part) of open containers
+    stack: list[tuple[str, int, int]] = []  # (element, around, part) of open containers
+    open_: Counter = Counter()
     text: list[str] = []
-    state = {"links": 0, "link": 0, "around": False, "heading": False}
-    parts = 0
+    links, link, around_block, heading, head, parts = 0, False, 0, False, False, 0
 
     def close() -> None:
+        nonlocal links, around_block, heading
         whole = " ".join(html.unescape("".join(text)).split())
         if whole:
-            around, part = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            out.append(Block(whole, state["links"], around or state["around"], part, state["heading"]))
+            around, part = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
+            out.append(Block(whole, links, max(around, around_block), part, heading))
         text.clear()
-        state.update(links=0, around=False, heading=False)
-
-    def say(piece: str) -> None:
-        text.append(piece)
-        if state["link"]:
-            state["links"] += len(piece.strip())
+        links, around_block, heading = 0, 0, False
 
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            say(page[at:])
-            break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        if m[1] is None:
+    for piece, m in _tags(page):
+        if piece and not head:
+            text.append(piece)
+            links += len(piece.strip()) if link else 0
+        if m is None or m[1] is None:
             continue
-        name, closing, attributes = m[1].lower(), page[m.start() + 1] == "/", m[2]
-        if name in SILENT and not closing:
-            if not attributes.endswith("/"):
-                shut = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = shut.end() if shut else end
+        name, closing, attributes = m[1].lower(), m[0][1] == "/", m[2]
+        if name == "head":
+            head = not closing
             continue
-        if name == "head" and not closing:
-            shut = re.compile(r"</head\s*>|<body\b", re.IGNORECASE).search(page, at)
-            if shut:
-                at = shut.start() if shut[0][1] != "/" else shut.end()
+        if head and (name in CONTAINERS or name in ("p", "h1", "h2")):
+            head = False  # never closed
+        if head or name in SILENT:
             continue
         if name == "br":
-            say(" ")
+            text.append(" ")
             continue
         if name == "a":
-            state["link"] = 0 if closing else 1
+            link = not closing
             continue
         if name in BREAKS:
             close()
@@ -110,29 +123,37 @@ def blocks_of(page: str) -> list[Block]:
             if name == "input":
                 continue
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        close()
-                        del stack[k:]
-                        break
+                if open_[name]:
+                    close()
+                    while stack:
+                        inner = stack.pop()[0]
+                        open_[inner] -= 1
+                        if inner == name:
+                            break
             elif not attributes.endswith("/"):
                 close()
-                around, part = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                around, part = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
                 if name in MAIN and not part:
                     parts += 1
                     part = parts
-                stack.append((name, around or name in BOILERPLATE or _around(name, attributes), part))
+                own = 1 if name == "form" else 2 * (name in BOILERPLATE)
+                stack.append((name, max(around, own, _around(name, attributes)), part))
+                open_[name] += 1
         elif name in BREAKS and not closing:
-            state["around"] = _around(name, attributes)
-            state["heading"] = len(name) == 2 and name[0] == "h" and name != "hr"
+            around_block = _around(name, attributes)
+            heading = len(name) == 2 and name[0] == "h" and name != "hr"
     close()
     return out
 
 
-def _around(name: str, attributes: str) -> bool:
+def _around(name: str, attributes: str) -> int:
+    """2 for hidden elements, 1 for those whose class, id or role names what surrounds an article."""
     if not attributes or name in ("body", "html", *MAIN):
-        return False
-    return any(AROUND.search(a or b or c) for a, b, c in _ATTRIBUTE.findall(attributes)) or bool(_HIDDEN.search(attributes))
+        return 0
+    if _HIDDEN.search(attributes):
+        return 2
+    names = (word for found in _ATTRIBUTE.findall(attributes) for value in found for word in value.split())
+    return int(any(AROUND.search(word) and not _MODIFIER.match(word) for word in names))
 
 
 def classify(
@@ -152,27 +173,52 @@ def classify(
             b.label = "near"
         else:
             b.label = "bad"
-    # what an article marks as its own is undecided at worst; it is good where no neighbour says otherwise
-    for part in sorted({b.part for b in blocks}):
-        own = [b for b in blocks if b.part == part and not b.around]
-        decided = [i for i, b in enumerate(own) if b.label in ("good", "bad")]
+    _inherit(blocks)
+    if blocks and not any(b.label == "good" for b in blocks):
+        plain = [max(0, len(b.text) - b.links) * (b.around < 2) for b in blocks]
+        wrapped = 2 * sum(n for b, n in zip(blocks, plain, strict=True) if b.around == 1) > sum(plain)
+        for b in blocks:
+            bad = b.around > wrapped or b.links > link_share * len(b.text)
+            b.label = "bad" if bad else "near" if len(b.text) >= low else "short"
+        if not any(b.label == "near" for b in blocks):  # a page of short paragraphs alone
+            for b in blocks:
+                b.label = "near" if b.label == "short" else b.label
+        _inherit(blocks)
+    return blocks
+
+
+def _inherit(blocks: list[Block]) -> None:
+    """Short and near blocks take the label of the nearest decided ones of their part of the page.
+
+    What an article marks as its own is undecided at worst; it is good where no neighbour says otherwise.
+    """
+    by_part: dict[int, list[Block]] = {}
+    for b in blocks:
+        if not b.around or b.label in ("near", "short"):
+            by_part.setdefault(b.part, []).append(b)
+    for part, own in by_part.items():
         labels = [b.label for b in own]
+        some = "near" in labels or "good" in labels
+        sides: list[list] = [[None] * len(own), [None] * len(own)]
+        for side, order in enumerate((range(len(own)), range(len(own) - 1, -1, -1))):
+            seen = None
+            for i in order:
+                sides[side][i] = seen
+                if labels[i] in ("good", "bad"):
+                    seen = i
         for i, b in enumerate(own):
-            if b.label in ("good", "bad"):
+            if labels[i] in ("good", "bad"):
                 continue
-            before = max((k for k in decided if k < i), default=None)
-            after = min((k for k in decided if k > i), default=None)
-            sides = {labels[k] for k in (before, after) if k is not None}
+            near = [k for k in (sides[0][i], sides[1][i]) if k is not None]
+            found = {labels[k] for k in near}
             if part:
-                b.label = "bad" if sides == {"bad"} and b.label == "short" and not b.heading and "near" not in labels and "good" not in labels else "good"
-            elif len(sides) == 1:
-                b.label = sides.pop()
-            elif sides:
-                near = min((k for k in (before, after) if k is not None), key=lambda k: abs(k - i))
-                b.label = "good" if b.label == "near" else labels[near]
+                b.label = "bad" if found == {"bad"} and labels[i] == "short" and not b.heading and not some else "good"
+            elif len(found) == 1:
+                b.label = found.pop()
+            elif found:
+                b.label = "good" if labels[i] == "near" else labels[min(near, key=lambda k: abs(k - i))]
             else:
-                b.label = "good" if b.label == "near" else "bad"
-    return blocks
+                b.label = "good" if labels[i] == "near" else "bad"
 
 
 def main_text(page: str | None, **options) -> str:
