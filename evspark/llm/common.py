@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bit set on the last id of a chunk that closes a sentence or a line.
 SENTENCE_END = np.uint32(1 << 31)
@@ -37,20 +39,49 @@ def checkpoint(df: DataFrame) -> DataFrame:
     A folder of our own is used only under a local master whose session names none, as in tests; elsewhere
     that is an error, as executors would not see each other's files.
     """
-    sc = df.sparkSession.sparkContext
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def checkpoint_dir(spark: SparkSession) -> None:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most ``rows`` whole texts at once in a Python worker, for operators that hold several copies of them."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def written(df: DataFrame) -> DataFrame:
+    """Like ``checkpoint``, but as a Parquet table in that folder, which is much smaller for tables of numbers."""
+    checkpoint_dir(df.sparkSession)
+    place = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def with_columns(rows: DataFrame, work, columns: str, step: int = 256) -> DataFrame:
+    """rows with the columns of the schema ``columns``, from work(record batch) -> their arrays by name.
+
+    ``work`` sees ``step`` rows at a time; other columns pass unchanged, columns of these names are replaced.
+    """
+    new = StructType.fromDDL(columns)
+    schema = StructType([f for f in rows.schema.fields if f.name not in new.names] + new.fields)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                found = work(part)
+                yield pa.RecordBatch.from_arrays([found[n] if n in found else column(part, n) for n in schema.names], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def column(batch, name: str):
+    return batch.column(batch.schema.get_field_index(name))
 
 
 def ascii_lower(text: str) -> str:

@@ -9,14 +9,13 @@ after any further edit come from the kept sums alone.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.common import ChunkTokens, checkpoint, chunk_tokens, default_tokenizer, split_chunks
+from evspark.llm.common import ChunkTokens, checkpoint, chunk_tokens, column, default_tokenizer, split_chunks, with_columns
 
 #: Fixed patterns of personal data, what replaces them, and characters of which every match has one.
 REDACTIONS = (
@@ -133,25 +132,6 @@ def redactions(text: Column, rules=REDACTIONS) -> Column:
     return found(text.cast("string"))
 
 
-def _mapped(rows: DataFrame, work, tree_columns: str) -> DataFrame:
-    """rows with more columns, by work(frame) -> frame of these for slices of rows; the others pass unchanged."""
-    kept = [f for f in rows.schema.fields if f.name not in {c.split()[0] for c in tree_columns.split(", ")}]
-    names = [f.name for f in kept] + [c.split()[0] for c in tree_columns.split(", ")]
-
-    def run(batches) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                found = work(part)
-                columns = [found[n] if n in found else part.column(part.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], *["`{}` {}".format(*c.split(" ", 1)) for c in tree_columns.split(", ")]])
-    return rows.mapInArrow(run, schema)
-
-
 def count_trees(docs: DataFrame, text_col: str = "text", *, tokenizer: str | None = None, leaf: int = 16) -> DataFrame:
     """The rows with the kept tree of their text: n_chunks, leaf_chars and sums.
 
@@ -165,7 +145,7 @@ def count_trees(docs: DataFrame, text_col: str = "text", *, tokenizer: str | Non
         import pyarrow as pa
 
         cache = chunk_tokens(path)
-        split = [split_chunks(t or "") for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
+        split = [split_chunks(t or "") for t in column(part, text_col).to_pylist()]
         ids = cache.lookup([c for chunks in split for c in chunks])
         trees = [CountTree.of_chunks(c, np.fromiter([len(ids[x]) for x in c], np.int64, len(c)) // 4, leaf) for c in split]
         return {
@@ -174,7 +154,7 @@ def count_trees(docs: DataFrame, text_col: str = "text", *, tokenizer: str | Non
             "sums": pa.array([t.sums.astype(np.int32) for t in trees], pa.list_(pa.int32())),
         }
 
-    return _mapped(docs, work, TREE)
+    return with_columns(docs, work, TREE)
 
 
 def apply_edits(trees: DataFrame, edits_col: str = "edits", text_col: str = "text", *, tokenizer: str | None = None) -> DataFrame:
@@ -191,9 +171,8 @@ def apply_edits(trees: DataFrame, edits_col: str = "edits", text_col: str = "tex
         import pyarrow as pa
 
         cache = chunk_tokens(path)
-        get = lambda n: part.column(part.schema.get_field_index(n))
-        texts, edits = get(text_col), get(edits_col).to_pylist()
-        chars, sums, again = get("leaf_chars"), get("sums"), np.zeros(len(edits), np.int64)
+        texts, edits = column(part, text_col), column(part, edits_col).to_pylist()
+        chars, sums, again = column(part, "leaf_chars"), column(part, "sums"), np.zeros(len(edits), np.int64)
         changed = [i for i, e in enumerate(edits) if e]
         if changed:
             texts, chars, sums = texts.to_pylist(), chars.to_pylist(), sums.to_pylist()
@@ -204,7 +183,7 @@ def apply_edits(trees: DataFrame, edits_col: str = "edits", text_col: str = "tex
             texts, chars, sums = pa.array(texts, pa.string()), pa.array(chars, pa.list_(pa.int32())), pa.array(sums, pa.list_(pa.int32()))
         return {text_col: texts, "leaf_chars": chars, "sums": sums, "n_reencoded": pa.array(again)}
 
-    return _mapped(trees, work, "n_reencoded long")
+    return with_columns(trees, work, "n_reencoded long")
 
 
 def edit_counts(

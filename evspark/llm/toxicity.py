@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.common import id_and_text, to_id
+from evspark.llm.common import id_and_text, to_id, written
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Fixed list of names of groups that are swapped for one another.
@@ -48,56 +48,40 @@ class Classifier:
         return float(1.0 / (1.0 + np.exp(-np.clip(logit + self.bias, -40, 40))))
 
 
-def _surprise(hits: int, n: int, rate: float) -> float:
-    """Log-likelihood ratio of hits among n against the given rate."""
-    p = hits / n
-    return n * sum(x * np.log(x / y) for x, y in ((p, rate), (1 - p, 1 - rate)) if x > 0)
+def all_features(words: set[str]) -> set[str]:
+    return {f for w in words for f in features_of(w)}
 
 
-def _matrix(texts: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def swapped(words: set[str], terms=IDENTITY_TERMS) -> list[set[str]]:
+    """The words with each name of a group changed for another one, in two ways; none where no group is named."""
+    place = {t: i for i, t in enumerate(terms)}
+    named = sorted(words & place.keys())
+    if not named:
+        return []
+    return [(words - set(named)) | {terms[(place[t] + step) % len(terms)] for t in named} for step in (1, len(terms) // 2)]
+
+
+def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the set features."""
-    rows, cols = [], []
-    for i, words in enumerate(texts):
-        found = {index[f] for w in words for f in features_of(w) if f in index}
-        rows += [i] * len(found)
-        cols += found
-    return np.array(rows, np.int64), np.array(cols, np.int64)
+    size = np.array([len(f) for f in found], np.int64)
+    return np.repeat(np.arange(len(found)), size), np.array([c for f in found for c in f], np.int64)
 
 
 def fit(
-    texts: list[str], labels: list[int], *, terms=IDENTITY_TERMS, least_df: int = 6, evidence: float = -2.0, l1: float = 2e-5, swap_penalty: float = 1.0, rounds: int = 400
+    names: list[str], rows: list[list[int]], labels: list[int], swaps: list[list[int]], origin: list[int], *,
+    l1: float = 2e-5, swap_penalty: float = 1.0, rounds: int = 400,
 ) -> Classifier:
     """Proximal gradient steps with momentum on logistic loss, swap penalty and L1.
 
-    Only features enter whose split between the labels is beyond chance, given how many there are: their log-likelihood
-    ratio exceeds the logarithm of the number of features by ``evidence``.
-    """
-    sets = [words_of(t) for t in texts]
+    ``rows`` and ``swaps`` hold numbers of features; ``origin`` tells the row that each swap comes from.
+    """
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         rate = y.mean() if len(y) else 0.0
         return Classifier({}, float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
-    df: Counter = Counter()
-    hit: Counter = Counter()
-    for words, label in zip(sets, labels, strict=True):
-        found = {f for w in words for f in features_of(w)}
-        df.update(found)
-        if label:
-            hit.update(found)
-    rate = y.mean()
-    names = sorted(f for f, n in df.items() if n >= least_df and _surprise(hit[f], n, rate) >= np.log(len(df)) + evidence)
-    index = {f: i for i, f in enumerate(names)}
-    swaps, origin = [], []
-    place = {t: i for i, t in enumerate(terms)}
-    for i, words in enumerate(sets):
-        if named := sorted(words & place.keys()):
-            for step in (1, len(terms) // 2):
-                swaps.append((words - set(named)) | {terms[(place[t] + step) % len(terms)] for t in named})
-                origin.append(i)
-    r, c = _matrix(sets, index)
-    rs, cs = _matrix(swaps, index)
+    (r, c), (rs, cs) = _flat(rows), _flat(swaps)
     origin = np.array(origin, np.int64)
-    n, m = len(sets), len(names)
+    n, m = len(rows), len(names)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))  # both labels count alike
     w, b = np.zeros(m), 0.0
     v, vb, t = w.copy(), b, 1.0
@@ -124,13 +108,59 @@ def fit(
     return Classifier({names[i]: float(w[i]) for i in keep}, float(b))
 
 
-def train(labelled: DataFrame, *, sample: int = 12_000, **options) -> Classifier:
-    """Fit on about ``sample`` rows (key, text, label), chosen by a hash of the key; all if there are fewer."""
+def train(labelled: DataFrame, *, sample: int = 12_000, least_df: int = 6, evidence: float = -2.0, terms=IDENTITY_TERMS, **options) -> Classifier:
+    """Fit on about ``sample`` rows (key, text, label), chosen by a hash of the key; all if there are fewer.
+
+    Only features enter whose split between the labels is beyond chance, given how many there are: their
+    log-likelihood ratio exceeds the logarithm of the number of features by ``evidence``. Features are counted
+    and rows turned into numbers of features by tasks; texts never reach the driver. Rows without a label
+    are left out; null texts have no features; without rows, or with one label alone, the score is constant.
+    """
+    spark = labelled.sparkSession
     labelled = labelled.where(F.col("label").isNotNull())
     total = labelled.count()
     unit = F.pmod(F.xxhash64("key"), F.lit(1 << 20))
-    rows = labelled.where(unit < (1 << 20) * min(1.0, sample / max(total, 1))).select("key", "text", "label").orderBy("key").toPandas()
-    return fit([t or "" for t in rows["text"]], [int(x) for x in rows["label"]], **options)
+    rows = labelled.where(unit < (1 << 20) * min(1.0, sample / max(total, 1)))
+    rows = rows.select(F.col("key").cast("string").alias("key"), F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df: Counter = Counter()
+        hit: Counter = Counter()
+        for pdf in batches:
+            for text, label in zip(pdf["text"], pdf["label"], strict=True):
+                found = all_features(words_of(text))
+                df.update(found)
+                if label:
+                    hit.update(found)
+        yield pd.DataFrame({"name": list(df), "n": list(df.values()), "hits": [hit[f] for f in df]}).astype({"name": object, "n": "int64", "hits": "int64"})
+
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("label") != 0, 1).otherwise(0)).alias("hits")).first()
+    rate = (sizes["hits"] or 0) / max(sizes["n"], 1)
+    names: list[str] = []
+    if 0 < rate < 1:
+        counted = written(rows.mapInPandas(count, "name string, n long, hits long").groupBy("name").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")))
+        least = np.log(counted.count()) + evidence
+        p, q = F.col("hits") / F.col("n"), 1 - F.col("hits") / F.col("n")
+        part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+        beyond = F.col("n") * (part(p, F.lit(rate)) + part(q, F.lit(1 - rate))) >= float(least)
+        names = sorted(r["name"] for r in counted.where((F.col("n") >= least_df) & beyond).select("name").collect())
+    index = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = index.value
+        ids = lambda words: sorted(known[f] for f in all_features(words) if f in known)
+        for pdf in batches:
+            sets = [words_of(t) for t in pdf["text"]]
+            swaps = [[ids(x) for x in swapped(s, terms)] for s in sets]
+            yield pd.DataFrame({"key": pdf["key"], "label": pdf["label"], "own": [ids(s) for s in sets], "swaps": swaps})
+
+    got = rows.mapInPandas(numbered, "key string, label int, own array<int>, swaps array<array<int>>").toPandas()
+    each = sorted(
+        (key or "", label, list(map(int, own)), [list(map(int, x)) for x in swaps])
+        for key, label, own, swaps in zip(got["key"], got["label"].tolist(), got["own"], got["swaps"], strict=True)
+    )
+    changed = [(i, x) for i, (_, _, _, swaps) in enumerate(each) for x in swaps]
+    return fit(names, [own for _, _, own, _ in each], [label for _, label, _, _ in each], [x for _, x in changed], [i for i, _ in changed], **options)
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", *, limit: int = 200_000) -> DataFrame:

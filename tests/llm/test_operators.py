@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evspark.llm import decontaminate, html_main, jaccard, langid, packing, quality, suffix_dedup, token_edits, toxicity
+from evspark.llm import decontaminate, html_main, jaccard, langid, packing, quality, queries, suffix_dedup, token_edits, toxicity
 from evspark.llm.common import ID_MASK, ChunkTokens, default_tokenizer, split_chunks
 from evspark.llm.components import components
 
@@ -118,7 +118,7 @@ def test_decontamination(spark, docs, none):
                     if words[k : k + len(gram)] == gram:
                         hit |= set(range(k, k + len(gram)))
                         found.add(str(item))
-        r = got[i, len(words) * (2 if i == 4 else 1)]
+        r = got[i, len(words)]
         assert (r.n_hit, r["items"], r.contaminated) == (len(hit), sorted(found), bool(hit)), i
     clean = {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()}
     assert clean == {i for (i, _), r in got.items() if not r.contaminated}
@@ -126,8 +126,28 @@ def test_decontamination(spark, docs, none):
     assert len(WORD.findall(lowered(cut))) == got[10, len(WORD.findall(lowered(TEXTS[10])))].n_words - got[10, len(WORD.findall(lowered(TEXTS[10])))].n_hit
     assert decontaminate.decontaminate(none, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
-    shuffled = decontaminate.decontaminate(docs, bench, max_broadcast_windows=0)
-    assert sorted(map(str, shuffled.collect())) == sorted(map(str, got.values()))
+    shuffled = decontaminate.decontaminate(docs, bench, max_broadcast_bytes=0)
+    assert {(r.doc_id, r.n_words): r for r in shuffled.collect()} == got
+
+
+def test_decontamination_of_rows_with_null_and_repeated_ids_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    hit, clean = prose(30, 31) + PASSAGE, prose(60, 32)
+    rows = [(None, hit), (None, clean), (None, None), (7, hit), (7, clean), (7, clean), (8, "ab ab"), (9, "x AB ab y"), (9, hit + " " + hit)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, PASSAGE), (2, "ab AB"), (None, None), (11, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.op2_decontamination(spark, str(tmp_path))
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = db.execute(queries.OP2_SQL).fetchall()
+    assert Counter(map(tuple, got.collect())) == Counter(want) and got.count() == len(rows)
+    docs, bench = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark"))
+    kept = Counter(map(tuple, decontaminate.drop_contaminated(docs, bench).collect()))
+    assert kept == Counter([(None, clean), (None, None), (7, clean), (7, clean)])
+    cut = decontaminate.remove_spans(docs, decontaminate.decontaminate(docs, bench))
+    assert cut.count() == len(rows) and cut.where("doc_id = 7").where(F.col("text") == clean).count() == 2
 
 
 def test_quality(spark, docs, none):
@@ -200,13 +220,16 @@ def test_suffix_dedup(docs, none):
     got = sorted((big if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
     assert got == sorted(spans_by_force(rows, 50))
     assert suffix_dedup.deduplicate(none).count() == 0
+    split = suffix_dedup.deduplicate(docs, hot_rows=2, piece=1000).select("doc_id", "removal.*").collect()
+    assert sorted((big if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in split) == got
 
 
 @pytest.mark.parametrize("seed", range(4))
 def test_suffix_dedup_of_short_alphabets(spark, seed):
     r = random.Random(seed)
     rows = [(i, "".join(r.choice("ab") if r.random() < 0.3 else "a" for _ in range(r.randint(0, 200)))) for i in range(40)]
-    found = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), span=12, gram=4)
+    options = {"hot_rows": 1, "piece": 20} if seed % 2 else {}
+    found = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), span=12, gram=4, **options)
     got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in found.select("doc_id", "removal.*").collect())
     assert got == sorted(spans_by_force(rows, 12))
 
@@ -309,8 +332,9 @@ def test_toxicity(spark, none):
         r.shuffle(words)
         texts.append(" ".join(words))
         labels.append(int(bad))
-    plain = toxicity.fit(texts, labels, swap_penalty=0.0)
-    fair = toxicity.fit(texts, labels, swap_penalty=20.0)
+    labelled = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, labels, strict=True))], "key long, text string, label int").repartition(3)
+    plain = toxicity.train(labelled, swap_penalty=0.0)
+    fair = toxicity.train(labelled, swap_penalty=20.0)
     assert fair.weights.get("=idiot", 0) > 0.5
     assert abs(fair.weights.get("=muslim", 0)) <= abs(plain.weights.get("=muslim", 0))
     rows = [(None, None), (1, ""), (2, "You idiot."), (3, prose(9000, 3)), (3, "IDIOT")]
@@ -318,6 +342,21 @@ def test_toxicity(spark, none):
     got = toxicity.score(docs, spark.sparkContext.broadcast(fair)).collect()
     assert got[2].score > 0.5 and got[4].score > 0.5 and got[0].score < 0.5 and all(0 <= x.score <= 1 for x in got)
     assert toxicity.score(none, spark.sparkContext.broadcast(fair)).count() == 0
-    labelled = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, labels, strict=True))], "key long, text string, label int")
-    assert toxicity.train(labelled, sample=10_000).weights.get("=idiot", 0) > 0
     assert 0 <= toxicity.train(labelled.limit(0)).score(0.0) <= 1
+    # the objective at the result is no larger than near it
+    sets = [toxicity.words_of(t) for t in texts]
+    swaps = [(i, x) for i, s in enumerate(sets) for x in toxicity.swapped(s)]
+
+    def loss(weights, bias):
+        score = lambda s: 1 / (1 + np.exp(-sum(weights.get(f, 0.0) for f in sorted(toxicity.all_features(s))) - bias))
+        p, y = np.array([score(s) for s in sets]), np.array(labels)
+        weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+        fair_part = np.mean([(score(x) - p[i]) ** 2 for i, x in swaps]) if swaps else 0.0
+        return -(weight * np.log(np.where(y > 0, p, 1 - p))).sum() + 20.0 * fair_part + 2e-5 * sum(map(abs, weights.values()))
+
+    best = toxicity.train(labelled, swap_penalty=20.0, rounds=4000)
+    least = loss(best.weights, best.bias)
+    for f in sorted(best.weights)[:6]:
+        for step in (-0.05, 0.05):
+            assert loss(best.weights | {f: best.weights[f] + step}, best.bias) >= least - 1e-6
+    assert loss(best.weights, best.bias + 0.05) >= least - 1e-6 and loss(best.weights, best.bias - 0.05) >= least - 1e-6
