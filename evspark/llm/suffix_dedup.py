@@ -3,22 +3,26 @@
 Every string of ``span`` bytes has an anchor, the place within it whose ``gram`` bytes hash least, so equal
 strings have equal anchors. The strings of a document fall into segments of one anchor each. Only
 anchors that more than one document has are looked at further: whole segments that are equal settle
-each other by hash; the others are fetched from the texts, and around each anchor their suffixes are
+each other by hash (40 bits of the anchor's, 40 of the segment's, its length and the anchor's place in it; these
+bytes are not compared); the others are fetched from the texts, and around each anchor their suffixes are
 sorted by mergesort. Two suffixes are compared by the longest common extension, which binary search finds
-on prefix polynomial hashes; strings that come out equal are verified byte by byte.
+on prefix polynomial hashes; strings that come out equal are verified byte by byte. Segments of an anchor
+that very many segments have are cut into their single strings, which go on by hashes of their own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.common import checkpoint, small_batches
+from evspark.llm.common import column, with_columns, written
 from evspark.llm.jaccard import mix
 
 #: Odd base of the polynomial hashes, its inverse modulo 2**64, and the id that stands for null.
@@ -85,7 +89,7 @@ def _pack(rows: np.ndarray) -> bytes:
     high = [_planes(rows[c])[3:].tobytes() for c in ("a", "g")]  # 40 bits
     steps = _planes(step.astype("<i8" if wide else "<i4")).tobytes()
     rest = [_planes(rows[c]).tobytes() for c in ("row", "start", "count", "left")]
-    return b"".join([head.tobytes(), *high, steps, *rest])
+    return b"".join([head.tobytes(), *high, zstd.compress(steps + b"".join(rest), 1)])
 
 
 def _planes(column: np.ndarray) -> np.ndarray:
@@ -94,8 +98,9 @@ def _planes(column: np.ndarray) -> np.ndarray:
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    n, wide, first = np.frombuffer(blob, "<i8", 3)
-    out, at = np.zeros(n, _ROW), 24
+    n, wide, first = np.frombuffer(blob, "<i8", 3).tolist()
+    out, at = np.zeros(n, _ROW), 0
+    blob = blob[24 : 24 + 10 * n] + zstd.decompress(blob[24 + 10 * n :])
     for name, kind, low in (("a", "<u8", 3), ("g", "<u8", 3), ("doc", "<i8" if wide else "<i4", 0), ("row", "<i8", 0), ("start", "<i4", 0), ("count", "u1", 0), ("left", "u1", 0)):
         size = np.dtype(kind).itemsize
         planes = np.zeros((size, n), np.uint8)
@@ -149,11 +154,11 @@ def _spans(rows: np.ndarray, span: int, left: np.ndarray, anchor: np.ndarray) ->
 
 
 def _mark(left: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    """The anchor's kept bits and, in the low ones it has free, left; -1 for settled ranges."""
+    """The anchor's kept bits and, in the low ones it has free, left, and 128 for a hot anchor; -1 for settled ranges."""
     return np.where(left < 0, -1, anchor.view(np.int64) | left)
 
 
-def _anchored(docs: DataFrame, span: int, gram: int, buckets: int) -> DataFrame:
+def _anchored(docs: DataFrame, span: int, gram: int, buckets: int, piece: int) -> DataFrame:
     """(bucket, blob) of segments, and with bucket -1 spans that are settled within a batch."""
 
     shift = np.uint64(64 - (buckets - 1).bit_length())
@@ -174,19 +179,19 @@ def _anchored(docs: DataFrame, span: int, gram: int, buckets: int) -> DataFrame:
         found, held = [], 0
         for pdf in batches:
             for doc, row, text in zip(pdf["doc"].to_numpy(), pdf["row"].to_numpy(), pdf["text"], strict=True):
-                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                a, place, first, count = segments(data, span, gram)
-                if not len(a):
-                    continue
-                rows = np.zeros(len(a), _ROW)
-                rows["a"], rows["doc"], rows["row"] = a & KEPT, doc, row
-                rows["start"], rows["count"], rows["left"] = first, count, place - first
-                rows["g"] = mix(Prefixes(data).of(first, first + count + span - 1)) & KEPT
-                found.append(rows)
-                held += len(a)
-                if held >= 400_000:
-                    yield packed(found)
-                    found, held = [], 0
+                whole = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                for lo in range(0, len(whole) - span + 1, piece):
+                    data = whole[lo : lo + piece + span - 1]
+                    a, place, first, count = segments(data, span, gram)
+                    rows = np.zeros(len(a), _ROW)
+                    rows["a"], rows["doc"], rows["row"] = a & KEPT, doc, row
+                    rows["start"], rows["count"], rows["left"] = first + lo, count, place - first
+                    rows["g"] = mix(Prefixes(data).of(first, first + count + span - 1)) & KEPT
+                    found.append(rows)
+                    held += len(a)
+                    if held >= 400_000:
+                        yield packed(found)
+                        found, held = [], 0
         if found:
             yield packed(found)
 
@@ -212,7 +217,7 @@ def _by_bucket(rows: DataFrame, work, schema: str, parts: int) -> DataFrame:
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(run, schema)
 
 
-def _shared(span: int):
+def _shared(span: int, hot_rows: int):
     """Blobs of a bucket -> (doc, open rows) for anchors of several documents, and settled spans."""
 
     def work(blobs: list[bytes]) -> Iterator[pd.DataFrame]:
@@ -223,10 +228,12 @@ def _shared(span: int):
         run = np.cumsum(new) - 1
         low = np.minimum.reduceat(open_["doc"], np.flatnonzero(new))[run]
         high = np.maximum.reduceat(open_["doc"], np.flatnonzero(new))[run]
-        rows = open_[low < high]
+        some = low < high
+        hot = np.where(np.bincount(run)[run] > hot_rows, 128, 0)[some]
+        rows = open_[some]
         settled = np.full(len(done), -1)
         yield _spans(done, span, settled, done["a"].copy())
-        yield _spans(rows, span, rows["left"].astype(np.int64), rows["a"].copy())
+        yield _spans(rows, span, rows["left"] | hot, rows["a"].copy())
 
     return work
 
@@ -345,43 +352,96 @@ def repeated_windows(
 _OPEN = np.dtype([("a", "<i8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4"), ("count", "<i4"), ("left", "<i4")])
 
 
+_RANGE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("place", "<i8"), ("content", "<i8")])
+
+
+def _single(table: np.ndarray, base: np.ndarray, data: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(strings, their places in data, ranges): segments of hot anchors as single strings with anchors of their own.
+
+    Strings that stand in a smaller document among these, byte by byte, are ranges already; of equal ones
+    that of the least document stays.
+    """
+    n = table["count"].astype(np.int64)
+    seg = np.repeat(np.arange(len(table)), n)
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = base[seg] + step
+    p = Prefixes(data)
+    h = mix(p.of(at, at + span)) & KEPT
+    by = np.lexsort((table["doc"][seg], h))
+    seg, step, at, h = seg[by], step[by], at[by], h[by]
+    doc = table["doc"][seg]
+    lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))[np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1]
+    later = doc > doc[lead]
+    reach = np.arange(span)
+    for lo in range(0, len(at), 20_000):  # hashes may collide: then both go on
+        x, y = at[lo : lo + 20_000, None] + reach, at[lead[lo : lo + 20_000], None] + reach
+        later[lo : lo + 20_000] &= (data[x] == data[y]).all(1)
+    out = np.zeros(len(at), _OPEN)
+    out["a"], out["doc"], out["row"] = h.view(np.int64), doc, table["row"][seg]
+    out["start"], out["count"] = table["start"][seg] + step, 1
+    done = out[later]
+    ranges = np.zeros(len(done), _RANGE)
+    ranges["doc"], ranges["row"], ranges["place"] = done["doc"], done["row"], _ranges(done["start"], done["start"] + np.int64(span))
+    ranges["content"] = _content(p, at[later], at[later] + span).view(np.int64)
+    return out[~later], at[~later], ranges
+
+
 def _fetched(joined: DataFrame, text_col: str, span: int, buckets: int) -> DataFrame:
-    """(bucket, blob) of open segments with their bytes."""
+    """(bucket, blob) of open segments with their bytes; and with buckets below 0 ranges that are settled here."""
+    shift = np.uint64(64 - (buckets - 1).bit_length())
+
+    def dealt(table: np.ndarray, at: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        bucket = (table["a"].view(np.uint64) >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(table), np.int64)
+        by = np.argsort(bucket, kind="stable")
+        table, bucket, at = table[by], bucket[by], at[by]
+        size = table["count"].astype(np.int64) - 1 + span
+        edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            n = size[x:y]
+            own = data[np.repeat(at[x:y] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            yield int(bucket[x]), b"o" + np.array([y - x], "<i8").tobytes() + zstd.compress(table[x:y].tobytes() + own.tobytes(), 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows, bytes_ = [], []
-            for doc, row, text, open_ in zip(pdf["__doc"], pdf["__row"], pdf[text_col], pdf["__open"], strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                held = _held(data, [x["place"] for x in open_], [x["content"] for x in open_])
-                for x, ok in zip(open_, held.tolist(), strict=True):
-                    if ok:  # else it is a range of another row with this id
-                        start, end = x["place"] >> 32, x["place"] & 0xFFFFFFFF
-                        rows.append((x["mark"] & ~0xFF, doc, row, start, end - start - span + 1, x["mark"] & 0xFF))
-                        bytes_.append(data[start:end])
-            if not rows:
-                continue
-            table = np.array(rows, _OPEN)
-            shift = np.uint64(64 - (buckets - 1).bit_length())
-            bucket = (table["a"].view(np.uint64) >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(table), np.int64)
-            by = np.argsort(bucket, kind="stable")
-            table, bucket = table[by], bucket[by]
-            edge = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
-            out = []
-            for x, y in zip(edge[:-1], edge[1:], strict=True):
-                out.append((int(bucket[x]), np.array([y - x], "<i8").tobytes() + table[x:y].tobytes() + b"".join([bytes_[k] for k in by[x:y]])))
-            yield pd.DataFrame(out, columns=["bucket", "blob"])
+            for lo in range(0, len(pdf), 1000):
+                rows, hot, bytes_ = [], [], []
+                part = pdf.iloc[lo : lo + 1000]
+                for doc, row, text, open_ in zip(part["__doc"], part["__row"], part[text_col], part["__open"], strict=True):
+                    data = (text or "").encode("utf-8", "surrogatepass")
+                    held = _held(data, [x["place"] for x in open_], [x["content"] for x in open_])
+                    for x, ok in zip(open_, held.tolist(), strict=True):
+                        if ok:  # else it is a range of another row with this id
+                            start, end = x["place"] >> 32, x["place"] & 0xFFFFFFFF
+                            rows.append((x["mark"] & ~0xFF, doc, row, start, end - start - span + 1, x["mark"] & 0x7F))
+                            hot.append(bool(x["mark"] & 0x80))
+                            bytes_.append(data[start:end])
+                if not rows:
+                    continue
+                table, hot, data = np.array(rows, _OPEN), np.array(hot), np.frombuffer(b"".join(bytes_), np.uint8)
+                size = table["count"].astype(np.int64) - 1 + span
+                base = np.cumsum(size) - size
+                out = list(dealt(table[~hot], base[~hot], data))
+                if hot.any():
+                    single, at, ranges = _single(table[hot], base[hot], data, span)
+                    out += dealt(single, at, data)
+                    out.append((-1 - zlib.crc32(ranges.tobytes()) % 997, b"d" + ranges.tobytes()))
+                yield pd.DataFrame(out, columns=["bucket", "blob"])
 
     return joined.mapInPandas(run, PACKED)
 
 
 def _compared(span: int, gram: int):
     def work(blobs: list[bytes]) -> Iterator[pd.DataFrame]:
+        if blobs[0][:1] == b"d":
+            for b in blobs:
+                ranges = np.frombuffer(b, _RANGE, -1, 1)
+                yield pd.DataFrame({c: ranges[c] for c in _RANGE.names})
+            return
         tables, datas = [], []
         for b in blobs:
-            n = int(np.frombuffer(b, "<i8", 1)[0])
-            tables.append(np.frombuffer(b, _OPEN, n, 8))
-            datas.append(np.frombuffer(b, np.uint8, -1, 8 + n * _OPEN.itemsize))
+            n, b = int(np.frombuffer(b, "<i8", 1, 1)[0]), zstd.decompress(b[9:])
+            tables.append(np.frombuffer(b, _OPEN, n))
+            datas.append(np.frombuffer(b, np.uint8, -1, n * _OPEN.itemsize))
         t, data = np.concatenate(tables), np.concatenate(datas)
         size = t["count"].astype(np.int64) - 1 + span
         base = np.cumsum(size) - size
@@ -414,7 +474,7 @@ def _compared(span: int, gram: int):
     return work
 
 
-def repeated_spans(keyed: DataFrame, text_col: str, *, span: int, gram: int) -> DataFrame:
+def repeated_spans(keyed: DataFrame, text_col: str, *, span: int, gram: int, hot_rows: int, piece: int) -> DataFrame:
     """(__doc, __row, __spans): the byte ranges [start, end) to remove, not yet merged; ``keyed`` has __doc and __row.
 
     Documents are compared by __doc, but ranges belong to (__doc, __row) and are marked by a hash of their
@@ -426,9 +486,9 @@ def repeated_spans(keyed: DataFrame, text_col: str, *, span: int, gram: int) ->
     buckets = 8 * parts
     key = [F.col("doc").alias("__doc"), F.col("row").alias("__row")]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    packed = _anchored(keyed.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), text.alias("text")).where(F.octet_length("text") >= span), span, gram, buckets)
-    settled_or_open = _by_bucket(_spread(packed), _any(span), "doc long, row long, place long, content long, mark long", parts)
-    found = checkpoint(settled_or_open)
+    packed = _anchored(keyed.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), text.alias("text")).where(F.octet_length("text") >= span), span, gram, buckets, piece)
+    settled_or_open = _by_bucket(_spread(packed), _any(span, hot_rows), "doc long, row long, place long, content long, mark long", parts)
+    found = written(settled_or_open)
     done = found.where(F.col("mark") == -1).select("doc", "row", "place", "content")
     # equal rows of one id have equal segments: a set keeps them once
     open_ = found.where(F.col("mark") != -1).groupBy(*key).agg(F.collect_set(F.struct("place", "content", "mark")).alias("__open"))
@@ -444,8 +504,8 @@ def _spread(packed: DataFrame) -> DataFrame:
     )
 
 
-def _any(span: int):
-    shared = _shared(span)
+def _any(span: int, hot_rows: int):
+    shared = _shared(span, hot_rows)
 
     def work(blobs: list[bytes]) -> Iterator[pd.DataFrame]:
         if blobs[0][:1] == b"o":
@@ -478,30 +538,40 @@ def _cut(text: bytes, spans) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, span: int = 50, gram: int = 24) -> DataFrame:
+REMOVAL = "removal struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary,kept_sha256:string>"
+
+
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, span: int = 50, gram: int = 24, hot_rows: int = 4096, piece: int = 1 << 26
+) -> DataFrame:
     """The documents with a struct ``removal`` of n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256.
 
     Each byte covered by a string of ``span`` bytes that also starts in a document with a smaller id is
     removed. Null and empty texts keep nothing and lose nothing; a null id counts as larger than all
     others; rows of one id, or without one, never cut each other, as no id is smaller, and each loses only
-    ranges whose bytes it holds; an empty table gives no rows; other columns are carried along; texts are read
-    whole (to 256 MB each).
+    ranges whose bytes it holds; an empty table gives no rows; other columns are carried along, but for one named
+    removal, which is replaced; names that begin with two underscores are reserved; texts are read whole, ``piece``
+    bytes at a time. An anchor of more than ``hot_rows`` unsettled segments goes on as single strings, so that
+    no task holds more of it than equal strings, one for each batch of texts.
     """
-    small_batches(docs.sparkSession)
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    def removal(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
-        rows = []
+    def removal(part):
+        import pyarrow as pa
+
+        texts, found, rows = column(part, "__text").to_pylist(), column(part, "__spans").to_pylist(), []
         for text, ranges in zip(texts, found, strict=True):
             data = text.encode("utf-8", "surrogatepass")
             kept, removed, runs = _cut(data, ranges) if ranges is not None else (data, 0, 0)
             rows.append((len(data), removed, runs, kept, hashlib.sha256(kept).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+        names = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
+        arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        return {"removal": pa.StructArray.from_arrays(arrays, names)}
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("__row", F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long")))
-    joined = keyed.join(repeated_spans(keyed, text_col, span=span, gram=gram), ["__doc", "__row"], "left")
-    return joined.withColumn("removal", removal(text, F.col("__spans"))).drop("__doc", "__row", "__spans")
+    joined = keyed.join(repeated_spans(keyed, text_col, span=span, gram=gram, hot_rows=hot_rows, piece=piece), ["__doc", "__row"], "left")
+    return with_columns(joined.withColumn("__text", text), removal, REMOVAL).drop("__doc", "__row", "__spans", "__text")
 
 
 def kept_text(kept: str = "removal.kept") -> Column:
