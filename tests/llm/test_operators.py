@@ -300,6 +300,33 @@ def test_token_counts(docs, none):
     assert token_edits.edit_counts(none).count() == 0
 
 
+def code_length(word, texts, all_texts, order):
+    """Bits of a word under counts of the texts, escapes with exclusion, and equal shares for bytes unseen in context."""
+    after = {}
+    for t in texts:
+        for w in t.lower().split():
+            b = b" " + w.encode() + b" "
+            for i in range(1, len(b)):
+                for d in range(min(order, i) + 1):
+                    after.setdefault(b[i - d : i], Counter())[b[i]] += 1
+    total, b = 0.0, b" " + word.encode() + b" "
+    for i in range(1, len(b)):
+        gone, left = set(), 1.0
+        for d in range(min(order, i), -1, -1):
+            new = {s: n for s, n in after.get(b[i - d : i], {}).items() if s not in gone}
+            if not new:
+                continue
+            n = sum(new.values())
+            if b[i] in new:
+                total -= np.log2(left * new[b[i]] / (n + len(new)))
+                break
+            left *= len(new) / (n + len(new))
+            gone |= set(new)
+        else:
+            total -= np.log2(left / (256 - len(gone)))
+    return total
+
+
 def test_language(spark, none):
     def words(stems, n, seed):
         r = random.Random(seed)
@@ -314,10 +341,17 @@ def test_language(spark, none):
     got = langid.identify(docs, spark.sparkContext.broadcast(model)).collect()
     assert [r.lang_pred for r in got][:5] == ["und", "und", "und", "xx", "yy"] and got[6].lang_pred == "und"
     assert all(0 <= r.score <= 1 for r in got)
-    # exact code lengths: every context's probabilities over all bytes sum to one
-    p = np.exp2(-model.bits.astype(float))
-    rare = 257 - p.shape[2]
-    assert np.allclose(p[:, :, :-1].sum(2) + rare * p[:, :, -1], 1, atol=1e-4)
+    # exact code lengths: every context's probabilities over all bytes sum to one, and words cost what counting by hand gives
+    for bits, _, _ in model.tables:
+        p = np.exp2(-bits.astype(float))
+        assert np.allclose(p[:, :-1].sum(1) + model.rare * p[:, -1], 1, atol=1e-4)
+    some = [*words(stems["xx"], 20, 900).split(), "quiéa", "zzz", "日本", "the"]
+    want = [[code_length(w, [t for _, t, g in rows if g == lang], [t for _, t, _ in rows], 3) for lang in ("xx", "yy")] for w in some]
+    assert np.allclose(model.cost(some), want, atol=1e-3)
+    with pytest.raises(ValueError):
+        langid.train(train, max_languages=1)
+    with pytest.raises(ValueError):
+        langid.train(train, max_bytes=1000)
     assert langid.identify(none, spark.sparkContext.broadcast(model)).count() == 0
     empty = langid.train(train.limit(0))
     assert {r.score for r in langid.identify(docs, spark.sparkContext.broadcast(empty)).collect()} <= {0.0, 1.0}
