@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from evspark.llm.common import checkpoint
 
 
-def components(edges: DataFrame, *, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the least node of its component.
 
     Each round hangs every larger neighbour, then every smaller one, on a node's least neighbour, by
-    grouped minima and joins; nothing is gathered. It ends when no edge changes.
+    grouped minima and joins; nothing is gathered. It ends when no edge changes. Edges with a null end and
+    edges from a node to itself are left out; repeated edges count once; no edges give no rows; other
+    columns are ignored.
     """
     pairs = checkpoint(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
     mark = None
-    for _ in range(most_rounds):
+    while True:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -29,7 +31,5 @@ def components(edges: DataFrame, *, most_rounds: int = 40) -> DataFrame:
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -224,7 +224,8 @@ def near_duplicates(
     null id has a null class and no links; rows that repeat an id are each counted; an empty table
     gives no rows; other columns are ignored; texts of any length are read whole. Buckets and
     components of any size are compared in blocks, so nothing is capped. A column ``row_col`` of longs is
-    carried along, to tell rows of one id apart.
+    carried along, to tell rows of one id apart, and a column class_key tells classes apart, as two of them may
+    have the same least id where ids are repeated; it is null for a null id.
     """
     more = [] if row_col is None else ["row"]
     rows = docs.select(
@@ -270,8 +271,12 @@ def near_duplicates(
     info = reps.join(linked, "sig", "left").join(roots, "sig", "left")
     info = info.withColumn("root", F.coalesce("root", "sig"))
     classes = info.groupBy("root").agg(F.min("rep").alias("class_id"))
-    info = info.join(classes, "root").select("sig", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    found = feats.select("id", "sig", *more).join(info, "sig").select("id", "class_id", "n_links", *more)
-    lost = rows.where(F.col("id").isNull()).select("id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), *more)
+    info = info.join(classes, "root").select(
+        "sig", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.xxhash64("root").alias("class_key")
+    )
+    more += ["class_key"] if more else []
+    found = feats.select("id", "sig", *more[:1]).join(info, "sig").select("id", "class_id", "n_links", *more)
+    none = F.lit(None).cast("long")
+    lost = rows.where(F.col("id").isNull()).select("id", none.alias("class_id"), F.lit(0).cast("long").alias("n_links"), *more[:1], *[none.alias(c) for c in more[1:]])
     out = found.union(lost).withColumnRenamed("id", id_col)
     return out.withColumnRenamed("row", row_col) if more else out
