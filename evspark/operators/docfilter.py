@@ -127,28 +127,51 @@ def abstracts_topup(docs: DataFrame) -> DataFrame:
     return got.withColumn("final_label", F.when(rise, "abstract").otherwise(F.col("final_label"))).drop("__kept", "__rank")
 
 
-def reuse_throttle(docs: DataFrame) -> DataFrame:
+def document_key() -> Column:
+    """The address, or the id where there is none; null where both lack."""
+    return F.coalesce(F.nullif(F.col("uri"), F.lit("")), F.nullif(F.col("doc_id").cast("string"), F.lit("")))
+
+
+def first_uses(docs: DataFrame) -> DataFrame:
+    """(doc_key, first_question) of full documents of filtered questions; documents without a key are left out."""
+    used = docs.where((F.col("final_label") == "full") & F.col("gated")).select(document_key().alias("doc_key"), "question_id")
+    return used.where(F.col("doc_key").isNotNull()).groupBy("doc_key").agg(F.min("question_id").alias("first_question"))
+
+
+def reuse_throttle(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Demotes, in document order, the surplus of full documents that earlier questions had in full.
 
-    The surplus is what goes beyond doc_filter_min_keep + 2. Only filtered questions count as users.
+    The surplus is what goes beyond doc_filter_min_keep + 2. Only filtered questions count as users. Documents
+    are known by address, else by id; those with neither are never demoted. ``known`` holds first uses from
+    before these rows; repeated documents of one question are demoted one by one.
     """
     full = F.col("final_label") == "full"
-    first = F.min(F.when(full & F.col("gated"), F.col("question_id"))).over(W.partitionBy("uri"))
+    first = first_uses(docs)
+    if known is not None:
+        first = first.unionByName(known).groupBy("doc_key").agg(F.min("first_question").alias("first_question"))
     n_full = F.count_if(full).over(W.partitionBy("question_id"))
-    got = docs.withColumns({"__seen": full & F.col("gated") & (first < F.col("question_id")), "__full": n_full})
+    got = docs.withColumns({"__key": document_key(), "__full": n_full})
+    got = got.join(first.select(F.col("doc_key").alias("__key"), F.col("first_question").alias("__first")), "__key", "left")
+    got = got.withColumn("__seen", full & F.col("gated") & F.coalesce(F.col("__first") < F.col("question_id"), F.lit(False)))
     place = F.row_number().over(W.partitionBy("question_id", "__seen").orderBy("idx"))
-    surplus = F.when(F.col("__full") > F.col("doc_filter_min_keep") + 2, F.col("__full") - F.col("doc_filter_min_keep") - 2).otherwise(0)
+    surplus = F.greatest(F.col("__full") - F.col("doc_filter_min_keep") - 2, F.lit(0))
     got = got.withColumn("throttled", F.col("__seen") & (place <= surplus))
-    return got.withColumn("final_label", F.when(F.col("throttled"), "abstract").otherwise(F.col("final_label"))).drop("__seen", "__full")
+    return got.withColumn("final_label", F.when(F.col("throttled"), "abstract").otherwise(F.col("final_label"))).drop("__key", "__first", "__seen", "__full")
 
 
 def filter_summary(docs: DataFrame) -> DataFrame:
-    """Counts by class, first titles of the full ones, and flags of odd outcomes."""
-    full, dropped = F.col("final_label") == "full", F.col("final_label") == "drop"
-    titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(full, F.struct("idx", F.substring("title", 1, 80).alias("t"))))), lambda x: x["t"]), " | ")
-    got = docs.groupBy("question_id").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.count_if(full).alias("n_full"), F.count_if(F.col("final_label") == "abstract").alias("n_abstract"), F.count_if(dropped).alias("n_drop"), titles.alias("full_titles")
-    )
+    """Counts and first titles (80 characters, in document order) by class, and flags of odd outcomes.
+
+    Null titles are left out of the lists; a question without documents has no row.
+    """
+    classes = {"full": "full", "abstract": "abstract", "drop": "drop"}
+    aggs = [F.count(F.lit(1)).alias("n_docs")]
+    for name, label in classes.items():
+        own = F.col("final_label") == label
+        title = F.when(own, F.struct("idx", F.substring("title", 1, 80).alias("t")))
+        aggs.append(F.count_if(own).alias(f"n_{name}"))
+        aggs.append(F.array_join(F.transform(F.array_sort(F.collect_list(title)), lambda x: x["t"]), " | ").alias(f"{name}_titles"))
+    got = docs.groupBy("question_id").agg(*aggs)
     return got.withColumns(
         {"high_drop": F.col("n_drop") > 0.5 * F.col("n_docs"), "all_full": F.col("n_full") == F.col("n_docs"), "none_kept": F.col("n_drop") == F.col("n_docs")}
     )

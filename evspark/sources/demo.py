@@ -25,14 +25,14 @@ CRITERIA = (
 TABLES = {
     "questions": "SELECT item_id AS question_id, item_id AS ord, text AS question FROM benchmark",
     "candidates": f"""SELECT doc_id % {_N} AS question_id, CAST(floor(doc_id / {_N}) AS BIGINT) AS idx, doc_id,
-      CASE WHEN doc_id % 13 = 0 THEN 'RETRACTED: ' WHEN doc_id % 17 = 0 THEN 'Trend unlikely: ' ELSE '' END || {_TITLE} AS title, text AS abstract,
+      CASE WHEN doc_id % 13 = 0 THEN 'RETRACTED: ' WHEN doc_id % 17 = 0 THEN 'Trend unlikely: ' ELSE '' END || CASE WHEN doc_id % 19 = 4 THEN '' ELSE {_TITLE} END AS title, text AS abstract,
       'https://openalex.org/W' || CAST(doc_id AS STRING) AS uri, CASE WHEN doc_id % 11 = 0 THEN 'withdrawn' END AS status,
       CASE WHEN doc_id % 5 = 0 THEN 'failed' WHEN doc_id % 5 = 1 THEN 'already_failed' ELSE 'ok' END AS download_status
       FROM documents""",
     "av_pairs": """SELECT item_id AS question_id, pos, split_part(text, ' ', 1 + pos) AS attribute, split_part(text, ' ', 4 + pos) AS value,
       split_part(text, ' ', 7 + pos) || ' ' || split_part(text, ' ', 8 + pos) AS description, ((item_id * 7 + pos * 13) % 21) / 20.0 AS centrality
       FROM benchmark, (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) AS p""",
-    "profiles": f"""SELECT doc_id AS question_id, doc_id AS ord, left(text, 200) AS question, {_case("doc_id % 8", KINDS)} AS question_type,
+    "profiles": f"""SELECT doc_id AS question_id, doc_id AS ord, text AS question, {_case("doc_id % 8", KINDS)} AS question_type,
       (doc_id * 7 % 101) / 100.0 AS complexity, (doc_id * 11 % 101) / 100.0 AS quantitativity, (doc_id * 13 % 101) / 100.0 AS spatial_specificity,
       (doc_id * 17 % 101) / 100.0 AS temporal_specificity, (doc_id * 19 % 101) / 100.0 AS methodological_depth, doc_id % 9 = 0 AS needs_numeric_emphasis,
       CASE WHEN doc_id % 23 = 0 THEN NULL ELSE 0.5 + (doc_id * 3 % 51) / 100.0 END AS confidence FROM documents""",
@@ -55,9 +55,9 @@ TABLES = {
       doc_id % 4 AS n_authors, 'Author' || CAST(doc_id % 50 AS STRING) AS lead, doc_id % 10 = 0 AS is_retracted, 'https://openalex.org/W' || CAST(doc_id AS STRING) AS uri,
       CASE WHEN doc_id % 3 = 0 THEN 'https://a.org/' || CAST(doc_id AS STRING) || '.pdf' END AS best_pdf, 'https://www.mdpi.com/' || CAST(doc_id AS STRING) AS best_page,
       CASE WHEN doc_id % 4 = 0 THEN 'https://b.org/x.PDF' END AS primary_pdf, CASE WHEN doc_id % 5 = 0 THEN 'https://www.mdpi.com/' || CAST(doc_id AS STRING) END AS oa_url FROM documents""",
-    "fetches": """SELECT 'https://openalex.org/W' || CAST(doc_id AS STRING) AS uri, CASE doc_id % 6 WHEN 0 THEN 'no_pdf' WHEN 1 THEN 'pdf_failed' WHEN 2 THEN 'extract_failed' WHEN 3 THEN 'no_meta' ELSE 'ok' END AS status
-      FROM documents WHERE doc_id % 9 <> 0""",
-    "assessed": f"""SELECT doc_id % {_N} AS question_id, CAST(floor(doc_id / {_N}) AS BIGINT) AS idx, {_TITLE} AS title, left(text, 300) AS abstract, 'https://openalex.org/W' || CAST(doc_id AS STRING) AS uri,
+    "fetches": """SELECT 'https://openalex.org/W' || CAST(doc_id AS STRING) AS uri, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 6 = 0 THEN 'no_pdf' WHEN doc_id % 6 = 1 THEN 'pdf_failed' WHEN doc_id % 6 = 2 THEN 'extract_failed'
+      WHEN doc_id % 6 = 3 THEN 'no_meta' ELSE 'ok' END AS status FROM documents""",
+    "assessed": f"""SELECT doc_id % {_N} AS question_id, CAST(floor(doc_id / {_N}) AS BIGINT) AS idx, {_TITLE} AS title, text AS abstract, 'https://openalex.org/W' || CAST(doc_id AS STRING) AS uri,
       (doc_id * 31 % 101) / 100.0 AS relevance_score, doc_id % 3 <> 0 AS include FROM documents""",
 }
 

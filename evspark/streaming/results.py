@@ -1,46 +1,61 @@
-"""Streaming forms: keyed results that are upserted batch by batch, and the first use of each document."""
+"""Streaming forms: keyed results upserted batch by batch, and the reuse throttle as questions arrive.
+
+Both write what a batch adds under its own number and never rewrite what is there: a batch that runs again
+replaces its own part only. Readers put the parts together.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
-from evspark.operators.ingest import upsert
+from evspark.operators.docfilter import first_uses, reuse_throttle
 
 
-def stream_results_upsert(rows: DataFrame, path: str, keys: list[str], checkpoint: str) -> DataStreamWriter:
-    """Merges each batch into keyed Parquet under ``path``: version n holds the table after batch n.
+def parts(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The parts written so far, with their batch; no rows before the first batch."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    return spark.read.parquet(path)
 
-    A batch that is run again writes the same version anew, so nothing is applied twice.
-    """
+
+def stream_results_upsert(rows: DataFrame, path: str, keys: list[str], checkpoint: str) -> DataStreamWriter:
+    """Keeps the last row by ord of each key of a batch under ``path/batch=n``; work is in proportion to the batch."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/v={number - 1}") if number else batch.limit(0)
-        upsert(before, batch, keys).write.mode("overwrite").parquet(f"{path}/v={number}")
+        last = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("ord")))
+        fresh = batch.withColumn("__last", last).where(F.col("__last") == 1).drop("__last")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-def stream_first_use(docs: DataFrame) -> DataFrame:
-    """(uri, first_question) of full documents as questions arrive; the state is one number per address.
+def read_results(spark: SparkSession, path: str, keys: list[str], schema: StructType) -> DataFrame:
+    """The table: for each key the row of the latest batch that has it."""
+    last = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("batch")))
+    return parts(spark, path, schema).withColumn("__last", last).where(F.col("__last") == 1).drop("__last", "batch")
+
 
-    A new checkpoint folder begins with an empty register.
+def compact_results(spark: SparkSession, path: str, into: str, keys: list[str], schema: StructType) -> None:
+    """Writes the table as the first part of a new folder, for a stream that goes on there."""
+    read_results(spark, path, keys, schema).write.parquet(f"{into}/batch=-2")
+
+
+def stream_reuse_throttle(docs: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Judges each batch of questions by the documents that earlier batches, and earlier questions of its own, had in full.
+
+    A question arrives whole, with larger ids than all before. Judged rows go to ``path/rows/batch=n``, first uses
+    of documents to ``path/register/batch=n``; a new checkpoint and path begin with an empty register.
     """
-    full = docs.where((F.col("final_label") == "full") & F.col("gated"))
-    return full.groupBy("uri").agg(F.min("question_id").alias("first_question"))
-
-
-def throttle_batch(batch: DataFrame, register: DataFrame) -> DataFrame:
-    """Demotes the surplus of full documents of a batch that the register holds for an earlier question."""
-    from pyspark.sql import Window as W
-
-    joined = batch.join(register, "uri", "left")
-    full = F.col("final_label") == "full"
-    joined = joined.withColumn("__seen", full & F.col("gated") & F.coalesce(F.col("first_question") < F.col("question_id"), F.lit(False)))
-    surplus = F.greatest(F.count_if(full).over(W.partitionBy("question_id")) - F.col("doc_filter_min_keep") - 2, F.lit(0))
-    place = F.row_number().over(W.partitionBy("question_id", "__seen").orderBy("idx"))
-    joined = joined.withColumns({"__surplus": surplus, "__place": place}).withColumn("throttled", F.col("__seen") & (F.col("__place") <= F.col("__surplus")))
-    label = F.when(F.col("throttled"), "abstract").otherwise(F.col("final_label"))
-    return joined.withColumn("final_label", label).drop("__seen", "__surplus", "__place", "first_question")
+
+    def judge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        known = parts(spark, f"{path}/register", "doc_key string, first_question long").where(F.col("batch") < number).drop("batch")
+        reuse_throttle(batch, known).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        first_uses(batch).join(known.select("doc_key"), "doc_key", "left_anti").write.mode("overwrite").parquet(f"{path}/register/batch={number}")
+        batch.unpersist()
+
+    return docs.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint)
