@@ -7,31 +7,59 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evspark.functions.text import tokens
+from evspark.sources.scratch import cut_lineage
 
 K1, B = 1.2, 0.75
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 16) -> DataFrame:
-    """(question_id, doc_id, score, rank): documents whose title or abstract has a query token, best first.
+def postings(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((question_id, term) of the queries, (term, doc_id, part) of the documents that have a query term).
 
-    Each field is scored by its own statistics and the scores add up. Documents meet only the terms
-    of the queries, and statistics come from the counts of those terms, so the index that is
-    shuffled holds query terms alone. Ties go to the smaller id.
+    ``part`` is what a term adds to a document's score, over title and abstract, each by its own statistics.
     """
     terms = queries.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
     wanted = terms.select("term").distinct()
-    fields = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("text")), F.struct(F.lit("abstract").alias("field"), F.col("abstract").alias("text")))).alias("f"))
-    fields = fields.select("doc_id", "f.field", tokens(F.col("f.text")).alias("words"))
+    title, abstract = (F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("title", "abstract"))
+    fields = docs.select("doc_id", F.explode(F.array(title, abstract)).alias("f")).select("doc_id", "f.field", tokens(F.col("f.text")).alias("words"))
     size = fields.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avg_len"))
-    postings = fields.select("doc_id", "field", F.size("words").alias("len"), F.explode("words").alias("term")).join(wanted, "term")
-    postings = postings.groupBy("term", "field", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
-    weighted = postings.join(df, ["term", "field"]).join(F.broadcast(size), "field")  # two fields
+    found = fields.select("doc_id", "field", F.size("words").alias("len"), F.explode("words").alias("term")).join(wanted, "term")
+    found = found.groupBy("term", "field", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    df = found.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
+    weighted = found.join(df, ["term", "field"]).join(F.broadcast(size), "field")  # two fields
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    by_term = weighted.groupBy("term", "doc_id").agg(F.sum(part).alias("part"))
-    scored = terms.join(by_term, "term").groupBy("question_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    rank = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), "doc_id"))
+    return terms, weighted.groupBy("term", "doc_id").agg(F.sum(part).alias("part"))
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 16, lead: int = 8) -> DataFrame:
+    """(question_id, doc_id, score, rank): documents whose title or abstract has a query token, best first.
+
+    Each field is scored by its own statistics and the scores add up. Documents meet only the terms of the
+    queries. A question's rarest terms, with about ``lead`` times k documents together, are scored first; the k-th of
+    these sums is a bound that every result reaches. Frequent terms whose greatest parts together stay below
+    that bound cannot bring in a document by themselves, so they are looked up only for the documents that
+    the other terms have found. The result is that of scoring everything. Ties go to the smaller id; rows that repeat
+    an id count as one longer document in each term; questions without a token have no rows.
+    """
+    terms, parts = postings(queries, docs)
+    parts = cut_lineage(parts)
+    figures = parts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
+    of = W.partitionBy("question_id")
+    asked = terms.join(figures, "term")
+    before = F.coalesce(F.sum("df").over(of.orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    asked = cut_lineage(asked.withColumn("leads", before < lead * k).select("question_id", "term", "most", "leads"))
+    first = asked.where("leads").join(parts, "term").groupBy("question_id", "doc_id").agg(F.sum("part").alias("sum"))
+    place = F.row_number().over(of.orderBy(F.desc("sum"), "doc_id"))
+    bound = first.withColumn("place", place).where(F.col("place") <= k).where(F.col("place") == k).select("question_id", F.col("sum").alias("bound"))
+    room = F.sum(F.when(~F.col("leads"), F.col("most"))).over(of.orderBy("leads", "most", "term"))
+    judged = asked.withColumn("room", room).join(bound, "question_id", "left")
+    finds = F.col("leads") | (F.col("room") + 1e-5 >= F.coalesce("bound", F.lit(0.0)))
+    judged = cut_lineage(judged.select("question_id", "term", finds.alias("finds")))
+    found = judged.where("finds").join(parts, "term").groupBy("question_id", "doc_id").agg(F.sum("part").alias("sum"))
+    more = found.select("question_id", "doc_id").join(judged.where(~F.col("finds")), "question_id").join(parts, ["term", "doc_id"])
+    sums = found.unionByName(more.select("question_id", "doc_id", F.col("part").alias("sum")))
+    scored = sums.groupBy("question_id", "doc_id").agg(F.round(F.sum("sum"), 6).alias("score"))
+    rank = F.row_number().over(of.orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
