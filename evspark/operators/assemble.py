@@ -42,6 +42,31 @@ def documents_block(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
     return out.withColumns({"n_chars": F.length("block"), "n_lines": F.size(F.split("block", "\n", -1))})
 
 
+def cited_block(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
+    """(question_id, block): documents with authors and excerpts, full ones first, and a list of references at the end.
+
+    ``docs`` has question_id, idx, title, abstract, uri, year, authors (array) and final_label; ``excerpts``
+    question_id, doc_index (number among the full ones), page, excerpt_no, section, text. Missing titles and
+    authors have a default; a question without kept documents has no row.
+    """
+    kept = docs.where(F.col("final_label").isin("full", "abstract")).withColumn("__later", (F.col("final_label") != "full").cast("int"))
+    kept = kept.withColumn("number", F.row_number().over(W.partitionBy("question_id").orderBy("__later", "idx")))
+    piece = F.concat(F.lit("  <<< Section: "), F.coalesce("section", F.lit("unknown")), F.lit(" | p. "), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit(" >>>\n  "), F.coalesce("text", F.lit("")))
+    found = excerpts.groupBy("question_id", F.col("doc_index").alias("number")).agg(_joined([F.col("page"), F.col("excerpt_no")], piece, "\n").alias("__found"))
+    given = lambda c, other: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(other))
+    names = F.when(F.size("authors") > 2, F.concat(F.get("authors", F.lit(0)), F.lit(" et al."))).when(F.size("authors") > 0, F.array_join("authors", ", "))
+    n, uri, title = F.col("number").cast("string"), given("uri", ""), given("title", "Unknown")
+    got = kept.join(found, ["question_id", "number"], "left").withColumn("__names", names)
+    head = F.concat(F.lit("=== Document ["), n, F.lit(']: "'), title, F.lit('" ==='))
+    by = F.concat(F.lit("Authors: "), F.coalesce("__names", F.lit("")), F.lit(" ("), given("year", ""), F.lit(")"), F.when(uri != "", F.concat(F.lit(" | "), uri)).otherwise(""))
+    body = F.when((F.col("final_label") == "full") & F.col("__found").isNotNull(), F.concat(F.lit("Full-text excerpts:\n"), F.col("__found")))
+    text = F.concat_ws("\n", head, by, F.concat(F.lit("Abstract: "), F.coalesce("abstract", F.lit(""))), F.coalesce(body, F.lit("(Abstract only)")), F.lit(""))
+    line = F.concat(F.lit("["), n, F.lit("] "), F.coalesce("__names", F.lit("Unknown")), F.lit(" ("), given("year", "n.d."), F.lit("). "), title, F.lit(". "), uri)
+    got = got.withColumns({"__text": text, "__line": line})
+    blocks = got.groupBy("question_id").agg(_joined([F.col("number")], F.col("__text"), "\n").alias("__a"), _joined([F.col("number")], F.col("__line"), "\n").alias("__b"))
+    return blocks.select("question_id", F.concat(F.col("__a"), F.lit("\n\n[VALIDATED REFERENCES]\n"), F.col("__b")).alias("block"))
+
+
 def context_views(assessments: DataFrame) -> DataFrame:
     """(question_id, full_view, slim_view, score_view) over the included assessments, best first as given by idx."""
     title = F.coalesce(F.when(F.trim("title") != "", F.trim("title")), F.lit("Untitled"))

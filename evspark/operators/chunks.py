@@ -34,48 +34,41 @@ def sectionize(lines: DataFrame) -> DataFrame:
 def chunk(sections: DataFrame, target: int = 600, overlap: int = 60) -> DataFrame:
     """Chunks of whole sentences of about ``target`` tokens, each beginning with the tail of the last.
 
-    A fold over the section's sentences, within its row. The tail is the longest run of closing
-    sentences of at most ``overlap`` tokens; a sentence over the target makes one long chunk.
+    A fold over the sentences' sizes, within the section's row, that keeps only where chunks begin and end; texts
+    are cut once at the end. The tail is the longest run of closing sentences of at most ``overlap``
+    tokens; a sentence over the target makes one long chunk. Null and empty sections give no chunk.
     """
-    sents = F.transform(
-        F.split("text", r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda s: F.struct(s.alias("s"), est_tokens(s).alias("t"))
+    rows = sections.where(F.coalesce("text", F.lit("")) != "").select(
+        "doc_id", "section_no", F.lower("heading").alias("section"), F.col("page_start").alias("page"), F.split("text", r"(?<=[.!?])\s+(?=[A-Z0-9])").alias("__s")
     )
-    kind = "array<struct<s:string,t:int>>"
-    empty = F.array().cast(kind)
-    done_kind = f"array<struct<text:string,tokens:int>>"
+    rows = rows.withColumn("__t", F.transform("__s", est_tokens))
+    size, sizes = F.size("__t"), F.col("__t")
 
-    def total(run: Column) -> Column:
-        return F.aggregate(run, F.lit(0), lambda a, x: a + x["t"])
+    def begin_of_tail(first: Column, at: Column) -> Column:
+        """Where the sentences before ``at`` that fit the overlap begin, not before ``first``."""
+        start = F.struct(at.alias("j"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+        back = F.when(at > first, F.reverse(F.slice(sizes, first + 1, at - first))).otherwise(F.array().cast("array<int>"))
 
-    def close(run: Column) -> Column:
-        return F.struct(F.trim(F.array_join(F.transform(run, lambda x: x["s"]), " ")).alias("text"), total(run).alias("tokens"))
+        def step(a, t):
+            fits = a["open"] & (a["n"] + t <= overlap)
+            return F.struct(F.when(fits, a["j"] - 1).otherwise(a["j"]).alias("j"), F.when(fits, a["n"] + t).otherwise(a["n"]).alias("n"), fits.alias("open"))
 
-    def tail(run: Column) -> Column:
-        start = F.struct(empty.alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+        return F.aggregate(back, start, step, lambda a: F.struct(a["j"], a["n"]))
 
-        def step(a, x):
-            fits = a["open"] & (a["n"] + x["t"] <= overlap)
-            return F.struct(
-                F.when(fits, F.concat(F.array(x), a["kept"])).otherwise(a["kept"]).alias("kept"),
-                F.when(fits, a["n"] + x["t"]).otherwise(a["n"]).alias("n"),
-                fits.alias("open"),
-            )
+    kind = "array<struct<a:int,b:int>>"
 
-        return F.aggregate(F.reverse(run), start, step)["kept"]
+    def add(acc, t):
+        full = (acc["n"] + t > target) & (acc["i"] > acc["first"])
+        tail = F.when(full, begin_of_tail(acc["first"], acc["i"])).otherwise(F.struct(acc["first"].alias("j"), acc["n"].alias("n")))
+        done = F.when(full, F.concat(acc["done"], F.array(F.struct(acc["first"].alias("a"), acc["i"].alias("b"))))).otherwise(acc["done"])
+        return F.struct(tail["j"].alias("first"), (tail["n"] + t).alias("n"), (acc["i"] + 1).alias("i"), done.alias("done"))
 
-    def add(acc, x):
-        full = (acc["n"] + x["t"] > target) & (F.size(acc["cur"]) > 0)
-        kept = F.when(full, tail(acc["cur"])).otherwise(acc["cur"])
-        return F.struct(
-            F.concat(kept, F.array(x)).alias("cur"),
-            (F.when(full, total(kept)).otherwise(acc["n"]) + x["t"]).alias("n"),
-            F.when(full, F.concat(acc["done"], F.array(close(acc["cur"])))).otherwise(acc["done"]).alias("done"),
-        )
-
-    start = F.struct(empty.alias("cur"), F.lit(0).alias("n"), F.array().cast(done_kind).alias("done"))
-    folded = F.aggregate(sents, start, add, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["done"], F.array(close(a["cur"])))).otherwise(a["done"]))
-    rows = sections.where(F.coalesce("text", F.lit("")) != "").select("doc_id", "section_no", F.lower("heading").alias("section"), F.col("page_start").alias("page"), folded.alias("chunks"))
-    return rows.select("doc_id", "section_no", "section", "page", F.posexplode("chunks").alias("chunk_no", "c")).select("doc_id", "section_no", "chunk_no", "section", "page", "c.text", "c.tokens")
+    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast(kind).alias("done"))
+    spans = F.aggregate("__t", start, add, lambda a: F.concat(a["done"], F.array(F.struct(a["first"].alias("a"), a["i"].alias("b")))))
+    cut = rows.withColumn("__c", spans).select("*", F.posexplode("__c").alias("chunk_no", "c")).where(size > 0)
+    piece = lambda col: F.slice(col, F.col("c.a") + 1, F.col("c.b") - F.col("c.a"))
+    total = F.aggregate(piece("__t"), F.lit(0), lambda a, t: a + t)
+    return cut.select("doc_id", "section_no", "chunk_no", "section", "page", F.trim(F.array_join(piece("__s"), " ")).alias("text"), total.alias("tokens"))
 
 
 def query_terms(questions: DataFrame, av_pairs: DataFrame) -> DataFrame:
@@ -120,30 +113,59 @@ def _fold(rows: Column, budget: Column, most: Column) -> Column:
     return F.aggregate(rows, start, step)["kept"]
 
 
+def _selected(head: DataFrame, by: list[str], budget: str, most: Column) -> DataFrame:
+    """The rows of each group that the fold keeps, in one pass: rows travel in the group's array."""
+    rest = [c for c in head.columns if c not in by]
+    rows = F.array_sort(F.collect_list(F.struct("place", *[c for c in rest if c != "place"]))).alias("rows")
+    grouped = head.groupBy(*by).agg(rows, F.first(budget).alias("__b"), F.first(most).alias("__k"))
+    sizes = F.transform("rows", lambda r: F.struct(r["place"].alias("place"), r["tokens"].cast("int").alias("tokens")))
+    grouped = grouped.withColumn("__kept", _fold(sizes, F.col("__b"), F.coalesce(F.col("__k"), F.size("rows"))))
+    return grouped.select(*by, F.explode(F.filter("rows", lambda r: F.array_contains("__kept", r["place"]))).alias("r")).select(*by, "r.*").select(*head.columns)
+
+
 def topk_under_budget(scored: DataFrame, budget: str = "per_doc_budget", top_k: str = "top_k_per_doc") -> DataFrame:
-    """Per question and document the best chunks under a token budget, of the first three times top_k."""
+    """Per question and document the best chunks under a token budget, of the first three times top_k.
+
+    Ties go to the earlier chunk; a chunk that would pass the budget is skipped; an empty table gives no rows.
+    """
     by = ["question_id", "doc_id"]
     order = W.partitionBy(*by).orderBy(F.desc("score"), "section_no", "chunk_no")
     head = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 3 * F.col(top_k))
-    kept = head.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("place", "tokens"))).alias("rows"), F.first(budget).alias("b"), F.first(top_k).alias("k"))
-    kept = kept.select(*by, F.explode(_fold(F.col("rows"), F.col("b"), F.col("k"))).alias("place"))
-    return head.join(kept, [*by, "place"]).drop("place")
+    return _selected(head, by, budget, F.col(top_k)).drop("place")
 
 
 def global_budget_select(kept: DataFrame, budget: str = "global_budget") -> DataFrame:
     """Per question the best of the kept chunks under a token budget, ordered by document and page."""
     order = W.partitionBy("question_id").orderBy(F.desc("score"), "doc_index", "section_no", "chunk_no")
-    head = kept.withColumn("place", F.row_number().over(order))
-    rows = head.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("place", "tokens"))).alias("rows"), F.first(budget).alias("b"))
-    rows = rows.select("question_id", F.explode(_fold(F.col("rows"), F.col("b"), F.size("rows"))).alias("place"))
+    got = _selected(kept.withColumn("place", F.row_number().over(order)), ["question_id"], budget, F.lit(None).cast("int"))
     out = W.partitionBy("question_id").orderBy("doc_index", "page", "place")
-    got = head.join(rows, ["question_id", "place"])
     return got.withColumn("excerpt_no", F.row_number().over(out)).withColumn("score", F.bround("score", 3)).drop("place")
 
 
-def excerpt_stats(chunks: DataFrame, excerpts: DataFrame) -> DataFrame:
-    """Per question: documents, those with chunks, excerpts, their tokens, covered share under half."""
-    docs = chunks.groupBy("question_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_chunks"))
-    kept = excerpts.groupBy("question_id").agg(F.countDistinct("doc_id").alias("docs_with_excerpts"), F.count(F.lit(1)).alias("n_excerpts"), F.sum("tokens").alias("total_tokens"))
+#: States of a fetch that mean no access.
+NO_ACCESS = ("already_failed", "pdf_download_failed", "no_oa_pdf")
+
+
+def document_excerpts(docs: DataFrame, chunks: DataFrame, kept: DataFrame) -> DataFrame:
+    """Per question and document of ``docs``: status, its bucket, chunks, and those kept under the document's budget with their tokens.
+
+    ``docs`` has question_id, doc_id and status (null: unknown); documents without chunks count none.
+    """
+    by = ["question_id", "doc_id"]
+    n = chunks.groupBy(*by).agg(F.count(F.lit(1)).alias("n_chunks"))
+    own = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("kept"), F.sum("tokens").alias("kept_tokens"))
+    got = docs.select(*by, F.coalesce("status", F.lit("unknown")).alias("status")).join(n, by, "left").join(own, by, "left").na.fill(0, ["n_chunks", "kept", "kept_tokens"])
+    return got.withColumn("bucket", F.when(F.col("status") == "ok", "ok").when(F.col("status").isin(*NO_ACCESS), "paywalled").otherwise("other"))
+
+
+def excerpt_stats(per_doc: DataFrame, excerpts: DataFrame) -> DataFrame:
+    """Per question: documents, those with kept chunks, excerpts and their tokens, buckets of status, and whether
+    less than half of the documents have chunks. ``per_doc`` comes from ``document_excerpts``."""
+    docs = per_doc.groupBy("question_id").agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.count_if(F.col("kept") > 0).alias("docs_with_chunks"),
+        *[F.count_if(F.col("bucket") == b).alias(f"n_{b}") for b in ("ok", "paywalled", "other")],
+    )
+    kept = excerpts.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_excerpts"), F.sum("tokens").alias("total_tokens"))
     got = docs.join(kept, "question_id", "left").na.fill(0)
-    return got.withColumn("low_coverage", F.col("docs_with_excerpts") < 0.5 * F.col("n_docs"))
+    return got.withColumn("low_coverage", F.col("docs_with_chunks") < 0.5 * F.col("n_docs"))
