@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from evspark.operators.running import sums_before
+
 #: The eight criteria, and tokens of error messages in the order in which they are tried.
 CRITERIA = (
     "scientific_accuracy", "relevance", "completeness", "directness", "quantitative_precision", "response_structure", "scope_awareness", "helpfulness",
@@ -157,7 +159,7 @@ def score_anomalies(scores: DataFrame, columns: list[str]) -> DataFrame:
     return got.withColumn("std", F.round("std", 4)).drop("__s", "__m")
 
 
-def dlr_overall(scores: DataFrame, columns: list[str]) -> DataFrame:
+def judge_overall(scores: DataFrame, columns: list[str]) -> DataFrame:
     """Adds overall_score: the mean of the given scores, the mark of failure -1 included; 1.0 if there are none."""
     given = F.filter(F.array(*[F.col(c) for c in columns]), lambda s: s.isNotNull())
     total = F.aggregate(given, F.lit(0.0), lambda a, x: a + x)
@@ -168,22 +170,23 @@ def metric_quality(scores: DataFrame, metrics: list[str], *, fallbacks: bool = T
     """Adds filled values, and quality: the mean of the metrics of 0 or more, else -1.
 
     A failed metric (negative) takes the mean of the earlier valid ones of its pipeline (over 0, at most
-    1, not 0.5), or 0.5 where there are none; without fallbacks -1.
+    1, not 0.5), or 0.5 where there are none; without fallbacks -1. Null metrics stay null and out of the mean.
     """
-    w = W.partitionBy("pipeline").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    got = scores
+    valid = {m: (F.col(m) > 0) & (F.col(m) <= 1) & (F.col(m) != 0.5) for m in metrics}
+    sums = {f"__{m}_sum": F.when(v, F.col(m)) for m, v in valid.items()} | {f"__{m}_n": F.when(v, F.lit(1)) for m, v in valid.items()}
+    got = sums_before(scores, ["pipeline"], ["ord"], sums) if fallbacks else scores
     for m in metrics:
-        valid = F.when((F.col(m) > 0) & (F.col(m) <= 1) & (F.col(m) != 0.5), F.col(m))
-        earlier = F.coalesce(F.avg(valid).over(w), F.lit(0.5)) if fallbacks else F.lit(-1.0)
+        earlier = F.when(F.col(f"__{m}_n") > 0, F.col(f"__{m}_sum") / F.col(f"__{m}_n")).otherwise(0.5) if fallbacks else F.lit(-1.0)
         got = got.withColumn(f"{m}_filled", F.when(F.col(m) < 0, earlier).otherwise(F.col(m)))
     given = F.filter(F.array(*[F.col(f"{m}_filled") for m in metrics]), lambda v: v >= 0)
-    return got.withColumn("quality", F.when(F.size(given) == 0, -1.0).otherwise(F.aggregate(given, F.lit(0.0), lambda a, x: a + x) / F.size(given)))
+    mean = F.aggregate(given, F.lit(0.0), lambda a, x: a + x) / F.size(given)
+    return got.withColumn("quality", F.when(F.size(given) == 0, -1.0).otherwise(mean)).drop(*sums)
 
 
 def metric_switched_off(log: DataFrame, limit: int = 3) -> DataFrame:
-    """Adds off: whether the metric was switched off before this row by ``limit`` earlier failures."""
-    w = W.partitionBy("pipeline").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    return log.withColumn("off", F.coalesce(F.sum(F.col("failed").cast("int")).over(w), F.lit(0)) >= limit)
+    """Adds off: whether the metric was switched off before this row by ``limit`` earlier failures; null is no failure."""
+    got = sums_before(log, ["pipeline"], ["ord"], {"__failures": F.col("failed").cast("int")})
+    return got.withColumn("off", F.col("__failures") >= limit).drop("__failures")
 
 
 def run_stats(runs: DataFrame) -> DataFrame:

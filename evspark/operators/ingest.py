@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from evspark.operators.running import sums_before
+
 ALIASES = {
     "question": ("question", "Question", "query", "Query"),
     "answer": ("answer", "generation"),
@@ -45,14 +47,8 @@ def load_questions(df: DataFrame, num: int | None = None, indices: list[int] | N
 
 
 def with_index(df: DataFrame, ord_col: str, name: str = "index") -> DataFrame:
-    """Position by ``ord_col`` from 0: rank within buckets of the key's hash range plus sizes of the buckets before."""
-    bucket = F.floor(F.col(ord_col) / 4096)
-    sizes = df.groupBy(bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("__start", before).drop("__n")
-    joined = df.withColumn("__b", bucket).join(starts, "__b")
-    place = F.row_number().over(W.partitionBy("__b").orderBy(ord_col)) - 1
-    return joined.withColumn(name, (F.col("__start") + place).cast("long")).drop("__b", "__start")
+    """Position by ``ord_col`` from 0, whatever its values are: counts of ranges, then places within them."""
+    return sums_before(df, [], [ord_col], {name: F.lit(1)}).withColumn(name, F.col(name).cast("long"))
 
 
 def judge_tasks(answers: DataFrame, most: int) -> DataFrame:
@@ -270,14 +266,28 @@ def parse_llm_responses(responses: DataFrame) -> DataFrame:
 
 
 def parse_judge_scores(responses: DataFrame, criteria) -> DataFrame:
-    """Adds the scores; all null unless every one is a whole number from 1 to 10."""
+    """Adds the scores; all null unless every one is a whole number from 1 to 10.
+
+    ``reason`` tells why a row has none: "empty", "no json", "missing" or "range"; it is null for good rows.
+    """
     got = parse_llm_responses(responses)
     v = F.try_parse_json("body")
     raw = {c: F.try_variant_get(v, f"$.scores.{c}", "string") for c in criteria}
     ok = F.lit(True)
     for c in criteria:
         ok = ok & F.coalesce(raw[c].rlike("^(?:[1-9]|10)$"), F.lit(False))
-    return got.withColumns({c: F.when(ok, raw[c].try_cast("int")) for c in criteria}).withColumn("ok", ok)
+    lacking = F.lit(False)
+    for c in criteria:
+        lacking = lacking | raw[c].isNull()
+    empty = strip_fences(F.coalesce("raw", F.lit(""))) == ""
+    reason = F.when(empty, "empty").when(F.col("body").isNull(), "no json").when(lacking, "missing").when(~ok, "range")
+    return got.withColumns({c: F.when(ok, raw[c].try_cast("int")) for c in criteria}).withColumns({"ok": ok, "reason": reason})
+
+
+def split_responses(responses: DataFrame, criteria) -> tuple[DataFrame, DataFrame]:
+    """(rows with scores, rejected rows with their raw text and reason)."""
+    got = parse_judge_scores(responses, criteria)
+    return got.where("ok").drop("reason", "body"), got.where(~F.col("ok")).drop("ok", "body", *criteria)
 
 
 def parse_profiles(responses: DataFrame) -> DataFrame:

@@ -85,9 +85,25 @@ def scaled_targets(targets: dict[str, int], n: int | None) -> dict[str, int]:
 
 def tier_sample(routed: DataFrame, targets: dict[str, int], n: int | None = None) -> DataFrame:
     """The first questions of each tier, in row order, as many as its target."""
-    want = routed.sparkSession.createDataFrame(list(scaled_targets(targets, n).items()), "rule_hit string, target int")
+    scaled = scaled_targets(targets, n)
+    want = routed.sparkSession.createDataFrame(list(scaled.items()), "rule_hit string, target int")
     rank = F.row_number().over(W.partitionBy("rule_hit").orderBy("ord", "question_id"))
-    return routed.join(F.broadcast(want), "rule_hit").withColumn("rank", rank).where(F.col("rank") <= F.col("target")).drop("target")
+    most = routed.withColumn("rank", rank).where(F.col("rank") <= max(scaled.values(), default=0))  # a limit by group before the sort
+    return most.join(F.broadcast(want), "rule_hit").where(F.col("rank") <= F.col("target")).drop("target")
+
+
+def probe_sample(questions: DataFrame, *, many: int = 6, few: int = 3) -> DataFrame:
+    """The first two questions by ord with ``many`` candidates or more and the first with 1 to ``few``; else the first three.
+
+    ``questions`` has n_candidates; a null counts as none.
+    """
+    n = F.coalesce("n_candidates", F.lit(0))
+    kind = F.when(n >= many, "many").when(n.between(1, few), "few").otherwise("other")
+    rank = F.row_number().over(W.partitionBy("probe").orderBy("ord", "question_id"))
+    ranked = questions.withColumn("probe", kind).withColumn("rank", rank).where(F.col("rank") <= 3)
+    chosen = ((F.col("probe") == "many") & (F.col("rank") <= 2)) | ((F.col("probe") == "few") & (F.col("rank") == 1))
+    kept = ranked.withColumn("__some", F.max(chosen).over(W.partitionBy(F.lit(1))))  # at most nine rows
+    return kept.where(F.when(F.col("__some"), chosen).otherwise(F.lit(True))).drop("__some")
 
 
 def route_flags(routed: DataFrame) -> DataFrame:

@@ -99,6 +99,14 @@ TARGETS = {"tier-1-def": 4, "tier-2b": 6, "tier-3": 5, "tier-2a": 3, "tier-m": 8
 SCALED = route.scaled_targets(TARGETS, 60)
 
 
+@query("ev35_probe_sample", with_tables("questions", "candidates") + """SELECT question_id, probe, rank FROM (SELECT *, max(CAST(chosen AS INT)) OVER () AS hit FROM (SELECT *, (probe = 'many' AND rank <= 2) OR (probe = 'few' AND rank = 1) AS chosen FROM
+ (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY ord, question_id) AS rank FROM (SELECT question_id, ord, CASE WHEN n >= 24 THEN 'many' WHEN n BETWEEN 1 AND 20 THEN 'few' ELSE 'other' END AS probe
+ FROM questions LEFT JOIN (SELECT question_id, count(*) AS n FROM candidates WHERE title <> '' GROUP BY 1) USING (question_id)))) WHERE rank <= 3) WHERE CASE WHEN hit = 1 THEN chosen ELSE true END""")
+def _(spark, d):
+    n = demo(spark, d, "candidates").where("title <> ''").groupBy("question_id").agg(F.count(F.lit(1)).alias("n_candidates"))
+    return route.probe_sample(demo(spark, d, "questions").join(n, "question_id", "left"), many=24, few=20).select("question_id", "probe", "rank")
+
+
 @query("ev35_tier_sample", ROUTED_SQL + ", t(rule_hit, target) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in SCALED.items()) + ") SELECT question_id, rule_hit, rank FROM (SELECT *, row_number() OVER (PARTITION BY rule_hit ORDER BY ord, question_id) AS rank FROM routed JOIN t USING (rule_hit)) WHERE rank <= target")
 def _(spark, d):
     return route.tier_sample(routed(spark, d), TARGETS, 60).select("question_id", "rule_hit", "rank")
@@ -123,10 +131,10 @@ def _(spark, d):
 UNIT_LIST = "[" + ", ".join(f"'{u}'" for u in T.UNITS) + "]"
 
 
-@query("ev17_tokens", f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, coalesce(array_to_string(list_sort(list_distinct(t))[1:20], ' '), '') AS first_tokens FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)")
+@query("ev17_tokens", f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, md5(coalesce(array_to_string(list_sort(list_distinct(t)), ' '), '')) AS tokens_md5 FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)")
 def _(spark, d):
     t = T.tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"), F.array_join(F.slice(F.array_sort(F.array_distinct(t)), 1, 20), " ").alias("first_tokens"))
+    return table(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"), F.md5(F.array_join(F.array_sort(F.array_distinct(t)), " ").cast("binary")).alias("tokens_md5"))
 
 
 @query("ev18_19_24_text_columns", with_tables("candidates") + "SELECT doc_id, CAST(greatest(1, len(abstract) // 4) AS BIGINT) AS tokens, 'W' || doc_id AS work_id, CASE WHEN len(abstract) > 1400 THEN left(abstract, 1400) || '...' ELSE abstract END AS preview FROM candidates")
@@ -177,7 +185,22 @@ def _(spark, d):
     return C.sectionize(lines(spark, d))
 
 
-@query("ev26_chunk")
+def chunks_sql(target: int, overlap: int) -> str:
+    """Sentences by a mark put where they part, then one step of the fold for each sentence."""
+    return f"""{SECTIONS_SQL},
+sents AS (SELECT doc_id, section_no, heading, page_start, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS s FROM sections),
+sized AS (SELECT *, list_transform(s, lambda x: CAST(greatest(1, len(x) // 4) AS BIGINT)) AS t FROM sents),
+fold AS (SELECT doc_id, section_no, t, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS first, CAST(0 AS HUGEINT) AS n, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM sized
+  UNION ALL
+  SELECT doc_id, section_no, t, i + 1, CASE WHEN f THEN j ELSE first END, CASE WHEN f THEN coalesce(list_sum(t[j + 1:i]), 0) ELSE n END + t[i + 1], CASE WHEN f THEN first END, CASE WHEN f THEN i END
+  FROM (SELECT *, n + t[i + 1] > {target} AND i > first AS f,
+    CASE WHEN n + t[i + 1] > {target} THEN list_min(list_filter(range(first, i + 1), lambda q: coalesce(list_sum(t[q + 1:i]), 0) <= {overlap})) END AS j FROM fold WHERE i < len(t))),
+closed AS (SELECT doc_id, section_no, a, b FROM fold WHERE a IS NOT NULL UNION ALL SELECT doc_id, section_no, first, i FROM fold WHERE i = len(t)),
+chunks AS (SELECT doc_id, section_no, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY b) - 1 AS chunk_no, lower(heading) AS section, page_start AS page,
+  trim(array_to_string(s[a + 1:b], ' ')) AS text, CAST(list_sum(t[a + 1:b]) AS BIGINT) AS tokens FROM closed JOIN sized USING (doc_id, section_no))"""
+
+
+@query("ev26_chunk", f"WITH RECURSIVE {chunks_sql(600, 60)} SELECT doc_id, section_no, chunk_no, section, page, text, tokens FROM chunks")
 def _(spark, d):
     return C.chunk(C.sectionize(lines(spark, d)))
 
@@ -203,28 +226,76 @@ def _(spark, d):
     return scored_chunks(spark, d).withColumn("score", F.round("score", 6)).drop("text")
 
 
-def kept_chunks(spark, d):
-    scored = scored_chunks(spark, d).withColumns({"per_doc_budget": F.lit(400), "top_k_per_doc": F.lit(4), "global_budget": F.lit(3000)})
-    return C.topk_under_budget(scored)
+BUDGETS = {"per_doc_budget": 400, "top_k_per_doc": 4, "global_budget": 3000}
+
+
+def ranked_chunks(spark, d):
+    """Chunks with a score of words and literals alone, and budgets."""
+    asked = demo(spark, d, "candidates").select("doc_id", "question_id", F.col("idx").alias("doc_index"))
+    chunks = C.chunk(C.sectionize(lines(spark, d)), 120, 20).join(asked, "doc_id")
+    joined = chunks.join(C.query_terms(demo(spark, d, "questions"), demo(spark, d, "av_pairs")), "question_id")
+    words = F.size(F.array_intersect("keywords", T.tokens(F.col("text"))))
+    score = words + 0.25 * F.size(F.filter("literals", lambda x: F.instr(F.lower("text"), x) > 0))
+    return joined.withColumn("score", score).drop("keywords", "literals").withColumns({k: F.lit(v) for k, v in BUDGETS.items()})
 
 
-@query("ev29_topk_under_budget")
+def kept_chunks(spark, d):
+    return C.topk_under_budget(ranked_chunks(spark, d))
+
+
+RANKED_SQL = "WITH RECURSIVE " + with_tables("questions", "av_pairs", "candidates")[5:].rstrip() + f""", {chunks_sql(120, 20)},
+flat AS (SELECT question_id, question, flatten(p) AS f FROM questions JOIN (SELECT question_id, {PAIRS_SQL} AS p FROM av_pairs GROUP BY 1) USING (question_id)),
+terms AS (SELECT question_id, list_filter(list_distinct(list_concat({TOKENS.format('question')}, flatten(list_transform(f, lambda x: {TOKENS.format('x')})))), lambda w: len(w) >= 3) AS w,
+  list_distinct(list_transform(list_filter(list_transform(f, lambda x: trim(x)), lambda x: x <> '' AND len(x) <= 40), lambda x: lower(x))) AS l FROM flat),
+ranked AS (SELECT k.*, c.question_id, idx AS doc_index, len(list_intersect(w, list_distinct({TOKENS.format('k.text')}))) + 0.25 * len(list_filter(l, lambda x: contains(lower(k.text), x))) AS score
+  FROM chunks k JOIN candidates c USING (doc_id) JOIN terms USING (question_id)),
+head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY score DESC, section_no, chunk_no) AS place FROM ranked) WHERE place <= {3 * BUDGETS['top_k_per_doc']}),
+pick AS (SELECT DISTINCT question_id, doc_id, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS used, 0 AS n, false AS took FROM head
+  UNION ALL SELECT question_id, doc_id, h, used + CASE WHEN fits THEN tokens ELSE 0 END, n + CAST(fits AS INT), fits
+  FROM (SELECT p.question_id, p.doc_id, h.place AS h, used, n, tokens, used + tokens <= {BUDGETS['per_doc_budget']} AND n < {BUDGETS['top_k_per_doc']} AS fits
+    FROM pick p JOIN head h ON h.question_id = p.question_id AND h.doc_id = p.doc_id AND h.place = p.place + 1)),
+kept AS (SELECT head.* EXCLUDE (place) FROM head JOIN pick USING (question_id, doc_id, place) WHERE took)"""
+CHOSEN_SQL = RANKED_SQL + f""", queue AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_index, section_no, chunk_no) AS place FROM kept),
+taken AS (SELECT DISTINCT question_id, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS used, false AS took FROM queue
+  UNION ALL SELECT question_id, h, used + CASE WHEN fits THEN tokens ELSE 0 END, fits
+  FROM (SELECT p.question_id, q.place AS h, used, tokens, used + tokens <= {BUDGETS['global_budget']} AS fits FROM taken p JOIN queue q ON q.question_id = p.question_id AND q.place = p.place + 1)),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY doc_index, page, place) AS excerpt_no FROM queue JOIN taken USING (question_id, place) WHERE took)"""
+
+
+@query("ev29_topk_under_budget", RANKED_SQL + " SELECT question_id, doc_id, section_no, chunk_no, tokens, CAST(score AS DOUBLE) AS score FROM kept")
 def _(spark, d):
-    return kept_chunks(spark, d).select("question_id", "doc_id", "section_no", "chunk_no", "tokens", F.round("score", 6).alias("score"))
+    return kept_chunks(spark, d).select("question_id", "doc_id", "section_no", "chunk_no", "tokens", F.col("score").cast("double").alias("score"))
 
 
 def excerpts(spark, d):
     return C.global_budget_select(kept_chunks(spark, d))
 
 
-@query("ev30_global_budget_select")
+@query("ev30_global_budget_select", CHOSEN_SQL + " SELECT question_id, excerpt_no, doc_id, section_no, chunk_no, page, tokens, round(CAST(score AS DOUBLE), 3) AS score FROM chosen")
+def _(spark, d):
+    return excerpts(spark, d).select("question_id", "excerpt_no", "doc_id", "section_no", "chunk_no", "page", "tokens", F.col("score").cast("double").alias("score"))
+
+
+PER_DOC_SQL = """, per AS (SELECT question_id, doc_id, coalesce(download_status, 'unknown') AS status, coalesce(m, 0) AS n_chunks, coalesce(kn, 0) AS kept, coalesce(kt, 0) AS kept_tokens,
+  CASE WHEN download_status = 'ok' THEN 'ok' WHEN download_status IN ('already_failed', 'pdf_download_failed', 'no_oa_pdf') THEN 'paywalled' ELSE 'other' END AS bucket
+  FROM candidates LEFT JOIN (SELECT doc_id, count(*) AS m FROM ranked GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS kn, CAST(sum(tokens) AS BIGINT) AS kt FROM kept GROUP BY 1) USING (doc_id))"""
+
+
+def per_document(spark, d):
+    docs = demo(spark, d, "candidates").select("question_id", "doc_id", F.col("download_status").alias("status"))
+    return C.document_excerpts(docs, ranked_chunks(spark, d), kept_chunks(spark, d))
+
+
+@query("ev31_document_excerpts", RANKED_SQL + PER_DOC_SQL + " SELECT question_id, doc_id, status, bucket, n_chunks, kept, kept_tokens FROM per")
 def _(spark, d):
-    return excerpts(spark, d).select("question_id", "excerpt_no", "doc_id", "section_no", "chunk_no", "page", "tokens", "score")
+    return per_document(spark, d).select("question_id", "doc_id", "status", "bucket", "n_chunks", "kept", "kept_tokens")
 
 
-@query("ev31_excerpt_stats")
+@query("ev31_excerpt_stats", CHOSEN_SQL + PER_DOC_SQL + """ SELECT *, docs_with_chunks < 0.5 * n_docs AS low_coverage FROM (SELECT question_id, count(*) AS n_docs, count(*) FILTER (kept > 0) AS docs_with_chunks,
+  count(*) FILTER (bucket = 'ok') AS n_ok, count(*) FILTER (bucket = 'paywalled') AS n_paywalled, count(*) FILTER (bucket = 'other') AS n_other FROM per GROUP BY 1)
+  JOIN (SELECT p.question_id, count(c.doc_id) AS n_excerpts, CAST(coalesce(sum(c.tokens), 0) AS BIGINT) AS total_tokens FROM (SELECT DISTINCT question_id FROM per) p LEFT JOIN chosen c ON c.question_id = p.question_id GROUP BY 1) USING (question_id)""")
 def _(spark, d):
-    return C.excerpt_stats(scored_chunks(spark, d), excerpts(spark, d))
+    return C.excerpt_stats(per_document(spark, d), excerpts(spark, d))
 
 
 def _bm25_sql(k: int) -> str:

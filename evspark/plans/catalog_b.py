@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evspark.operators import assemble, cite, docfilter, evaluate, ingest
@@ -110,10 +111,12 @@ def _(spark, d):
 
 
 def shared_uris(df):
-    return df.withColumn("uri", F.concat(F.lit("u"), (F.col("doc_id") % 97).cast("string")))
+    """Addresses that several documents share; some are null or empty."""
+    shared = F.concat(F.lit("u"), (F.col("doc_id") % 97).cast("string"))
+    return df.withColumn("uri", F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 11 == 0, "").otherwise(shared))
 
 
-THROTTLE_SQL = PRE + GUARD_SQL + """, u AS (SELECT *, 'u' || (doc_id % 97) AS u FROM guarded), f AS (SELECT *, min(question_id) FILTER (final_label = 'full' AND gated) OVER (PARTITION BY u) AS first, count(*) FILTER (final_label = 'full') OVER (PARTITION BY question_id) AS nfull FROM u),
+THROTTLE_SQL = PRE + GUARD_SQL + """, u AS (SELECT *, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'u' || (doc_id % 97) END AS u FROM guarded), f AS (SELECT *, min(question_id) FILTER (final_label = 'full' AND gated) OVER (PARTITION BY u) AS first, count(*) FILTER (final_label = 'full') OVER (PARTITION BY question_id) AS nfull FROM u),
 s AS (SELECT *, final_label = 'full' AND gated AND first < question_id AS seen FROM f), t AS (SELECT *, row_number() OVER (PARTITION BY question_id, seen ORDER BY idx) AS place FROM s)
 SELECT question_id, doc_id, coalesce(seen AND place <= CASE WHEN nfull > doc_filter_min_keep + 2 THEN nfull - doc_filter_min_keep - 2 ELSE 0 END, false) AS throttled FROM t"""
 
@@ -124,7 +127,9 @@ def _(spark, d):
 
 
 @query("ev47_filter_summary", PRE + GUARD_SQL + """ SELECT *, n_drop > 0.5 * n_docs AS high_drop, n_full = n_docs AS all_full, n_drop = n_docs AS none_kept FROM (SELECT question_id, count(*) AS n_docs, count(*) FILTER (final_label = 'full') AS n_full, count(*) FILTER (final_label = 'abstract') AS n_abstract,
- count(*) FILTER (final_label = 'drop') AS n_drop, coalesce(string_agg(left(title, 80), ' | ' ORDER BY idx) FILTER (final_label = 'full'), '') AS full_titles FROM guarded GROUP BY 1)""")
+ count(*) FILTER (final_label = 'drop') AS n_drop, coalesce(string_agg(left(title, 80), ' | ' ORDER BY idx) FILTER (final_label = 'full'), '') AS full_titles,
+ coalesce(string_agg(left(title, 80), ' | ' ORDER BY idx) FILTER (final_label = 'abstract'), '') AS abstract_titles,
+ coalesce(string_agg(left(title, 80), ' | ' ORDER BY idx) FILTER (final_label = 'drop'), '') AS drop_titles FROM guarded GROUP BY 1)""")
 def _(spark, d):
     return docfilter.filter_summary(guarded(spark, d))
 
@@ -144,15 +149,35 @@ def _(spark, d):
 
 
 @query("ev50_documents_block", PRE + GUARD_SQL + """, k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CAST(final_label <> 'full' AS INT), idx) AS number FROM guarded WHERE final_label <> 'drop'),
-b AS (SELECT question_id, number, final_label, chr(10) || '=== Document [' || number || ']: ' || title || CASE WHEN final_label = 'full' THEN '' WHEN download_status IN ('already_failed', 'failed') THEN ' [abstract only: no full text]' ELSE ' (abstract)' END || ' ===' || chr(10) || 'URI: ' || uri || CASE WHEN final_label = 'full' THEN CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '<<< Section: results | p. 1 >>>' || chr(10) || left(abstract, 50) WHEN abstract <> '' THEN chr(10) || chr(10) || '[abstract only: no excerpt]' || chr(10) || abstract ELSE '' END WHEN abstract <> '' THEN chr(10) || abstract ELSE '' END AS t FROM k)
-SELECT question_id, md5(block) AS block_md5, n_docs, n_excerpts, len(block) AS n_chars, len(string_split(block, chr(10))) AS n_lines FROM (SELECT question_id, string_agg(t, chr(10) ORDER BY number) AS block, count(*) AS n_docs FROM b GROUP BY 1) JOIN (SELECT question_id, count(*) FILTER (final_label = 'full' AND doc_id % 2 = 0) AS n_excerpts FROM k GROUP BY 1) USING (question_id)""")
+b AS (SELECT question_id, number, final_label, chr(10) || '=== Document [' || number || ']: ' || title || CASE WHEN final_label = 'full' THEN '' WHEN download_status IN ('already_failed', 'failed') THEN ' [abstract only: no full text]' ELSE ' (abstract)' END || ' ===' || chr(10) || 'URI: ' || uri || CASE WHEN final_label = 'full' THEN CASE WHEN contains(abstract, chr(10)) THEN chr(10) || chr(10) || '<<< Section: unknown | p. ? >>>' || chr(10) || title || chr(10) || chr(10) || '<<< Section: results | p. 1 >>>' || chr(10) || abstract WHEN abstract <> '' THEN chr(10) || chr(10) || '[abstract only: no excerpt]' || chr(10) || abstract ELSE '' END WHEN abstract <> '' THEN chr(10) || abstract ELSE '' END AS t FROM k)
+SELECT question_id, md5(block) AS block_md5, n_docs, n_excerpts, len(block) AS n_chars, len(string_split(block, chr(10))) AS n_lines FROM (SELECT question_id, string_agg(t, chr(10) ORDER BY number) AS block, count(*) AS n_docs FROM b GROUP BY 1) JOIN (SELECT question_id, 2 * count(*) FILTER (final_label = 'full' AND contains(abstract, chr(10))) AS n_excerpts FROM k GROUP BY 1) USING (question_id)""")
 def _(spark, d):
     docs = guarded(spark, d)
-    parts = demo(spark, d, "candidates").where("doc_id % 2 = 0").select("question_id", "doc_id", F.lit(1).alias("page"), F.lit(1).alias("excerpt_no"), F.lit("results").alias("section"), F.substring("abstract", 1, 50).alias("text"))
-    got = assemble.documents_block(docs, parts)
+    broken = demo(spark, d, "candidates").where(F.col("abstract").contains("\n")).select("question_id", "doc_id", "abstract", "title")
+    first = F.struct(F.lit(1).alias("page"), F.lit(1).alias("excerpt_no"), F.lit("results").alias("section"), F.col("abstract").alias("text"))
+    second = F.struct(F.lit(None).cast("int").alias("page"), F.lit(2).alias("excerpt_no"), F.lit(None).cast("string").alias("section"), F.col("title").alias("text"))
+    got = assemble.documents_block(docs, broken.select("question_id", "doc_id", F.explode(F.array(first, second)).alias("e")).select("question_id", "doc_id", "e.*"))
     return got.select("question_id", F.md5(F.col("block").cast("binary")).alias("block_md5"), "n_docs", "n_excerpts", "n_chars", "n_lines")
 
 
+_NAMES = "CASE n_authors WHEN 0 THEN NULL WHEN 1 THEN lead || '-1' WHEN 2 THEN lead || '-1, ' || lead || '-2' ELSE lead || '-1 et al.' END"
+
+
+@query("ev50_cited_block", PRE + GUARD_SQL + ", " + with_tables("works")[5:].rstrip() + f""", k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CAST(final_label <> 'full' AS INT), idx) AS number FROM guarded WHERE final_label <> 'drop'),
+w AS (SELECT 'W' || k.doc_id AS work_id, k.*, CAST(w.year AS VARCHAR) AS y, {_NAMES} AS names, CASE WHEN k.title = '' THEN 'Unknown' ELSE k.title END AS t FROM k JOIN works w ON w.work_id = 'W' || k.doc_id),
+b AS (SELECT question_id, number, '=== Document [' || number || ']: "' || t || '" ===' || chr(10) || 'Authors: ' || coalesce(names, '') || ' (' || coalesce(y, '') || ') | ' || uri || chr(10) || 'Abstract: ' || abstract || chr(10)
+ || CASE WHEN final_label = 'full' AND contains(abstract, chr(10)) THEN 'Full-text excerpts:' || chr(10) || '  <<< Section: results | p. 1 >>>' || chr(10) || '  ' || abstract ELSE '(Abstract only)' END || chr(10) AS x,
+ '[' || number || '] ' || coalesce(names, 'Unknown') || ' (' || coalesce(y, 'n.d.') || '). ' || t || '. ' || uri AS r FROM w)
+SELECT question_id, md5(block) AS block_md5, len(block) AS n_chars FROM (SELECT question_id, string_agg(x, chr(10) ORDER BY number) || chr(10) || chr(10) || '[VALIDATED REFERENCES]' || chr(10) || string_agg(r, chr(10) ORDER BY number) AS block FROM b GROUP BY 1)""")
+def _(spark, d):
+    known = works(spark, d).select(F.col("number").alias("doc_id"), "year", "authors")
+    docs = guarded(spark, d).join(known, "doc_id")
+    full = docs.where((F.col("final_label") == "full") & F.col("abstract").contains("\n"))
+    numbers = docs.where("final_label = 'full'").select("question_id", "doc_id", F.row_number().over(W.partitionBy("question_id").orderBy("idx")).alias("doc_index"))
+    parts = full.join(numbers, ["question_id", "doc_id"]).select("question_id", "doc_index", F.lit(1).alias("page"), F.lit(1).alias("excerpt_no"), F.lit("results").alias("section"), F.col("abstract").alias("text"))
+    return assemble.cited_block(docs, parts).select("question_id", F.md5(F.col("block").cast("binary")).alias("block_md5"), F.length("block").alias("n_chars"))
+
+
 @query("ev51_context_views", with_tables("assessed").rstrip() + """, r AS (SELECT *, '[' || (idx + 1) || '] ' || CASE WHEN trim(title) <> '' THEN trim(title) ELSE 'Untitled' END AS head, printf('%.2f', CAST(relevance_score AS DOUBLE)) AS rel FROM assessed WHERE include)
 SELECT question_id, md5(string_agg(head || chr(10) || 'relevance: ' || rel || CASE WHEN trim(abstract) <> '' THEN chr(10) || 'text: ' || abstract ELSE '' END || chr(10) || 'uri: ' || uri, chr(10) || chr(10) ORDER BY idx)) AS full_md5, md5(string_agg(head || chr(10) || 'text: ' || left(abstract, 200), chr(10) || chr(10) ORDER BY idx)) AS slim_md5, string_agg(head || ': ' || rel, chr(10) ORDER BY idx) AS score_view FROM r GROUP BY 1""")
 def _(spark, d):
@@ -212,6 +237,11 @@ def _(spark, d):
     return answers(spark, d).select("answer_id", F.md5(cite.strip_references(F.col("text")).cast("binary")).alias("body_md5"))
 
 
+@query("ev56_strip_references_loose", ANS + "SELECT answer_id, md5(CASE WHEN conv_id % 3 = 0 THEN regexp_replace(split_part(text, chr(10) || '## References' || chr(10), 1), '\\s+$', '') ELSE text END) AS body_md5 FROM answers")
+def _(spark, d):
+    return answers(spark, d).select("answer_id", F.md5(cite.strip_references_loose(F.col("text")).cast("binary")).alias("body_md5"))
+
+
 CITED_SQL = "list_sort(list_distinct(list_transform(flatten(list_transform(regexp_extract_all(text, '\\[([0-9, \\t\\n]+)\\]', 1), lambda g: regexp_extract_all(g, '[0-9]{1,9}'))), lambda n: CAST(n AS INT))))"
 
 
@@ -242,7 +272,11 @@ def _(spark, d):
     return cite.verify_references(answers(spark, d), numbered(spark, d))
 
 
-@query("ev60_renumber_citations")
+@query("ev60_renumber_citations", VERIFIED_SQL + """, per AS (SELECT answer_id, map_from_entries(list(DISTINCT {'k': CAST(old AS VARCHAR), 'v': CAST(new AS VARCHAR)})) AS m FROM verified GROUP BY 1),
+ lin AS (SELECT answer_id, string_agg('[' || new || '] ' || coalesce(title, uri), chr(10) ORDER BY new) AS lines FROM (SELECT DISTINCT answer_id, new, title, uri FROM verified WHERE old = kept_idx) GROUP BY 1),
+ cut AS (SELECT answer_id, m, lines, string_split_regex(text, '\\[[0-9]+\\]') AS g, regexp_extract_all(text, '\\[([0-9]+)\\]', 1) AS k FROM answers LEFT JOIN per USING (answer_id) LEFT JOIN lin USING (answer_id)),
+ body AS (SELECT answer_id, lines, regexp_replace(array_to_string(list_transform(range(1, len(g) + 1), lambda i: CASE WHEN i = 1 THEN '' ELSE '[' || coalesce(m[k[i - 1]], k[i - 1]) || ']' END || g[i]), ''), '(?:\\s*\\[[0-9]+\\])+\\s*$', '') AS b FROM cut)
+ SELECT answer_id, md5(t) AS text_md5, len(t) AS n_chars FROM (SELECT answer_id, CASE WHEN lines IS NULL THEN b ELSE b || chr(10) || chr(10) || '## References' || chr(10) || lines END AS t FROM body)""")
 def _(spark, d):
     a = answers(spark, d)
     return cite.renumber_citations(a, cite.verify_references(a, numbered(spark, d))).select("answer_id", F.md5(F.col("renumbered").cast("binary")).alias("text_md5"), F.length("renumbered").alias("n_chars"))
@@ -388,9 +422,9 @@ def _(spark, d):
     return evaluate.score_anomalies(demo(spark, d, "fives"), FIVE).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ev74_dlr_overall", with_tables("fives") + "SELECT doc_id, round((s0 + s1 + s2 + s3 + s4) / 5.0, 4) AS overall_score FROM fives")
+@query("ev74_judge_overall", with_tables("fives") + "SELECT doc_id, round((s0 + s1 + s2 + s3 + s4) / 5.0, 4) AS overall_score FROM fives")
 def _(spark, d):
-    return evaluate.dlr_overall(demo(spark, d, "fives"), FIVE).select("doc_id", "overall_score")
+    return evaluate.judge_overall(demo(spark, d, "fives"), FIVE).select("doc_id", "overall_score")
 
 
 _FILL = ", ".join(
@@ -432,7 +466,7 @@ def _(spark, d):
 
 # --- ingestion -------------------------------------------------------------------------------
 
-ASKED = "SELECT doc_id AS ord, CASE WHEN doc_id % 12 = 0 THEN '  ' ELSE left(text, 12) END AS question FROM documents"
+ASKED = "SELECT doc_id AS ord, CASE WHEN doc_id % 12 = 0 THEN '  ' ELSE text END AS question FROM documents"
 
 
 @query("ev01_load_questions", f"WITH r AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS index FROM ({ASKED})) SELECT ord, index, question FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(question)) ORDER BY ord) AS f FROM r WHERE trim(question) <> '') WHERE f = 1")
@@ -443,7 +477,7 @@ def _(spark, d):
 
 def raw_results(spark, d):
     """JSON, Python literals, blanks and junk made from the documents."""
-    t = F.regexp_replace(F.substring("text", 1, 40), "[\"'\\\\\n]", " ")
+    t = F.regexp_replace("text", "[\"'\\\\\\\\\\x00-\\x1F]", " ")
     kind = F.col("doc_id") % 5
     js = F.concat(F.lit('[{"title": "'), t, F.lit('", "_id": 1, "abstract": null, "science_keywords": [{"name": "k", "_rev": "x"}]}]'))
     py = F.concat(F.lit("[{'title': '"), t, F.lit("', 'embedding': [1.0], 'abstract': None}, {'title': 'b'}]"))
@@ -451,9 +485,16 @@ def raw_results(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), raw.alias("kg_results"))
 
 
-@query("ev02_parse_kg_results", "SELECT doc_id AS question_id, CAST(CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS BIGINT) AS n_docs, doc_id % 5 <> 3 AS parsed FROM documents")
+_PLAIN = "regexp_replace(text, '[\"''\\\\\\x00-\\x1F]', ' ', 'g')"
+
+
+@query("ev02_parse_kg_results", f"SELECT doc_id AS question_id, CAST(CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS BIGINT) AS n_docs, doc_id % 5 <> 3 AS parsed, md5(CASE WHEN doc_id % 5 < 2 THEN {_PLAIN} ELSE '' END) AS title_md5, CASE doc_id % 5 WHEN 0 THEN 'title,science_keywords' WHEN 1 THEN 'title' ELSE '' END AS keys, CASE WHEN doc_id % 5 = 0 THEN '[{{\"name\":\"k\"}}]' ELSE '' END AS keywords FROM documents")
 def _(spark, d):
-    return ingest.parse_kg_results(raw_results(spark, d)).select("question_id", F.size("docs").alias("n_docs"), "parsed")
+    first = F.get("docs", F.lit(0))
+    got = ingest.parse_kg_results(raw_results(spark, d))
+    title, keys = F.get_json_object(first, "$.title"), F.array_join(F.json_object_keys(first), ",")
+    blank = F.lit("")
+    return got.select("question_id", F.size("docs").alias("n_docs"), "parsed", F.md5(F.coalesce(title, blank).cast("binary")).alias("title_md5"), F.coalesce(keys, blank).alias("keys"), F.coalesce(F.get_json_object(first, "$.science_keywords"), blank).alias("keywords"))
 
 
 @query("ev03_kg_result_stats", "SELECT doc_id AS question_id, CAST(doc_id % 3 AS BIGINT) AS n_docs, CAST(doc_id % 3 * 2 AS BIGINT) AS n_keywords, CAST(doc_id % 3 * 2 * (doc_id % 2) AS BIGINT) AS n_secondary, CAST(doc_id % 3 + doc_id % 3 * 2 + doc_id % 3 * 2 * (doc_id % 2) AS BIGINT) AS n_nodes FROM documents")
@@ -465,20 +506,20 @@ def _(spark, d):
     return ingest.kg_result_stats(rows).select("question_id", "n_docs", "n_keywords", "n_secondary", "n_nodes")
 
 
-@query("ev04_parse_structured_context", "SELECT doc_id AS question_id, position, title, content FROM (SELECT doc_id, unnest([0, 2]::BIGINT[]) AS position, unnest(['T' || doc_id, trim(split_part(b, '.', 1))]) AS title, unnest([left(b, 3000), left(b, 3000)]) AS content FROM (SELECT doc_id, regexp_replace(regexp_replace(left(replace(replace(text, '---', ' '), '#', ' '), 5000), '^\\s+', ''), '\\s+$', '') AS b FROM documents)) WHERE content <> ''")
+@query("ev04_parse_structured_context", "SELECT doc_id AS question_id, position, title, content FROM (SELECT doc_id, unnest([0, 2]::BIGINT[]) AS position, unnest(['T' || doc_id, trim(split_part(b, '.', 1))]) AS title, unnest([left(b, 3000), left(b, 3000)]) AS content FROM (SELECT doc_id, regexp_replace(regexp_replace(replace(replace(text, '---', ' '), '#', ' '), '^\\s+', ''), '\\s+$', '') AS b FROM documents)) WHERE content <> ''")
 def _(spark, d):
-    b = F.regexp_replace(F.substring(F.replace(F.replace("text", F.lit("---"), F.lit(" ")), F.lit("#"), F.lit(" ")), 1, 5000), r"^\s+|\s+$", "")
+    b = F.regexp_replace(F.replace(F.replace("text", F.lit("---"), F.lit(" ")), F.lit("#"), F.lit(" ")), r"^\s+|\s+$", "")
     text = F.concat(F.lit("x RELATED DOCUMENTS\nTitle: T"), F.col("doc_id").cast("string"), F.lit("\n"), b, F.lit("\n---\n# skip\n---\n"), b, F.lit("\nRELATED TOPICS y"))
     rows = table(spark, d, "documents").where(F.length(b) > 0).select(F.col("doc_id").alias("question_id"), text.alias("context"))
     return ingest.parse_structured_context(rows)
 
 
-@query("ev07_metadata_enrich", with_tables("candidates", "works") + "SELECT doc_id, CASE WHEN w.work_id IS NULL OR n_authors = 0 THEN 'No author' ELSE lead || '-1' END AS author, coalesce(CAST(year AS VARCHAR), 'No year') AS year_text, w.title AS work_title FROM candidates c LEFT JOIN works w ON w.work_id = 'W' || c.doc_id AND CAST(substr(w.work_id, 2) AS BIGINT) % 4 <> 3")
+@query("ev07_metadata_enrich", with_tables("candidates", "works") + "SELECT doc_id, CASE WHEN w.work_id IS NULL OR n_authors = 0 THEN 'No author' ELSE lead || '-1' END AS author, coalesce(CAST(year AS VARCHAR), 'No year') AS year_text, w.title AS work_title FROM candidates c LEFT JOIN works w ON w.work_id = 'W' || c.doc_id")
 def _(spark, d):
     from evspark.functions.text import work_id
 
     docs = demo(spark, d, "candidates").withColumn("work_id", work_id(F.col("uri")))
-    return ingest.metadata_enrich(docs, works(spark, d).where("number % 4 <> 3")).select("doc_id", "author", "year_text", "work_title")
+    return ingest.metadata_enrich(docs, works(spark, d)).select("doc_id", "author", "year_text", "work_title")
 
 
 @query("ev08_link_candidates", with_tables("works") + "SELECT work_id, place, url FROM (SELECT work_id, unnest(range(0, len(u))) AS place, unnest(u) AS url FROM (SELECT work_id, list_concat(list_filter([best_pdf, primary_pdf], lambda x: x IS NOT NULL), [best_page || '/pdf']) AS u FROM works))")
@@ -501,11 +542,11 @@ def _(spark, d):
     return ingest.fetch_counters(ingest.fetch_status_report(demo(spark, d, "candidates"), demo(spark, d, "fetches")))
 
 
-@query("ev11_cache_audit", "WITH p AS (SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN 0 ELSE n_chars END AS b FROM documents WHERE doc_id % 6 <> 0), t AS (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0), f AS (SELECT doc_id FROM documents WHERE doc_id % 10 = 0) SELECT (SELECT count(*) FROM p) AS n_pdfs, (SELECT count(*) FROM p WHERE b = 0) AS empty_pdfs, (SELECT count(*) FROM t) AS n_texts, (SELECT count(*) FROM f) AS n_failures, (SELECT count(*) FROM t ANTI JOIN p USING (doc_id)) AS texts_without_pdf, (SELECT count(*) FROM p ANTI JOIN t USING (doc_id)) AS pdfs_without_text, round(100.0 * (SELECT count(*) FROM t) / ((SELECT count(*) FROM t) + (SELECT count(*) FROM f)), 1) AS success_percent")
+@query("ev11_cache_audit", "WITH p AS (SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN 0 ELSE n_chars END AS b FROM documents WHERE source <> 'src3'), t AS (SELECT doc_id FROM documents WHERE lang <> 'de'), f AS (SELECT doc_id FROM documents WHERE lang = 'de') SELECT (SELECT count(*) FROM p) AS n_pdfs, (SELECT count(*) FROM p WHERE b = 0) AS empty_pdfs, (SELECT count(*) FROM t) AS n_texts, (SELECT count(*) FROM f) AS n_failures, (SELECT count(*) FROM t ANTI JOIN p USING (doc_id)) AS texts_without_pdf, (SELECT count(*) FROM p ANTI JOIN t USING (doc_id)) AS pdfs_without_text, round(100.0 * (SELECT count(*) FROM t) / ((SELECT count(*) FROM t) + (SELECT count(*) FROM f)), 1) AS success_percent")
 def _(spark, d):
     docs = table(spark, d, "documents").withColumn("work_id", F.col("doc_id"))
-    pdfs = docs.where("doc_id % 6 <> 0").select("work_id", F.when(F.col("doc_id") % 41 == 0, 0).otherwise(F.col("n_chars")).alias("bytes"))
-    return ingest.cache_audit(pdfs, docs.where("doc_id % 4 <> 0").select("work_id"), docs.where("doc_id % 10 = 0").select("work_id"))
+    pdfs = docs.where("source <> 'src3'").select("work_id", F.when(F.col("doc_id") % 41 == 0, 0).otherwise(F.col("n_chars")).alias("bytes"))
+    return ingest.cache_audit(pdfs, docs.where("lang <> 'de'").select("work_id"), docs.where("lang = 'de'").select("work_id"))
 
 
 @query("ev11_failure_reasons", with_tables("errors") + "SELECT left(message, 60) AS reason, count(*) AS n FROM errors GROUP BY 1 ORDER BY n DESC, reason LIMIT 10")
@@ -513,18 +554,18 @@ def _(spark, d):
     return ingest.failure_reasons(demo(spark, d, "errors").withColumnRenamed("message", "reason"))
 
 
-_ROWS = "SELECT CAST(o_orderkey % 5000 AS BIGINT) AS k, o_orderkey AS ord, o_totalprice AS v FROM orders WHERE o_orderkey % 2 = {0}"
+_ROWS = "SELECT CAST(o_custkey AS BIGINT) AS k, o_orderkey AS ord, o_totalprice AS v FROM orders WHERE (o_orderstatus = 'F') = {0}"
 
 
 def _halves(spark, d):
-    return [spark.sql(_ROWS.format(i).replace("FROM orders", "FROM {orders}"), orders=table(spark, d, "orders")) for i in (0, 1)]
+    return [spark.sql(_ROWS.format(bool(i)).replace("FROM orders", "FROM {orders}"), orders=table(spark, d, "orders")) for i in (0, 1)]
 
 
 def _keys(df):
     return df.withColumn("k", F.floor(F.col("k") / 3).cast("long"))
 
 
-_A, _B = (f"(SELECT CAST(floor(k / 3) AS BIGINT) AS k, ord, v FROM ({_ROWS.format(i)}))" for i in (0, 1))
+_A, _B = (f"(SELECT CAST(floor(k / 3) AS BIGINT) AS k, ord, v FROM ({_ROWS.format(bool(i))}))" for i in (0, 1))
 
 
 @query("ev12_upsert", f"WITH a AS {_A}, b AS (SELECT * FROM {_B} QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord DESC) = 1) SELECT k, ord, v FROM a ANTI JOIN b USING (k) UNION ALL SELECT k, ord, v FROM b")
@@ -560,14 +601,23 @@ def _(spark, d):
     return ingest.export_results(rows).drop("text")
 
 
+def raw_scores(spark, d):
+    """Scores as JSON, some of it in fences and some broken off."""
+    body = F.to_json(F.struct(F.struct(*CRITERIA).alias("scores")))
+    fenced = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
+    raw = F.when(F.col("ord") % 9 == 0, F.concat(F.substring(body, 1, 11), F.lit('"scientifi'))).when(F.col("ord") % 2 == 0, fenced).otherwise(body)
+    return demo(spark, d, "judged").select("ord", raw.alias("raw"))
 
 
 @query("ev16_parse_llm_responses", with_tables("judged") + "SELECT ord, ok, " + ", ".join(f"CAST(CASE WHEN ok THEN {c} END AS BIGINT) AS {c}" for c in CRITERIA) + f" FROM (SELECT *, ord % 9 <> 0 AND {_ALL} AS ok FROM judged)")
 def _(spark, d):
-    j = demo(spark, d, "judged")
-    body = F.to_json(F.struct(F.struct(*CRITERIA).alias("scores")))
-    raw = F.when(F.col("ord") % 9 == 0, F.substring(body, 1, 20)).when(F.col("ord") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
-    return ingest.parse_judge_scores(j.select("ord", raw.alias("raw")), CRITERIA).select("ord", "ok", *CRITERIA)
+    return ingest.parse_judge_scores(raw_scores(spark, d), CRITERIA).select("ord", "ok", *CRITERIA)
+
+
+@query("ev16_rejected_responses", with_tables("judged") + f"SELECT ord, CASE WHEN ord % 9 = 0 THEN 'no json' ELSE 'missing' END AS reason, md5(CASE WHEN ord % 9 = 0 THEN '{{\"scores\":{{\"scientifi' END) AS raw_md5 FROM judged WHERE ord % 9 = 0 OR NOT ({_ALL})")
+def _(spark, d):
+    rejected = ingest.split_responses(raw_scores(spark, d), CRITERIA)[1]
+    return rejected.select("ord", "reason", F.when(F.col("reason") == "no json", F.md5(F.col("raw").cast("binary"))).alias("raw_md5"))
 
 
 @query("ev16_parse_profiles", with_tables("profiles") + "SELECT question_id, CASE WHEN question_id % 4 = 0 THEN 'continuous' ELSE question_type END AS question_type, CASE WHEN question_id % 4 = 0 THEN 0.5 ELSE CAST(complexity AS DOUBLE) END AS complexity, CASE WHEN question_id % 4 = 0 THEN NULL ELSE CAST(confidence AS DOUBLE) END AS confidence FROM profiles")

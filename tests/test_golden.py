@@ -217,11 +217,139 @@ def test_expand_without_self(spark):
 
 
 def test_stream_upsert(spark, tmp_path):
-    from evspark.streaming.results import stream_results_upsert
-
-    for i, rows in enumerate([[(1, 1, "a"), (2, 2, "b")], [(1, 3, "c")]]):
-        spark.createDataFrame(rows, "k int, ord int, v string").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-        source = spark.readStream.schema("k int, ord int, v string").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-        stream = stream_results_upsert(source, f"{tmp_path}/out", ["k"], f"{tmp_path}/state").trigger(availableNow=True).start()
-        stream.awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/v=1").collect())) == [(1, 3, "c"), (2, 2, "b")]
+    from evspark.streaming.results import compact_results, read_results, stream_results_upsert
+
+    schema = spark.createDataFrame([], "k int, ord int, v string").schema
+    assert read_results(spark, f"{tmp_path}/none", ["k"], schema).count() == 0
+    for i, rows in enumerate([[(1, 1, "a"), (2, 2, "b"), (2, 1, "z")], [(1, 3, "c")], []]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        stream_results_upsert(source, f"{tmp_path}/out", ["k"], f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, read_results(spark, f"{tmp_path}/out", ["k"], schema).collect())) == [(1, 3, "c"), (2, 2, "b")]
+    compact_results(spark, f"{tmp_path}/out", f"{tmp_path}/new", ["k"], schema)
+    spark.createDataFrame([(2, 9, "d")], schema).write.parquet(f"{tmp_path}/new/batch=0")
+    assert sorted(map(tuple, read_results(spark, f"{tmp_path}/new", ["k"], schema).collect())) == [(1, 3, "c"), (2, 9, "d")]
+
+
+def test_throttle_with_null_addresses_and_known_uses(spark):
+    rows = [(q, i, None if i % 2 else "", f"d{q}{i}", "full", True, 1) for q in (1, 2) for i in range(5)]
+    rows += [(3, i, "u1", f"x{i}", "full", True, 1) for i in range(5)] + [(4, i, "u1" if i < 3 else None, "x9" if i == 3 else None, "full", True, 1) for i in range(5)]
+    docs = spark.createDataFrame(rows, "question_id long, idx int, uri string, doc_id string, final_label string, gated boolean, doc_filter_min_keep int")
+    got = docfilter.reuse_throttle(docs).where("throttled").select("question_id", "idx").collect()
+    assert sorted(map(tuple, got)) == [(4, 0), (4, 1)]  # no document without an address is the same as another
+    known = spark.createDataFrame([("d10", 0), ("x9", 0)], "doc_key string, first_question long")
+    got = docfilter.reuse_throttle(docs, known).where("throttled").select("question_id", "idx").collect()
+    assert sorted(map(tuple, got)) == [(1, 0), (4, 0), (4, 1)]
+
+
+def test_streamed_throttle_sees_what_had_arrived(spark, tmp_path):
+    from evspark.streaming.results import stream_reuse_throttle
+
+    schema = "question_id long, idx int, uri string, doc_id string, final_label string, gated boolean, doc_filter_min_keep int"
+    everything = []
+    for q in range(1, 5):
+        rows = [(q, i, f"u{i % 3}", f"{q}{i}", "full", True, 0) for i in range(4)]
+        everything += rows
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        stream_reuse_throttle(source, f"{tmp_path}/out", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    want = docfilter.reuse_throttle(spark.createDataFrame(everything, schema)).select("question_id", "idx", "throttled").collect()
+    got = spark.read.parquet(f"{tmp_path}/out/rows").select("question_id", "idx", "throttled").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and sum(r.throttled for r in got) == 6
+
+
+def test_bounded_bm25_equals_scoring_everything(spark):
+    import random
+
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    docs = [(i, " ".join(r.choices(words, weights, k=r.randint(0, 6))), " ".join(r.choices(words, weights, k=r.randint(0, 40)))) for i in range(300)]
+    queries = [(q, " ".join(r.choices(words, weights, k=8) + r.choices(words[30:], k=2 * (q % 2)))) for q in range(12)] + [(50, "w0 w1"), (51, "absent"), (52, None)]
+    docs = spark.createDataFrame(docs, "doc_id long, title string, abstract string")
+    queries = spark.createDataFrame(queries, "question_id long, question string")
+    terms, parts = retrieve.postings(queries, docs)
+    want = terms.join(parts, "term").groupBy("question_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    for k, lead in ((5, 1), (5, 8), (16, 2), (400, 1)):
+        best = {}
+        for x in sorted(want.collect(), key=lambda x: (-x.score, x.doc_id)):
+            best.setdefault(x.question_id, []).append((x.doc_id, x.score))
+        got = {}
+        for x in sorted(retrieve.bm25_topk(queries, docs, k, lead).collect(), key=lambda x: x["rank"]):
+            got.setdefault(x.question_id, []).append((x.doc_id, x.score))
+        assert got == {q: v[:k] for q, v in best.items()}
+
+
+def test_sums_before_any_order(spark):
+    from evspark.operators.running import sums_before
+
+    rows = [("a" if i % 5 else "b", (i * 7919) % 1_000_003 - 500_000, i % 3 or None) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, ord long, v long").repartition(3)
+    got = {r.ord: r.s for r in sums_before(df, ["g"], ["ord"], {"s": F.col("v")}).collect()}
+    for g, o, _ in rows:
+        assert got[o] == sum(v or 0 for h, p, v in rows if h == g and p < o)
+    assert [r["index"] for r in ingest.with_index(df, "ord").orderBy("ord").collect()] == list(range(400))
+    assert sums_before(df.limit(0), ["g"], ["ord"], {"s": F.col("v")}).count() == 0
+
+
+def test_probe_sample(spark):
+    def picked(counts):
+        rows = spark.createDataFrame([(i, i, n) for i, n in enumerate(counts)], "question_id int, ord int, n_candidates int")
+        return sorted(r.question_id for r in route.probe_sample(rows).collect())
+
+    assert picked([0, 7, 5, 2, 6, 9, 1]) == [1, 3, 4]
+    assert picked([4, 5, None, 0]) == [0, 1, 2]
+    assert picked([2]) == [0]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (None, ""), ("a\n**References**\nb", "a"), ("References", ""), ("a\n## REFERENCES \nx", "a"), ("a\nreferences:\nx", "a"), ("a\nreferences\nx", "a\nreferences\nx"),
+        ("a\n\n### References\n[1] b", "a"), ("a References", "a References"),
+    ],
+)
+def test_strip_references_loose(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(cite.strip_references_loose(F.col("t")).alias("x")).first().x == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("3, 7 confirm that", "[3][7] confirm that"), ("\n3, 45 show", "\n[3] show"), ("40, 45 show", "40, 45 show"), ("see [3, 7, 9].", "see [3][7][9]."), ("[2020, 31]", "[2020][31]"),
+        ("word 3, 7.", "word [3][7]."), ("rate 4.85 mas", "rate 4.85 mas"), ("size 2.16 Ma", "size 2.16 Ma"), ("rose 3, 4 abc", "rose [3], 4 abc"), ("in 2020, it", "in 2020, it"),
+        ("was 5; then", "was [5]; then"), ("[1] 4\nnext", "[1] [4]\nnext"), ("a 31.", "a 31."), ("a 7--b", "a [7]--b"), ("50% 8 [2]", "50% [8] [2]"), ("x 345.", "x 345."), ("é 5.", "é 5."), ("end 9", "end [9]"),
+    ],
+)
+def test_marks_of_lists(text, want):
+    assert cite.normalize_one(text) == want
+
+
+def test_numbers_against_python(spark):
+    """Counts and scores against Python's own engine, over words, signs, exponents and glued letters."""
+    import random
+    import re
+
+    r = random.Random(9)
+    texts = ["".join(r.choice(["1", "2", "34", "e", "E", "x", "_", ".", ",", "-", "+", " ", "km", "é"]) for _ in range(r.randint(0, 30))) for _ in range(500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {x.i: x.n for x in df.select("i", T.numeric_count(F.col("t")).alias("n")).collect()}
+    assert got == {i: len(re.findall(T.NUMBER, t)) for i, t in enumerate(texts)}
+    pieces = spark.createDataFrame([(i, 1, 1, "results", 1, t, 3, 1) for i, t in enumerate(texts)], "doc_id int, section_no int, chunk_no int, section string, page int, text string, tokens int, question_id int")
+    terms = spark.createDataFrame([(1, ["km", "xe"], ["e"])], "question_id int, keywords array<string>, literals array<string>")
+    scores = {x.doc_id: x.score for x in chunks.score_chunks(pieces, terms).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall("[a-z][a-z0-9\\-]{1,}", t.lower())
+        units = sum(u in words for u in T.UNITS)
+        hits = len({"km", "xe"} & set(words)) / (2**0.5 + 1e-6) + 0.25 * ("e" in t.lower()) + min(0.6, 0.05 * got[i]) + min(0.3, 0.05 * units)
+        assert scores[i] == pytest.approx(1.5 * hits if words else 0.0, abs=1e-9), t
+
+
+@pytest.mark.parametrize("n", range(1, 9))
+def test_exact_p_values_by_enumeration(n):
+    from itertools import product
+
+    sums = [sum(k for k, up in zip(range(1, n + 1), signs, strict=True) if up) for signs in product([0, 1], repeat=n)]
+    for w in range(n * (n + 1) // 4 + 1):
+        assert evaluate.signed_rank_p(w, n, []) == pytest.approx(min(1.0, 2 * sum(s <= w for s in sums) / 2**n))
