@@ -61,7 +61,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), kept=None)
     return found.select("doc_id", "removal.n_bytes", "removal.n_removed", "removal.n_spans", "removal.kept_sha256")
 
 

@@ -538,13 +538,11 @@ def _cut(text: bytes, spans) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-REMOVAL = "removal struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary,kept_sha256:string>"
-
-
 def deduplicate(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, span: int = 50, gram: int = 24, hot_rows: int = 4096, piece: int = 1 << 26
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, span: int = 50, gram: int = 24, hot_rows: int = 4096, piece: int = 1 << 26, kept: str | None = "bytes"
 ) -> DataFrame:
-    """The documents with a struct ``removal`` of n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256.
+    """The documents with a struct ``removal`` of n_bytes, n_removed, n_spans, kept_sha256 and what ``kept`` asks for:
+    kept (the bytes), kept_text (without characters of which only a part was kept), or neither for None.
 
     Each byte covered by a string of ``span`` bytes that also starts in a document with a smaller id is
     removed. Null and empty texts keep nothing and lose nothing; a null id counts as larger than all
@@ -555,23 +553,26 @@ def deduplicate(
     no task holds more of it than equal strings, one for each batch of texts.
     """
 
+    fields = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
+    fields |= {"bytes": {"kept": "binary"}, "text": {"kept_text": "string"}, None: {}}[kept]
+
     def removal(part):
         import pyarrow as pa
 
-        texts, found, rows = column(part, "__text").to_pylist(), column(part, "__spans").to_pylist(), []
-        for text, ranges in zip(texts, found, strict=True):
+        rows = []
+        for text, ranges in zip(column(part, "__text").to_pylist(), column(part, "__spans").to_pylist(), strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            kept, removed, runs = _cut(data, ranges) if ranges is not None else (data, 0, 0)
-            rows.append((len(data), removed, runs, kept, hashlib.sha256(kept).hexdigest()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-        names = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
-        arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-        return {"removal": pa.StructArray.from_arrays(arrays, names)}
+            rest, removed, runs = _cut(data, ranges) if ranges is not None else (data, 0, 0)
+            row = [len(data), removed, runs, hashlib.sha256(rest).hexdigest()]
+            rows.append(row + ([rest] if kept == "bytes" else [rest.decode("utf-8", "ignore")] if kept else []))
+        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        arrays = [pa.array([r[i] for r in rows], kinds[kind]) for i, kind in enumerate(fields.values())]
+        return {"removal": pa.StructArray.from_arrays(arrays, list(fields))}
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("__row", F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long")))
     joined = keyed.join(repeated_spans(keyed, text_col, span=span, gram=gram, hot_rows=hot_rows, piece=piece), ["__doc", "__row"], "left")
-    return with_columns(joined.withColumn("__text", text), removal, REMOVAL).drop("__doc", "__row", "__spans", "__text")
+    return with_columns(joined.withColumn("__text", text), removal, f"removal struct<{','.join(map(':'.join, fields.items()))}>").drop("__doc", "__row", "__spans", "__text")
 
 
 def kept_text(kept: str = "removal.kept") -> Column:
