@@ -51,3 +51,28 @@ def test_rows_of_one_id_are_judged_apart(spark, tmp_path):
         assert sum(len(t) for _, t in kept) <= sum(len(t) for _, t in rows) - len(same)
         got = out(corpus_pipeline.benchmark_free, [(i, clean), (i, hit + " " + bench), (3, a)])
         assert got == sorted([(i, clean), (3, a)], key=str)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null and empty texts, null ids, equal rows, extra columns with names of the stages' own, and no rows at all."""
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    a, b = prose(200, 801), prose(200, 802)
+    columns = "doc_id long, text string, lang string, source string, n_chars long, removal string, key string, id long, row int, salt int, spans string"
+    rows = [(3, a), (3, a), (None, a), (None, None), (4, None), (5, ""), (5, "short"), (1, b), (7, a.replace(" ", "  ", 1)), (7, prose(200, 803)), (9, prose(200, 803))]
+    docs = spark.createDataFrame([(i, t, None if i == 4 else "en", "s", 0, "r", "k", 1, 2, 3, "x") for i, t in rows], columns)
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        got = stage(spark, docs, str(tmp_path))
+        out[name] = got.collect()
+        if name != "packing":
+            assert got.columns == docs.columns and {r.removal for r in out[name]} == {"r"} and {r.spans for r in out[name]} == {"x"}
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    assert sorted(((r.doc_id, r.text) for r in out["quality_rules"]), key=str) == sorted(((i, t) for i, t in rows if t and len(t) > 50), key=str)
+    kept = sorted(out["near_duplicates"], key=key)
+    assert [(r.doc_id, r.text) for r in kept if r.doc_id is not None] == [(1, b), (3, a), (4, None), (5, "short"), (7, prose(200, 803))]
+    assert sum(r.doc_id is None for r in kept) == 2
+    assert len(out["repeated_passages"]) == len(out["benchmark_free"]) == len(rows)
+    lost = [r.doc_id for r, (_, t) in zip(sorted(out["repeated_passages"], key=key), sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), strict=True) if (r.text or "") != (t or "")]
+    assert set(lost) <= {7, 9, None} and lost
+    assert sum(r.length for r in out["packing"] if r.doc_id == 4) == 1
