@@ -1,4 +1,9 @@
-"""Contexts, blocks of documents and reference lines as ordered string aggregation."""
+"""Contexts, blocks of documents and reference lines as ordered string aggregation.
+
+Null and empty parts of a block are left out or have the default that a function states; order is by the given
+places, and of equal places by the text; a question without rows has no block; an empty table gives no rows.
+Names that begin with two underscores are reserved.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Sections, chunks, chunk scores and selection under token budgets."""
+"""Sections, chunks, chunk scores and selection under token budgets.
+
+Null and empty lines and texts give no section and no chunk; ties go to the earlier place; an empty table gives no
+rows. Selections carry other columns along; names that begin with two underscores are reserved.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Filtering and ordering of candidate documents before evidence is read."""
+"""Filtering and ordering of candidate documents before evidence is read.
+
+Rows carry all other columns along; names that begin with two underscores are reserved, and columns that a
+function adds replace those of the same name. Null titles, abstracts and states count as empty, null labels as
+missing; repeated rows are counted one by one; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Scores of answers: loading, summaries, paired tests, anomalies and run statistics."""
+"""Scores of answers: loading, summaries, paired tests, anomalies and run statistics.
+
+Rows with a null measure are left out where all measures are needed, and out of the mean elsewhere; a null message or
+status counts as empty or zero; repeated rows count one by one; an empty table gives no rows. Added
+columns replace those of the same name; names that begin with two underscores are reserved.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Loading, parsing and keyed upkeep of tables."""
+"""Loading, parsing and keyed upkeep of tables.
+
+Null and blank questions are dropped, null raw results count as empty, keys with a null match nothing; of rows with equal
+keys the first or the last by ord counts, as a function says; an empty table gives no rows (counts are
+zero). Other columns are carried along where rows are; two underscores are reserved.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Ranked retrieval, graph expansion and similarity over tables keyed by question."""
+"""Ranked retrieval, graph expansion and similarity over tables keyed by question.
+
+Null texts count as empty, ids are taken as given (null ids meet nothing), other columns are ignored, and an empty table
+gives no rows.
+"""
 
 from __future__ import annotations
 

@@ -25,7 +25,8 @@ CRITERIA = (
 TABLES = {
     "questions": "SELECT item_id AS question_id, item_id AS ord, text AS question FROM benchmark",
     "candidates": f"""SELECT doc_id % {_N} AS question_id, CAST(floor(doc_id / {_N}) AS BIGINT) AS idx, doc_id,
-      CASE WHEN doc_id % 13 = 0 THEN 'RETRACTED: ' WHEN doc_id % 17 = 0 THEN 'Trend unlikely: ' ELSE '' END || CASE WHEN doc_id % 19 = 4 THEN '' ELSE {_TITLE} END AS title, text AS abstract,
+      CASE WHEN doc_id % 13 = 0 THEN 'RETRACTED: ' WHEN doc_id % 17 = 0 THEN 'Trend unlikely: ' ELSE '' END || CASE WHEN doc_id % 19 = 4 THEN ''
+    ELSE {_TITLE} END AS title, text AS abstract,
       'https://openalex.org/W' || CAST(doc_id AS STRING) AS uri, CASE WHEN doc_id % 11 = 0 THEN 'withdrawn' END AS status,
       CASE WHEN doc_id % 5 = 0 THEN 'failed' WHEN doc_id % 5 = 1 THEN 'already_failed' ELSE 'ok' END AS download_status
       FROM documents""",
@@ -39,25 +40,36 @@ TABLES = {
     "answers": f"""SELECT conv_id * 1000 + turn AS answer_id, conv_id % {_N} AS question_id, conv_id, turn, turn AS ord,
       CASE WHEN turn % 7 = 6 THEN '' ELSE 'question ' || CAST(conv_id AS STRING) END AS question,
       CASE WHEN conv_id % 19 = 0 THEN 'ERROR: ' ELSE '' END || text || ' [' || CAST(turn % 5 + 1 AS STRING) || '][' || CAST((turn + conv_id) % 7 + 1 AS STRING) || ', '
-      || CAST(conv_id % 40 + 1 AS STRING) || '] with 42.7 and 2020, 3, 77.' || CASE WHEN conv_id % 3 = 0 THEN chr(10) || '## References' || chr(10) || '[1] A (2001). T. https://openalex.org/W'
+      || CAST(conv_id % 40 + 1 AS STRING) || '] with 42.7 and 2020, 3, 77.' || CASE WHEN conv_id % 3 = 0
+    THEN chr(10) || '## References' || chr(10) || '[1] A (2001). T. https://openalex.org/W'
       || CAST(conv_id AS STRING) || chr(10) || '[2] Unknown (n.d.). T.' ELSE '' END AS text, CASE WHEN conv_id % 2 = 0 THEN text || ' 77.' ELSE text END AS context,
-      {_case("turn % 7", ("tier-1-def", "tier-2b", "tier-3", "tier-2a", "tier-m", "tier-1", "fallback"))} AS rule_hit, turn % 2 = 0 AS use_draft, conv_id % 4 AS n_references
+      {_case("turn % 7", ("tier-1-def", "tier-2b", "tier-3", "tier-2a", "tier-m", "tier-1", "fallback"))} AS rule_hit, turn % 2 = 0 AS use_draft,
+    conv_id % 4 AS n_references
       FROM conversations WHERE role = 'assistant'""",
     "judged": f"""SELECT CAST(floor(doc_id / 4) AS BIGINT) AS question_id, {_case("doc_id % 4", ("zero_shot", "two_step", "no_ontology", "ontology"))} AS pipeline, doc_id AS ord,
       {", ".join(_SCORE.format(k=k + 5, m=2 * k + 3, sq=k * k) + " AS " + c for k, c in enumerate(CRITERIA))} FROM documents""",
-    "fives": f"""SELECT doc_id, {", ".join(f"CAST(CASE WHEN doc_id % 29 = {k} THEN -1 WHEN doc_id % 6 = 0 THEN 5 WHEN doc_id % 6 = 1 THEN 4 ELSE (doc_id * {2 * k + 3} + {k * k}) % 5 + 1 END AS INT) AS s{k}" for k in range(5))} FROM documents""",
+    "fives": f"""SELECT doc_id, {", ".join(f"CAST(CASE WHEN doc_id % 29 = {k} THEN -1 WHEN doc_id % 6 = 0 THEN 5 WHEN doc_id % 6 = 1 THEN 4 ELSE (doc_id * {2 * k + 3} + {k * k}) % 5 + 1 END AS INT) AS s{k}" for k in range(5))}
+  FROM documents""",
     "metrics": f"""SELECT doc_id AS ord, {_case("doc_id % 4", ("a", "b", "c", "d"))} AS pipeline,
-      {", ".join(f"CASE WHEN doc_id % {7 + k} = 0 THEN -1.0 ELSE (doc_id * {3 + 2 * k} % 11) / 10.0 END AS m{k}" for k in range(3))}, doc_id % 10 = 3 AS failed FROM documents""",
-    "runs": """SELECT event_id, CAST(user_id % 5 AS STRING) AS pipeline, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, value AS seconds FROM events""",
+      {", ".join(f"CASE WHEN doc_id % {7 + k} = 0 THEN -1.0 ELSE (doc_id * {3 + 2 * k} % 11) / 10.0 END AS m{k}" for k in range(3))}, doc_id % 10 = 3 AS failed
+  FROM documents""",
+    "runs": """SELECT event_id, CAST(user_id % 5 AS STRING) AS pipeline, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, value AS seconds
+  FROM events""",
     "errors": f"""SELECT event_id, {_case("event_id % 8", ("Rate limit hit", "TypeError: x", "Bad Gateway", "weird", "Read timeout", "Invalid API key, timeout", "EOF", "502"))} AS message,
       CAST(CASE WHEN event_id % 31 = 0 THEN 429 WHEN event_id % 37 = 0 THEN 503 END AS INT) AS status FROM events""",
-    "works": """SELECT 'W' || CAST(doc_id AS STRING) AS work_id, left(split_part(text, chr(10), 1), 100) AS title, CAST(CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 1990 + doc_id % 35 END AS INT) AS year,
-      doc_id % 4 AS n_authors, 'Author' || CAST(doc_id % 50 AS STRING) AS lead, doc_id % 10 = 0 AS is_retracted, 'https://openalex.org/W' || CAST(doc_id AS STRING) AS uri,
+    "works": """SELECT 'W' || CAST(doc_id AS STRING) AS work_id, left(split_part(text, chr(10), 1), 100) AS title,
+    CAST(CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 1990 + doc_id % 35 END AS INT) AS year,
+      doc_id % 4 AS n_authors, 'Author' || CAST(doc_id % 50 AS STRING) AS lead, doc_id % 10 = 0 AS is_retracted,
+    'https://openalex.org/W' || CAST(doc_id AS STRING) AS uri,
       CASE WHEN doc_id % 3 = 0 THEN 'https://a.org/' || CAST(doc_id AS STRING) || '.pdf' END AS best_pdf, 'https://www.mdpi.com/' || CAST(doc_id AS STRING) AS best_page,
-      CASE WHEN doc_id % 4 = 0 THEN 'https://b.org/x.PDF' END AS primary_pdf, CASE WHEN doc_id % 5 = 0 THEN 'https://www.mdpi.com/' || CAST(doc_id AS STRING) END AS oa_url FROM documents""",
-    "fetches": """SELECT 'https://openalex.org/W' || CAST(doc_id AS STRING) AS uri, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 6 = 0 THEN 'no_pdf' WHEN doc_id % 6 = 1 THEN 'pdf_failed' WHEN doc_id % 6 = 2 THEN 'extract_failed'
+      CASE WHEN doc_id % 4 = 0 THEN 'https://b.org/x.PDF' END AS primary_pdf,
+    CASE WHEN doc_id % 5 = 0 THEN 'https://www.mdpi.com/' || CAST(doc_id AS STRING) END AS oa_url
+  FROM documents""",
+    "fetches": """SELECT 'https://openalex.org/W' || CAST(doc_id AS STRING) AS uri,
+    CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 6 = 0 THEN 'no_pdf' WHEN doc_id % 6 = 1 THEN 'pdf_failed' WHEN doc_id % 6 = 2 THEN 'extract_failed'
       WHEN doc_id % 6 = 3 THEN 'no_meta' ELSE 'ok' END AS status FROM documents""",
-    "assessed": f"""SELECT doc_id % {_N} AS question_id, CAST(floor(doc_id / {_N}) AS BIGINT) AS idx, {_TITLE} AS title, text AS abstract, 'https://openalex.org/W' || CAST(doc_id AS STRING) AS uri,
+    "assessed": f"""SELECT doc_id % {_N} AS question_id, CAST(floor(doc_id / {_N}) AS BIGINT) AS idx, {_TITLE} AS title, text AS abstract,
+    'https://openalex.org/W' || CAST(doc_id AS STRING) AS uri,
       (doc_id * 31 % 101) / 100.0 AS relevance_score, doc_id % 3 <> 0 AS include FROM documents""",
 }
 

@@ -353,3 +353,37 @@ def test_exact_p_values_by_enumeration(n):
     sums = [sum(k for k, up in zip(range(1, n + 1), signs, strict=True) if up) for signs in product([0, 1], repeat=n)]
     for w in range(n * (n + 1) // 4 + 1):
         assert evaluate.signed_rank_p(w, n, []) == pytest.approx(min(1.0, 2 * sum(s <= w for s in sums) / 2**n))
+
+
+def test_empty_tables(spark):
+    """Every operator on tables without rows."""
+    import os
+
+    from evspark.plans import catalog_a, catalog_b
+    from evspark.sources.demo import demo
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("the given tables are not here")
+    none = lambda name: demo(spark, d, name).limit(0)
+    docs, pairs, asked, answers = none("candidates"), none("av_pairs"), none("questions"), none("answers")
+    given = catalog_b.given(spark, d).limit(0)
+    judged = docfilter.filter_gate(docfilter.classify_guardrail(given))
+    lines = catalog_a.lines(spark, d).limit(0)
+    ranked = catalog_a.ranked_chunks(spark, d).limit(0)
+    kept = chunks.topk_under_budget(ranked)
+    per_doc = chunks.document_excerpts(docs.withColumnRenamed("download_status", "x").withColumn("status", F.lit("ok")), ranked, kept)
+    numbered = docs.select("question_id", (F.col("idx") + 1).alias("number"), "title", "uri")
+    loaded = evaluate.load_scores(none("judged"))
+    tables = [
+        docfilter.drop_retracted(docs, asked.withColumn("doc_filter_min_keep", F.lit(3))), docfilter.title_flags(docs, asked, pairs), docfilter.lexical_score(docs, pairs),
+        docfilter.abstracts_topup(judged), docfilter.reuse_throttle(judged), docfilter.filter_summary(judged), docfilter.ontology_select(pairs), docfilter.reorder_by_ontology(docs, pairs),
+        chunks.sectionize(lines), chunks.chunk(chunks.sectionize(lines)), kept, chunks.global_budget_select(kept), per_doc, chunks.excerpt_stats(per_doc, kept), chunks.query_terms(asked, pairs),
+        assemble.documents_block(judged, docs.select("question_id", "doc_id", F.lit(1).alias("page"), F.lit(1).alias("excerpt_no"), F.lit("s").alias("section"), F.col("title").alias("text"))),
+        assemble.context_views(none("assessed")), assemble.alignment_check(docs.withColumnRenamed("idx", "position"), docs.withColumnRenamed("idx", "position")),
+        cite.verify_references(answers, numbered), cite.renumber_citations(answers, cite.verify_references(answers, numbered)), cite.answer_scorecard(answers), cite.validate_answers(answers),
+        retrieve.bm25_topk(asked, docs), retrieve.tfidf_cosine(asked, docs), evaluate.summary(loaded), evaluate.wilcoxon_pairs(loaded, [("ontology", "two_step")]), evaluate.worst_cases(loaded),
+        evaluate.metric_quality(none("metrics"), ["m0"]), evaluate.metric_switched_off(none("metrics")), evaluate.run_stats(none("runs")), route.route(none("profiles")),
+        route.tier_sample(route.route(none("profiles")), {"tier-3": 2}), ingest.load_questions(asked), ingest.parse_kg_results(asked.withColumn("kg_results", F.lit("[]"))),
+    ]
+    assert [t.count() for t in tables] == [0] * len(tables)
