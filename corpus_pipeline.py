@@ -49,9 +49,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A changed text has a new n_chars. Null and empty texts, and all others in which nothing repeats, stay as
     they are; rows without an id, or of one id, never cut each other; an empty table gives no rows.
     """
-    found = suffix_dedup.deduplicate(docs.withColumnRenamed("removal", "__given"))
+    found = suffix_dedup.deduplicate(docs.withColumnRenamed("removal", "__given"), kept="text")
     changed = F.col("removal.n_removed") > 0
-    text = F.when(changed, suffix_dedup.kept_text()).otherwise(F.col("text"))
+    text = F.when(changed, F.col("removal.kept_text")).otherwise(F.col("text"))
     found = found.withColumn("text", text)
     found = found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*[F.col("__given").alias(c) if c == "removal" else c for c in docs.columns])
