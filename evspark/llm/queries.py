@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evspark.llm import decontaminate, html_main, jaccard, langid, packing, quality, suffix_dedup, suffix_tree_lm, token_edits, toxicity
+from evspark.llm import bpe_automaton, centroid_codes, decontaminate, divergence, html_main, jaccard, langid, packing, quality, suffix_dedup, suffix_tree_lm, token_edits, toxicity
 from evspark.llm.common import fold, table
 
 
@@ -73,6 +73,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_codes.with_digest(*centroid_codes.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_automaton.digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def queries() -> dict:
     return {
         name: f
@@ -87,6 +100,9 @@ def queries() -> dict:
             ("op8_lm_scoring", op8_lm_scoring),
             ("op9_suffix_dedup", op9_suffix_dedup),
             ("op10_language_id", op10_language_id),
+            ("op11_source_divergence", op11_source_divergence),
+            ("op12_centroid_clustering", op12_centroid_clustering),
+            ("op13_bpe_automaton", op13_bpe_automaton),
         )
     }
 
@@ -121,5 +137,66 @@ FROM docs d LEFT JOIN n USING (r) LEFT JOIN found USING (r)
 """
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+_SHARE = "(1 + (CAST(1000000000 AS HUGEINT) * ({n} + 5)) // ({all} + 5 * v))"
+
+OP11_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS w FROM documents
+), words AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+vocabulary AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_all FROM kept GROUP BY lang),
+sums AS (SELECT lang, source, sum(n) AS n_all FROM counts JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+  SELECT lang, source, coalesce(n_all, 0) AS n_all, coalesce(v, 0) AS v, coalesce(lang_all, 0) AS lang_all
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN sums USING (lang, source) LEFT JOIN vocabulary USING (lang)
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_SHARE.format(n="coalesce(c.n, 0)", all="g.n_all")} AS p,
+    {_SHARE.format(n="k.lang_n", all="g.lang_all")} AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def _op12_sql(dims: int = 64, k: int = 16, rounds: int = 3) -> str:
+    """One table of centroids and one of assignments for each round."""
+    near = """
+d{i} AS (
+  SELECT r, c, sum((x - y) * (x - y)) AS d FROM parts JOIN c{i} USING (j) GROUP BY ALL
+), a{i} AS (SELECT r, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+    move = """
+s{i} AS (SELECT c, j, sum(x) AS s, count(*) AS n FROM a{last} JOIN parts USING (r) GROUP BY ALL),
+c{i} AS (
+  SELECT c, j, CASE WHEN n IS NULL THEN y ELSE (s - ((s % n) + n) % n) // n END AS y FROM c{last} LEFT JOIN s{i} USING (c, j)
+)"""
+    steps = [near.format(i=0)] + [t.format(i=i, last=i - 1) for i in range(1, rounds + 1) for t in (move, near)]
+    return f"""
+WITH given AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding AS e FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}
+), parts AS (SELECT r, j, CAST(floor(64 * CAST(e[j] AS DOUBLE)) AS BIGINT) AS x FROM given, unnest(range(1, {dims + 1})) AS t(j)),
+starts AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS c FROM given),
+c0 AS (SELECT c, j, x AS y FROM starts JOIN parts USING (r) WHERE c < {k}),{",".join(steps)},
+hashes AS (SELECT c, sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY j)) AS h FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN given USING (r) JOIN hashes USING (c)
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op2_decontamination": OP2_SQL, "op11_source_divergence": OP11_SQL, "op12_centroid_clustering": OP12_SQL}
