@@ -57,8 +57,10 @@ def with_index(df: DataFrame, ord_col: str, name: str = "index") -> DataFrame:
 
 
 def judge_tasks(answers: DataFrame, most: int) -> DataFrame:
-    """Rows up to a greatest id with task_id, in order of id."""
-    return answers.where(F.col("question_id") <= most).withColumn("task_id", F.concat(F.lit("Q"), F.col("question_id").cast("string"), F.lit("_"), F.col("set")))
+    """The first ``most`` rows by id (then ord) that have an id up to ``most``, with task_id; null ids are left out."""
+    rows = answers.where(F.col("question_id").isNotNull()).orderBy("question_id", "ord").limit(most)
+    task = F.concat(F.lit("Q"), F.col("question_id").cast("string"), F.lit("_"), F.col("set"))
+    return rows.where(F.col("question_id") <= most).withColumn("task_id", task)
 
 
 def _clean(value):
@@ -116,17 +118,34 @@ def kg_result_stats(df: DataFrame, col: str = "docs", raw: str = "kg_results") -
     return got.withColumns({"reduction": reduction, "n_nodes": F.col("n_docs") + F.col("n_keywords") + F.col("n_secondary")})
 
 
+#: Marks of a structured context, its labels, and the title of a block that has none.
+DOCUMENTS_MARK, TOPICS_MARK, BLOCK_MARK = "RELATED DOCUMENTS", "RELATED TOPICS", "---"
+TITLE_LABEL = r"[#\s]*Title[:\s]+([^\n]+)"
+CONTENT_LABEL = r"(?msd)[#\s]*Content[:\s]+(.+?)(?:---|$)"
+STUDY_TITLE = ("EO Study on ", "...")
+
+
 def parse_structured_context(df: DataFrame, col: str = "context") -> DataFrame:
-    """(question_id, position, title, content) for each block of related documents."""
-    after = F.when(F.instr(F.col(col), "RELATED DOCUMENTS") > 0, F.regexp_replace(F.col(col), r"(?s)^.*?RELATED DOCUMENTS", "")).otherwise(F.col(col))
-    part = F.get(F.split(after, "RELATED TOPICS"), F.lit(0))
-    blocks = df.select("question_id", F.posexplode(F.split(part, "---")).alias("position", "block"))
-    block = F.regexp_replace("block", r"^\s+|\s+$", "")
-    blocks = blocks.withColumn("block", block).where((F.col("block") != "") & ~F.col("block").startswith("#"))
-    content = F.nullif(F.regexp_replace(F.regexp_replace("block", r"(?m)^Title:[^\n]*\n?", ""), r"^\s+|\s+$", ""), F.lit(""))
-    title = F.nullif(F.trim(F.regexp_extract("block", r"(?m)^Title:([^\n]*)", 1)), F.lit(""))
-    sentence = F.trim(F.get(F.split(F.coalesce(content, F.col("block")), r"\."), F.lit(0)))
-    return blocks.select("question_id", "position", F.coalesce(title, sentence).alias("title"), F.coalesce(F.substring(content, 1, 3000), F.substring("block", 1, 500)).alias("content"))
+    """(question_id, position, title, content) for each block of related documents.
+
+    Blocks stand between the first mark of documents and the next one, or that of topics; a text without the first mark has
+    none. Positions count blocks from 1, also those left out as blank or headings. Without a title label the title is made
+    from the first sentence of the labelled content, else from the position; without a content label the content is
+    the block's first 500 characters.
+    """
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    after = F.get(F.split(F.col(col), DOCUMENTS_MARK, -1), F.lit(1))
+    part = F.get(F.split(after, TOPICS_MARK, -1), F.lit(0))
+    blocks = df.select("question_id", F.posexplode(F.split(part, BLOCK_MARK, -1)).alias("position", "block"))
+    blocks = blocks.select("question_id", (F.col("position") + 1).alias("position"), trimmed(F.col("block")).alias("block"))
+    blocks = blocks.where((F.col("block") != "") & ~F.col("block").startswith("#"))
+    labelled = lambda p: F.when(F.col("block").rlike(p), trimmed(F.regexp_extract("block", p, 1)))
+    blocks = blocks.withColumns({"__title": labelled(TITLE_LABEL), "__content": labelled(CONTENT_LABEL)})
+    sentence = F.nullif(F.get(F.split("__content", r"\.", -1), F.lit(0)), F.lit(""))
+    named = F.concat(F.lit(STUDY_TITLE[0]), F.substring(sentence, 1, 50), F.lit(STUDY_TITLE[1]))
+    title = F.coalesce("__title", named, F.concat(F.lit("Document "), F.col("position").cast("string")))
+    content = F.substring(F.coalesce("__content", F.substring("block", 1, 500)), 1, 3000)
+    return blocks.select("question_id", "position", title.alias("title"), content.alias("content"))
 
 
 def metadata_enrich(docs: DataFrame, works: DataFrame) -> DataFrame:
@@ -136,44 +155,69 @@ def metadata_enrich(docs: DataFrame, works: DataFrame) -> DataFrame:
     return joined.withColumns({"author": F.coalesce("__author", F.lit("No author")), "year_text": F.coalesce(F.col("__year").cast("string"), F.lit("No year"))}).drop("__author", "__year")
 
 
+#: Prefixes of identifiers, an archive's file address, and the path of an article at one publisher.
+DOI_PREFIXES = ("https://doi.org/", "http://doi.org/")
+ARXIV_DOI, ARXIV_FILES = r"(?i)^10\.48550/arXiv\.(.+)", "https://export.arxiv.org/pdf/"
+ARTICLE = r"^(https?://([^/.]+)[^/]*/articles/([0-9]+)/([0-9]+)/([0-9]+)/)"
+
+
 def link_candidates(works: DataFrame) -> DataFrame:
-    """(work_id, place, url): candidate addresses in order, files before pages, each once; with host rules applied."""
+    """(work_id, place, url): addresses to try in order, each once.
+
+    Those that end in .pdf come first, the others after them, both in the order best, primary, other locations, open
+    access. Each follows the addresses that rules for hosts make of it; last comes the archive's file, by the identifier.
+    """
     pair = lambda s: F.array(s["pdf_url"], s["landing_page_url"])
-    every = F.concat(pair(F.col("best_oa")), pair(F.col("primary")), F.flatten(F.transform(F.coalesce("locations", F.array().cast("array<struct<pdf_url:string,landing_page_url:string>>")), pair)), F.array("oa_url"))
+    places = F.coalesce("locations", F.array().cast("array<struct<pdf_url:string,landing_page_url:string>>"))
+    every = F.concat(pair(F.col("best_oa")), pair(F.col("primary")), F.flatten(F.transform(places, pair)), F.array("oa_url"))
     given = F.filter(every, lambda u: F.coalesce(u, F.lit("")) != "")
-    is_file = lambda u: F.lower(u).contains(".pdf")
+    is_file = lambda u: F.lower(u).endswith(".pdf")
     ordered = F.array_distinct(F.concat(F.filter(given, is_file), F.filter(given, lambda u: ~is_file(u))))
+    tried = F.flatten(F.transform(ordered, lambda u: F.array_append(host_rewrites(u), u)))
     doi = normalise_doi(F.col("doi"))
-    arxiv = F.when(F.lower(doi).startswith("10.48550/arxiv."), F.concat(F.lit("https://arxiv.org/pdf/"), F.substring(doi, 16, 200), F.lit(".pdf")))
-    links = F.transform(F.array_distinct(F.concat(ordered, F.filter(F.array(arxiv), lambda u: u.isNotNull()))), rewrite_host)
-    return works.select("work_id", F.posexplode(F.array_distinct(links)).alias("place", "url"))
+    archived = F.when(doi.rlike(ARXIV_DOI), F.concat(F.lit(ARXIV_FILES), F.trim(F.regexp_extract(doi, ARXIV_DOI, 1))))
+    links = F.array_distinct(F.concat(tried, F.filter(F.array(archived), lambda u: u.isNotNull())))
+    return works.select("work_id", F.posexplode(links).alias("place", "url"))
 
 
 def normalise_doi(doi: Column) -> Column:
-    return F.regexp_replace(F.trim(doi), r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", "")
+    for prefix in DOI_PREFIXES:
+        doi = F.replace(doi, F.lit(prefix), F.lit(""))
+    return F.nullif(F.trim(doi), F.lit(""))
+
 
+def host_rewrites(url: Column) -> Column:
+    """Addresses of files that stand behind the pages of two publishers, to be tried before the page itself."""
+    low, slash = F.lower(url), F.lit("/")
+    bare = F.rtrim(F.regexp_replace(url, "[#?].*$", ""), slash)
+    paged = low.contains("mdpi.com/") & ~F.rtrim(low, slash).endswith("/pdf") & ~bare.endswith(".pdf")
+    found = lambda k: F.regexp_extract(url, ARTICLE, k)
+    article = low.contains(".copernicus.org/articles/") & ~low.endswith(".pdf") & url.rlike(ARTICLE)
+    name = F.concat(found(1), F.concat_ws("-", found(2), found(3), found(4), found(5)), F.lit(".pdf"))
+    made = F.array(F.when(paged, F.concat(bare, F.lit("/pdf"))), F.when(article, name))
+    return F.filter(made, lambda u: u.isNotNull())
 
-def rewrite_host(url: Column) -> Column:
-    """Landing pages of two publishers as addresses of files."""
-    slug = r"^(https?://([a-z]+)\.copernicus\.org/articles)/([0-9]+)/([0-9]+)/([0-9]{4})/?$"
-    paper = F.concat(
-        F.regexp_extract(url, slug, 1), F.lit("/"), F.regexp_extract(url, slug, 3), F.lit("/"), F.regexp_extract(url, slug, 4), F.lit("/"), F.regexp_extract(url, slug, 5), F.lit("/"),
-        F.regexp_extract(url, slug, 2), F.lit("-"), F.regexp_extract(url, slug, 3), F.lit("-"), F.regexp_extract(url, slug, 4), F.lit("-"), F.regexp_extract(url, slug, 5), F.lit(".pdf"),
-    )
-    return F.when(url.rlike(r"^https?://www\.mdpi\.com/[^?#]+$") & ~url.endswith("/pdf"), F.concat(F.rtrim(url, F.lit("/")), F.lit("/pdf"))).when(url.rlike(slug), paper).otherwise(url)
+
+#: Where a page names its file, in the order in which they are tried.
+FILE_METADATA = (
+    r'(?i)<meta\s+[^>]*name="citation_pdf_url"[^>]*content="([^"]+)"',
+    r'(?i)<meta\s+[^>]*name="citation_pdf_fulltext_url"[^>]*content="([^"]+)"',
+    r'(?i)<meta\s+[^>]*content="([^"]+)"[^>]*name="citation_pdf_url"',
+)
+FILE_LINK = r'(?i)href="([^"]+\.pdf[^"]*)"'
 
 
 def html_pdf_links(pages: DataFrame) -> DataFrame:
-    """(page_id, url, pdf_url): the address of the file that a page names in its metadata or links to."""
+    """(page_id, url, pdf_url): the first file address in a page's metadata that can be made whole, else its first link to one."""
     h = F.coalesce("html", F.lit(""))
-    meta = lambda p: F.nullif(F.regexp_extract(h, p, 1), F.lit(""))
-    found = F.coalesce(
-        meta(r'(?i)<meta\s[^>]*name="citation_pdf_url"[^>]*content="([^"]+)"'), meta(r'(?i)<meta\s[^>]*content="([^"]+)"[^>]*name="citation_pdf_url"'),
-        meta(r'(?i)<meta\s[^>]*name="citation_pdf_fulltext_url"[^>]*content="([^"]+)"'), meta(r'(?i)href="([^"]*\.pdf[^"]*)"'),
-    )
-    root = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
-    whole = F.when(found.startswith("//"), F.concat(F.lit("https:"), found)).when(found.startswith("/"), F.concat(root, found)).when(found.startswith("http"), found)
-    return pages.select("page_id", "url", whole.alias("pdf_url"))
+    base = F.coalesce("url", F.lit(""))
+    root = F.concat_ws("/", F.slice(F.split(base, "/", -1), 1, 3))
+
+    def whole(pattern: str) -> Column:
+        u = F.trim(F.regexp_extract(h, pattern, 1))
+        return F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).when(u.startswith("/") & base.contains("://"), F.concat(root, u)).when(u.startswith("http"), u)
+
+    return pages.select("page_id", "url", F.coalesce(*map(whole, (*FILE_METADATA, FILE_LINK))).alias("pdf_url"))
 
 
 def fetch_status_report(docs: DataFrame, log: DataFrame) -> DataFrame:
@@ -183,10 +227,16 @@ def fetch_status_report(docs: DataFrame, log: DataFrame) -> DataFrame:
     return uris.join(log, "uri", "left").groupBy(state.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: States of a fetch without metadata, and how states with a file but no text begin.
+NO_METADATA, NO_TEXT = ("meta_failed", "not_openalex"), "extract_failed"
+
+
 def fetch_counters(report: DataFrame) -> DataFrame:
-    """meta_ok, pdf_ok and extract_ok from counts by status: each stage implies the ones before."""
-    has = lambda *s: F.coalesce(F.sum(F.when(F.col("status").isin(*s), F.col("n"))), F.lit(0))
-    return report.agg(has("no_pdf", "pdf_failed", "extract_failed", "ok").alias("meta_ok"), has("extract_failed", "ok").alias("pdf_ok"), has("ok").alias("extract_ok"))
+    """meta_ok, pdf_ok and extract_ok from counts by status; what was never fetched counts nowhere."""
+    tried, ok = F.col("status") != "not_fetched", F.col("status") == "ok"
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    stages = {"meta_ok": tried & ~F.col("status").isin(*NO_METADATA), "pdf_ok": ok | F.col("status").startswith(NO_TEXT), "extract_ok": ok}
+    return report.agg(*[total(c).alias(name) for name, c in stages.items()])
 
 
 def cache_audit(pdfs: DataFrame, texts: DataFrame, failures: DataFrame) -> DataFrame:

@@ -244,7 +244,7 @@ def works(spark, d):
     link = lambda pdf, page: F.struct(F.col(pdf).alias("pdf_url") if pdf else F.lit(None).cast("string").alias("pdf_url"), F.col(page).alias("landing_page_url") if page else F.lit(None).cast("string").alias("landing_page_url"))
     return w.withColumns({
         "authors": F.when(F.col("n_authors") > 0, authors).otherwise(F.array().cast("array<string>")), "best_oa": link("best_pdf", "best_page"), "primary": link("primary_pdf", "best_page"),
-        "locations": F.array(link("best_pdf", "oa_url")), "doi": F.lit(None).cast("string"), "number": F.substring("work_id", 2, 20).cast("long"),
+        "locations": F.array(link("best_pdf", "oa_url")), "number": F.substring("work_id", 2, 20).cast("long"),
     })
 
 
@@ -308,7 +308,10 @@ def _(spark, d):
     return answers(spark, d).select("answer_id", F.md5(cite.strip_references_loose(F.col("text")).cast("binary")).alias("body_md5"))
 
 
-CITED_SQL = "list_sort(list_distinct(list_transform(flatten(list_transform(regexp_extract_all(text, '\\[([0-9, \\t\\n]+)\\]', 1), lambda g: regexp_extract_all(g, '[0-9]{1,9}'))), lambda n: CAST(n AS INT))))"
+CITED_SQL = (
+    "list_sort(list_distinct(list_transform(list_filter(list_transform(flatten(list_transform(regexp_extract_all(text, '\\[([0-9,\\s]+)\\]', 1), "
+    "lambda g: string_split(g, ','))), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: regexp_matches(x, '^[0-9]{1,18}$')), lambda n: CAST(n AS BIGINT))))"
+)
 
 
 @query("ev57_cited_indices", ANS + f"SELECT answer_id, coalesce(array_to_string({CITED_SQL}, ','), '') AS cited FROM answers")
@@ -330,9 +333,9 @@ c AS (SELECT answer_id, question_id, unnest({CITED_SQL}) AS old FROM answers), v
   JOIN n USING (question_id, old)),
 e AS (SELECT * FROM v UNION ALL SELECT answer_id, question_id, old FROM answers JOIN n USING (question_id)
   WHERE answer_id NOT IN (SELECT answer_id FROM v)),
-f AS (SELECT answer_id, old, title, uri, left(trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), 100) AS norm FROM e
+f AS (SELECT answer_id, old, title, uri, trim(regexp_replace(lower(left(title, 100)), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS norm FROM e
   JOIN n USING (question_id, old)),
-g AS (SELECT *, min(old) OVER (PARTITION BY answer_id, CASE WHEN norm <> '' THEN norm ELSE 'uri ' || uri END) AS kept_idx FROM f),
+g AS (SELECT *, min(old) OVER (PARTITION BY answer_id, norm, CASE WHEN norm = '' THEN old END) AS kept_idx FROM f),
 verified AS (SELECT answer_id, CAST(old AS BIGINT) AS old, dense_rank() OVER (PARTITION BY answer_id ORDER BY kept_idx) AS new, title, uri,
     CAST(kept_idx AS BIGINT) AS kept_idx
   FROM g)"""
@@ -359,15 +362,14 @@ def _(spark, d):
     return cite.renumber_citations(a, cite.verify_references(a, numbered(spark, d))).select("answer_id", F.md5(F.col("renumbered").cast("binary")).alias("text_md5"), F.length("renumbered").alias("n_chars"))
 
 
-@query("ev61_numeric_faithfulness", ANS + """SELECT answer_id, array_to_string(list_sort(numbers), ',') AS numbers, array_to_string(list_sort(list_filter(numbers, lambda n: NOT contains(context, n))),
-    ',') AS unmatched
-  FROM (SELECT answer_id, context,
- list_filter(list_distinct(regexp_extract_all(regexp_replace(text, '\\[[0-9, ]+\\]', ' ', 'g'), '[0-9]+(?:\\.[0-9]+)?')),
-    lambda n: NOT (CAST(n AS DOUBLE) = floor(CAST(n AS DOUBLE)) AND CAST(n AS DOUBLE) BETWEEN 1900 AND 2100) AND CAST(n AS DOUBLE) >= 10) AS numbers
-  FROM answers)""")
+@query("ev61_numeric_faithfulness", ANS.rstrip() + """, found AS (
+  SELECT answer_id, context, list_filter(regexp_extract_all(regexp_replace(regexp_replace(text, '\\[[0-9]+\\]', '', 'g'), '[\\p{L}\\p{No}\\p{Nl}]', 'x', 'g'),
+    '\\b-?[0-9]+(?:\\.[0-9]+)?\\b'), lambda n: contains(n, '.') OR NOT (CAST(n AS DOUBLE) BETWEEN 1900 AND 2100 OR abs(CAST(n AS DOUBLE)) < 10)) AS numbers
+  FROM answers)
+SELECT answer_id, array_to_string(numbers, ' ') AS numbers, array_to_string(list_filter(numbers, lambda n: NOT contains(context, n)), ' ') AS unmatched FROM found""")
 def _(spark, d):
     got = cite.numeric_faithfulness(answers(spark, d))
-    return got.select("answer_id", F.array_join(F.array_sort("numbers"), ",").alias("numbers"), F.array_join(F.array_sort("unmatched"), ",").alias("unmatched"))
+    return got.select("answer_id", F.array_join("numbers", " ").alias("numbers"), F.array_join("unmatched", " ").alias("unmatched"))
 
 
 AUDIT_SQL = ANS.rstrip() + """, a1 AS (SELECT *, regexp_replace(split_part(text, '## References', 1), '^\\s+|\\s+$', '', 'g') AS body, split_part(text, '## References', 2) AS blk
@@ -612,6 +614,13 @@ def _(spark, d):
     return ingest.load_questions(asked.withColumnRenamed("question", "Query"), ignore_case=True).select("ord", "index", "question")
 
 
+@query("ev01_judge_tasks", ANS + """SELECT answer_id, question_id, 'Q' || question_id || '_s' || turn AS task_id
+  FROM (SELECT * FROM answers ORDER BY question_id, answer_id LIMIT 500) WHERE question_id <= 500""")
+def _(spark, d):
+    rows = answers(spark, d).withColumns({"ord": F.col("answer_id"), "set": F.concat(F.lit("s"), F.col("turn").cast("string"))})
+    return ingest.judge_tasks(rows, 500).select("answer_id", "question_id", "task_id")
+
+
 def raw_results(spark, d):
     """JSON, Python literals, blanks and junk made from the documents."""
     t = F.regexp_replace("text", "[\"'\\\\\\\\\\x00-\\x1F]", " ")
@@ -649,16 +658,22 @@ def _(spark, d):
     return ingest.kg_result_stats(rows).select("question_id", "n_docs", "n_keywords", "n_secondary", "n_nodes")
 
 
-@query("ev04_parse_structured_context", """SELECT doc_id AS question_id, position, title, content
-  FROM (SELECT doc_id, unnest([0, 2]::BIGINT[]) AS position, unnest(['T' || doc_id, trim(split_part(b, '.', 1))]) AS title, unnest([left(b, 3000), left(b,
-    3000)]) AS content
-  FROM (SELECT doc_id, regexp_replace(regexp_replace(replace(replace(text, '---', ' '), '#', ' '), '^\\s+', ''), '\\s+$', '') AS b
-  FROM documents)) WHERE content <> ''""")
+_CUT = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("ev04_parse_structured_context", with_tables("contexts").rstrip() + f""", parts AS (
+  SELECT question_id, string_split(string_split(string_split(context, 'RELATED DOCUMENTS')[2], 'RELATED TOPICS')[1], '---') AS b FROM contexts
+), blocks AS (SELECT question_id, position, {_CUT.format("b[position]")} AS block FROM parts, unnest(range(1, len(b) + 1)) AS t(position)),
+labelled AS (
+  SELECT *, CASE WHEN regexp_matches(block, 'Title[:\\s]+[^\\n]+') THEN {_CUT.format("regexp_extract(block, '[#\\s]*Title[:\\s]+([^\\n]+)', 1)")} END AS t,
+    CASE WHEN regexp_matches(block, '(?s)Content[:\\s]+.') THEN {_CUT.format("regexp_extract(block, '(?ms)[#\\s]*Content[:\\s]+(.+?)$', 1)")} END AS c
+  FROM blocks WHERE block <> '' AND NOT starts_with(block, '#')
+)
+SELECT question_id, position, left(coalesce(c, left(block, 500)), 3000) AS content,
+  coalesce(t, 'EO Study on ' || left(nullif(string_split(c, '.')[1], ''), 50) || '...', 'Document ' || position) AS title
+FROM labelled""")
 def _(spark, d):
-    b = F.regexp_replace(F.replace(F.replace("text", F.lit("---"), F.lit(" ")), F.lit("#"), F.lit(" ")), r"^\s+|\s+$", "")
-    text = F.concat(F.lit("x RELATED DOCUMENTS\nTitle: T"), F.col("doc_id").cast("string"), F.lit("\n"), b, F.lit("\n---\n# skip\n---\n"), b, F.lit("\nRELATED TOPICS y"))
-    rows = table(spark, d, "documents").where(F.length(b) > 0).select(F.col("doc_id").alias("question_id"), text.alias("context"))
-    return ingest.parse_structured_context(rows)
+    return ingest.parse_structured_context(demo(spark, d, "contexts"))
 
 
 @query("ev07_metadata_enrich", with_tables("candidates", "works") + """SELECT doc_id, CASE WHEN w.work_id IS NULL OR n_authors = 0 THEN 'No author' ELSE lead || '-1' END AS author, coalesce(CAST(year AS VARCHAR),
@@ -671,15 +686,41 @@ def _(spark, d):
     return ingest.metadata_enrich(docs, works(spark, d)).select("doc_id", "author", "year_text", "work_title")
 
 
-@query("ev08_link_candidates", with_tables("works") + """SELECT work_id, place, url FROM (SELECT work_id, unnest(range(0, len(u))) AS place, unnest(u) AS url
-  FROM (SELECT work_id, list_concat(list_filter([best_pdf, primary_pdf], lambda x: x IS NOT NULL), [best_page || '/pdf']) AS u FROM works))""")
+_BARE = "rtrim(regexp_replace(u, '[#?].*$', ''), '/')"
+_ARTICLE = "'^(https?://([^/.]+)[^/]*/articles/([0-9]+)/([0-9]+)/([0-9]+)/)'"
+_NAMED = " || '-' || ".join(f"regexp_extract(u, {_ARTICLE}, {k})" for k in (2, 3, 4, 5))
+REWRITES_SQL = f"""list_filter([
+  CASE WHEN contains(lower(u), 'mdpi.com/') AND NOT ends_with(rtrim(lower(u), '/'), '/pdf') AND NOT ends_with({_BARE}, '.pdf') THEN {_BARE} || '/pdf' END,
+  CASE WHEN contains(lower(u), '.copernicus.org/articles/') AND NOT ends_with(lower(u), '.pdf') AND regexp_matches(u, {_ARTICLE})
+    THEN regexp_extract(u, {_ARTICLE}, 1) || {_NAMED} || '.pdf' END], lambda x: x IS NOT NULL)"""
+
+
+@query("ev08_link_candidates", with_tables("works").rstrip() + f""", given AS (
+  SELECT work_id, list_filter([best_pdf, best_page, primary_pdf, best_page, best_pdf, oa_url, oa_url], lambda x: coalesce(x, '') <> '') AS g,
+    trim(replace(doi, 'https://doi.org/', '')) AS d FROM works
+), ordered AS (
+  SELECT work_id, d, list_concat(list_filter(g, lambda x: ends_with(lower(x), '.pdf')), list_filter(g, lambda x: NOT ends_with(lower(x), '.pdf'))) AS o FROM given
+), tried AS (
+  SELECT work_id, d, i, unnest(list_concat({REWRITES_SQL}, [u])) AS url, generate_subscripts(list_concat({REWRITES_SQL}, [u]), 1) AS j
+  FROM (SELECT work_id, d, i, o[i] AS u FROM ordered, unnest(range(1, len(o) + 1)) AS t(i))
+), every AS (
+  SELECT work_id, i, j, url FROM tried UNION ALL
+  SELECT work_id, 99, 0, 'https://export.arxiv.org/pdf/' || regexp_extract(d, '(?i)^10\\.48550/arXiv\\.(.+)', 1) FROM ordered WHERE regexp_matches(d, '(?i)^10\\.48550/arXiv\\..')
+), firsts AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY work_id, url ORDER BY i, j) = 1)
+SELECT work_id, row_number() OVER (PARTITION BY work_id ORDER BY i, j) - 1 AS place, url FROM firsts""")
 def _(spark, d):
     return ingest.link_candidates(works(spark, d))
 
 
-@query("ev09_html_pdf_links", r"""SELECT page_id, url, CASE WHEN starts_with(f, '//') THEN 'https:' || f WHEN starts_with(f, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || f WHEN starts_with(f, 'http') THEN f END AS pdf_url FROM (SELECT *, coalesce(nullif(regexp_extract(html, '(?i)<meta\s[^>]*name="citation_pdf_url"[^>]*content="([^"]+)"', 1), ''), nullif(regexp_extract(html, '(?i)<meta\s[^>]*content="([^"]+)"[^>]*name="citation_pdf_url"', 1), ''), nullif(regexp_extract(html, '(?i)<meta\s[^>]*name="citation_pdf_fulltext_url"[^>]*content="([^"]+)"', 1), ''), nullif(regexp_extract(html, '(?i)href="([^"]*\.pdf[^"]*)"', 1), '')) AS f FROM pages)""")
+def _whole(pattern):
+    u = f"trim(regexp_extract(html, '{pattern}', 1))"
+    root = "array_to_string(string_split(url, '/')[1:3], '/')"
+    return f"CASE WHEN starts_with({u}, '//') THEN 'https:' || {u} WHEN starts_with({u}, '/') AND contains(url, '://') THEN {root} || {u} WHEN starts_with({u}, 'http') THEN {u} END"
+
+
+@query("ev09_html_pdf_links", with_tables("paged") + "SELECT page_id, url, coalesce(" + ", ".join(map(_whole, (*ingest.FILE_METADATA, ingest.FILE_LINK))) + ") AS pdf_url FROM paged")
 def _(spark, d):
-    return ingest.html_pdf_links(table(spark, d, "pages"))
+    return ingest.html_pdf_links(demo(spark, d, "paged"))
 
 
 @query("ev10_fetch_status_report", with_tables("candidates", "fetches") + """SELECT coalesce(f.status, 'not_fetched') AS status, count(*) AS n FROM (SELECT DISTINCT uri FROM candidates) LEFT JOIN fetches f USING (uri)
@@ -688,9 +729,9 @@ def _(spark, d):
     return ingest.fetch_status_report(demo(spark, d, "candidates"), demo(spark, d, "fetches"))
 
 
-@query("ev10_fetch_counters", with_tables("candidates", "fetches") + """SELECT count(*) FILTER (f.status IN ('no_pdf', 'pdf_failed', 'extract_failed', 'ok')) AS meta_ok, count(*) FILTER (f.status IN ('extract_failed', 'ok')) AS pdf_ok,
-    count(*) FILTER (f.status = 'ok') AS extract_ok
-  FROM (SELECT DISTINCT uri FROM candidates) LEFT JOIN fetches f USING (uri)""")
+@query("ev10_fetch_counters", with_tables("candidates", "fetches") + """SELECT count(*) FILTER (status NOT IN ('meta_failed', 'not_openalex')) AS meta_ok,
+    count(*) FILTER (status = 'ok' OR starts_with(status, 'extract_failed')) AS pdf_ok, count(*) FILTER (status = 'ok') AS extract_ok
+  FROM (SELECT DISTINCT uri FROM candidates) JOIN fetches USING (uri) WHERE status IS NOT NULL""")
 def _(spark, d):
     return ingest.fetch_counters(ingest.fetch_status_report(demo(spark, d, "candidates"), demo(spark, d, "fetches")))
 

@@ -194,8 +194,6 @@ def test_parsing(spark):
     links = '<meta content="//x.org/a.pdf" name="citation_pdf_url">'
     pages = spark.createDataFrame([(1, "https://p.org/q", links), (2, "https://p.org/q", '<a href="/b.pdf?x=1">'), (3, "u", None)], "page_id int, url string, html string")
     assert [r.pdf_url for r in ingest.html_pdf_links(pages).collect()] == ["https://x.org/a.pdf", "https://p.org/b.pdf?x=1", None]
-    hosts = spark.createDataFrame([("https://acp.copernicus.org/articles/20/123/2020/",), ("https://www.mdpi.com/1/2",)], "u string")
-    assert [r.x for r in hosts.select(ingest.rewrite_host(F.col("u")).alias("x")).collect()] == ["https://acp.copernicus.org/articles/20/123/2020/acp-20-123-2020.pdf", "https://www.mdpi.com/1/2/pdf"]
 
 
 def test_upsert_twice_changes_nothing(spark):
