@@ -11,60 +11,79 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evspark.functions.text import tokens
-from evspark.sources.scratch import cut_lineage
+from evspark.sources.scratch import cut_lineage, written
 
 K1, B = 1.2, 0.75
 
 
 def postings(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((question_id, term) of the queries, (term, doc_id, part) of the documents that have a query term).
+    """((question_id, term) of the queries, (term, doc_id, part, df) of the documents that have a query term).
 
-    ``part`` is what a term adds to a document's score, over title and abstract, each by its own statistics.
+    ``part`` is what a term adds to a document's score, over title and abstract, each by its own statistics; ``df`` is in how
+    many documents the term is, in the field in which it is more common.
     """
     terms = queries.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    wanted = terms.select("term").distinct()
+    mark = F.lit("")  # stands once in each field, so that one pass over the texts gives sizes as well
+    wanted = terms.select("term").union(terms.sparkSession.range(1).select(mark.alias("term"))).distinct()
     title, abstract = (F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("title", "abstract"))
     fields = docs.select("doc_id", F.explode(F.array(title, abstract)).alias("f")).select("doc_id", "f.field", tokens(F.col("f.text")).alias("words"))
-    size = fields.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avg_len"))
-    found = fields.select("doc_id", "field", F.size("words").alias("len"), F.explode("words").alias("term")).join(wanted, "term")
-    found = found.groupBy("term", "field", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    found = fields.select("doc_id", "field", F.size("words").alias("len"), F.explode(F.array_append("words", mark)).alias("term")).join(wanted, "term")
+    found = written(found.groupBy("term", "field", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf")))
+    marks, found = found.where(F.col("term") == ""), found.where(F.col("term") != "")
+    size = marks.groupBy("field").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("len")) / F.sum("tf")).alias("avg_len"))
     df = found.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
     weighted = found.join(df, ["term", "field"]).join(F.broadcast(size), "field")  # two fields
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return terms, weighted.groupBy("term", "doc_id").agg(F.sum(part).alias("part"))
+    return terms, weighted.groupBy("term", "doc_id").agg(F.sum(part).alias("part"), F.max("df").alias("df"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 16, lead: int = 8) -> DataFrame:
+def block_postings(parts: DataFrame, size: int) -> DataFrame:
+    """(block, term, list, most, docs): the documents of a block that have a term, with their parts, and the greatest part.
+
+    A document goes to a block of its most common term, so that documents of one language or subject meet and the greatest
+    parts of a block say much about all of it. Such a term has as many blocks as make about ``size`` documents each.
+    """
+    home = F.max(F.struct("df", "term")).over(W.partitionBy("doc_id"))
+    number = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("home.df") / size))
+    dealt = parts.withColumn("home", home).select(F.concat_ws(" ", "home.term", number).alias("block"), "term", "doc_id", "part")
+    lists = dealt.repartition("block").groupBy("block", "term").agg(F.collect_list(F.struct("doc_id", "part")).alias("list"), F.max("part").alias("most"))
+    return lists.withColumn("docs", F.max(F.size("list")).over(W.partitionBy("block")))  # all of a block have its common term
+
+
+def block_scores(blocks: DataFrame, index: DataFrame) -> DataFrame:
+    """(question_id, doc_id, score) of all documents of the blocks (question_id, block, terms) that have one of the terms."""
+    asked = blocks.select("question_id", "block", F.explode("terms").alias("term"))
+    lists = asked.join(index.select("block", "term", "list"), ["block", "term"]).select("question_id", "block", "list")
+    one = lists.repartition("question_id", "block").select("question_id", "block", F.inline("list"))
+    return one.groupBy("question_id", "block", "doc_id").agg(F.sum("part").alias("score")).drop("block")
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 16, lead: int = 8, size: int = 512) -> DataFrame:
     """(question_id, doc_id, score, rank): documents whose title or abstract has a query token, best first.
 
-    Each field is scored by its own statistics and the scores add up. Documents meet only the terms of the
-    queries. A question's rarest terms, with about ``lead`` times k documents together, are scored first; the k-th of
-    these sums is a bound that every result reaches. Frequent terms whose greatest parts together stay below
-    that bound cannot bring in a document by themselves, so they are looked up only for the documents that
-    the other terms have found. The result is that of scoring everything. Ties go to the smaller id; rows that repeat
-    an id count as one longer document in each term; questions without a token have no rows.
+    Each field is scored by its own statistics and the scores add up. Documents meet only the terms of the queries, and
+    only as blocks: a question's terms meet the heads of the blocks that have them, and the sum of their greatest parts
+    bounds every score in the block. The blocks of the greatest bounds, with about ``lead`` times k documents, are scored in
+    full; the k-th best of these scores is a threshold that every result reaches. Of the other blocks only those whose bound
+    reaches it are scored. The result is that of scoring everything. Ties go to the smaller id; rows that repeat an id count
+    as one longer document in each term; questions without a token have no rows.
     """
     terms, parts = postings(queries, docs)
-    parts = cut_lineage(parts)
-    figures = parts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
+    index = written(block_postings(parts, size))
     of = W.partitionBy("question_id")
-    asked = terms.join(figures, "term")
-    before = F.coalesce(F.sum("df").over(of.orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    asked = cut_lineage(asked.withColumn("leads", before < lead * k).select("question_id", "term", "most", "leads"))
-    first = asked.where("leads").join(parts, "term").groupBy("question_id", "doc_id").agg(F.sum("part").alias("sum"))
-    place = F.row_number().over(of.orderBy(F.desc("sum"), "doc_id"))
-    bound = first.withColumn("place", place).where(F.col("place") <= k).where(F.col("place") == k).select("question_id", F.col("sum").alias("bound"))
-    room = F.sum(F.when(~F.col("leads"), F.col("most"))).over(of.orderBy("leads", "most", "term"))
-    judged = asked.withColumn("room", room).join(bound, "question_id", "left")
-    finds = F.col("leads") | (F.col("room") + 1e-5 >= F.coalesce("bound", F.lit(0.0)))
-    judged = cut_lineage(judged.select("question_id", "term", finds.alias("finds")))
-    found = judged.where("finds").join(parts, "term").groupBy("question_id", "doc_id").agg(F.sum("part").alias("sum"))
-    more = found.select("question_id", "doc_id").join(judged.where(~F.col("finds")), "question_id").join(parts, ["term", "doc_id"])
-    sums = found.unionByName(more.select("question_id", "doc_id", F.col("part").alias("sum")))
-    scored = sums.groupBy("question_id", "doc_id").agg(F.round(F.sum("sum"), 6).alias("score"))
-    rank = F.row_number().over(of.orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    met = terms.join(index.select("term", "block", "most", "docs"), "term").groupBy("question_id", "block")
+    bounds = met.agg(F.sum("most").alias("bound"), F.max("docs").alias("docs"), F.collect_list("term").alias("terms"))
+    before = F.sum("docs").over(of.orderBy(F.desc("bound"), "block").rowsBetween(W.unboundedPreceding, -1))
+    bounds = written(bounds.withColumn("leads", F.coalesce(before, F.lit(0)) < lead * k))
+    place = F.row_number().over(of.orderBy(F.desc("score"), "doc_id"))
+    first = block_scores(bounds.where("leads"), index).withColumn("place", place).where(F.col("place") <= k)
+    first = cut_lineage(first)  # at most k rows for each question
+    threshold = first.where(F.col("place") == k).select("question_id", F.col("score").alias("least"))
+    open_ = bounds.where(~F.col("leads")).join(threshold, "question_id", "left")
+    open_ = open_.where(F.col("bound") + 1e-5 >= F.coalesce("least", F.lit(0.0)))
+    scored = first.drop("place").unionByName(block_scores(open_, index)).withColumn("score", F.round("score", 6))
+    return scored.withColumn("rank", place).where(F.col("rank") <= k)
 
 
 def kg_expand(hits: DataFrame, docs: DataFrame, keywords: DataFrame, edges: DataFrame, *, phi: int = 3, psi: int = 2, theta: float = 0.3, exclude_self: bool = False) -> DataFrame:

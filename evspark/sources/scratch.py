@@ -22,3 +22,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: for larger tables that several branches of a plan read in part."""
+    place = shared_folder(df.sparkSession, "table")
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)

@@ -268,16 +268,32 @@ def test_bounded_bm25_equals_scoring_everything(spark):
     queries = spark.createDataFrame(queries, "question_id long, question string")
     terms, parts = retrieve.postings(queries, docs)
     want = terms.join(parts, "term").groupBy("question_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    for k, lead in ((5, 1), (5, 8), (16, 2), (400, 1)):
+    for k, lead, size in ((5, 1, 4), (5, 8, 1), (16, 2, 20), (400, 1, 1000), (2, 1, 1)):
         best = {}
         for x in sorted(want.collect(), key=lambda x: (-x.score, x.doc_id)):
             best.setdefault(x.question_id, []).append((x.doc_id, x.score))
         got = {}
-        for x in sorted(retrieve.bm25_topk(queries, docs, k, lead).collect(), key=lambda x: x["rank"]):
+        for x in sorted(retrieve.bm25_topk(queries, docs, k, lead, size).collect(), key=lambda x: x["rank"]):
             got.setdefault(x.question_id, []).append((x.doc_id, x.score))
         assert got == {q: v[:k] for q, v in best.items()}
 
 
+def test_blocks_that_cannot_matter_are_skipped(spark):
+    """Two languages of 40 documents: a question in one of them scores no block of the other."""
+    docs = [(i, "", ("the of " if i < 40 else "der und ") + f"word{i} word{i // 2} shared") for i in range(80)]
+    docs = spark.createDataFrame(docs, "doc_id long, title string, abstract string")
+    asked = spark.createDataFrame([(1, "the of word1 word0 word2 word3 shared")], "question_id long, question string")
+    index = retrieve.block_postings(retrieve.postings(asked, docs)[1], 10).collect()
+    assert len({(x.block, x.term) for x in index}) == len(index)
+    sizes = {}
+    for x in index:
+        assert x.most == max(d.part for d in x.list) and x.docs >= len(x.list)
+        sizes[x.block] = x.docs
+    assert sum(sizes.values()) == 80  # every document is in one block
+    top = retrieve.bm25_topk(asked, docs, 3, 1, 10).orderBy("rank").collect()
+    assert [x.doc_id for x in top] == [0, 1, 2] or {x.doc_id for x in top} <= {0, 1, 2, 3}
+
+
 def test_sums_before_any_order(spark):
     from evspark.operators.running import sums_before
 
