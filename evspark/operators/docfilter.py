@@ -150,18 +150,23 @@ def reuse_throttle(docs: DataFrame, known: DataFrame | None = None) -> DataFrame
     are known by address, else by id; those with neither are never demoted. ``known`` holds first uses from
     before these rows; repeated documents of one question are demoted one by one.
     """
-    full = F.col("final_label") == "full"
     first = first_uses(docs)
     if known is not None:
         first = first.unionByName(known).groupBy("doc_key").agg(F.min("first_question").alias("first_question"))
+    got = docs.withColumn("__key", document_key()).join(first.withColumnRenamed("doc_key", "__key"), "__key", "left")
+    return demote_reused(got.drop("__key"))
+
+
+def demote_reused(docs: DataFrame) -> DataFrame:
+    """Whole questions with first_question, the first that had each document in full, to rows with throttled and the new label."""
+    full = F.col("final_label") == "full"
     n_full = F.count_if(full).over(W.partitionBy("question_id"))
-    got = docs.withColumns({"__key": document_key(), "__full": n_full})
-    got = got.join(first.select(F.col("doc_key").alias("__key"), F.col("first_question").alias("__first")), "__key", "left")
-    got = got.withColumn("__seen", full & F.col("gated") & F.coalesce(F.col("__first") < F.col("question_id"), F.lit(False)))
+    got = docs.withColumn("__full", n_full)
+    got = got.withColumn("__seen", full & F.col("gated") & F.coalesce(F.col("first_question") < F.col("question_id"), F.lit(False)))
     place = F.row_number().over(W.partitionBy("question_id", "__seen").orderBy("idx"))
     surplus = F.greatest(F.col("__full") - F.col("doc_filter_min_keep") - 2, F.lit(0))
     got = got.withColumn("throttled", F.col("__seen") & (place <= surplus))
-    return got.withColumn("final_label", F.when(F.col("throttled"), "abstract").otherwise(F.col("final_label"))).drop("__key", "__first", "__seen", "__full")
+    return got.withColumn("final_label", F.when(F.col("throttled"), "abstract").otherwise(F.col("final_label"))).drop("first_question", "__seen", "__full")
 
 
 def filter_summary(docs: DataFrame) -> DataFrame:

@@ -92,17 +92,46 @@ def _cleaned_json(raw: Column) -> Column:
     return each(raw)
 
 
+def object_fields(v: Column) -> Column:
+    """The fields of a variant that is an object, else null."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def list_items(v: Column) -> Column:
+    """The items of a variant that is a list, else null."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+#: Lists within lists that are cleaned as variants; what is deeper goes the slow way.
+LEVELS = 4
+
+
+def _cleaned(v: Column, levels: int = LEVELS) -> Column:
+    """A variant without dropped keys and nulls in objects, through lists of lists; objects within objects stay as they are."""
+    if not levels:
+        return v
+    wanted = F.map_filter(object_fields(v), lambda k, x: ~k.isin(*DROPPED_KEYS) & ~F.is_variant_null(x))
+    fields = F.transform_values(wanted, lambda k, x: F.when(list_items(x).isNotNull(), _cleaned(x, levels - 1)).otherwise(x))
+    return F.coalesce(F.to_variant_object(F.transform(list_items(v), lambda x: _cleaned(x, levels - 1))), F.to_variant_object(fields), v)
+
+
 def parse_kg_results(df: DataFrame, col: str = "kg_results") -> DataFrame:
-    """Adds docs (array of JSON strings), parsed and original_size.
+    """Adds docs (array of variants, with all keys that were there), parsed and original_size.
 
-    JSON or a Python literal; a blank or null is empty, anything but a list is empty, and a failure
-    gives no documents with parsed false.
+    JSON or a Python literal; a blank or null is empty, anything but a list is empty, and a failure gives no documents
+    with parsed false. JSON is parsed and cleaned as variants. Rows that are no JSON, or where a dropped key or a null is left
+    (it may be in a deeper list, or rightly in an object within an object), are the only ones that go to a Python function.
     """
     text = F.trim(F.coalesce(F.col(col), F.lit("")))
-    cleaned = F.when(text == "", F.lit("[]")).otherwise(_cleaned_json(text))
-    got = df.withColumn("__json", cleaned)
-    items = F.coalesce(F.from_json("__json", "array<string>"), F.array().cast("array<string>"))
-    return got.withColumns({"docs": items, "parsed": F.col("__json").isNotNull(), "original_size": F.length(F.coalesce(F.col(col), F.lit("")))}).drop("__json")
+    given = df.withColumns({"__text": text, "original_size": F.length(F.coalesce(F.col(col), F.lit("")))})
+    given = given.withColumn("__v", _cleaned(F.try_parse_json("__text")))
+    left = '"(?:' + "|".join(DROPPED_KEYS) + ')":|:null'
+    slow = (F.col("__text") != "") & (F.col("__v").isNull() | F.to_json("__v").rlike(left))
+    none = F.array().cast("array<variant>")
+    fast = given.where(~slow).withColumns({"docs": F.coalesce(list_items(F.col("__v")), none), "parsed": F.lit(True)})
+    rest = given.where(slow).withColumn("__json", _cleaned_json(F.col("__text")))
+    rest = rest.withColumns({"docs": F.coalesce(list_items(F.try_parse_json("__json")), none), "parsed": F.col("__json").isNotNull()})
+    return fast.drop("__text", "__v").unionByName(rest.drop("__text", "__v", "__json"))
 
 
 def kg_result_stats(df: DataFrame, col: str = "docs", raw: str = "kg_results") -> DataFrame:
@@ -304,8 +333,9 @@ def export_results(answers: DataFrame) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Writes csv (with a header, quotes doubled), json or parquet in place of what was there."""
     writer = df.write.mode("overwrite")
-    writer.option("header", True).csv(path) if kind == "csv" else getattr(writer, kind)(path)
+    writer.option("header", True).option("escape", '"').csv(path) if kind == "csv" else getattr(writer, kind)(path)
 
 
 def strip_fences(raw: Column) -> Column:

@@ -41,14 +41,17 @@ def postings(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]
 def block_postings(parts: DataFrame, size: int) -> DataFrame:
     """(block, term, list, most, docs): the documents of a block that have a term, with their parts, and the greatest part.
 
-    A document goes to a block of its most common term, so that documents of one language or subject meet and the greatest
-    parts of a block say much about all of it. Such a term has as many blocks as make about ``size`` documents each.
+    A document goes to a block of the term that is common and yet weighs most in it (its part times its documents), so that
+    documents of one language or subject meet and the greatest parts of a block say much about all of it; a word of all
+    documents weighs next to nothing. Such a term has as many blocks as make ``size`` documents each at most, on average.
     """
-    home = F.max(F.struct("df", "term")).over(W.partitionBy("doc_id"))
+    common = (F.col("df") >= size / 2).alias("common")  # else blocks would be many and small
+    weight = F.when(common, F.col("part") * F.col("df")).otherwise(F.col("df")).alias("weight")
+    home = F.max(F.struct(common, weight, "term", "df")).over(W.partitionBy("doc_id"))
     number = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("home.df") / size))
     dealt = parts.withColumn("home", home).select(F.concat_ws(" ", "home.term", number).alias("block"), "term", "doc_id", "part")
     lists = dealt.repartition("block").groupBy("block", "term").agg(F.collect_list(F.struct("doc_id", "part")).alias("list"), F.max("part").alias("most"))
-    return lists.withColumn("docs", F.max(F.size("list")).over(W.partitionBy("block")))  # all of a block have its common term
+    return lists.withColumn("docs", F.max(F.size("list")).over(W.partitionBy("block")))  # all of a block have its term
 
 
 def block_scores(blocks: DataFrame, index: DataFrame) -> DataFrame:
@@ -59,7 +62,7 @@ def block_scores(blocks: DataFrame, index: DataFrame) -> DataFrame:
     return one.groupBy("question_id", "block", "doc_id").agg(F.sum("part").alias("score")).drop("block")
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 16, lead: int = 8, size: int = 512) -> DataFrame:
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 16, lead: int = 8, size: int = 1024) -> DataFrame:
     """(question_id, doc_id, score, rank): documents whose title or abstract has a query token, best first.
 
     Each field is scored by its own statistics and the scores add up. Documents meet only the terms of the queries, and

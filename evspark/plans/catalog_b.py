@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from evspark.operators import assemble, cite, docfilter, evaluate, ingest
 from evspark.plans.catalog_a import PAIRS_SQL, TOKENS, longs, table
 from evspark.plans.rules import CONFIG
+from evspark.sources import files
 from evspark.sources.demo import CRITERIA, demo, with_tables
+from evspark.sources.scratch import shared_folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -622,29 +624,76 @@ def _(spark, d):
 
 
 def raw_results(spark, d):
-    """JSON, Python literals, blanks and junk made from the documents."""
+    """JSON with keys of its own, Python literals, blanks and junk made from the documents."""
     t = F.regexp_replace("text", "[\"'\\\\\\\\\\x00-\\x1F]", " ")
-    kind = F.col("doc_id") % 5
-    js = F.concat(F.lit('[{"title": "'), t, F.lit('", "_id": 1, "abstract": null, "science_keywords": [{"name": "k", "_rev": "x"}]}]'))
-    py = F.concat(F.lit("[{'title': '"), t, F.lit("', 'embedding': [1.0], 'abstract': None}, {'title': 'b'}]"))
-    raw = F.when(kind == 0, js).when(kind == 1, py).when(kind == 2, F.lit(" ")).when(kind == 3, F.lit("[{broken")).otherwise(F.lit('{"a": 1}'))
+    i, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 7
+    inner = F.concat(F.lit('"nested": {"_id": '), i, F.lit(', "none": null}'))
+    js = F.concat(F.lit('[{"title": "'), t, F.lit('", "_id": 1, "abstract": null, "science_keywords": [{"name": "k", "_rev": "x", "own": [{"_key": 1, "deep": [[{"embedding": 2, "n": '), i, F.lit("}]]}]}], "))
+    js = F.concat(js, F.when(kind == 5, inner).otherwise(F.concat(F.lit('"nested": {"m": '), i, F.lit("}"))), F.lit(', "year": '), i, F.lit("}, null, 3]"))
+    py = F.concat(F.lit("[{'title': '"), t, F.lit("', 'embedding': [1.0], 'abstract': None, 'year': "), i, F.lit(", 'open': True}, {'title': 'b'}]"))
+    raw = F.when(kind.isin(0, 5), js).when(kind == 1, py).when(kind == 2, F.lit(" ")).when(kind == 3, F.lit("[{broken")).otherwise(F.lit('{"a": 1}'))
     return table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), raw.alias("kg_results"))
 
 
 _PLAIN = "regexp_replace(text, '[\"''\\\\\\x00-\\x1F]', ' ', 'g')"
 
 
-@query("ev02_parse_kg_results", f"""SELECT doc_id AS question_id, CAST(CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS BIGINT) AS n_docs, doc_id % 5 <> 3 AS parsed,
-    md5(CASE WHEN doc_id % 5 < 2 THEN {_PLAIN} ELSE '' END) AS title_md5,
-    CASE doc_id % 5 WHEN 0 THEN 'title,science_keywords' WHEN 1 THEN 'title' ELSE '' END AS keys,
-    CASE WHEN doc_id % 5 = 0 THEN '[{{\"name\":\"k\"}}]' ELSE '' END AS keywords
-  FROM documents""")
+@query("ev02_parse_kg_results", f"""WITH k AS (SELECT *, doc_id % 7 AS kind, CAST(doc_id AS VARCHAR) AS i FROM documents)
+SELECT doc_id AS question_id, CAST(CASE WHEN kind IN (0, 5) THEN 3 WHEN kind = 1 THEN 2 ELSE 0 END AS BIGINT) AS n_docs, kind <> 3 AS parsed,
+    CASE WHEN kind IN (0, 1, 5) THEN md5({_PLAIN}) END AS title_md5, CASE WHEN kind IN (0, 1, 5) THEN doc_id END AS year,
+    CASE WHEN kind IN (0, 5) THEN '[{{"name":"k","own":[{{"deep":[[{{"n":' || i || '}}]]}}]}}]' END AS keywords,
+    CASE kind WHEN 0 THEN 'nested,science_keywords,title,year' WHEN 5 THEN 'nested,science_keywords,title,year' WHEN 1 THEN 'open,title,year' END AS keys,
+    CASE kind WHEN 0 THEN '{{"m":' || i || '}}' WHEN 5 THEN '{{"_id":' || i || ',"none":null}}' WHEN 1 THEN 'true' END AS own
+  FROM k""")
 def _(spark, d):
     first = F.get("docs", F.lit(0))
+    field = lambda name, kind="string": F.try_variant_get(first, f"$.{name}", kind)
+    keys = F.array_join(F.array_sort(F.map_keys(ingest.object_fields(first))), ",")
     got = ingest.parse_kg_results(raw_results(spark, d))
-    title, keys = F.get_json_object(first, "$.title"), F.array_join(F.json_object_keys(first), ",")
-    blank = F.lit("")
-    return got.select("question_id", F.size("docs").alias("n_docs"), "parsed", F.md5(F.coalesce(title, blank).cast("binary")).alias("title_md5"), F.coalesce(keys, blank).alias("keys"), F.coalesce(F.get_json_object(first, "$.science_keywords"), blank).alias("keywords"))
+    own = F.coalesce(F.to_json(field("nested", "variant")), F.to_json(field("open", "variant")))
+    return got.select(
+        "question_id", F.size("docs").alias("n_docs"), "parsed", F.md5(field("title").cast("binary")).alias("title_md5"), field("year", "bigint").alias("year"),
+        F.to_json(field("science_keywords", "variant")).alias("keywords"), keys.alias("keys"), own.alias("own"),
+    )
+
+
+FILE_COLUMNS = {"question_id": "bigint", "question": "string", "score": "double"}
+
+
+@query("ev01_questions_from_json_lines", """SELECT doc_id AS question_id, 'row' AS kind, md5(text) AS question_md5, CASE WHEN doc_id % 4 <> 1 THEN doc_id / 4.0 END AS score,
+    CASE WHEN doc_id % 2 = 0 THEN '{"lang":"' || lang || '"}' END AS rest
+  FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0
+  UNION ALL SELECT NULL, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'no object' ELSE 'type: question_id' END, NULL, NULL, NULL FROM documents
+  WHERE doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 17 = 0""")
+def _(spark, d):
+    """Questions written as JSON lines, some broken off, some no objects, some with an id that is no number, and read again."""
+    i = F.col("doc_id")
+    fields = [i.alias("question_id"), F.col("text").alias("question"), F.when(i % 4 == 1, F.lit("none")).otherwise((i / 4).cast("string")).alias("score"), F.when(i % 2 == 0, F.col("lang")).alias("lang")]
+    line, named = F.to_json(F.struct(*fields)), F.to_json(F.struct(F.concat(F.lit("q"), i.cast("string")).alias("question_id"), *fields[1:]))
+    text = F.when(i % 11 == 0, F.left(line, F.length(line) - 1)).when(i % 13 == 0, F.lit("[1, 2]")).when(i % 17 == 0, named).otherwise(line)
+    place = shared_folder(spark, "lines")
+    table(spark, d, "documents").select(text.alias("value")).write.text(place)
+    rows, rejects = files.read_json_lines(spark, place, FILE_COLUMNS, lenient=("score",))
+    none = F.lit(None).cast("string")
+    good = rows.select("question_id", F.lit("row").alias("kind"), F.md5(F.col("question").cast("binary")).alias("question_md5"), "score", F.to_json("rest").alias("rest"))
+    return good.unionByName(rejects.select(F.lit(None).cast("long").alias("question_id"), F.col("reason").alias("kind"), none.alias("question_md5"), F.lit(None).cast("double").alias("score"), none.alias("rest")))
+
+
+@query("ev01_questions_from_csv", """SELECT doc_id AS question_id, 'row' AS kind, md5(text) AS question_md5, CAST(doc_id % 9 AS BIGINT) AS score FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 9 <> 8
+  UNION ALL SELECT NULL, CASE WHEN doc_id % 10 = 0 THEN 'fields' ELSE 'type: score' END, NULL, NULL FROM documents WHERE doc_id % 10 = 0 OR doc_id % 9 = 8""")
+def _(spark, d):
+    """Questions written as CSV under other names, with line ends in them, records of too many values and scores that are no numbers."""
+    place, docs = shared_folder(spark, "csv"), table(spark, d, "documents")
+    score = F.when(F.col("doc_id") % 9 == 8, "high").otherwise((F.col("doc_id") % 9).cast("string"))
+    good = docs.where("doc_id % 10 <> 0").select(F.col("doc_id").alias("question_id"), F.col("text").alias("Query"), score.alias("score"))
+    good.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(place)
+    long = docs.where("doc_id % 10 = 0").select(F.concat(F.col("doc_id").cast("string"), F.lit(",a,1,more")).alias("value"))
+    head = spark.range(1).select(F.lit("question_id,Query,score").alias("value"))
+    head.withColumn("o", F.lit(0)).unionByName(long.withColumn("o", F.lit(1))).coalesce(1).sortWithinPartitions("o").select("value").write.mode("append").text(place)
+    rows, rejects = files.read_csv(spark, place, {"question_id": "bigint", "score": "bigint"})
+    good = rows.select("question_id", F.lit("row").alias("kind"), F.md5(F.coalesce("question", F.lit("")).cast("binary")).alias("question_md5"), "score")
+    none = F.lit(None).cast("long")
+    return good.unionByName(rejects.select(none.alias("question_id"), F.col("reason").alias("kind"), F.lit(None).cast("string").alias("question_md5"), none.alias("score")))
 
 
 @query("ev03_kg_result_stats", """SELECT doc_id AS question_id, CAST(doc_id % 3 AS BIGINT) AS n_docs, CAST(doc_id % 3 * 2 AS BIGINT) AS n_keywords,

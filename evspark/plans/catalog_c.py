@@ -51,11 +51,12 @@ def streamed_throttle(spark: SparkSession, d: str) -> DataFrame:
     docs = shared_uris(guarded(spark, d)).select("question_id", "idx", "doc_id", "uri", "final_label", "gated", "doc_filter_min_keep")
     docs = cut_lineage(docs)
     low, high = docs.agg(F.min("question_id"), F.max("question_id")).first()
+    session = results.state_session(spark)
     for lot in range(3):
         arrived = F.floor((F.col("question_id") - low) * 3 / (high - low + 1)) == lot
         docs.where(arrived).write.mode("append").parquet(f"{out}/in")
-        rows = spark.readStream.schema(docs.schema).parquet(f"{out}/in")
-        results.stream_reuse_throttle(rows, out, f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+        rows = session.readStream.schema(docs.schema).parquet(f"{out}/in")
+        results.stream_reuse_throttle(rows, f"{out}/rows", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("question_id", "doc_id", "throttled")
 
 
