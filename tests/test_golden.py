@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from evspark.functions import text as T
 from evspark.operators import assemble, chunks, cite, docfilter, evaluate, ingest, retrieve, route
 from evspark.plans import rules
+from tests.marks_by_hand import normalize_one
 
 P = dict(question_type="continuous", complexity=0.2, quantitativity=0.2, spatial_specificity=0.0, temporal_specificity=0.0, methodological_depth=0.0, confidence=0.85)
 CASES = [
@@ -125,7 +126,7 @@ def test_budgets_skip_and_do_not_stop(spark):
      ("word 31.", "word 31."), (None, None), ("", ""), ("2.16 Ma", "2.16 Ma"), ("x [2] y", "x [2] y")],
 )
 def test_normalize_citations(spark, text, want):
-    assert cite.normalize_one(text) == want
+    assert normalize_one(text) == want
     assert one(spark, cite.normalize_citations(F.col("t")), t=text) == want
 
 
@@ -309,8 +310,21 @@ def test_strip_references_loose(spark, text, want):
         ("was 5; then", "was [5]; then"), ("[1] 4\nnext", "[1] [4]\nnext"), ("a 31.", "a 31."), ("a 7--b", "a [7]--b"), ("50% 8 [2]", "50% [8] [2]"), ("x 345.", "x 345."), ("é 5.", "é 5."), ("end 9", "end [9]"),
     ],
 )
-def test_marks_of_lists(text, want):
-    assert cite.normalize_one(text) == want
+def test_marks_of_lists(spark, text, want):
+    assert normalize_one(text) == want
+    assert one(spark, cite.normalize_citations(F.col("t")), t=text) == want
+
+
+def test_marks_against_a_scan(spark):
+    import random
+
+    r = random.Random(21)
+    signs = ["1", "2", "3", "07", "30", "31", "45", "100", ", ", ",", " ,", " ", "  ", "\n", "[", "]", ".", ";", "--", "-", "%", ")", "a", "Word", "é", "4.5", ", 7", ", 40", "[3, 7]"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 14))) for _ in range(30_000)] + ["word 40,\n50, 6 Foo", "a 1, 2, 3, 4, 5, 6.", "1, 2, 3, 4, 5, 6 Foo"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {x.i: x.m for x in df.select("i", cite.normalize_citations(F.col("t")).alias("m")).collect()}
+    assert [t for i, t in enumerate(texts) if got[i] != normalize_one(t)] == []
+    assert "Python" not in df.select(cite.normalize_citations(F.col("t")))._jdf.queryExecution().executedPlan().toString()
 
 
 def test_numbers_against_python(spark):
