@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evspark.llm import decontaminate, jaccard, packing, quality, suffix_dedup
-from evspark.llm.common import checkpoint, table
+from evspark.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     empty table gives no rows; other columns are carried along, names with two underscores are reserved.
     """
     keyed = docs.withColumn("__row", F.xxhash64("text"))
-    classes = checkpoint(jaccard.near_duplicates(keyed.select("doc_id", "text", "__row"), row_col="__row").where(F.col("doc_id").isNotNull()))
+    classes = written(jaccard.near_duplicates(keyed.select("doc_id", "text", "__row"), row_col="__row").where(F.col("doc_id").isNotNull()))
     row = F.struct("doc_id", "__row")
     best = classes.groupBy("class_key").agg(F.min(row).alias("best"))
     same = classes.groupBy("class_key", "doc_id", "__row").agg(F.count(F.lit(1)).alias("n"))
@@ -88,5 +88,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = checkpoint(docs)
+            docs = written(docs)
     return docs

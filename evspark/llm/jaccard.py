@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.common import ascii_lower, checkpoint
+from evspark.llm.common import ascii_lower, checkpoint, written
 from evspark.llm.components import components
 
 _WORD = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -233,10 +233,10 @@ def near_duplicates(
     )
     named = rows.where(F.col("id").isNotNull())
     runs = runs_for(recall, depth)
-    feats = checkpoint(features(named, n, runs, depth, threshold))
+    feats = written(features(named, n, runs, depth, threshold))
     reps = feats.groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     one = feats.join(reps.select(F.col("sig").alias("s"), "rep"), (F.col("sig") == F.col("s")) & (F.col("id") == F.col("rep")))
-    one = checkpoint(one.select("sig", "rep", "size", "sketch", "keys").dropDuplicates(["sig"]))
+    one = written(one.select("sig", "rep", "size", "sketch", "keys").dropDuplicates(["sig"]))
 
     keyed = one.select("sig", F.explode("keys").alias("key"))
     same = keyed.groupBy("key").agg(
@@ -261,8 +261,8 @@ def near_duplicates(
 
     got = named.join(wanted, F.col("id") == F.col("rep")).select("comp", "sig", "copies", "text")
     got = got.mapInPandas(sets, "comp binary, sig binary, copies long, size long, tokens binary").dropDuplicates(["sig"])
-    got = checkpoint(got)
-    compared = checkpoint(
+    got = written(got)
+    compared = written(
         _groups(_in_blocks(got, "comp", block, block_tokens), ["comp", "p", "q"], lambda f: _exact_links(f, threshold), "sig binary, peer binary, links long")
     )
     linked = compared.where(F.col("peer").isNull()).groupBy("sig").agg(F.sum("links").alias("links"))
