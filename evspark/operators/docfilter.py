@@ -2,7 +2,9 @@
 
 Rows carry all other columns along; names that begin with two underscores are reserved, and columns that a
 function adds replace those of the same name. Null titles, abstracts and states count as empty, null labels as
-missing; repeated rows are counted one by one; an empty table gives no rows.
+missing; repeated rows are counted one by one; an empty table gives no rows. Functions that rank or count the documents of a
+question take ``spread``: a question then is no task of its own, for tables in which some have a large share of all rows;
+its documents have different idx.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evspark.functions.text import any_contains, tokens
+from evspark.operators.running import ranked, with_totals
 
 #: Fixed values.
 RETRACTION_TOKENS = ("retracted", "retraction", "retraction notice", "withdrawn", "expression of concern")
@@ -65,7 +68,7 @@ def title_flags(docs: DataFrame, questions: DataFrame, av_pairs: DataFrame) -> D
     return got.drop("__names", "__words")
 
 
-def lexical_score(docs: DataFrame, av_pairs: DataFrame) -> DataFrame:
+def lexical_score(docs: DataFrame, av_pairs: DataFrame, *, spread: bool = False) -> DataFrame:
     """Adds lexical (terms of the pairs in the text, literals counted by half each) and its rank."""
     f = F.array("attribute", "value", "description")
     per = av_pairs.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", f.alias("f")))).alias("p"))
@@ -79,55 +82,63 @@ def lexical_score(docs: DataFrame, av_pairs: DataFrame) -> DataFrame:
     hits = F.size(F.array_intersect(F.coalesce("__w", none), tokens(text)))
     lit = F.size(F.filter(F.coalesce("__l", none), lambda x: F.instr(text, x) > 0))
     got = joined.withColumn("lexical", hits + 0.5 * lit).drop("__w", "__l")
-    return got.withColumn("lexical_rank", F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("lexical"), "idx")))
+    return ranked(got, ["question_id"], [F.desc("lexical"), "idx"], "lexical_rank", spread=spread)
 
 
-def filter_gate(docs: DataFrame) -> DataFrame:
+def filter_gate(docs: DataFrame, *, spread: bool = False) -> DataFrame:
     """Adds n_docs and gated: whether there are more documents than must be kept."""
-    n = F.count(F.lit(1)).over(W.partitionBy("question_id"))
-    return docs.withColumn("n_docs", n).withColumn("gated", F.col("n_docs") > F.col("doc_filter_min_keep"))
+    counted = with_totals(docs, ["question_id"], {"n_docs": F.count(F.lit(1))}, spread=spread)
+    return counted.withColumn("gated", F.col("n_docs") > F.col("doc_filter_min_keep"))
 
 
-def lexical_fallback(docs: DataFrame) -> DataFrame:
+def lexical_fallback(docs: DataFrame, *, spread: bool = False) -> DataFrame:
     """Adds fallback_label from the lexical rank: the first few full, then abstract, then drop."""
-    n = F.count(F.lit(1)).over(W.partitionBy("question_id"))
-    least_full = F.when(F.col("rule_hit").isin("tier-1", "tier-1-def"), 2).otherwise(3)
-    least = F.greatest("doc_filter_min_keep", F.floor(n / 3))
-    label = F.when(F.col("lexical_rank") <= least_full, "full").when(F.col("lexical_rank") <= least, "abstract").otherwise("drop")
-    return docs.withColumn("fallback_label", label)
+    counted = with_totals(docs, ["question_id"], {"__n": F.count(F.lit(1))}, spread=spread)
+    return counted.withColumn("fallback_label", _fallback_label()).drop("__n")
 
 
-def classify_guardrail(docs: DataFrame) -> DataFrame:
+def _least_full() -> Column:
+    return F.when(F.col("rule_hit").isin("tier-1", "tier-1-def"), 2).otherwise(3)
+
+
+def _least() -> Column:
+    return F.greatest("doc_filter_min_keep", F.floor(F.col("__n") / 3))
+
+
+def _fallback_label() -> Column:
+    return F.when(F.col("lexical_rank") <= _least_full(), "full").when(F.col("lexical_rank") <= _least(), "abstract").otherwise("drop")
+
+
+def classify_guardrail(docs: DataFrame, *, spread: bool = False) -> DataFrame:
     """Final label of each candidate from the given ones, within limits.
 
     Needs label, similarity, lexical_rank, rule_hit and doc_filter_min_keep. Too few full documents,
     a missing label or still too few in all: the lexical fallback. Too few in all: the best dropped
     ones by similarity become abstract, at most 3 in generous tiers and 2 elsewhere.
     """
-    q = W.partitionBy("question_id")
     known = F.when(F.col("label").isin("full", "abstract", "drop"), F.col("label")).when(F.col("label").isNotNull(), "abstract")
-    got = lexical_fallback(docs).withColumn("given", known)
-    n, full = F.count(F.lit(1)).over(q), F.count_if(F.col("given") == "full").over(q)
-    kept = F.count_if(F.col("given").isin("full", "abstract")).over(q)
-    least_full = F.when(F.col("rule_hit").isin("tier-1", "tier-1-def"), 2).otherwise(3)
-    least = F.greatest("doc_filter_min_keep", F.floor(n / 3))
+    totals = {
+        "__n": F.count(F.lit(1)),
+        "__full": F.count_if(F.col("__given") == "full"),
+        "__kept": F.count_if(F.col("__given").isin("full", "abstract")),
+        "__known": F.count("__given"),
+    }
+    got = with_totals(docs.withColumn("__given", known), ["question_id"], totals, spread=spread)
+    got = ranked(got.withColumn("__class", F.coalesce("__given", F.lit(""))), ["question_id", "__class"], [F.desc("similarity"), "idx"], "__drop", spread=spread)
     cap = F.when(F.col("rule_hit").isin(*GENEROUS_TIERS), 3).otherwise(2)
-    drop_rank = F.row_number().over(W.partitionBy("question_id", "given").orderBy(F.desc("similarity"), "idx"))
-    got = got.withColumns({"__n": n, "__full": full, "__kept": kept, "__given": F.count("given").over(q), "__least_full": least_full, "__least": least, "__cap": cap, "__drop": drop_rank})
-    need = F.col("__least") - F.col("__kept")
-    promoted = F.least(need, F.col("__cap"), F.col("__n") - F.col("__kept"))
-    lexical = (F.col("__given") < F.col("__n")) | (F.col("__full") < F.col("__least_full")) | (F.col("__kept") + F.greatest(promoted, F.lit(0)) < F.col("__least"))
-    label = F.when(lexical, F.col("fallback_label")).when((F.col("given") == "drop") & (F.col("__drop") <= promoted), "abstract").otherwise(F.col("given"))
-    got = got.withColumn("final_label", label).withColumn("used_fallback", lexical)
-    return got.drop("given", "__n", "__full", "__kept", "__given", "__least_full", "__least", "__cap", "__drop")
+    promoted = F.least(_least() - F.col("__kept"), cap, F.col("__n") - F.col("__kept"))
+    few = (F.col("__full") < _least_full()) | (F.col("__kept") + F.greatest(promoted, F.lit(0)) < _least())
+    lexical = (F.col("__known") < F.col("__n")) | few
+    raised = (F.col("__given") == "drop") & (F.col("__drop") <= promoted)
+    label = F.when(lexical, _fallback_label()).when(raised, "abstract").otherwise(F.col("__given"))
+    got = got.withColumns({"fallback_label": _fallback_label(), "final_label": label, "used_fallback": lexical})
+    return got.drop("__given", "__class", "__known", "__drop", *list(totals)[:3])
 
 
-def abstracts_topup(docs: DataFrame) -> DataFrame:
+def abstracts_topup(docs: DataFrame, *, spread: bool = False) -> DataFrame:
     """In abstracts mode, makes the best dropped documents by lexical rank abstract up to the least number."""
-    q = W.partitionBy("question_id")
-    kept = F.count_if(F.col("final_label") != "drop").over(q)
-    rank = F.row_number().over(W.partitionBy("question_id", "final_label").orderBy("lexical_rank"))
-    got = docs.withColumns({"__kept": kept, "__rank": rank})
+    got = with_totals(docs, ["question_id"], {"__kept": F.count_if(F.col("final_label") != "drop")}, spread=spread)
+    got = ranked(got, ["question_id", "final_label"], ["lexical_rank"], "__rank", spread=spread)
     rise = (F.col("evidence_mode") == "abstracts") & (F.col("final_label") == "drop") & (F.col("__rank") <= F.col("doc_filter_min_keep") - F.col("__kept"))
     return got.withColumn("final_label", F.when(rise, "abstract").otherwise(F.col("final_label"))).drop("__kept", "__rank")
 
@@ -143,7 +154,7 @@ def first_uses(docs: DataFrame) -> DataFrame:
     return used.where(F.col("doc_key").isNotNull()).groupBy("doc_key").agg(F.min("question_id").alias("first_question"))
 
 
-def reuse_throttle(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def reuse_throttle(docs: DataFrame, known: DataFrame | None = None, *, spread: bool = False) -> DataFrame:
     """Demotes, in document order, the surplus of full documents that earlier questions had in full.
 
     The surplus is what goes beyond doc_filter_min_keep + 2. Only filtered questions count as users. Documents
@@ -154,19 +165,19 @@ def reuse_throttle(docs: DataFrame, known: DataFrame | None = None) -> DataFrame
     if known is not None:
         first = first.unionByName(known).groupBy("doc_key").agg(F.min("first_question").alias("first_question"))
     got = docs.withColumn("__key", document_key()).join(first.withColumnRenamed("doc_key", "__key"), "__key", "left")
-    return demote_reused(got.drop("__key"))
+    return demote_reused(got.drop("__key"), spread=spread)
 
 
-def demote_reused(docs: DataFrame) -> DataFrame:
+def demote_reused(docs: DataFrame, *, spread: bool = False) -> DataFrame:
     """Whole questions with first_question, the first that had each document in full, to rows with throttled and the new label."""
     full = F.col("final_label") == "full"
-    n_full = F.count_if(full).over(W.partitionBy("question_id"))
-    got = docs.withColumn("__full", n_full)
-    got = got.withColumn("__seen", full & F.col("gated") & F.coalesce(F.col("first_question") < F.col("question_id"), F.lit(False)))
-    place = F.row_number().over(W.partitionBy("question_id", "__seen").orderBy("idx"))
+    got = with_totals(docs, ["question_id"], {"__full": F.count_if(full)}, spread=spread)
+    seen = full & F.col("gated") & (F.col("first_question") < F.col("question_id"))
+    got = ranked(got.withColumn("__seen", F.coalesce(seen, F.lit(False))), ["question_id", "__seen"], ["idx"], "__place", spread=spread)
     surplus = F.greatest(F.col("__full") - F.col("doc_filter_min_keep") - 2, F.lit(0))
-    got = got.withColumn("throttled", F.col("__seen") & (place <= surplus))
-    return got.withColumn("final_label", F.when(F.col("throttled"), "abstract").otherwise(F.col("final_label"))).drop("first_question", "__seen", "__full")
+    got = got.withColumn("throttled", F.col("__seen") & (F.col("__place") <= surplus))
+    label = F.when(F.col("throttled"), "abstract").otherwise(F.col("final_label"))
+    return got.withColumn("final_label", label).drop("first_question", "__seen", "__full", "__place")
 
 
 def filter_summary(docs: DataFrame) -> DataFrame:

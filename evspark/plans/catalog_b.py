@@ -64,8 +64,11 @@ def lexed(spark, d):
 
 
 def given(spark, d):
-    labels = table(spark, d, "labels")
-    got = lexed(spark, d).join(labels, "doc_id", "left")
+    return with_labels(spark, d, lexed(spark, d))
+
+
+def with_labels(spark, d, scored):
+    got = scored.join(table(spark, d, "labels"), "doc_id", "left")
     label = F.when(F.col("toxic") == 1, "drop").when(F.col("quality") == 1, "full").when(F.col("quality") == 0, "abstract").otherwise("drop")
     return got.withColumns({"rule_hit": F.expr(_TIER), "doc_filter_min_keep": F.expr(_LEAST), "evidence_mode": F.expr(_MODE), "label": label, "similarity": (F.col("doc_id") * 29 % 101) / F.lit(100.0)})
 
@@ -111,6 +114,14 @@ def _(spark, d):
     return guarded(spark, d).select("question_id", "doc_id", "final_label", "used_fallback")
 
 
+@query("ev42_guardrail_in_ranges", PRE + GUARD_SQL + " SELECT question_id, doc_id, final_label, used_fallback, lexical_rank FROM guarded")
+def _(spark, d):
+    """As ev42, with ranks and counts that give no question a task of its own."""
+    scored = docfilter.lexical_score(demo(spark, d, "candidates"), demo(spark, d, "av_pairs"), spread=True)
+    got = docfilter.classify_guardrail(with_labels(spark, d, scored), spread=True)
+    return got.select("question_id", "doc_id", "final_label", "used_fallback", "lexical_rank")
+
+
 @query("ev43_lexical_fallback", PRE + GUARD_SQL + " SELECT question_id, doc_id, fallback_label FROM guarded")
 def _(spark, d):
     return docfilter.lexical_fallback(given(spark, d)).select("question_id", "doc_id", "fallback_label")

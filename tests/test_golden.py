@@ -268,6 +268,36 @@ def test_blocks_that_cannot_matter_are_skipped(spark, monkeypatch):
     assert scored and all(b.split()[0] in ("the", "of") for b in scored) and len(scored) < len(sizes)
 
 
+def test_a_question_of_most_rows_is_ranked_by_all_tasks(spark):
+    import random
+
+    from evspark.operators.running import ranked
+
+    r = random.Random(8)
+    tiers, labels = ["tier-1", "tier-m", "tier-3"], ["full", "abstract", "drop", "odd", "drop", "full"]
+    rows = []
+    for q in range(12):
+        kinds = labels if q % 4 else [*labels, None]
+        for i in range(400 if q == 5 else r.randint(1, 12)):
+            used = r.randint(0, 3) if r.random() < 0.8 else None
+            rows.append((q, i, f"d{q}-{i}", r.choice(kinds), r.choice([0.1, 0.5, r.random()]), i + 1, tiers[q % 3], 3, "abstracts" if q % 2 else "x", f"u{used}" if used is not None else None))
+    schema = "question_id long, idx int, doc_id string, label string, similarity double, lexical_rank int, rule_hit string, doc_filter_min_keep int, evidence_mode string, uri string"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+
+    def judged(spread):
+        got = docfilter.filter_gate(docfilter.classify_guardrail(docs, spread=spread), spread=spread)
+        got = docfilter.abstracts_topup(docfilter.lexical_fallback(got, spread=spread), spread=spread)
+        return sorted(map(tuple, docfilter.reuse_throttle(got, spread=spread).select(*sorted(got.columns), "throttled").collect()), key=str)
+
+    plain = judged(False)
+    assert judged(True) == plain and len(plain) == len(rows) and {x[-1] for x in plain} == {True, False}
+    places = ranked(docs, ["question_id"], [F.desc("similarity"), "idx"], "place", spread=True)
+    assert sorted(x.place for x in places.where("question_id = 5").collect()) == list(range(1, 401))
+    plan = places._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "windowspecdefinition" in line]
+    assert windows and all("__range" in w for w in windows)  # no window over a question alone
+
+
 def test_sums_before_any_order(spark):
     from evspark.operators.running import sums_before
 
