@@ -34,6 +34,15 @@ AROUND = re.compile(
     r"pagination|pager|login|signup|toolbar|search|copyright|legal|contentinfo|navigation|complementary)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Fixed patterns of names that decide alone inside an article: whole names, and first parts of compound ones.
+AROUND_WHOLE = re.compile(
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|nav\w*|menu|breadcrumbs?|footer|sidebar|"
+    r"widget|related|recommend\w*|share|sharing|social|comments?|disqus|respond|replies|pagination|pager|login|signup|toolbar|copyright)",
+    re.IGNORECASE,
+)
+AROUND_FIRST = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|popup|modal|newsletter|breadcrumbs?|sidebar|comments?|disqus|pagination)[_-]", re.IGNORECASE)
+#: What ends a sentence.
+_SENTENCE = re.compile(r"[.!?…:;。！？](?:[\s\"'”’»)\]]|$)")
 #: Fixed lists of frequent function words in four languages.
 STOP_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there "
@@ -45,7 +54,9 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?([a-zA-Z][a-zA-Z0-
 _LOOSE = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.DOTALL)  # where quotes are never closed
 _MODIFIER = re.compile(r"(?:has|with|without|no|is|not)[-_]", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN_NAME = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.IGNORECASE)
+_HIDDEN = re.compile(r"""display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 
 
 @dataclass
@@ -55,6 +66,7 @@ class Block:
     around: int  # 2 inside boilerplate, 1 inside what may be boilerplate or a wrapper, else 0
     part: int  # number of the article it stands in, 0 outside
     heading: bool
+    named: bool = False  # inside an article, in what a name calls its surroundings: bad if links say so too
     label: str = ""
 
 
@@ -83,19 +95,19 @@ def _tags(page: str) -> Iterator[tuple[str, re.Match | None]]:
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order; scripts, styles and comments are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # (element, around, part) of open containers
+    stack: list[tuple[str, int, int, bool]] = []  # (element, around, part, named) of open containers
     open_: Counter = Counter()
     text: list[str] = []
-    links, link, around_block, heading, head, parts = 0, False, 0, False, False, 0
+    links, link, around_block, named_block, heading, head, parts = 0, False, 0, False, False, False, 0
 
     def close() -> None:
-        nonlocal links, around_block, heading
+        nonlocal links, around_block, named_block, heading
         whole = " ".join(html.unescape("".join(text)).split())
         if whole:
-            around, part = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
-            out.append(Block(whole, links, max(around, around_block), part, heading))
+            around, part, named = stack[-1][1:] if stack else (0, 0, False)
+            out.append(Block(whole, links, max(around, around_block), part, heading, named or named_block))
         text.clear()
-        links, around_block, heading = 0, 0, False
+        links, around_block, named_block, heading = 0, 0, False, False
 
     for piece, m in _tags(page):
         if piece and not head:
@@ -132,28 +144,47 @@ def blocks_of(page: str) -> list[Block]:
                             break
             elif not attributes.endswith("/"):
                 close()
-                around, part = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
+                around, part, named = stack[-1][1:] if stack else (0, 0, False)
+                level, also = _around(name, attributes, bool(part))
                 if name in MAIN and not part:
                     parts += 1
                     part = parts
-                own = 1 if name == "form" else 2 * (name in BOILERPLATE)
-                stack.append((name, max(around, own, _around(name, attributes)), part))
+                own = 1 if name == "form" else 2 * (name in BOILERPLATE and not (part and name == "header"))  # an article's own header
+                stack.append((name, max(around, own, level), part, named or also))
                 open_[name] += 1
         elif name in BREAKS and not closing:
-            around_block = _around(name, attributes)
             heading = len(name) == 2 and name[0] == "h" and name != "hr"
+            around_block, named_block = _around(name, attributes, bool(stack and stack[-1][2]), heading)
     close()
     return out
 
 
-def _around(name: str, attributes: str) -> int:
-    """2 for hidden elements, 1 for those whose class, id or role names what surrounds an article."""
+def _around(name: str, attributes: str, inside: bool = False, heading: bool = False) -> tuple[int, bool]:
+    """(2 for hidden elements, 1 for those whose class, id or role names what surrounds an article; whether a name merely hints at it).
+
+    Inside an article, and for headings, only whole names and a few first parts decide; others are hints.
+    """
     if not attributes or name in ("body", "html", *MAIN):
-        return 0
-    if _HIDDEN.search(attributes):
-        return 2
-    names = (word for found in _ATTRIBUTE.findall(attributes) for value in found for word in value.split())
-    return int(any(AROUND.search(word) and not _MODIFIER.match(word) for word in names))
+        return 0, False
+    if _HIDDEN.search(attributes) or _HIDDEN_NAME.search(_QUOTED.sub('""', attributes)):
+        return 2, False
+    names = [word for found in _ATTRIBUTE.findall(attributes) for value in found for word in value.split() if AROUND.search(word) and not _MODIFIER.match(word)]
+    if not (inside or heading):
+        return int(bool(names)), False
+    return int(any(AROUND_WHOLE.fullmatch(word) or AROUND_FIRST.match(word) for word in names)), bool(names)
+
+
+def _linked(b: Block, share: float) -> str:
+    """The label of a block whose links are more than a share of it: bad, or ambiguous where an article has it.
+
+    In an article links alone don't decide: a heading or a sentence is as good as others, a bare link as its neighbours,
+    unless a name hints that it belongs to the surroundings.
+    """
+    if b.links <= share * len(b.text):
+        return ""
+    if not b.part or b.named:
+        return "bad"
+    return "near" if b.heading or _SENTENCE.search(b.text) else "short"
 
 
 def classify(
@@ -163,8 +194,9 @@ def classify(
     for b in blocks:
         words = b.text.lower().split()
         density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-        if b.around or b.links > link_share * len(b.text):
-            b.label = "bad"
+        linked = _linked(b, link_share)
+        if b.around or linked:
+            b.label = "bad" if b.around else linked
         elif len(b.text) < low:
             b.label = "short"
         elif density >= many and len(b.text) >= high:
@@ -178,7 +210,7 @@ def classify(
         plain = [max(0, len(b.text) - b.links) * (b.around < 2) for b in blocks]
         wrapped = 2 * sum(n for b, n in zip(blocks, plain, strict=True) if b.around == 1) > sum(plain)
         for b in blocks:
-            bad = b.around > wrapped or b.links > link_share * len(b.text)
+            bad = b.around > wrapped or _linked(b, link_share) == "bad"
             b.label = "bad" if bad else "near" if len(b.text) >= low else "short"
         if not any(b.label == "near" for b in blocks):  # a page of short paragraphs alone
             for b in blocks:
@@ -215,10 +247,13 @@ def _inherit(blocks: list[Block]) -> None:
                 b.label = "bad" if found == {"bad"} and labels[i] == "short" and not b.heading and not some else "good"
             elif len(found) == 1:
                 b.label = found.pop()
+            elif found and b.heading:
+                b.label = labels[near[-1]]  # what follows it
             elif found:
                 b.label = "good" if labels[i] == "near" else labels[min(near, key=lambda k: abs(k - i))]
             else:
-                b.label = "good" if labels[i] == "near" else "bad"
+                follows = b.heading and labels[i + 1 : i + 2] == ["near"]
+                b.label = "good" if labels[i] == "near" or follows else "bad"
 
 
 def main_text(page: str | None, **options) -> str:

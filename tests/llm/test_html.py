@@ -53,3 +53,47 @@ def test_markup_without_end_takes_linear_time(page):
     blocks_of(page)
     main_text(page)
     assert time.process_time() - began < 5
+
+
+def body(*inner, before="<nav><a href=/>Home</a></nav>", after="<footer>(c) nobody</footer>"):
+    r = random.Random(3)
+    first, last = sentence(r), sentence(r)
+    page = f"<body>{before}<article><p>{first}</p>{''.join(inner)}<p>{last}</p></article>{after}</body>"
+    return [x for x in main_text(page).split("\n") if x not in (first, last)]
+
+
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        ("<p>See <a href=/x>the long and patient guide to all the bridges of the town</a> too.</p>", ["See the long and patient guide to all the bridges of the town too."]),
+        ("<ul><li><a href=/a>First source</a></li><li><a href=/b>Second source</a></li></ul>", ["First source", "Second source"]),
+        ("<h2><a href=#x>Linked heading</a></h2>", ["Linked heading"]),
+        ('<h2 class="section-header">A heading</h2>', ["A heading"]),
+        ('<div class="entry-header"><h1>The headline</h1></div>', ["The headline"]),
+        ('<div class="related-work"><p>Others have looked at this.</p></div>', ["Others have looked at this."]),
+        ('<div class="side-by-side"><p>Two pictures of one bridge.</p></div>', ["Two pictures of one bridge."]),
+        ('<section id="legal"><p>The law of bridges is old.</p></section>', ["The law of bridges is old."]),
+        ('<p class="share-price">The price rose to 5 on that day.</p>', ["The price rose to 5 on that day."]),
+        ("<header><h1>The headline</h1></header>", ["The headline"]),
+        ('<div class="grid hidden md-block"><p>Shown on large screens.</p></div>', ["Shown on large screens."]),
+        ("<div hidden><p>Never shown to anyone at all.</p></div>", []),
+        ("<div data-x='y' HIDDEN><p>Never shown to anyone at all.</p></div>", []),
+        ('<div style="display: none"><p>Never shown.</p></div>', []),
+        ('<div class="related-posts"><a href=/a>Another story</a> <a href=/b>A third story</a></div>', []),
+        ('<div class="share-buttons"><a href=/f>Share</a> <a href=/t>Tell</a></div>', []),
+        ('<div class="comment-list"><p>I do not agree with this at all, and that is that.</p></div>', []),
+        ('<section id="comments"><p>Nice text.</p></section>', []),
+        ('<div class="newsletter-box"><p>Get our letter every week.</p></div>', []),
+        ("<aside><p>An aside of some length that says little.</p></aside><footer>By nobody.</footer>", []),
+    ],
+)
+def test_names_and_links_inside_an_article(inner, want):
+    assert body(inner) == want
+
+
+def test_names_outside_articles_still_decide():
+    r = random.Random(4)
+    text = [sentence(r) for _ in range(3)]
+    rest = "".join(f"<div class='{c}'><p>{sentence(r)}</p></div>" for c in ("site-header", "left-sidebar", "post-comments", "page-footer"))
+    page = f"<body>{rest}<h2 class='section-header'>A heading</h2>" + "".join(f"<p>{t}</p>" for t in text) + "</body>"
+    assert main_text(page).split("\n") == ["A heading", *text]
