@@ -394,3 +394,19 @@ def test_toxicity(spark, none):
         for step in (-0.05, 0.05):
             assert loss(best.weights | {f: best.weights[f] + step}, best.bias) >= least - 1e-6
     assert loss(best.weights, best.bias + 0.05) >= least - 1e-6 and loss(best.weights, best.bias - 0.05) >= least - 1e-6
+
+
+def test_addresses_are_found_as_the_pattern_finds_them():
+    r = random.Random(12)
+    for _ in range(4000):
+        text = "".join(r.choice(["a", "B", "1", ".", "_", "%", "-", "@", "@", " ", ".co", "b.com", "é", "\n"]) for _ in range(r.randint(0, 25)))
+        assert list(token_edits._addresses(text)) == [m.span() for m in re.finditer(token_edits.REDACTIONS[0][0], text)], text
+
+
+def test_redaction_takes_linear_time():
+    import time
+
+    began = time.process_time()
+    for text in ("a" * 1_000_000 + " @", "x@" + "b." * 500_000, "a" * 500_000 + "@" + "b" * 500_000, "a@" * 300_000, "1 " * 300_000 + "x", "1" + " " * 500_000):
+        token_edits.redaction_edits(text)
+    assert time.process_time() - began < 15
