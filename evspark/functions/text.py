@@ -15,9 +15,12 @@ SECTION_WEIGHTS = (
     ("results", 1.5), ("result", 1.5), ("discussion", 1.3), ("analysis", 1.3), ("conclusion", 1.1), ("conclusions", 1.1), ("abstract", 1.0),
     ("introduction", 0.6), ("background", 0.7), ("references", 0.2), ("bibliography", 0.2), ("acknowledg", 0.2), ("appendix", 0.9), ("unknown", 1.0),
 )
+#: Words, numbers that are not glued to letters, and numbered headings.
 TOKEN = "[a-z][a-z0-9\\-]{1,}"
 NUMBER = "(?i)(?<![A-Za-z_])-?[0-9]+(?:[.,][0-9]+)?(?:e[+-]?[0-9]+)?(?![A-Za-z_])"
 
+NUMBERED_HEADING = r"^(?:[0-9IVX]+\.?[0-9\.]*)\s+([A-Z][A-Za-z /\\-]{2,60})$"
+
 
 def tokens(text: Column) -> Column:
     """Lower-case words of two characters or more that begin with a letter."""
@@ -47,7 +50,7 @@ def unit_hits(text: Column) -> Column:
 def detect_heading(line: Column) -> Column:
     """Name of the section that a line opens, else null."""
     core = F.trim(F.coalesce(line, F.lit("")), F.lit(" .:"))
-    numbered = F.regexp_extract(core, r"^(?:[0-9IVX]+\.?[0-9\.]*)\s+([A-Z][A-Za-z /\\-]{2,60})$", 1)
+    numbered = F.regexp_extract(core, NUMBERED_HEADING, 1)
     low = F.trim(F.lower(F.when(numbered != "", numbered).otherwise(core)))
     names = "|".join(name for name, _ in SECTION_WEIGHTS if name != "unknown")
     opening = F.nullif(F.regexp_extract(low, f"^({names})", 1), F.lit(""))  # the first name in order that fits

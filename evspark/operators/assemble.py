@@ -18,6 +18,9 @@ def _joined(order, line, sep: str):
     return F.array_join(F.transform(rows, lambda x: x["__line"]), sep)
 
 
+# Fixed values in the two blocks below: the frames of documents, sections and notes.
+
+
 def documents_block(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
     """(question_id, block, n_docs, n_excerpts, n_chars, n_lines): full documents, then abstracts.
 
@@ -66,7 +69,7 @@ def cited_block(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
     by = F.concat(F.lit("Authors: "), F.coalesce("__names", F.lit("")), F.lit(" ("), given("year", ""), F.lit(")"), F.when(uri != "", F.concat(F.lit(" | "), uri)).otherwise(""))
     body = F.when((F.col("final_label") == "full") & F.col("__found").isNotNull(), F.concat(F.lit("Full-text excerpts:\n"), F.col("__found")))
     text = F.concat_ws("\n", head, by, F.concat(F.lit("Abstract: "), F.coalesce("abstract", F.lit(""))), F.coalesce(body, F.lit("(Abstract only)")), F.lit(""))
-    line = F.concat(F.lit("["), n, F.lit("] "), F.coalesce("__names", F.lit("Unknown")), F.lit(" ("), given("year", "n.d."), F.lit("). "), title, F.lit(". "), uri)
+    line = F.concat(F.lit("["), n, F.lit("] "), F.coalesce("__names", F.lit("Unknown")), F.lit(" ("), given("year", "n.d."), F.lit("). "), title, F.when(uri != "", F.concat(F.lit(". "), uri)).otherwise(""))
     got = got.withColumns({"__text": text, "__line": line})
     blocks = got.groupBy("question_id").agg(_joined([F.col("number")], F.col("__text"), "\n").alias("__a"), _joined([F.col("number")], F.col("__line"), "\n").alias("__b"))
     return blocks.select("question_id", F.concat(F.col("__a"), F.lit("\n\n[VALIDATED REFERENCES]\n"), F.col("__b")).alias("block"))
@@ -85,18 +88,23 @@ def context_views(assessments: DataFrame) -> DataFrame:
     return rows.groupBy("question_id").agg(_joined(order, full, "\n\n").alias("full_view"), _joined(order, slim, "\n\n").alias("slim_view"), _joined(order, score, "\n").alias("score_view"))
 
 
+#: Fixed value: what stands for an empty title in a citation.
+NO_TITLE = "[No title \u2014 see URI]"
+
+
 def reference_lines(works: DataFrame) -> DataFrame:
-    """Adds reference ([n] authors (year). title. uri) and cited (one author, starred title)."""
+    """Adds reference ([n] authors (year). title. uri, without the last part where there is no address) and cited (one author, starred title)."""
     none = F.coalesce(F.size("authors"), F.lit(0)) <= 0
     names = F.when(none, "Unknown").when(F.size("authors") > 2, F.concat(F.get("authors", F.lit(0)), F.lit(" et al."))).otherwise(F.array_join("authors", ", "))
     n = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "))
     year = F.coalesce(F.col("year").cast("string"), F.lit("n.d."))
     title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.lit("[No title]"))
     first = F.coalesce(F.get("authors", F.lit(0)), F.lit("No author"))
+    named = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit(NO_TITLE))
     return works.withColumns(
         {
-            "reference": F.concat(n, names, F.lit(" ("), year, F.lit("). "), title, F.lit(". "), F.coalesce("uri", F.lit(""))),
-            "cited": F.concat(n, first, F.lit(" ("), F.coalesce(F.col("year").cast("string"), F.lit("No year")), F.lit("). *"), title, F.lit("*. "), F.coalesce("uri", F.lit("")), F.lit(".")),
+            "reference": F.concat(n, names, F.lit(" ("), year, F.lit("). "), title, F.when(F.col("uri") != "", F.concat(F.lit(". "), F.col("uri"))).otherwise("")),
+            "cited": F.concat(n, first, F.lit(" ("), F.coalesce(F.col("year").cast("string"), F.lit("No year")), F.lit("). *"), named, F.lit("*. "), F.coalesce("uri", F.lit("")), F.lit(".")),
         }
     )
 

@@ -30,7 +30,7 @@ BY_DOC = ("question_id", "idx")
 
 def is_retracted(title: Column, status: Column) -> Column:
     low, state = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(status, F.lit("")))
-    pattern = r"(^|[ :\-])(" + "|".join(RETRACTION_TOKENS) + ")"
+    pattern = r"(^|[\s:\-])(" + "|".join(RETRACTION_TOKENS) + ")"
     return low.rlike(pattern) | any_contains(state, RETRACTION_TOKENS)
 
 

@@ -56,7 +56,8 @@ def profiled(spark, d):
     return docs.select("doc_id", *[c.alias(n) for n, c in T.heuristic_profile(F.col("text")).items()])
 
 
-@query("ev25_heuristic_profile", f"""WITH {PROFILE_SQL} SELECT doc_id, question_type, CAST(complexity AS DOUBLE) AS complexity, CAST(quantitativity AS DOUBLE) AS quantitativity,
+@query("ev25_heuristic_profile", f"""WITH {PROFILE_SQL} SELECT doc_id, question_type, CAST(complexity AS DOUBLE) AS complexity,
+    CAST(quantitativity AS DOUBLE) AS quantitativity,
     CAST(spatial_specificity AS DOUBLE) AS spatial_specificity, CAST(temporal_specificity AS DOUBLE) AS temporal_specificity,
     CAST(methodological_depth AS DOUBLE) AS methodological_depth, CAST(confidence AS DOUBLE) AS confidence
   FROM p2""")
@@ -65,13 +66,17 @@ def _(spark, d):
     return got.select(*[F.col(c).cast("double").alias(c) if t.startswith(("dec", "dou")) else F.col(c) for c, t in got.dtypes])
 
 
-RULE_SQL = """CASE WHEN (confidence IS NULL OR confidence < 0.6) AND question_type IN ('definition', 'factual') AND quantitativity < 0.45 AND complexity < 0.60 THEN 'tier-1-def-parse-rescue'
+RULE_SQL = """CASE WHEN (confidence IS NULL OR confidence < 0.6) AND question_type IN ('definition', 'factual') AND quantitativity < 0.45
+    AND complexity < 0.60 THEN 'tier-1-def-parse-rescue'
  WHEN confidence IS NULL OR confidence < 0.6 THEN 'safety-tier3'
  WHEN question_type IN ('definition', 'factual') AND quantitativity < 0.45 AND complexity < 0.60 THEN 'tier-1-def'
  WHEN quantitativity >= 0.60 AND (spatial_specificity >= 0.60 OR temporal_specificity >= 0.60) THEN 'tier-2b'
- WHEN question_type IN ('mechanism', 'method_eval', 'comparison') AND (methodological_depth >= 0.55 OR (complexity >= 0.75 AND methodological_depth >= 0.45)
-   OR (question_type IN ('comparison', 'method_eval') AND methodological_depth >= 0.40) OR (question_type = 'mechanism' AND methodological_depth >= 0.45 AND complexity >= 0.60)) THEN 'tier-3'
- WHEN quantitativity >= 0.55 AND methodological_depth < 0.55 THEN 'tier-2a' WHEN complexity >= 0.40 THEN 'tier-m' WHEN complexity < 0.40 THEN 'tier-1' ELSE 'fallback' END"""
+ WHEN question_type IN ('mechanism', 'method_eval', 'comparison') AND (methodological_depth >= 0.55 OR (complexity >= 0.75
+    AND methodological_depth >= 0.45)
+   OR (question_type IN ('comparison', 'method_eval') AND methodological_depth >= 0.40) OR (question_type = 'mechanism'
+    AND methodological_depth >= 0.45 AND complexity >= 0.60)) THEN 'tier-3'
+ WHEN quantitativity >= 0.55 AND methodological_depth < 0.55 THEN 'tier-2a' WHEN complexity >= 0.40 THEN 'tier-m' WHEN complexity < 0.40 THEN 'tier-1'
+    ELSE 'fallback' END"""
 CONFIG_SQL = "config(rule_hit, model_name, evidence_mode, top_k_per_doc, per_doc_budget, global_budget, doc_filter_min_keep, use_draft, max_output_tokens) AS (VALUES " + ", ".join(
     "(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in CONFIG
 ) + ")"
@@ -82,7 +87,8 @@ def routed(spark, d):
     return route.route(demo(spark, d, "profiles"))
 
 
-@query("ev33_route", ROUTED_SQL + """SELECT question_id, rule_hit, model_name, evidence_mode, CAST(top_k_per_doc AS BIGINT) AS top_k_per_doc, CAST(global_budget AS BIGINT) AS global_budget, use_draft
+@query("ev33_route", ROUTED_SQL + """SELECT question_id, rule_hit, model_name, evidence_mode, CAST(top_k_per_doc AS BIGINT) AS top_k_per_doc,
+    CAST(global_budget AS BIGINT) AS global_budget, use_draft
   FROM routed""")
 def _(spark, d):
     return routed(spark, d).select("question_id", "rule_hit", "model_name", "evidence_mode", "top_k_per_doc", "global_budget", "use_draft")
@@ -112,7 +118,8 @@ TARGETS = {"tier-1-def": 4, "tier-2b": 6, "tier-3": 5, "tier-2a": 3, "tier-m": 8
 SCALED = route.scaled_targets(TARGETS, 60)
 
 
-@query("ev35_probe_sample", with_tables("questions", "candidates") + """SELECT question_id, probe, rank FROM (SELECT *, max(CAST(chosen AS INT)) OVER () AS hit
+@query("ev35_probe_sample", with_tables("questions", "candidates") + """SELECT question_id, probe, rank FROM (SELECT *,
+    max(CAST(chosen AS INT)) OVER () AS hit
   FROM (SELECT *, (probe = 'many' AND rank <= 2) OR (probe = 'few' AND rank = 1) AS chosen FROM
  (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY ord, question_id) AS rank
   FROM (SELECT question_id, ord, CASE WHEN n >= 24 THEN 'many' WHEN n BETWEEN 1 AND 20 THEN 'few' ELSE 'other' END AS probe
@@ -123,13 +130,15 @@ def _(spark, d):
     return route.probe_sample(demo(spark, d, "questions").join(n, "question_id", "left"), many=24, few=20).select("question_id", "probe", "rank")
 
 
-@query("ev35_tier_sample", ROUTED_SQL + ", t(rule_hit, target) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in SCALED.items()) + """) SELECT question_id, rule_hit, rank FROM (SELECT *, row_number() OVER (PARTITION BY rule_hit ORDER BY ord, question_id) AS rank FROM routed
+@query("ev35_tier_sample", ROUTED_SQL + ", t(rule_hit, target) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in SCALED.items()) + """)
+    SELECT question_id, rule_hit, rank FROM (SELECT *, row_number() OVER (PARTITION BY rule_hit ORDER BY ord, question_id) AS rank FROM routed
   JOIN t USING (rule_hit)) WHERE rank <= target""")
 def _(spark, d):
     return route.tier_sample(routed(spark, d), TARGETS, 60).select("question_id", "rule_hit", "rank")
 
 
-@query("ev36_route_flags", ROUTED_SQL + """SELECT question_id, rule_hit = 'safety-tier3' AS is_safety, coalesce(confidence >= 0.6 AND confidence < 0.7, false) AS is_borderline,
+@query("ev36_route_flags", ROUTED_SQL + """SELECT question_id, rule_hit = 'safety-tier3' AS is_safety, coalesce(confidence >= 0.6
+    AND confidence < 0.7, false) AS is_borderline,
     CASE WHEN rule_hit IN ('tier-1-def', 'tier-1', 'fallback', 'tier-1-def-parse-rescue') THEN 'small' WHEN rule_hit IN ('tier-3',
     'safety-tier3') THEN 'large' ELSE 'medium' END AS bucket
   FROM routed""")
@@ -141,11 +150,14 @@ _R = [r.replace("'", "''") for r in route.QUALITY_RULES]
 _NUM = "(quantitativity >= 0.5 OR needs_numeric_emphasis)"
 
 
-@query("ev37_quality_rules", ROUTED_SQL + f"""SELECT question_id, len(r) AS n_answer_rules, coalesce(array_to_string(list_transform(r, lambda x, i: i || '. ' || x), chr(10)), '') AS answer_rules,
+@query("ev37_quality_rules", ROUTED_SQL + f"""SELECT question_id, len(r) AS n_answer_rules, coalesce(array_to_string(list_transform(r, lambda x,
+    i: i || '. ' || x), chr(10)), '') AS answer_rules,
  question || CASE WHEN {_NUM} THEN ' [numbers]' ELSE '' END || CASE WHEN methodological_depth > 0.6 THEN ' [methods]' ELSE '' END AS query_hint
 
-  FROM (SELECT *, list_filter([CASE WHEN evidence_mode IN ('excerpts_narrow', 'excerpts_full') THEN '{_R[0]}' END, CASE WHEN {_NUM} THEN '{_R[1]}' END,
-    CASE WHEN {_NUM} THEN '{_R[2]}' END, CASE WHEN spatial_specificity >= 0.5 THEN '{_R[3]}' END, CASE WHEN temporal_specificity >= 0.5 THEN '{_R[4]}' END,
+  FROM (SELECT *, list_filter([CASE WHEN evidence_mode IN ('excerpts_narrow', 'excerpts_full') THEN '{_R[0]}' END, CASE
+    WHEN {_NUM} THEN '{_R[1]}' END,
+    CASE WHEN {_NUM} THEN '{_R[2]}' END, CASE WHEN spatial_specificity >= 0.5 THEN '{_R[3]}' END, CASE
+    WHEN temporal_specificity >= 0.5 THEN '{_R[4]}' END,
     CASE WHEN methodological_depth >= 0.6 THEN '{_R[5]}' END], lambda x: x IS NOT NULL) AS r
   FROM routed)""")
 def _(spark, d):
@@ -155,14 +167,16 @@ def _(spark, d):
 UNIT_LIST = "[" + ", ".join(f"'{u}'" for u in T.UNITS) + "]"
 
 
-@query("ev17_tokens", f"""SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, md5(coalesce(array_to_string(list_sort(list_distinct(t)), ' '), '')) AS tokens_md5
+@query("ev17_tokens", f"""SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct,
+    md5(coalesce(array_to_string(list_sort(list_distinct(t)), ' '), '')) AS tokens_md5
   FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)""")
 def _(spark, d):
     t = T.tokens(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"), F.md5(F.array_join(F.array_sort(F.array_distinct(t)), " ").cast("binary")).alias("tokens_md5"))
 
 
-@query("ev18_19_24_text_columns", with_tables("candidates") + """SELECT doc_id, CAST(greatest(1, len(abstract) // 4) AS BIGINT) AS tokens, 'W' || doc_id AS work_id, CASE WHEN len(abstract) > 1400 THEN left(abstract,
+@query("ev18_19_24_text_columns", with_tables("candidates") + """SELECT doc_id, CAST(greatest(1, len(abstract) // 4) AS BIGINT) AS tokens,
+    'W' || doc_id AS work_id, CASE WHEN len(abstract) > 1400 THEN left(abstract,
     1400) || '...' ELSE abstract END AS preview
   FROM candidates""")
 def _(spark, d):
@@ -189,7 +203,8 @@ def lines(spark, d):
     return rows.select("doc_id", (F.floor(F.col("line_no") / 40) + 1).cast("int").alias("page"), "line_no", line.alias("line"))
 
 
-LINES_SQL = f"""lines AS (SELECT doc_id, CAST(floor(line_no / 40) AS BIGINT) + 1 AS page, line_no, CASE WHEN line_no % 7 = 6 THEN {_H} ELSE raw END AS line
+LINES_SQL = f"""lines AS (SELECT doc_id, CAST(floor(line_no / 40) AS BIGINT) + 1 AS page, line_no, CASE WHEN line_no % 7 = 6 THEN {_H}
+    ELSE raw END AS line
   FROM (SELECT doc_id, unnest(range(0, len(s))) AS line_no, unnest(s) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS s
   FROM documents)))"""
 _LOW = "lower(coalesce(nullif(regexp_extract(core, '^(?:[0-9IVX]+\\.?[0-9\\.]*)\\s+([A-Z][A-Za-z /\\\\-]{2,60})$', 1), ''), core))"
@@ -198,7 +213,8 @@ HEAD_SQL = "CASE WHEN len(line) = 0 OR len(line) > 90 THEN NULL " + " ".join(f"W
 ) + " END"
 
 
-@query("ev22_detect_heading", f"""WITH {LINES_SQL} SELECT heading, count(*) AS n FROM (SELECT {HEAD_SQL} AS heading FROM (SELECT line, trim(line, ' .:') AS core FROM lines))
+@query("ev22_detect_heading", f"""WITH {LINES_SQL} SELECT heading, count(*) AS n FROM (SELECT {HEAD_SQL} AS heading FROM (SELECT line, trim(line,
+    ' .:') AS core FROM lines))
   WHERE heading IS NOT NULL GROUP BY 1""")
 def _(spark, d):
     return lines(spark, d).select(T.detect_heading(F.col("line")).alias("heading")).where("heading IS NOT NULL").groupBy("heading").agg(F.count(F.lit(1)).alias("n"))
@@ -223,20 +239,24 @@ def _(spark, d):
 def chunks_sql(target: int, overlap: int) -> str:
     """Sentences by a mark put where they part, then one step of the fold for each sentence."""
     return f"""{SECTIONS_SQL},
-sents AS (SELECT doc_id, section_no, heading, page_start, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'),
+sents AS (SELECT doc_id, section_no, heading, page_start, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+([A-Z0-9])',
+    '\\1' || chr(1) || '\\2', 'g'),
     chr(1)) AS s
   FROM sections),
 sized AS (SELECT *, list_transform(s, lambda x: CAST(greatest(1, len(x) // 4) AS BIGINT)) AS t FROM sents),
-fold AS (SELECT doc_id, section_no, t, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS first, CAST(0 AS HUGEINT) AS n, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b
+fold AS (SELECT doc_id, section_no, t, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS first, CAST(0 AS HUGEINT) AS n, CAST(NULL AS BIGINT) AS a,
+    CAST(NULL AS BIGINT) AS b
   FROM sized
   UNION ALL
   SELECT doc_id, section_no, t, i + 1, CASE WHEN f THEN j ELSE first END, CASE WHEN f THEN coalesce(list_sum(t[j + 1:i]), 0) ELSE n END + t[i + 1],
     CASE WHEN f THEN first END, CASE WHEN f THEN i END
   FROM (SELECT *, n + t[i + 1] > {target} AND i > first AS f,
-    CASE WHEN n + t[i + 1] > {target} THEN list_min(list_filter(range(first, i + 1), lambda q: coalesce(list_sum(t[q + 1:i]), 0) <= {overlap})) END AS j
+    CASE WHEN n + t[i + 1] > {target} THEN list_min(list_filter(range(first, i + 1), lambda q: coalesce(list_sum(t[q + 1:i]),
+    0) <= {overlap})) END AS j
   FROM fold WHERE i < len(t))),
 closed AS (SELECT doc_id, section_no, a, b FROM fold WHERE a IS NOT NULL UNION ALL SELECT doc_id, section_no, first, i FROM fold WHERE i = len(t)),
-chunks AS (SELECT doc_id, section_no, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY b) - 1 AS chunk_no, lower(heading) AS section, page_start AS page,
+chunks AS (SELECT doc_id, section_no, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY b) - 1 AS chunk_no, lower(heading) AS section,
+    page_start AS page,
   trim(array_to_string(s[a + 1:b], ' ')) AS text, CAST(list_sum(t[a + 1:b]) AS BIGINT) AS tokens FROM closed JOIN sized USING (doc_id, section_no))"""
 
 
@@ -247,11 +267,13 @@ def _(spark, d):
 
 PAIRS_SQL = "list_transform(list_sort(list({'pos': pos, 'f': [attribute, value, description]})), lambda p: p.f)"
 
-@query("ev27_query_terms", with_tables("questions", "av_pairs").rstrip() + f""", flat AS (SELECT question_id, question, flatten(p) AS f FROM questions JOIN (SELECT question_id, {PAIRS_SQL} AS p FROM av_pairs
+@query("ev27_query_terms", with_tables("questions", "av_pairs").rstrip() + f""", flat AS (SELECT question_id, question, flatten(p) AS f FROM questions
+    JOIN (SELECT question_id, {PAIRS_SQL} AS p FROM av_pairs
   GROUP BY 1) USING (question_id))
 SELECT question_id, array_to_string(list_sort(list_filter(list_distinct(list_concat({TOKENS.format('question')}, flatten(list_transform(f,
     lambda x: {TOKENS.format('x')})))), lambda w: len(w) >= 3)), ' ') AS keywords,
-array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(f, lambda x: trim(x)), lambda x: x <> '' AND len(x) <= 40), lambda x: lower(x)))),
+array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(f, lambda x: trim(x)), lambda x: x <> '' AND len(x) <= 40),
+    lambda x: lower(x)))),
     '|') AS literals
   FROM flat""")
 def _(spark, d):
@@ -290,7 +312,8 @@ def kept_chunks(spark, d):
 RANKED_SQL = "WITH RECURSIVE " + with_tables("questions", "av_pairs", "candidates")[5:].rstrip() + f""", {chunks_sql(120, 20)},
 flat AS (SELECT question_id, question, flatten(p) AS f FROM questions JOIN (SELECT question_id, {PAIRS_SQL} AS p FROM av_pairs
   GROUP BY 1) USING (question_id)),
-terms AS (SELECT question_id, list_filter(list_distinct(list_concat({TOKENS.format('question')}, flatten(list_transform(f, lambda x: {TOKENS.format('x')})))),
+terms AS (SELECT question_id, list_filter(list_distinct(list_concat({TOKENS.format('question')}, flatten(list_transform(f,
+    lambda x: {TOKENS.format('x')})))),
     lambda w: len(w) >= 3) AS w,
   list_distinct(list_transform(list_filter(list_transform(f, lambda x: trim(x)), lambda x: x <> '' AND len(x) <= 40), lambda x: lower(x))) AS l
   FROM flat),
@@ -302,10 +325,12 @@ head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, d
 pick AS (SELECT DISTINCT question_id, doc_id, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS used, 0 AS n, false AS took FROM head
   UNION ALL SELECT question_id, doc_id, h, used + CASE WHEN fits THEN tokens ELSE 0 END, n + CAST(fits AS INT), fits
  
-  FROM (SELECT p.question_id, p.doc_id, h.place AS h, used, n, tokens, used + tokens <= {BUDGETS['per_doc_budget']} AND n < {BUDGETS['top_k_per_doc']} AS fits
+  FROM (SELECT p.question_id, p.doc_id, h.place AS h, used, n, tokens, used + tokens <= {BUDGETS['per_doc_budget']}
+    AND n < {BUDGETS['top_k_per_doc']} AS fits
     FROM pick p JOIN head h ON h.question_id = p.question_id AND h.doc_id = p.doc_id AND h.place = p.place + 1)),
 kept AS (SELECT head.* EXCLUDE (place) FROM head JOIN pick USING (question_id, doc_id, place) WHERE took)"""
-CHOSEN_SQL = RANKED_SQL + f""", queue AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_index, section_no, chunk_no) AS place FROM kept),
+CHOSEN_SQL = RANKED_SQL + f""", queue AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_index, section_no,
+    chunk_no) AS place FROM kept),
 taken AS (SELECT DISTINCT question_id, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS used, false AS took FROM queue
   UNION ALL SELECT question_id, h, used + CASE WHEN fits THEN tokens ELSE 0 END, fits
   FROM (SELECT p.question_id, q.place AS h, used, tokens, used + tokens <= {BUDGETS['global_budget']} AS fits FROM taken p
@@ -328,8 +353,10 @@ def _(spark, d):
     return excerpts(spark, d).select("question_id", "excerpt_no", "doc_id", "section_no", "chunk_no", "page", "tokens", F.col("score").cast("double").alias("score"))
 
 
-PER_DOC_SQL = """, per AS (SELECT question_id, doc_id, coalesce(download_status, 'unknown') AS status, coalesce(m, 0) AS n_chunks, coalesce(kn, 0) AS kept, coalesce(kt, 0) AS kept_tokens,
-  CASE WHEN download_status = 'ok' THEN 'ok' WHEN download_status IN ('already_failed', 'pdf_download_failed', 'no_oa_pdf') THEN 'paywalled' ELSE 'other' END AS bucket
+PER_DOC_SQL = """, per AS (SELECT question_id, doc_id, coalesce(download_status, 'unknown') AS status, coalesce(m, 0) AS n_chunks, coalesce(kn,
+    0) AS kept, coalesce(kt, 0) AS kept_tokens,
+  CASE WHEN download_status = 'ok' THEN 'ok' WHEN download_status IN ('already_failed', 'pdf_download_failed', 'no_oa_pdf') THEN 'paywalled'
+    ELSE 'other' END AS bucket
   FROM candidates LEFT JOIN (SELECT doc_id, count(*) AS m FROM ranked GROUP BY 1) USING (doc_id) LEFT
   JOIN (SELECT doc_id, count(*) AS kn, CAST(sum(tokens) AS BIGINT) AS kt FROM kept GROUP BY 1) USING (doc_id))"""
 
@@ -355,7 +382,8 @@ def _(spark, d):
 
 
 def _bm25_sql(k: int) -> str:
-    return with_tables("questions", "candidates").rstrip() + f""", qt AS (SELECT DISTINCT question_id, unnest({TOKENS.format('question')}) AS term FROM questions),
+    return with_tables("questions", "candidates").rstrip() + f""", qt AS (SELECT DISTINCT question_id, unnest({TOKENS.format('question')}) AS term
+    FROM questions),
 fields AS (SELECT doc_id, 'title' AS field, {TOKENS.format('title')} AS words FROM candidates
   UNION ALL SELECT doc_id, 'abstract', {TOKENS.format('abstract')} FROM candidates),
 size AS (SELECT field, count(*) AS n, avg(len(words)) AS al FROM fields GROUP BY 1),
@@ -402,7 +430,8 @@ def _(spark, d):
     return got.withColumn("secondary", F.array_join(line, " "))
 
 
-@query("ev32_tfidf_cosine", with_tables("questions", "candidates").rstrip() + f""", docs AS (SELECT question_id, idx, {TOKENS.format("abstract || ' ' || title")} AS w FROM candidates
+@query("ev32_tfidf_cosine", with_tables("questions", "candidates").rstrip() + f""", docs AS (SELECT question_id, idx,
+    {TOKENS.format("abstract || ' ' || title")} AS w FROM candidates
   UNION ALL SELECT question_id, -1, {TOKENS.format('question')} FROM questions),
 size AS (SELECT question_id, count(*) AS n FROM docs GROUP BY 1), tf AS (SELECT question_id, idx, term, count(*) / l AS tf
   FROM (SELECT question_id, idx, len(w) AS l, unnest(w) AS term FROM docs) GROUP BY question_id, idx, term, l),

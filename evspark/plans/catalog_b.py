@@ -43,10 +43,13 @@ lexed AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY lexical
     lambda x: contains(lower(abstract || ' ' || title), x))) AS lexical
   FROM candidates c JOIN lt USING (question_id))),
 given AS (SELECT lexed.*, {_TIER} AS rule_hit, {_LEAST} AS doc_filter_min_keep, {_MODE} AS evidence_mode,
-    CASE WHEN toxic = 1 THEN 'drop' WHEN quality = 1 THEN 'full' WHEN quality = 0 THEN 'abstract' ELSE 'drop' END AS label, (doc_id * 29 % 101) / 100.0 AS similarity
+    CASE WHEN toxic = 1 THEN 'drop' WHEN quality = 1 THEN 'full' WHEN quality = 0 THEN 'abstract' ELSE 'drop' END AS label,
+    (doc_id * 29 % 101) / 100.0 AS similarity
   FROM lexed LEFT JOIN labels USING (doc_id))"""
-GUARD_SQL = LEX_SQL + """, g1 AS (SELECT *, count(*) OVER q AS n, count(*) FILTER (label = 'full') OVER q AS nf, count(*) FILTER (label <> 'drop') OVER q AS nk,
-    CASE WHEN rule_hit IN ('tier-1', 'tier-1-def') THEN 2 ELSE 3 END AS lf, row_number() OVER (PARTITION BY question_id, label ORDER BY similarity DESC, idx) AS dr,
+GUARD_SQL = LEX_SQL + """, g1 AS (SELECT *, count(*) OVER q AS n, count(*) FILTER (label = 'full') OVER q AS nf,
+    count(*) FILTER (label <> 'drop') OVER q AS nk,
+    CASE WHEN rule_hit IN ('tier-1', 'tier-1-def') THEN 2 ELSE 3 END AS lf, row_number() OVER (PARTITION BY question_id, label
+    ORDER BY similarity DESC, idx) AS dr,
     CASE WHEN rule_hit IN ('tier-3', 'tier-2a', 'safety-tier3') THEN 3 ELSE 2 END AS cap
   FROM given WINDOW q AS (PARTITION BY question_id)),
 g2 AS (SELECT *, greatest(doc_filter_min_keep, n // 3) AS least FROM g1), g3 AS (SELECT *, least(least - nk, cap, n - nk) AS promo FROM g2),
@@ -78,10 +81,11 @@ def guarded(spark, d):
 
 
 _RET = "|".join(docfilter.RETRACTION_TOKENS)
-RET_SQL = f"(regexp_matches(lower(title), '(^|[ :\\-])({_RET})') OR coalesce(regexp_matches(lower(status), '{_RET}'), false))"
+RET_SQL = f"(regexp_matches(lower(title), '(^|[\\s:\\-])({_RET})') OR coalesce(regexp_matches(lower(status), '{_RET}'), false))"
 
 
-@query("ev38_drop_retracted", with_tables("candidates") + f"""SELECT question_id, doc_id FROM (SELECT *, count(*) OVER (PARTITION BY question_id) AS n FROM candidates)
+@query("ev38_drop_retracted", with_tables("candidates") + f"""SELECT question_id, doc_id FROM (SELECT *, count(*) OVER (PARTITION BY question_id) AS n
+    FROM candidates)
   JOIN (SELECT item_id AS question_id, lower(text) AS q FROM benchmark) USING (question_id)
   WHERE n <= {_LEAST} OR contains(q, 'retract') OR contains(q, 'withdrawn') OR contains(q, 'expression of concern') OR NOT {RET_SQL}""")
 def _(spark, d):
@@ -93,7 +97,8 @@ _ADV = " OR ".join(f"contains(lower(title), '{w}')" for w in docfilter.ADVERSE_W
 _STOP = ", ".join(f"'{w}'" for w in docfilter.QUESTION_STOP_WORDS)
 
 
-@query("ev40_title_flags", with_tables("candidates", "av_pairs", "questions").rstrip() + f""", p AS (SELECT question_id, list_distinct(list_concat(list(lower(trim(value))), list(lower(trim(attribute))))) AS names FROM av_pairs
+@query("ev40_title_flags", with_tables("candidates", "av_pairs", "questions").rstrip() + f""", p AS (SELECT question_id,
+    list_distinct(list_concat(list(lower(trim(value))), list(lower(trim(attribute))))) AS names FROM av_pairs
   WHERE centrality >= 0.5 GROUP BY 1),
 w AS (SELECT question_id, list_filter(regexp_extract_all(lower(question), '[a-z]{{5,}}'), lambda x: x NOT IN ({_STOP})) AS words FROM questions)
 SELECT c.question_id, doc_id, len(list_filter(coalesce(names, []), lambda x: len(x) >= 4 AND contains(lower(title), x))) > 0 AS title_match,
@@ -127,7 +132,8 @@ def _(spark, d):
     return docfilter.lexical_fallback(given(spark, d)).select("question_id", "doc_id", "fallback_label")
 
 
-TOP_SQL = GUARD_SQL + """, topped AS (SELECT * EXCLUDE (final_label), CASE WHEN evidence_mode = 'abstracts' AND final_label = 'drop' AND r <= doc_filter_min_keep - k THEN 'abstract'
+TOP_SQL = GUARD_SQL + """, topped AS (SELECT * EXCLUDE (final_label), CASE WHEN evidence_mode = 'abstracts' AND final_label = 'drop'
+    AND r <= doc_filter_min_keep - k THEN 'abstract'
     ELSE final_label END AS final_label
 
   FROM (SELECT *, count(*) FILTER (final_label <> 'drop') OVER (PARTITION BY question_id) AS k, row_number() OVER (PARTITION BY question_id,
@@ -151,13 +157,15 @@ def shared_uris(df):
     return df.withColumn("uri", F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 11 == 0, "").otherwise(shared))
 
 
-THROTTLE_SQL = PRE + GUARD_SQL + """, u AS (SELECT *, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'u' || (doc_id % 97) END AS u
+THROTTLE_SQL = PRE + GUARD_SQL + """, u AS (SELECT *, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN CAST(doc_id AS VARCHAR)
+    ELSE 'u' || (doc_id % 97) END AS u
   FROM guarded), f AS (SELECT *, min(question_id) FILTER (final_label = 'full' AND gated) OVER (PARTITION BY u) AS first,
     count(*) FILTER (final_label = 'full') OVER (PARTITION BY question_id) AS nfull
   FROM u),
 s AS (SELECT *, final_label = 'full' AND gated AND first < question_id AS seen
   FROM f), t AS (SELECT *, row_number() OVER (PARTITION BY question_id, seen ORDER BY idx) AS place FROM s)
-SELECT question_id, doc_id, coalesce(seen AND place <= CASE WHEN nfull > doc_filter_min_keep + 2 THEN nfull - doc_filter_min_keep - 2 ELSE 0 END, false) AS throttled
+SELECT question_id, doc_id, coalesce(seen AND place <= CASE WHEN nfull > doc_filter_min_keep + 2 THEN nfull - doc_filter_min_keep - 2 ELSE 0 END,
+    false) AS throttled
   FROM t"""
 
 
@@ -166,16 +174,20 @@ def _(spark, d):
     return docfilter.reuse_throttle(shared_uris(guarded(spark, d))).select("question_id", "doc_id", F.coalesce("throttled", F.lit(False)).alias("throttled"))
 
 
-@query("ev47_filter_summary", PRE + GUARD_SQL + """ SELECT *, n_drop > 0.5 * n_docs AS high_drop, n_full = n_docs AS all_full, n_drop = n_docs AS none_kept
-  FROM (SELECT question_id, count(*) AS n_docs, count(*) FILTER (final_label = 'full') AS n_full, count(*) FILTER (final_label = 'abstract') AS n_abstract,
- count(*) FILTER (final_label = 'drop') AS n_drop, coalesce(string_agg(left(title, 80), ' | ' ORDER BY idx) FILTER (final_label = 'full'), '') AS full_titles,
+@query("ev47_filter_summary", PRE + GUARD_SQL + """ SELECT *, n_drop > 0.5 * n_docs AS high_drop, n_full = n_docs AS all_full,
+    n_drop = n_docs AS none_kept
+  FROM (SELECT question_id, count(*) AS n_docs, count(*) FILTER (final_label = 'full') AS n_full,
+    count(*) FILTER (final_label = 'abstract') AS n_abstract,
+ count(*) FILTER (final_label = 'drop') AS n_drop, coalesce(string_agg(left(title, 80), ' | ' ORDER BY idx) FILTER (final_label = 'full'),
+    '') AS full_titles,
  coalesce(string_agg(left(title, 80), ' | ' ORDER BY idx) FILTER (final_label = 'abstract'), '') AS abstract_titles,
  coalesce(string_agg(left(title, 80), ' | ' ORDER BY idx) FILTER (final_label = 'drop'), '') AS drop_titles FROM guarded GROUP BY 1)""")
 def _(spark, d):
     return docfilter.filter_summary(guarded(spark, d))
 
 
-@query("ev48_ontology_select", with_tables("av_pairs") + """SELECT question_id, attribute, CAST(pos AS BIGINT) AS pos, row_number() OVER (PARTITION BY question_id ORDER BY centrality DESC, pos) AS place,
+@query("ev48_ontology_select", with_tables("av_pairs") + """SELECT question_id, attribute, CAST(pos AS BIGINT) AS pos,
+    row_number() OVER (PARTITION BY question_id ORDER BY centrality DESC, pos) AS place,
     centrality >= 0.8 AS critical, centrality >= 0.4 AS contextual
   FROM (SELECT *, row_number() OVER (PARTITION BY question_id, attribute ORDER BY centrality DESC, pos) AS best FROM av_pairs)
   WHERE best = 1""")
@@ -183,7 +195,8 @@ def _(spark, d):
     return docfilter.ontology_select(demo(spark, d, "av_pairs")).select("question_id", "attribute", "pos", "place", "critical", "contextual")
 
 
-@query("ev49_reorder_by_ontology", with_tables("candidates", "av_pairs").rstrip() + """, n AS (SELECT question_id, list_distinct(list(lower(attribute))) AS names FROM av_pairs WHERE centrality >= 0.8 GROUP BY 1)
+@query("ev49_reorder_by_ontology", with_tables("candidates", "av_pairs").rstrip() + """, n AS (SELECT question_id,
+    list_distinct(list(lower(attribute))) AS names FROM av_pairs WHERE centrality >= 0.8 GROUP BY 1)
 SELECT question_id, doc_id, hits AS attribute_hits, row_number() OVER (PARTITION BY question_id ORDER BY hits DESC, idx) AS position
   FROM (SELECT c.*, coalesce(len(list_filter(names, lambda x: contains(lower(abstract || ' ' || title), x))), 0) AS hits FROM candidates c
   LEFT JOIN n USING (question_id))""")
@@ -194,12 +207,16 @@ def _(spark, d):
 # --- assembly --------------------------------------------------------------------------------
 
 
-@query("ev50_documents_block", PRE + GUARD_SQL + """, k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CAST(final_label <> 'full' AS INT), idx) AS number FROM guarded
+@query("ev50_documents_block", PRE + GUARD_SQL + """, k AS (SELECT *, row_number() OVER (PARTITION BY question_id
+    ORDER BY CAST(final_label <> 'full' AS INT), idx) AS number FROM guarded
   WHERE final_label <> 'drop'),
 b AS (SELECT question_id, number, final_label, chr(10) || '=== Document [' || number || ']: ' || title || CASE WHEN final_label = 'full' THEN ''
-    WHEN download_status IN ('already_failed', 'failed') THEN ' [abstract only: no full text]' ELSE ' (abstract)' END || ' ===' || chr(10) || 'URI: ' || uri || CASE
+    WHEN download_status IN ('already_failed', 'failed') THEN ' [abstract only: no full text]'
+    ELSE ' (abstract)' END || ' ===' || chr(10) || 'URI: ' || uri || CASE
     WHEN final_label = 'full' THEN CASE WHEN contains(abstract,
-    chr(10)) THEN chr(10) || chr(10) || '<<< Section: unknown | p. ? >>>' || chr(10) || title || chr(10) || chr(10) || '<<< Section: results | p. 1 >>>' || chr(10) || abstract WHEN abstract <> '' THEN chr(10) || chr(10) || '[abstract only: no excerpt]' || chr(10) || abstract ELSE '' END WHEN abstract <> '' THEN chr(10) || abstract ELSE '' END AS t
+    chr(10)) THEN chr(10) || chr(10) || '<<< Section: unknown | p. ? >>>' || chr(10) || title || chr(10) || chr(10) || '<<< Section: results | p. 1 >>>' || chr(10) || abstract
+    WHEN abstract <> '' THEN chr(10) || chr(10) || '[abstract only: no excerpt]' || chr(10) || abstract ELSE '' END
+    WHEN abstract <> '' THEN chr(10) || abstract ELSE '' END AS t
   FROM k)
 SELECT question_id, md5(block) AS block_md5, n_docs, n_excerpts, len(block) AS n_chars, len(string_split(block, chr(10))) AS n_lines
   FROM (SELECT question_id, string_agg(t, chr(10) ORDER BY number) AS block, count(*) AS n_docs FROM b GROUP BY 1)
@@ -217,14 +234,18 @@ def _(spark, d):
 _NAMES = "CASE n_authors WHEN 0 THEN NULL WHEN 1 THEN lead || '-1' WHEN 2 THEN lead || '-1, ' || lead || '-2' ELSE lead || '-1 et al.' END"
 
 
-@query("ev50_cited_block", PRE + GUARD_SQL + ", " + with_tables("works")[5:].rstrip() + f""", k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CAST(final_label <> 'full' AS INT), idx) AS number FROM guarded
+@query("ev50_cited_block", PRE + GUARD_SQL + ", " + with_tables("works")[5:].rstrip() + f""", k AS (SELECT *,
+    row_number() OVER (PARTITION BY question_id ORDER BY CAST(final_label <> 'full' AS INT), idx) AS number FROM guarded
   WHERE final_label <> 'drop'),
-w AS (SELECT 'W' || k.doc_id AS work_id, k.*, CAST(w.year AS VARCHAR) AS y, {_NAMES} AS names, CASE WHEN k.title = '' THEN 'Unknown' ELSE k.title END AS t
+w AS (SELECT 'W' || k.doc_id AS work_id, k.*, CAST(w.year AS VARCHAR) AS y, {_NAMES} AS names, CASE WHEN k.title = '' THEN 'Unknown'
+    ELSE k.title END AS t
   FROM k JOIN works w ON w.work_id = 'W' || k.doc_id),
-b AS (SELECT question_id, number, '=== Document [' || number || ']: "' || t || '" ===' || chr(10) || 'Authors: ' || coalesce(names, '') || ' (' || coalesce(y,
+b AS (SELECT question_id, number, '=== Document [' || number || ']: "' || t || '" ===' || chr(10) || 'Authors: ' || coalesce(names,
+    '') || ' (' || coalesce(y,
     '') || ') | ' || uri || chr(10) || 'Abstract: ' || abstract || chr(10)
  || CASE WHEN final_label = 'full' AND contains(abstract, chr(10))
-    THEN 'Full-text excerpts:' || chr(10) || '  <<< Section: results | p. 1 >>>' || chr(10) || '  ' || abstract ELSE '(Abstract only)' END || chr(10) AS x,
+    THEN 'Full-text excerpts:' || chr(10) || '  <<< Section: results | p. 1 >>>' || chr(10) || '  ' || abstract
+    ELSE '(Abstract only)' END || chr(10) AS x,
  '[' || number || '] ' || coalesce(names, 'Unknown') || ' (' || coalesce(y, 'n.d.') || '). ' || t || '. ' || uri AS r FROM w)
 SELECT question_id, md5(block) AS block_md5, len(block) AS n_chars
   FROM (SELECT question_id, string_agg(x, chr(10) ORDER BY number) || chr(10) || chr(10) || '[VALIDATED REFERENCES]' || chr(10) || string_agg(r,
@@ -239,11 +260,13 @@ def _(spark, d):
     return assemble.cited_block(docs, parts).select("question_id", F.md5(F.col("block").cast("binary")).alias("block_md5"), F.length("block").alias("n_chars"))
 
 
-@query("ev51_context_views", with_tables("assessed").rstrip() + """, r AS (SELECT *, '[' || (idx + 1) || '] ' || CASE WHEN trim(title) <> '' THEN trim(title) ELSE 'Untitled' END AS head, printf('%.2f',
+@query("ev51_context_views", with_tables("assessed").rstrip() + """, r AS (SELECT *, '[' || (idx + 1) || '] ' || CASE
+    WHEN trim(title) <> '' THEN trim(title) ELSE 'Untitled' END AS head, printf('%.2f',
     CAST(relevance_score AS DOUBLE)) AS rel
   FROM assessed WHERE include)
 SELECT question_id, md5(string_agg(head || chr(10) || 'relevance: ' || rel || CASE WHEN trim(abstract) <> '' THEN chr(10) || 'text: ' || abstract
-    ELSE '' END || chr(10) || 'uri: ' || uri, chr(10) || chr(10) ORDER BY idx)) AS full_md5, md5(string_agg(head || chr(10) || 'text: ' || left(abstract, 200),
+    ELSE '' END || chr(10) || 'uri: ' || uri, chr(10) || chr(10) ORDER BY idx)) AS full_md5,
+    md5(string_agg(head || chr(10) || 'text: ' || left(abstract, 200),
     chr(10) || chr(10) ORDER BY idx)) AS slim_md5, string_agg(head || ': ' || rel, chr(10) ORDER BY idx) AS score_view
   FROM r GROUP BY 1""")
 def _(spark, d):
@@ -264,22 +287,26 @@ def works(spark, d):
 _AUTHORS = "CASE n_authors WHEN 0 THEN 'Unknown' WHEN 1 THEN lead || '-1' WHEN 2 THEN lead || '-1, ' || lead || '-2' ELSE lead || '-1 et al.' END"
 
 
-@query("ev52_reference_lines", with_tables("works") + f"""SELECT work_id, '[' || substr(work_id, 2) || '] ' || {_AUTHORS} || ' (' || coalesce(CAST(year AS VARCHAR),
-    'n.d.') || '). ' || CASE WHEN title <> '' THEN title ELSE '[No title]' END || '. ' || uri AS reference, '[' || substr(work_id,
-    2) || '] ' || CASE WHEN n_authors = 0 THEN 'No author' ELSE lead || '-1' END || ' (' || coalesce(CAST(year AS VARCHAR),
-    'No year') || '). *' || CASE WHEN title <> '' THEN title ELSE '[No title]' END || '*. ' || uri || '.' AS cited
+@query("ev52_reference_lines", with_tables("works") + f"""SELECT work_id,
+    '[' || substr(work_id, 2) || '] ' || {_AUTHORS} || ' (' || coalesce(CAST(year AS VARCHAR), 'n.d.') || '). '
+    || CASE WHEN title <> '' THEN title ELSE '[No title]' END || CASE WHEN uri <> '' THEN '. ' || uri ELSE '' END AS reference,
+    '[' || substr(work_id, 2) || '] ' || CASE WHEN n_authors = 0 THEN 'No author' ELSE lead || '-1' END
+    || ' (' || coalesce(CAST(year AS VARCHAR), 'No year') || '). *' || CASE WHEN trim(title) <> '' THEN trim(title) ELSE '{assemble.NO_TITLE}' END
+    || '*. ' || uri || '.' AS cited
   FROM works""")
 def _(spark, d):
     return assemble.reference_lines(works(spark, d)).select("work_id", "reference", "cited")
 
 
-@query("ev53_relevance_view", with_tables("assessed") + """SELECT question_id, idx, CAST(relevance_score AS DOUBLE) AS relevance_score, row_number() OVER (PARTITION BY question_id ORDER BY relevance_score DESC, idx) AS rank
+@query("ev53_relevance_view", with_tables("assessed") + """SELECT question_id, idx, CAST(relevance_score AS DOUBLE) AS relevance_score,
+    row_number() OVER (PARTITION BY question_id ORDER BY relevance_score DESC, idx) AS rank
   FROM assessed WHERE include""")
 def _(spark, d):
     return assemble.relevance_view(demo(spark, d, "assessed")).select("question_id", "idx", F.col("relevance_score").cast("double").alias("relevance_score"), "rank")
 
 
-@query("ev54_fallback_context", with_tables("questions", "assessed") + """SELECT q.question_id, md5(coalesce(CASE WHEN q.question_id % 3 = 0 THEN question ELSE a END, '')) AS context_md5,
+@query("ev54_fallback_context", with_tables("questions", "assessed") + """SELECT q.question_id, md5(coalesce(CASE
+    WHEN q.question_id % 3 = 0 THEN question ELSE a END, '')) AS context_md5,
     CASE WHEN q.question_id % 3 = 0 THEN 'enriched' WHEN coalesce(a, '') <> '' THEN 'abstracts' ELSE 'error' END AS status
   FROM questions q LEFT JOIN (SELECT question_id, string_agg(abstract, chr(10) || chr(10) ORDER BY idx) FILTER (trim(abstract) <> '') AS a
   FROM assessed GROUP BY 1) USING (question_id)""")
@@ -289,7 +316,8 @@ def _(spark, d):
     return got.select("question_id", F.md5(F.coalesce("context", F.lit("")).cast("binary")).alias("context_md5"), "status")
 
 
-@query("ev55_alignment_check", with_tables("candidates").rstrip() + """, b AS (SELECT question_id, idx AS position, CASE WHEN doc_id % 113 = 5 THEN 'x' ELSE uri END AS k FROM candidates
+@query("ev55_alignment_check", with_tables("candidates").rstrip() + """, b AS (SELECT question_id, idx AS position, CASE
+    WHEN doc_id % 113 = 5 THEN 'x' ELSE uri END AS k FROM candidates
   WHERE doc_id % 211 <> 3), a AS (SELECT question_id, idx AS position, uri AS k FROM candidates)
 SELECT question_id, count(a.k) AS n_before, count(b.k) AS n_after, min(position) FILTER (a.k IS DISTINCT
   FROM b.k) AS first_difference, min(position) FILTER (a.k IS DISTINCT FROM b.k) IS NULL AS aligned FROM a FULL
@@ -309,13 +337,15 @@ def answers(spark, d):
     return demo(spark, d, "answers")
 
 
-@query("ev56_strip_references", ANS + """SELECT answer_id, md5(CASE WHEN conv_id % 3 = 0 THEN regexp_replace(split_part(text, chr(10) || '## References', 1), '\\s+$', '') ELSE text END) AS body_md5
+@query("ev56_strip_references", ANS + """SELECT answer_id, md5(CASE WHEN conv_id % 3 = 0 THEN regexp_replace(split_part(text,
+    chr(10) || '## References', 1), '\\s+$', '') ELSE text END) AS body_md5
   FROM answers""")
 def _(spark, d):
     return answers(spark, d).select("answer_id", F.md5(cite.strip_references(F.col("text")).cast("binary")).alias("body_md5"))
 
 
-@query("ev56_strip_references_loose", ANS + """SELECT answer_id, md5(CASE WHEN conv_id % 3 = 0 THEN regexp_replace(split_part(text, chr(10) || '## References' || chr(10), 1), '\\s+$', '') ELSE text END) AS body_md5
+@query("ev56_strip_references_loose", ANS + """SELECT answer_id, md5(CASE WHEN conv_id % 3 = 0 THEN regexp_replace(split_part(text,
+    chr(10) || '## References' || chr(10), 1), '\\s+$', '') ELSE text END) AS body_md5
   FROM answers""")
 def _(spark, d):
     return answers(spark, d).select("answer_id", F.md5(cite.strip_references_loose(F.col("text")).cast("binary")).alias("body_md5"))
@@ -341,7 +371,8 @@ def numbered(spark, d):
     return demo(spark, d, "candidates").select("question_id", (F.col("idx") + 1).alias("number"), F.expr("CASE WHEN idx % 9 = 3 THEN '' ELSE title END").alias("title"), "uri")
 
 
-VERIFIED_SQL = ANS.rstrip() + ", " + with_tables("candidates")[5:].rstrip() + f""", n AS (SELECT question_id, idx + 1 AS old, CASE WHEN idx % 9 = 3 THEN '' ELSE title END AS title, uri FROM candidates),
+VERIFIED_SQL = ANS.rstrip() + ", " + with_tables("candidates")[5:].rstrip() + f""", n AS (SELECT question_id, idx + 1 AS old, CASE
+    WHEN idx % 9 = 3 THEN '' ELSE title END AS title, uri FROM candidates),
 c AS (SELECT answer_id, question_id, unnest({CITED_SQL}) AS old FROM answers), v AS (SELECT answer_id, question_id, old FROM c
   JOIN n USING (question_id, old)),
 e AS (SELECT * FROM v UNION ALL SELECT answer_id, question_id, old FROM answers JOIN n USING (question_id)
@@ -359,7 +390,8 @@ def _(spark, d):
     return cite.verify_references(answers(spark, d), numbered(spark, d))
 
 
-@query("ev60_renumber_citations", VERIFIED_SQL + """, per AS (SELECT answer_id, map_from_entries(list(DISTINCT {'k': CAST(old AS VARCHAR), 'v': CAST(new AS VARCHAR)})) AS m FROM verified GROUP BY 1),
+@query("ev60_renumber_citations", VERIFIED_SQL + """, per AS (SELECT answer_id, map_from_entries(list(DISTINCT {'k': CAST(old AS VARCHAR),
+    'v': CAST(new AS VARCHAR)})) AS m FROM verified GROUP BY 1),
  lin AS (SELECT answer_id, string_agg('[' || new || '] ' || coalesce(title, uri), chr(10) ORDER BY new) AS lines
   FROM (SELECT DISTINCT answer_id, new, title, uri FROM verified WHERE old = kept_idx) GROUP BY 1),
  cut AS (SELECT answer_id, m, lines, string_split_regex(text, '\\[[0-9]+\\]') AS g, regexp_extract_all(text, '\\[([0-9]+)\\]', 1) AS k
@@ -376,23 +408,29 @@ def _(spark, d):
 
 
 @query("ev61_numeric_faithfulness", ANS.rstrip() + """, found AS (
-  SELECT answer_id, context, list_filter(regexp_extract_all(regexp_replace(regexp_replace(text, '\\[[0-9]+\\]', '', 'g'), '[\\p{L}\\p{No}\\p{Nl}]', 'x', 'g'),
-    '\\b-?[0-9]+(?:\\.[0-9]+)?\\b'), lambda n: contains(n, '.') OR NOT (CAST(n AS DOUBLE) BETWEEN 1900 AND 2100 OR abs(CAST(n AS DOUBLE)) < 10)) AS numbers
+  SELECT answer_id, context, list_filter(regexp_extract_all(regexp_replace(regexp_replace(text, '\\[[0-9]+\\]', '', 'g'), '[\\p{L}\\p{No}\\p{Nl}]',
+    'x', 'g'),
+    '\\b-?[0-9]+(?:\\.[0-9]+)?\\b'), lambda n: contains(n, '.') OR NOT (CAST(n AS DOUBLE) BETWEEN 1900 AND 2100
+    OR abs(CAST(n AS DOUBLE)) < 10)) AS numbers
   FROM answers)
-SELECT answer_id, array_to_string(numbers, ' ') AS numbers, array_to_string(list_filter(numbers, lambda n: NOT contains(context, n)), ' ') AS unmatched FROM found""")
+SELECT answer_id, array_to_string(numbers, ' ') AS numbers, array_to_string(list_filter(numbers, lambda n: NOT contains(context, n)),
+    ' ') AS unmatched FROM found""")
 def _(spark, d):
     got = cite.numeric_faithfulness(answers(spark, d))
     return got.select("answer_id", F.array_join("numbers", " ").alias("numbers"), F.array_join("unmatched", " ").alias("unmatched"))
 
 
-AUDIT_SQL = ANS.rstrip() + """, a1 AS (SELECT *, regexp_replace(split_part(text, '## References', 1), '^\\s+|\\s+$', '', 'g') AS body, split_part(text, '## References', 2) AS blk
+AUDIT_SQL = ANS.rstrip() + """, a1 AS (SELECT *, regexp_replace(split_part(text, '## References', 1), '^\\s+|\\s+$', '', 'g') AS body,
+    split_part(text, '## References', 2) AS blk
   FROM answers),
 a2 AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(body, '\\[([0-9]+)\\]', 1), lambda n: CAST(n AS BIGINT)))) AS inl,
     list_sort(list_transform(regexp_extract_all(blk, '(?m)^\\[([0-9]+)\\]', 1), lambda n: CAST(n AS BIGINT))) AS refs,
- list_filter(list_transform(string_split(blk, chr(10)), lambda s: trim(s)), lambda s: starts_with(s, '[') AND (contains(lower(s), 'unknown') OR contains(lower(s),
+ list_filter(list_transform(string_split(blk, chr(10)), lambda s: trim(s)), lambda s: starts_with(s, '[') AND (contains(lower(s), 'unknown')
+    OR contains(lower(s),
     '[no title') OR regexp_matches(s, '^\\[[0-9]+\\]\\s*\\.'))) AS bad
   FROM a1),
-audited AS (SELECT *, len(body) AS body_len, ends_with(body, ']') AS ends_on_mark, len(bad) AS bad_refs, trim(blk) <> '' AS has_block, len(body) < 500 AS short_body,
+audited AS (SELECT *, len(body) AS body_len, ends_with(body, ']') AS ends_on_mark, len(bad) AS bad_refs, trim(blk) <> '' AS has_block,
+    len(body) < 500 AS short_body,
     len(inl) = 0 OR (inl[1] = 1 AND inl[-1] = len(inl)) AS sequential, CASE WHEN len(inl) > 0 THEN inl = refs ELSE len(refs) = 0 END AS refs_match
   FROM a2)"""
 
@@ -402,7 +440,8 @@ def _(spark, d):
     return cite.structural_audit(answers(spark, d)).select("answer_id", "body_len", "ends_on_mark", "bad_refs", "has_block", "short_body", "sequential", "refs_match")
 
 
-@query("ev62_audit_groups", AUDIT_SQL + """ SELECT unnest(['ends_on_mark', 'short_body', 'bad_refs', 'numbering', 'no_block']) AS problem, unnest([count(*) FILTER (ends_on_mark), count(*) FILTER (short_body),
+@query("ev62_audit_groups", AUDIT_SQL + """ SELECT unnest(['ends_on_mark', 'short_body', 'bad_refs', 'numbering', 'no_block']) AS problem,
+    unnest([count(*) FILTER (ends_on_mark), count(*) FILTER (short_body),
     count(*) FILTER (bad_refs > 0), count(*) FILTER (NOT sequential OR NOT refs_match), count(*) FILTER (NOT has_block)]) AS n
   FROM audited""")
 def _(spark, d):
@@ -417,10 +456,12 @@ _SUM = "(" + " + ".join(f"CAST(contains(lb, '{w}') AS INT)" for w in cite.REASON
 CARD_SQL = AUDIT_SQL + f""", cards AS (SELECT answer_id, rule_hit, coalesce(context, '') <> '' AS refine_guard,
     body_len >= CASE rule_hit WHEN 'tier-3' THEN 2000 WHEN 'tier-m' THEN 1000 ELSE 500 END AS body_length, NOT ends_on_mark AS sentence_ending,
     sequential AND refs_match AS seq_refs,
- CASE WHEN rule_hit IN ('tier-1-def', 'tier-1', 'fallback') THEN use_draft ELSE NOT use_draft END AS draft_flag, NOT (contains(lb, 'hydrogel') OR contains(lb,
+ CASE WHEN rule_hit IN ('tier-1-def', 'tier-1', 'fallback') THEN use_draft ELSE NOT use_draft END AS draft_flag, NOT (contains(lb, 'hydrogel')
+    OR contains(lb,
     'photovoltaic') OR contains(lb, 'superconductor')) AS bleed_check, bad_refs = 0 AS ref_sanity,
  len(coalesce(context, '')) >= CASE WHEN rule_hit IN ('tier-m', 'tier-2a', 'tier-2b', 'tier-3') THEN 2000 ELSE 0 END AS context_size,
- CASE WHEN contains(rule_hit, 'tier-1-def') THEN {_any(cite.DEFINING)} AND {_any(cite.WORKING)} WHEN rule_hit = 'tier-m' THEN {_SUM} >= 2 WHEN rule_hit = 'tier-3'
+ CASE WHEN contains(rule_hit, 'tier-1-def') THEN {_any(cite.DEFINING)} AND {_any(cite.WORKING)} WHEN rule_hit = 'tier-m' THEN {_SUM} >= 2
+    WHEN rule_hit = 'tier-3'
     THEN len(regexp_extract_all(body, '(?m)^#{{2,3}} ')) >= 2 ELSE true END AS answer_quality
   FROM (SELECT *, lower(body) AS lb FROM audited))"""
 
@@ -430,7 +471,8 @@ def _(spark, d):
     return cite.answer_scorecard(answers(spark, d)).select("answer_id", *cite.DIMENSIONS)
 
 
-@query("ev63_scorecard_summary", CARD_SQL + """ SELECT dimension, count(*) FILTER (ok) AS n_pass, count(*) FILTER (NOT ok) AS n_fail, count(*) FILTER (ok IS NULL) AS n_skip
+@query("ev63_scorecard_summary", CARD_SQL + """ SELECT dimension, count(*) FILTER (ok) AS n_pass, count(*) FILTER (NOT ok) AS n_fail,
+    count(*) FILTER (ok IS NULL) AS n_skip
   FROM (UNPIVOT (SELECT * EXCLUDE (answer_id, rule_hit) FROM cards) ON COLUMNS(*) INTO NAME dimension VALUE ok) GROUP BY 1""")
 def _(spark, d):
     return cite.scorecard_summary(cite.answer_scorecard(answers(spark, d)))
@@ -489,7 +531,8 @@ w AS (SELECT a, b, c, least(coalesce(sum(r) FILTER (dd > 0), 0), coalesce(sum(r)
 OUT_SQL = "n, CAST(coalesce(w, 0) AS DOUBLE) AS w, round(1 - 2 * coalesce(w, 0) / (n * (n + 1) / 2), 3) AS effect_r, round(ma, 4) AS mean_a, round(mb, 4) AS mean_b, round(round(mb, 4) - round(ma, 4), 4) AS diff, coalesce(n_nonzero, 0) AS n_nonzero"
 
 
-@query("ev68_wilcoxon_pairs", LOADED.rstrip() + ", pairs(a, b) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PAIRS) + f"""), paired AS (SELECT a, b, '' AS c, CAST(l.overall AS DOUBLE) AS x, CAST(r.overall AS DOUBLE) AS y FROM pairs
+@query("ev68_wilcoxon_pairs", LOADED.rstrip() + ", pairs(a, b) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PAIRS) + f"""),
+    paired AS (SELECT a, b, '' AS c, CAST(l.overall AS DOUBLE) AS x, CAST(r.overall AS DOUBLE) AS y FROM pairs
   JOIN loaded l ON l.pipeline = a
   JOIN loaded r ON r.pipeline = b AND r.question_id = l.question_id), {RANK_SQL} SELECT a AS pipeline_a, b AS pipeline_b, {OUT_SQL} FROM m
   LEFT JOIN w USING (a, b, c)""")
@@ -521,15 +564,18 @@ def _(spark, d):
 EXPECTED = [("zero_shot", 5.5), ("two_step", 5.49), ("ontology", 5.5), ("extra", 7.48)]
 
 
-@query("ev70_validate_summary", LOADED.rstrip() + ", e(pipeline, expected) AS (VALUES " + ", ".join(f"('{p}', CAST({v} AS DOUBLE))" for p, v in EXPECTED) + """), c AS (SELECT pipeline, round(avg(overall), 2) AS computed FROM loaded
+@query("ev70_validate_summary", LOADED.rstrip() + ", e(pipeline, expected) AS (VALUES " + ", ".join(f"('{p}', CAST({v} AS DOUBLE))" for p, v in EXPECTED) + """),
+    c AS (SELECT pipeline, round(avg(overall), 2) AS computed FROM loaded
   GROUP BY 1) SELECT pipeline, computed, expected, round(computed - expected, 4) AS delta,
-    CASE WHEN computed IS NULL THEN 'missing' WHEN expected IS NULL THEN 'new' WHEN abs(round(computed - expected, 4)) > 0.01 THEN 'differs' ELSE 'ok' END AS status
+    CASE WHEN computed IS NULL THEN 'missing' WHEN expected IS NULL THEN 'new' WHEN abs(round(computed - expected, 4)) > 0.01 THEN 'differs'
+    ELSE 'ok' END AS status
   FROM c FULL JOIN e USING (pipeline)""")
 def _(spark, d):
     return evaluate.validate_summary(evaluate.summary(loaded(spark, d)), spark.createDataFrame(EXPECTED, "pipeline string, overall_mean double"))
 
 
-@query("ev71_score_distribution", LOADED + """SELECT pipeline, CAST(min(overall) AS DOUBLE) AS least, quantile_cont(CAST(overall AS DOUBLE), 0.25) AS p25, quantile_cont(CAST(overall AS DOUBLE), 0.5) AS p50,
+@query("ev71_score_distribution", LOADED + """SELECT pipeline, CAST(min(overall) AS DOUBLE) AS least, quantile_cont(CAST(overall AS DOUBLE),
+    0.25) AS p25, quantile_cont(CAST(overall AS DOUBLE), 0.5) AS p50,
     quantile_cont(CAST(overall AS DOUBLE), 0.75) AS p75, CAST(max(overall) AS DOUBLE) AS most, """ + ", ".join(f"round(avg({m}), 4) AS {m}_mean" for m in evaluate.MEASURES) + " FROM loaded GROUP BY 1")
 def _(spark, d):
     return evaluate.score_distribution(loaded(spark, d))
@@ -547,7 +593,8 @@ FIVE = [f"s{k}" for k in range(5)]
 
 
 @query("ev73_score_anomalies", with_tables("fives") + """SELECT doc_id, round(sd, 4) AS std, sev AS severity, sev IN ('info', 'none') AS valid
-  FROM (SELECT *, CASE WHEN len(g) <> 5 THEN 'high' WHEN sd > 1.5 THEN 'medium' WHEN sd < 0.5 AND m = 5 THEN 'info' WHEN sd < 0.5 THEN 'low' WHEN abs(m - 3) > 1.5
+  FROM (SELECT *, CASE WHEN len(g) <> 5 THEN 'high' WHEN sd > 1.5 THEN 'medium' WHEN sd < 0.5 AND m = 5 THEN 'info' WHEN sd < 0.5 THEN 'low'
+    WHEN abs(m - 3) > 1.5
     THEN 'medium' ELSE 'none' END AS sev
   FROM (SELECT doc_id, g, CASE WHEN len(g) = 5 THEN list_avg(g) END AS m, CASE WHEN len(g) = 5 THEN list_stddev_samp(g) END AS sd
   FROM (SELECT doc_id, list_filter([s0, s1, s2, s3, s4], lambda s: s BETWEEN 1 AND 5) AS g FROM fives)))""")
@@ -556,7 +603,8 @@ def _(spark, d):
 
 
 @query("ev73_anomaly_summary", with_tables("fives") + """SELECT sev AS severity, count(*) AS n
-  FROM (SELECT CASE WHEN len(g) <> 5 THEN 'high' WHEN sd > 1.5 THEN 'medium' WHEN sd < 0.5 AND m = 5 THEN 'info' WHEN sd < 0.5 THEN 'low' WHEN abs(m - 3) > 1.5
+  FROM (SELECT CASE WHEN len(g) <> 5 THEN 'high' WHEN sd > 1.5 THEN 'medium' WHEN sd < 0.5 AND m = 5 THEN 'info' WHEN sd < 0.5 THEN 'low'
+    WHEN abs(m - 3) > 1.5
     THEN 'medium' ELSE 'none' END AS sev
   FROM (SELECT g, list_avg(g) AS m, list_stddev_samp(g) AS sd
   FROM (SELECT list_filter([s0, s1, s2, s3, s4], lambda s: s BETWEEN 1 AND 5) AS g FROM fives))) GROUP BY 1""")
@@ -574,7 +622,8 @@ _FILL = ", ".join(
 )
 
 
-@query("ev75_metric_quality", with_tables("metrics") + f"""SELECT ord, pipeline, round(f0, 5) AS m0_filled, round(f1, 5) AS m1_filled, round(f2, 5) AS m2_filled, round((f0 + f1 + f2) / 3, 3) AS quality
+@query("ev75_metric_quality", with_tables("metrics") + f"""SELECT ord, pipeline, round(f0, 5) AS m0_filled, round(f1, 5) AS m1_filled, round(f2,
+    5) AS m2_filled, round((f0 + f1 + f2) / 3, 3) AS quality
   FROM (SELECT *, {_FILL} FROM metrics WINDOW w AS (PARTITION BY pipeline ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
 def _(spark, d):
     m = demo(spark, d, "metrics")
@@ -583,20 +632,23 @@ def _(spark, d):
     return got.select("ord", "pipeline", *[F.round(f"m{k}_filled", 5).alias(f"m{k}_filled") for k in range(3)], F.round("quality", 3).alias("quality"))
 
 
-@query("ev75_metric_switched_off", with_tables("metrics") + """SELECT ord, pipeline, coalesce(sum(CAST(failed AS INT)) OVER (PARTITION BY pipeline ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 3 AS off
+@query("ev75_metric_switched_off", with_tables("metrics") + """SELECT ord, pipeline, coalesce(sum(CAST(failed AS INT)) OVER (PARTITION BY pipeline
+    ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 3 AS off
   FROM metrics""")
 def _(spark, d):
     return evaluate.metric_switched_off(demo(spark, d, "metrics")).select("ord", "pipeline", "off")
 
 
-@query("ev76_run_stats", with_tables("runs") + """SELECT pipeline, count(*) AS total, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status <> 'ok') AS failed, round(avg(seconds) FILTER (status = 'ok'),
+@query("ev76_run_stats", with_tables("runs") + """SELECT pipeline, count(*) AS total, count(*) FILTER (status = 'ok') AS ok,
+    count(*) FILTER (status <> 'ok') AS failed, round(avg(seconds) FILTER (status = 'ok'),
     4) AS mean_seconds
   FROM runs GROUP BY 1""")
 def _(spark, d):
     return evaluate.run_stats(demo(spark, d, "runs"))
 
 
-@query("ev76_health_flags", ANS + """SELECT answer_id, len(context) = 0 AS empty_context, len(context) > 0 AND len(context) < 500 AS thin_context, len(context) / 4 > 70000 AS huge_context,
+@query("ev76_health_flags", ANS + """SELECT answer_id, len(context) = 0 AS empty_context, len(context) > 0 AND len(context) < 500 AS thin_context,
+    len(context) / 4 > 70000 AS huge_context,
     len(context) > 307200 AS over_cap, len(text) < 100 AS short_answer, NOT regexp_matches(text, '\\[[0-9]+\\]') AS uncited
   FROM answers""")
 def _(spark, d):
@@ -607,8 +659,10 @@ def _has(tokens):
     return "(" + " OR ".join(f"contains(lower(message), '{t}')" for t in tokens) + ")"
 
 
-@query("ev77_classify_errors", with_tables("errors") + f"""SELECT CASE WHEN {_has(evaluate.CODE_TOKENS)} THEN 'code' WHEN coalesce(status, 0) = 429 OR coalesce(status,
-    0) BETWEEN 500 AND 599 OR {_has(evaluate.TRANSIENT_TOKENS)} THEN 'transient' ELSE 'other' END AS kind, {_has(evaluate.END_OF_RUN_TOKENS)} AS retry_later,
+@query("ev77_classify_errors", with_tables("errors") + f"""SELECT CASE WHEN {_has(evaluate.CODE_TOKENS)} THEN 'code' WHEN coalesce(status, 0) = 429
+    OR coalesce(status,
+    0) BETWEEN 500 AND 599 OR {_has(evaluate.TRANSIENT_TOKENS)} THEN 'transient' ELSE 'other' END AS kind,
+    {_has(evaluate.END_OF_RUN_TOKENS)} AS retry_later,
     count(*) AS n
   FROM errors GROUP BY ALL""")
 def _(spark, d):
@@ -653,7 +707,8 @@ _PLAIN = "regexp_replace(text, '[\"''\\\\\\x00-\\x1F]', ' ', 'g')"
 SELECT doc_id AS question_id, CAST(CASE WHEN kind IN (0, 5) THEN 3 WHEN kind = 1 THEN 2 ELSE 0 END AS BIGINT) AS n_docs, kind <> 3 AS parsed,
     CASE WHEN kind IN (0, 1, 5) THEN md5({_PLAIN}) END AS title_md5, CASE WHEN kind IN (0, 1, 5) THEN doc_id END AS year,
     CASE WHEN kind IN (0, 5) THEN '[{{"name":"k","own":[{{"deep":[[{{"n":' || i || '}}]]}}]}}]' END AS keywords,
-    CASE kind WHEN 0 THEN 'nested,science_keywords,title,year' WHEN 5 THEN 'nested,science_keywords,title,year' WHEN 1 THEN 'open,title,year' END AS keys,
+    CASE kind WHEN 0 THEN 'nested,science_keywords,title,year' WHEN 5 THEN 'nested,science_keywords,title,year'
+    WHEN 1 THEN 'open,title,year' END AS keys,
     CASE kind WHEN 0 THEN '{{"m":' || i || '}}' WHEN 5 THEN '{{"_id":' || i || ',"none":null}}' WHEN 1 THEN 'true' END AS own
   FROM k""")
 def _(spark, d):
@@ -671,7 +726,8 @@ def _(spark, d):
 FILE_COLUMNS = {"question_id": "bigint", "question": "string", "score": "double"}
 
 
-@query("ev01_questions_from_json_lines", """SELECT doc_id AS question_id, 'row' AS kind, md5(text) AS question_md5, CASE WHEN doc_id % 4 <> 1 THEN doc_id / 4.0 END AS score,
+@query("ev01_questions_from_json_lines", """SELECT doc_id AS question_id, 'row' AS kind, md5(text) AS question_md5, CASE
+    WHEN doc_id % 4 <> 1 THEN doc_id / 4.0 END AS score,
     CASE WHEN doc_id % 2 = 0 THEN '{"lang":"' || lang || '"}' END AS rest
   FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0
   UNION ALL SELECT NULL, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'no object' ELSE 'type: question_id' END, NULL, NULL, NULL FROM documents
@@ -690,8 +746,10 @@ def _(spark, d):
     return good.unionByName(rejects.select(F.lit(None).cast("long").alias("question_id"), F.col("reason").alias("kind"), none.alias("question_md5"), F.lit(None).cast("double").alias("score"), none.alias("rest")))
 
 
-@query("ev01_questions_from_csv", """SELECT doc_id AS question_id, 'row' AS kind, md5(text) AS question_md5, CAST(doc_id % 9 AS BIGINT) AS score FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 9 <> 8
-  UNION ALL SELECT NULL, CASE WHEN doc_id % 10 = 0 THEN 'fields' ELSE 'type: score' END, NULL, NULL FROM documents WHERE doc_id % 10 = 0 OR doc_id % 9 = 8""")
+@query("ev01_questions_from_csv", """SELECT doc_id AS question_id, 'row' AS kind, md5(text) AS question_md5, CAST(doc_id % 9 AS BIGINT) AS score
+    FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 9 <> 8
+  UNION ALL SELECT NULL, CASE WHEN doc_id % 10 = 0 THEN 'fields' ELSE 'type: score' END, NULL, NULL FROM documents WHERE doc_id % 10 = 0
+    OR doc_id % 9 = 8""")
 def _(spark, d):
     """Questions written as CSV under other names, with line ends in them, records of too many values and scores that are no numbers."""
     place, docs = shared_folder(spark, "csv"), table(spark, d, "documents")
@@ -708,7 +766,8 @@ def _(spark, d):
 
 
 @query("ev03_kg_result_stats", """SELECT doc_id AS question_id, CAST(doc_id % 3 AS BIGINT) AS n_docs, CAST(doc_id % 3 * 2 AS BIGINT) AS n_keywords,
-    CAST(doc_id % 3 * 2 * (doc_id % 2) AS BIGINT) AS n_secondary, CAST(doc_id % 3 + doc_id % 3 * 2 + doc_id % 3 * 2 * (doc_id % 2) AS BIGINT) AS n_nodes
+    CAST(doc_id % 3 * 2 * (doc_id % 2) AS BIGINT) AS n_secondary,
+    CAST(doc_id % 3 + doc_id % 3 * 2 + doc_id % 3 * 2 * (doc_id % 2) AS BIGINT) AS n_nodes
   FROM documents""")
 def _(spark, d):
     second = F.slice(F.array(F.struct(F.col("source").alias("title"))), 1, (F.col("doc_id") % 2).cast("int"))
@@ -725,7 +784,8 @@ _CUT = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
   SELECT question_id, string_split(string_split(string_split(context, 'RELATED DOCUMENTS')[2], 'RELATED TOPICS')[1], '---') AS b FROM contexts
 ), blocks AS (SELECT question_id, position, {_CUT.format("b[position]")} AS block FROM parts, unnest(range(1, len(b) + 1)) AS t(position)),
 labelled AS (
-  SELECT *, CASE WHEN regexp_matches(block, 'Title[:\\s]+[^\\n]+') THEN {_CUT.format("regexp_extract(block, '[#\\s]*Title[:\\s]+([^\\n]+)', 1)")} END AS t,
+  SELECT *, CASE WHEN regexp_matches(block,
+    'Title[:\\s]+[^\\n]+') THEN {_CUT.format("regexp_extract(block, '[#\\s]*Title[:\\s]+([^\\n]+)', 1)")} END AS t,
     CASE WHEN regexp_matches(block, '(?s)Content[:\\s]+.') THEN {_CUT.format("regexp_extract(block, '(?ms)[#\\s]*Content[:\\s]+(.+?)$', 1)")} END AS c
   FROM blocks WHERE block <> '' AND NOT starts_with(block, '#')
 )
@@ -736,7 +796,8 @@ def _(spark, d):
     return ingest.parse_structured_context(demo(spark, d, "contexts"))
 
 
-@query("ev07_metadata_enrich", with_tables("candidates", "works") + """SELECT doc_id, CASE WHEN w.work_id IS NULL OR n_authors = 0 THEN 'No author' ELSE lead || '-1' END AS author, coalesce(CAST(year AS VARCHAR),
+@query("ev07_metadata_enrich", with_tables("candidates", "works") + """SELECT doc_id, CASE WHEN w.work_id IS NULL OR n_authors = 0 THEN 'No author'
+    ELSE lead || '-1' END AS author, coalesce(CAST(year AS VARCHAR),
     'No year') AS year_text, w.title AS work_title
   FROM candidates c LEFT JOIN works w ON w.work_id = 'W' || c.doc_id""")
 def _(spark, d):
@@ -750,7 +811,8 @@ _BARE = "rtrim(regexp_replace(u, '[#?].*$', ''), '/')"
 _ARTICLE = "'^(https?://([^/.]+)[^/]*/articles/([0-9]+)/([0-9]+)/([0-9]+)/)'"
 _NAMED = " || '-' || ".join(f"regexp_extract(u, {_ARTICLE}, {k})" for k in (2, 3, 4, 5))
 REWRITES_SQL = f"""list_filter([
-  CASE WHEN contains(lower(u), 'mdpi.com/') AND NOT ends_with(rtrim(lower(u), '/'), '/pdf') AND NOT ends_with({_BARE}, '.pdf') THEN {_BARE} || '/pdf' END,
+  CASE WHEN contains(lower(u), 'mdpi.com/') AND NOT ends_with(rtrim(lower(u), '/'), '/pdf') AND NOT ends_with({_BARE},
+    '.pdf') THEN {_BARE} || '/pdf' END,
   CASE WHEN contains(lower(u), '.copernicus.org/articles/') AND NOT ends_with(lower(u), '.pdf') AND regexp_matches(u, {_ARTICLE})
     THEN regexp_extract(u, {_ARTICLE}, 1) || {_NAMED} || '.pdf' END], lambda x: x IS NOT NULL)"""
 
@@ -759,13 +821,15 @@ REWRITES_SQL = f"""list_filter([
   SELECT work_id, list_filter([best_pdf, best_page, primary_pdf, best_page, best_pdf, oa_url, oa_url], lambda x: coalesce(x, '') <> '') AS g,
     trim(replace(doi, 'https://doi.org/', '')) AS d FROM works
 ), ordered AS (
-  SELECT work_id, d, list_concat(list_filter(g, lambda x: ends_with(lower(x), '.pdf')), list_filter(g, lambda x: NOT ends_with(lower(x), '.pdf'))) AS o FROM given
+  SELECT work_id, d, list_concat(list_filter(g, lambda x: ends_with(lower(x), '.pdf')), list_filter(g, lambda x: NOT ends_with(lower(x),
+    '.pdf'))) AS o FROM given
 ), tried AS (
   SELECT work_id, d, i, unnest(list_concat({REWRITES_SQL}, [u])) AS url, generate_subscripts(list_concat({REWRITES_SQL}, [u]), 1) AS j
   FROM (SELECT work_id, d, i, o[i] AS u FROM ordered, unnest(range(1, len(o) + 1)) AS t(i))
 ), every AS (
   SELECT work_id, i, j, url FROM tried UNION ALL
-  SELECT work_id, 99, 0, 'https://export.arxiv.org/pdf/' || regexp_extract(d, '(?i)^10\\.48550/arXiv\\.(.+)', 1) FROM ordered WHERE regexp_matches(d, '(?i)^10\\.48550/arXiv\\..')
+  SELECT work_id, 99, 0, 'https://export.arxiv.org/pdf/' || regexp_extract(d, '(?i)^10\\.48550/arXiv\\.(.+)', 1) FROM ordered WHERE regexp_matches(d,
+    '(?i)^10\\.48550/arXiv\\..')
 ), firsts AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY work_id, url ORDER BY i, j) = 1)
 SELECT work_id, row_number() OVER (PARTITION BY work_id ORDER BY i, j) - 1 AS place, url FROM firsts""")
 def _(spark, d):
@@ -783,20 +847,23 @@ def _(spark, d):
     return ingest.html_pdf_links(demo(spark, d, "paged"))
 
 
-@query("ev10_fetch_status_report", with_tables("candidates", "fetches") + """SELECT coalesce(f.status, 'not_fetched') AS status, count(*) AS n FROM (SELECT DISTINCT uri FROM candidates) LEFT JOIN fetches f USING (uri)
+@query("ev10_fetch_status_report", with_tables("candidates", "fetches") + """SELECT coalesce(f.status, 'not_fetched') AS status, count(*) AS n
+    FROM (SELECT DISTINCT uri FROM candidates) LEFT JOIN fetches f USING (uri)
   GROUP BY 1""")
 def _(spark, d):
     return ingest.fetch_status_report(demo(spark, d, "candidates"), demo(spark, d, "fetches"))
 
 
-@query("ev10_fetch_counters", with_tables("candidates", "fetches") + """SELECT count(*) FILTER (status NOT IN ('meta_failed', 'not_openalex')) AS meta_ok,
+@query("ev10_fetch_counters", with_tables("candidates", "fetches") + """SELECT count(*) FILTER (status NOT IN ('meta_failed',
+    'not_openalex')) AS meta_ok,
     count(*) FILTER (status = 'ok' OR starts_with(status, 'extract_failed')) AS pdf_ok, count(*) FILTER (status = 'ok') AS extract_ok
   FROM (SELECT DISTINCT uri FROM candidates) JOIN fetches USING (uri) WHERE status IS NOT NULL""")
 def _(spark, d):
     return ingest.fetch_counters(ingest.fetch_status_report(demo(spark, d, "candidates"), demo(spark, d, "fetches")))
 
 
-@query("ev11_cache_audit", """WITH p AS (SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN 0 ELSE n_chars END AS b FROM documents WHERE source <> 'src3'), t AS (SELECT doc_id
+@query("ev11_cache_audit", """WITH p AS (SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN 0 ELSE n_chars END AS b FROM documents WHERE source <> 'src3'),
+    t AS (SELECT doc_id
   FROM documents WHERE lang <> 'de'), f AS (SELECT doc_id FROM documents WHERE lang = 'de') SELECT (SELECT count(*)
   FROM p) AS n_pdfs, (SELECT count(*) FROM p WHERE b = 0) AS empty_pdfs, (SELECT count(*) FROM t) AS n_texts, (SELECT count(*)
   FROM f) AS n_failures, (SELECT count(*) FROM t ANTI JOIN p USING (doc_id)) AS texts_without_pdf, (SELECT count(*) FROM p ANTI
@@ -827,14 +894,16 @@ def _keys(df):
 _A, _B = (f"(SELECT CAST(floor(k / 3) AS BIGINT) AS k, ord, v FROM ({_ROWS.format(bool(i))}))" for i in (0, 1))
 
 
-@query("ev12_upsert", f"""WITH a AS {_A}, b AS (SELECT * FROM {_B} QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord DESC) = 1) SELECT k, ord, v FROM a ANTI
+@query("ev12_upsert", f"""WITH a AS {_A}, b AS (SELECT * FROM {_B} QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord DESC) = 1) SELECT k, ord, v
+    FROM a ANTI
   JOIN b USING (k) UNION ALL SELECT k, ord, v FROM b""")
 def _(spark, d):
     a, b = (_keys(x) for x in _halves(spark, d))
     return ingest.upsert(a, b, ["k"])
 
 
-@query("ev13_insert_if_absent", f"""WITH a AS {_A}, b AS (SELECT * FROM {_B} QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord) = 1) SELECT k, ord, v FROM a
+@query("ev13_insert_if_absent", f"""WITH a AS {_A}, b AS (SELECT * FROM {_B} QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord) = 1) SELECT k,
+    ord, v FROM a
   UNION ALL SELECT k, ord, v FROM b ANTI JOIN a USING (k)""")
 def _(spark, d):
     a, b = (_keys(x) for x in _halves(spark, d))
@@ -844,7 +913,8 @@ def _(spark, d):
 _CONV = "SELECT DISTINCT conv_id AS question_id FROM conversations"
 
 
-@query("ev14_pending_long", ANS.rstrip() + f""", done AS (SELECT DISTINCT conv_id FROM answers WHERE len(text) >= 200 AND NOT starts_with(text, 'ERROR')) SELECT question_id FROM ({_CONV})
+@query("ev14_pending_long", ANS.rstrip() + f""", done AS (SELECT DISTINCT conv_id FROM answers WHERE len(text) >= 200 AND NOT starts_with(text,
+    'ERROR')) SELECT question_id FROM ({_CONV})
   WHERE question_id NOT IN (SELECT conv_id FROM done)""")
 def _(spark, d):
     asked = table(spark, d, "conversations").select(F.col("conv_id").alias("question_id")).distinct()
@@ -859,7 +929,8 @@ def _(spark, d):
 
 
 @query("ev15_export_results", ANS + """SELECT answer_id AS question_id, 'a' || n_references || ' | b' AS references, round(turn / 3.0, 2) AS seconds,
-    CASE WHEN n_references > 0 THEN n_references ELSE CAST(len(list_filter(string_split(text, '##'), lambda s: trim(s) <> '')) AS BIGINT) END AS documents_parsed
+    CASE WHEN n_references > 0 THEN n_references ELSE CAST(len(list_filter(string_split(text, '##'),
+    lambda s: trim(s) <> '')) AS BIGINT) END AS documents_parsed
   FROM answers""")
 def _(spark, d):
     rows = answers(spark, d).select(F.col("answer_id").alias("question_id"), "text", F.array(F.concat(F.lit("a"), F.col("n_references").cast("string")), F.lit("b")).alias("references"), (F.col("turn") / F.lit(3.0)).alias("seconds"), F.col("text").alias("context"), F.col("n_references").alias("kg_docs"))
@@ -879,14 +950,16 @@ def _(spark, d):
     return ingest.parse_judge_scores(raw_scores(spark, d), CRITERIA).select("ord", "ok", *CRITERIA)
 
 
-@query("ev16_rejected_responses", with_tables("judged") + f"""SELECT ord, CASE WHEN ord % 9 = 0 THEN 'no json' ELSE 'missing' END AS reason, md5(CASE WHEN ord % 9 = 0 THEN '{{\"scores\":{{\"scientifi' END) AS raw_md5
+@query("ev16_rejected_responses", with_tables("judged") + f"""SELECT ord, CASE WHEN ord % 9 = 0 THEN 'no json' ELSE 'missing' END AS reason, md5(CASE
+    WHEN ord % 9 = 0 THEN '{{\"scores\":{{\"scientifi' END) AS raw_md5
   FROM judged WHERE ord % 9 = 0 OR NOT ({_ALL})""")
 def _(spark, d):
     rejected = ingest.split_responses(raw_scores(spark, d), CRITERIA)[1]
     return rejected.select("ord", "reason", F.when(F.col("reason") == "no json", F.md5(F.col("raw").cast("binary"))).alias("raw_md5"))
 
 
-@query("ev16_parse_profiles", with_tables("profiles") + """SELECT question_id, CASE WHEN question_id % 4 = 0 THEN 'continuous' ELSE question_type END AS question_type,
+@query("ev16_parse_profiles", with_tables("profiles") + """SELECT question_id, CASE WHEN question_id % 4 = 0 THEN 'continuous'
+    ELSE question_type END AS question_type,
     CASE WHEN question_id % 4 = 0 THEN 0.5 ELSE CAST(complexity AS DOUBLE) END AS complexity,
     CASE WHEN question_id % 4 = 0 THEN NULL ELSE CAST(confidence AS DOUBLE) END AS confidence
   FROM profiles""")

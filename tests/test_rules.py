@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evspark.operators import cite, ingest
+from evspark.operators import assemble, cite, docfilter, ingest
 
 
 def one(spark, column, **values):
@@ -123,3 +123,22 @@ def test_judge_tasks(spark):
     df = spark.createDataFrame(rows, "question_id int, ord int, `set` string")
     assert sorted(r.task_id for r in ingest.judge_tasks(df, 3).collect()) == ["Q1_s", "Q1_s", "Q2_s"]
     assert sorted(r.task_id for r in ingest.judge_tasks(df, 9).collect()) == ["Q1_s", "Q1_s", "Q2_s", "Q3_s", "Q9_s"]
+
+
+def test_labels_and_separators_of_any_blank(spark):
+    strip = cite.strip_references(F.col("t"))
+    assert one(spark, strip, t="a\r\nReferences\r\n[1] x") == "a"
+    assert one(spark, strip, t="a\n\t## References \t\n[1] x") == "a"
+    flag = docfilter.is_retracted(F.col("t"), F.lit(None).cast("string")).cast("string")
+    assert [one(spark, flag, t=t) for t in ("On x:\tretracted", "On x\nwithdrawn work", "unretracted", "pre-Retracted")] == ["true", "true", "false", "true"]
+
+
+def test_reference_lines(spark):
+    rows = [(1, 2001, ["A", "B", "C"], "T", "u"), (2, None, [], "", ""), (3, 1999, ["A", "B"], " ", None)]
+    works = spark.createDataFrame(rows, "number int, year int, authors array<string>, title string, uri string")
+    got = [tuple(r) for r in assemble.reference_lines(works).orderBy("number").select("reference", "cited").collect()]
+    assert got == [
+        ("[1] A et al. (2001). T. u", "[1] A (2001). *T*. u."),
+        ("[2] Unknown (n.d.). [No title]", "[2] No author (No year). *[No title \u2014 see URI]*. ."),
+        ("[3] A, B (1999).  ", "[3] A (1999). *[No title \u2014 see URI]*. ."),
+    ]
