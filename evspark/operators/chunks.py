@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from evspark.functions.terms import term_places
 from evspark.functions.text import detect_heading, est_tokens, numeric_count, section_weight, tokens, unit_hits
 
 
@@ -91,17 +92,24 @@ def query_terms(questions: DataFrame, av_pairs: DataFrame) -> DataFrame:
     )
 
 
-def score_chunks(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """Adds score to chunks that carry question_id; ``terms`` holds one row for each question."""
-    joined = chunks.join(terms, "question_id")
+def score_chunks(chunks: DataFrame, terms: DataFrame, *, many_terms: bool = False) -> DataFrame:
+    """Adds score to chunks that carry question_id; ``terms`` holds one row for each question.
+
+    With ``many_terms`` a question's literals are found by one automaton, in one reading of each chunk.
+    """
     low = F.lower("text")
+    found = F.size(F.filter("literals", lambda x: F.instr(low, x) > 0))
+    if many_terms:
+        chunks = term_places(chunks, "question_id", low, terms.select("question_id", F.col("literals").alias("terms")), "__found")
+        found, terms = F.size("__found"), terms.withColumn("literals", F.array().cast("array<string>"))
+    joined = chunks.join(terms, "question_id")
     words = tokens(F.col("text"))
     hits = F.size(F.array_intersect("keywords", words)) / (F.sqrt(F.size("keywords").cast("double")) + 1e-6)
-    literal = 0.25 * F.size(F.filter("literals", lambda x: F.instr(low, x) > 0))
+    literal = 0.25 * found
     numbers = F.least(F.lit(0.6), 0.05 * numeric_count(F.col("text")))
     units = F.least(F.lit(0.3), 0.05 * unit_hits(F.col("text")))
     score = F.when(F.size(words) == 0, 0.0).otherwise((hits + literal + numbers + units) * section_weight(F.col("section")))
-    return joined.withColumn("score", score).drop("keywords", "literals")
+    return joined.withColumn("score", score).drop("keywords", "literals", "__found")
 
 
 def _fold(rows: Column, budget: Column, most: Column) -> Column:

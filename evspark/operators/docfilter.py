@@ -4,7 +4,8 @@ Rows carry all other columns along; names that begin with two underscores are re
 function adds replace those of the same name. Null titles, abstracts and states count as empty, null labels as
 missing; repeated rows are counted one by one; an empty table gives no rows. Functions that rank or count the documents of a
 question take ``spread``: a question then is no task of its own, for tables in which some have a large share of all rows;
-its documents have different idx.
+its documents have different idx. Functions that look up a question's terms in texts take ``many_terms``: then one automaton for
+each question finds them all in one reading, for lists of hundreds of terms and more.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from evspark.functions.terms import term_places
 from evspark.functions.text import any_contains, tokens
 from evspark.operators.running import ranked, with_totals
 
@@ -49,7 +51,7 @@ def drop_retracted(docs: DataFrame, questions: DataFrame, *, gated: bool = True)
     return joined.where("__keep").select(*docs.columns)
 
 
-def title_flags(docs: DataFrame, questions: DataFrame, av_pairs: DataFrame) -> DataFrame:
+def title_flags(docs: DataFrame, questions: DataFrame, av_pairs: DataFrame, *, many_terms: bool = False) -> DataFrame:
     """Adds title_match, retain_adversarial and question_term_match to the candidates."""
     pair = av_pairs.where(F.col("centrality") >= 0.5).groupBy("question_id").agg(F.collect_set(F.lower(F.trim("value"))).alias("v"), F.collect_set(F.lower(F.trim("attribute"))).alias("a"))
     names = F.filter(F.array_union(F.coalesce("v", F.array().cast("array<string>")), F.coalesce("a", F.array().cast("array<string>"))), lambda x: F.length(x) >= 4)
@@ -58,17 +60,21 @@ def title_flags(docs: DataFrame, questions: DataFrame, av_pairs: DataFrame) -> D
     )
     per = questions.select("question_id", content.alias("__words")).join(pair, "question_id", "left").select("question_id", "__words", names.alias("__names"))
     title = F.lower(F.coalesce("title", F.lit("")))
-    got = docs.join(per, "question_id").withColumns(
+    match, joined = F.exists("__names", lambda n: title.contains(n)), docs.join(per, "question_id")
+    if many_terms:
+        found = term_places(docs, "question_id", title, per.select("question_id", F.col("__names").alias("terms")), "__found")
+        match, joined = F.size("__found") > 0, found.join(per.select("question_id", "__words"), "question_id")
+    got = joined.withColumns(
         {
-            "title_match": F.exists("__names", lambda n: title.contains(n)),
+            "title_match": match,
             "retain_adversarial": any_contains(title, ADVERSE_WORDS),
             "question_term_match": F.size(F.filter("__words", lambda w: title.contains(w))) >= 2,
         }
     )
-    return got.drop("__names", "__words")
+    return got.drop("__names", "__words", "__found")
 
 
-def lexical_score(docs: DataFrame, av_pairs: DataFrame, *, spread: bool = False) -> DataFrame:
+def lexical_score(docs: DataFrame, av_pairs: DataFrame, *, spread: bool = False, many_terms: bool = False) -> DataFrame:
     """Adds lexical (terms of the pairs in the text, literals counted by half each) and its rank."""
     f = F.array("attribute", "value", "description")
     per = av_pairs.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", f.alias("f")))).alias("p"))
@@ -77,11 +83,14 @@ def lexical_score(docs: DataFrame, av_pairs: DataFrame, *, spread: bool = False)
     literals = F.transform(F.filter(F.transform(flat, lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) <= 40)), lambda x: F.lower(x))
     per = per.select("question_id", words.alias("__w"), literals.alias("__l"))
     text = F.lower(F.concat_ws(" ", F.coalesce("abstract", F.lit("")), F.coalesce("title", F.lit(""))))
-    joined = docs.join(per, "question_id", "left")
     none = F.array().cast("array<string>")
-    hits = F.size(F.array_intersect(F.coalesce("__w", none), tokens(text)))
     lit = F.size(F.filter(F.coalesce("__l", none), lambda x: F.instr(text, x) > 0))
-    got = joined.withColumn("lexical", hits + 0.5 * lit).drop("__w", "__l")
+    if many_terms:
+        docs = term_places(docs, "question_id", text, per.select("question_id", F.col("__l").alias("terms")), "__found")
+        per, lit = per.withColumn("__l", none), F.size("__found")
+    joined = docs.join(per, "question_id", "left")
+    hits = F.size(F.array_intersect(F.coalesce("__w", none), tokens(text)))
+    got = joined.withColumn("lexical", hits + 0.5 * lit).drop("__w", "__l", "__found")
     return ranked(got, ["question_id"], [F.desc("lexical"), "idx"], "lexical_rank", spread=spread)
 
 
@@ -206,11 +215,14 @@ def ontology_select(av_pairs: DataFrame) -> DataFrame:
     return got.withColumns({"place": place, "critical": F.col("centrality") >= 0.8, "contextual": F.col("centrality") >= 0.4})
 
 
-def reorder_by_ontology(docs: DataFrame, av_pairs: DataFrame) -> DataFrame:
+def reorder_by_ontology(docs: DataFrame, av_pairs: DataFrame, *, spread: bool = False, many_terms: bool = False) -> DataFrame:
     """Adds position: documents with more critical attribute names in their text come first, else as they were."""
     names = av_pairs.where(F.col("centrality") >= 0.8).groupBy("question_id").agg(F.collect_set(F.lower("attribute")).alias("__names"))
     text = F.lower(F.concat_ws(" ", F.coalesce("abstract", F.lit("")), F.coalesce("title", F.lit(""))))
-    joined = docs.join(names, "question_id", "left")
-    hits = F.coalesce(F.size(F.filter("__names", lambda n: F.instr(text, n) > 0)), F.lit(0))
-    got = joined.withColumn("attribute_hits", hits).drop("__names")
-    return got.withColumn("position", F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("attribute_hits"), "idx")))
+    if many_terms:
+        found = term_places(docs, "question_id", text, names.withColumnRenamed("__names", "terms"), "__found")
+        got = found.withColumn("attribute_hits", F.size("__found")).drop("__found")
+    else:
+        hits = F.coalesce(F.size(F.filter("__names", lambda n: F.instr(text, n) > 0)), F.lit(0))
+        got = docs.join(names, "question_id", "left").withColumn("attribute_hits", hits).drop("__names")
+    return ranked(got, ["question_id"], [F.desc("attribute_hits"), "idx"], "position", spread=spread)

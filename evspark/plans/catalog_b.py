@@ -114,6 +114,13 @@ def _(spark, d):
     return lexed(spark, d).select("question_id", "doc_id", F.col("lexical").cast("double").alias("lexical"), "lexical_rank")
 
 
+@query("ev41_lexical_by_automaton", PRE + LEX_SQL + " SELECT question_id, doc_id, CAST(lexical AS DOUBLE) AS lexical, lexical_rank FROM lexed")
+def _(spark, d):
+    """As ev41, with one automaton for each question's literals."""
+    got = docfilter.lexical_score(demo(spark, d, "candidates"), demo(spark, d, "av_pairs"), many_terms=True)
+    return got.select("question_id", "doc_id", F.col("lexical").cast("double").alias("lexical"), "lexical_rank")
+
+
 @query("ev42_classify_guardrail", PRE + GUARD_SQL + " SELECT question_id, doc_id, final_label, used_fallback FROM guarded")
 def _(spark, d):
     return guarded(spark, d).select("question_id", "doc_id", "final_label", "used_fallback")
