@@ -183,9 +183,25 @@ def _(spark, d):
     return demo(spark, d, "candidates").select("doc_id", T.est_tokens(F.col("abstract")).alias("tokens"), T.work_id(F.col("uri")).alias("work_id"), T.abstract_preview(F.col("abstract")).alias("preview"))
 
 
-@query("ev20_numeric_count")
+def numbers_sql(text: str) -> str:
+    """How many numbers a text has, without looking around: borders are taken out of the text instead.
+
+    An exponent goes where its number may begin before it (with its last digit, where a letter follows); then letters go with the sign on
+    either side, as a number loses its first digit to a letter before it and its last one to a letter after it; what is left is counted.
+    """
+    whole, short = r"(^|[^A-Za-z_])([0-9])[eE][+-]?[0-9]+($|[^A-Za-z_0-9])", r"(^|[^A-Za-z_])([0-9])[eE][+-]?[0-9]+[0-9]([A-Za-z_])"
+    for pattern, left in ((whole, r"\1\2\3"), (whole, r"\1\2\3"), (short, r"\1\2 \3"), (short, r"\1\2 \3")):
+        text = f"regexp_replace({text}, '{pattern}', '{left}', 'g')"
+    return f"len(regexp_extract_all(regexp_replace({text}, '[^A-Za-z_]?[A-Za-z_]+[^A-Za-z_]?', ' ', 'g'), '-?[0-9]+(?:[.,][0-9]+)?'))"
+
+
+_COUNTED = "replace(text, 'e', 'e5 1.5e3, x7 7-') || ' -3,1e5 12km 3.14 2e5x'"
+
+
+@query("ev20_numeric_count", f"SELECT doc_id, {numbers_sql('text')} AS n_numbers, {numbers_sql('(' + _COUNTED + ')')} AS n_more FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.numeric_count(F.col("text")).alias("n_numbers"))
+    more = F.expr(_COUNTED)
+    return table(spark, d, "documents").select("doc_id", T.numeric_count(F.col("text")).alias("n_numbers"), T.numeric_count(more).alias("n_more"))
 
 
 @query("ev21_unit_hits", f"SELECT doc_id, len(list_intersect(list_distinct({TOKENS.format('text')}), {UNIT_LIST})) AS n_units FROM documents")
@@ -287,7 +303,7 @@ def scored_chunks(spark, d):
     return C.score_chunks(chunks, C.query_terms(demo(spark, d, "questions"), demo(spark, d, "av_pairs")))
 
 
-@query("ev28_score_chunks")
+@query("ev28_score_chunks")  # its SQL is below
 def _(spark, d):
     return scored_chunks(spark, d).withColumn("score", F.round("score", 6)).drop("text")
 
@@ -329,6 +345,21 @@ pick AS (SELECT DISTINCT question_id, doc_id, CAST(0 AS BIGINT) AS place, CAST(0
     AND n < {BUDGETS['top_k_per_doc']} AS fits
     FROM pick p JOIN head h ON h.question_id = p.question_id AND h.doc_id = p.doc_id AND h.place = p.place + 1)),
 kept AS (SELECT head.* EXCLUDE (place) FROM head JOIN pick USING (question_id, doc_id, place) WHERE took)"""
+_WEIGHT = "CASE " + " ".join(f"WHEN starts_with(section, '{n}') THEN {w}" for n, w in T.SECTION_WEIGHTS) + " ELSE 1.0 END"
+SCORED_SQL = "WITH RECURSIVE " + with_tables("questions", "av_pairs", "candidates")[5:].rstrip() + f""", {chunks_sql(120, 20)},
+flat AS (SELECT question_id, question, flatten(p) AS f FROM questions JOIN (SELECT question_id, {PAIRS_SQL} AS p FROM av_pairs GROUP BY 1) USING (question_id)),
+terms AS (SELECT question_id,
+    list_filter(list_distinct(list_concat({TOKENS.format('question')}, flatten(list_transform(f, lambda x: {TOKENS.format('x')})))), lambda w: len(w) >= 3) AS w,
+    list_distinct(list_transform(list_filter(list_transform(f, lambda x: trim(x)), lambda x: x <> '' AND len(x) <= 40), lambda x: lower(x))) AS l
+  FROM flat),
+parts AS (SELECT k.* EXCLUDE (text), question_id, idx AS doc_index, list_distinct({TOKENS.format('k.text')}) AS words, w,
+    len(list_filter(l, lambda x: contains(lower(k.text), x))) AS literals, {numbers_sql('k.text')} AS numbers
+  FROM chunks k JOIN candidates c USING (doc_id) JOIN terms USING (question_id))
+SELECT * EXCLUDE (words, w, literals, numbers), CASE WHEN len(words) = 0 THEN 0 ELSE round((
+    len(list_intersect(w, words)) / (sqrt(CAST(len(w) AS DOUBLE)) + CAST(0.000001 AS DOUBLE)) + CAST(0.25 AS DOUBLE) * literals
+    + least(CAST(0.6 AS DOUBLE), CAST(0.05 AS DOUBLE) * numbers) + least(CAST(0.3 AS DOUBLE), CAST(0.05 AS DOUBLE) * len(list_intersect(words, {UNIT_LIST})))
+  ) * CAST({_WEIGHT} AS DOUBLE), 6) END AS score FROM parts"""
+ORACLES["ev28_score_chunks"] = SCORED_SQL
 CHOSEN_SQL = RANKED_SQL + f""", queue AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_index, section_no,
     chunk_no) AS place FROM kept),
 taken AS (SELECT DISTINCT question_id, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS used, false AS took FROM queue
