@@ -369,7 +369,35 @@ def _(spark, d):
     return answers(spark, d).select("answer_id", F.array_join(cite.cited_indices(F.col("text")).cast("array<string>"), ",").alias("cited"))
 
 
-@query("ev58_normalize_citations")
+def _lists_sql(least: int) -> str:
+    """A bare list of numbers of two digits; a number that can be a mark is the first, second ... of it."""
+    ways = (f"(?:[0-9]{{1,2}}\\s*,\\s*){{{j}}}(?:0?[1-9]|[12][0-9]|30)(?:\\s*,\\s*[0-9]{{1,2}}){{{max(0, least - 1 - j)},{4 - j}}}" for j in range(5))
+    return "(?:" + "|".join(ways) + ")"
+
+
+_MARKS = "array_to_string(list_transform({n}, lambda n: '[' || n || ']'), '')"
+_ALL_NUMBERS = "regexp_extract_all(x, '[0-9]+')"
+_SOME_NUMBERS = f"list_filter({_ALL_NUMBERS}, lambda n: CAST(n AS HUGEINT) BETWEEN 1 AND 30)"
+_REST = "regexp_extract(x, '[0-9]([^0-9]*)$', 1)"
+#: Passes over the text, as borders are consumed: brackets, lists at a line's start, and lists after a word, twice.
+MARK_PASSES = (
+    (r"\[[0-9]+(?:\s*,\s*[0-9]+)+\]", _MARKS.format(n=_ALL_NUMBERS)),
+    ("(?m)^" + _lists_sql(2) + r"\s+[A-Za-z]", _MARKS.format(n=_SOME_NUMBERS) + " || " + _REST),
+    *2 * ((r"[)\]%A-Za-z] " + _lists_sql(1) + r"(?:\s*\n|\s*$|\s*[,;\[]|\s*--|\s*\.$|\s*\.[^0-9])", "left(x, 2) || " + _MARKS.format(n=_SOME_NUMBERS) + " || " + _REST),),
+)
+
+
+def marks_sql() -> str:
+    steps, last = [], "answers"
+    for i, (pattern, marks) in enumerate(MARK_PASSES):
+        cut = f"SELECT answer_id, string_split_regex(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}') AS m FROM {last}"
+        made = f"SELECT answer_id, g, list_transform(m, lambda x: {marks}) AS k FROM ({cut})"
+        last = f"pass{i}"
+        steps.append(f"{last} AS (SELECT answer_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce(k[i], '')), '') AS text FROM ({made}))")
+    return ", ".join(steps) + f" SELECT answer_id, text FROM {last}"
+
+
+@query("ev58_normalize_citations", ANS.rstrip() + ", " + marks_sql())
 def _(spark, d):
     return answers(spark, d).select("answer_id", cite.normalize_citations(F.col("text")).alias("text"))
 
