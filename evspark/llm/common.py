@@ -20,6 +20,8 @@ ID_MASK = np.uint32((1 << 31) - 1)
 _CLOSES = re.compile(r"""(?:[.!?]["')\]»”’]*|\n)$""")
 #: Small Latin letters that stay as they are, and a mark; the dotted I is out, as its small form has a loose dot.
 _CLOSING = re.compile(r"([a-zÀ-ÖØ-öø-įı-ɏ]+)([.,!?;:]?)\n?")
+#: Marks that make one sign with some small letters but not with their capitals (h, j, t, w, y).
+_SMALL_ONLY = "\u0331\u030c\u0308\u030a"
 _ENDS = frozenset(".!?\"')]»”’\n")
 _MARKS = frozenset(".,!?;:\n")
 
@@ -177,9 +179,11 @@ class ChunkTokens:
 def split_chunks(text: str) -> list[str]:
     """Chunks between blanks, tabs and line ends; a chunk before a line end keeps it.
 
-    A-Z are lower-cased, as the tokenizer would, but not where its special tokens may stand.
+    A-Z are lower-cased, as the tokenizer would, but not where its special tokens may stand, nor where a mark may make one
+    sign with a small letter that it does not make with the capital, as the tokenizer composes letters first.
     """
-    return (text if "<|" in text else ascii_lower(text)).replace("\t", " ").replace("\r", " ").replace("\n", "\n ").split(" ")
+    kept = "<|" in text or (not text.isascii() and any(m in text for m in _SMALL_ONLY))
+    return (text if kept else ascii_lower(text)).replace("\t", " ").replace("\r", " ").replace("\n", "\n ").split(" ")
 
 
 _LOADED: dict[str, ChunkTokens] = {}
