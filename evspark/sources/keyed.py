@@ -25,9 +25,9 @@ def bucket_of(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int")
 
 
-def latest(rows: DataFrame, keys: list[str], ord_col: str) -> DataFrame:
-    """For each key the last row by ``ord_col``; of several such any."""
-    last = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(ord_col)))
+def latest(rows: DataFrame, keys: list[str], ord_col: str, *, first: bool = False) -> DataFrame:
+    """For each key the last row by ``ord_col``, or the first; of several such any."""
+    last = F.row_number().over(W.partitionBy(*keys).orderBy(F.asc(ord_col) if first else F.desc(ord_col)))
     return rows.withColumn("__last", last).where(F.col("__last") == 1).drop("__last")
 
 
@@ -68,8 +68,7 @@ def merge_keyed(rows: DataFrame, path: str, keys: list[str], number: int, *, ord
     current = known[before] if before is not None else {}
     if current:
         buckets = next(iter(current.values()))[1]
-    order = (-F.col(ord_col)) if only_new and dict(rows.dtypes)[ord_col] not in ("string", "timestamp", "date") else F.col(ord_col)
-    fresh = latest(rows.withColumn("__order", order), keys, "__order").drop("__order")
+    fresh = latest(rows, keys, ord_col, first=only_new)
     fresh = fresh.withColumn("__bucket", bucket_of(keys, buckets)).persist()
     try:
         touched = [r["__bucket"] for r in fresh.select("__bucket").distinct().collect()]  # at most the number of buckets

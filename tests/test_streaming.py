@@ -40,6 +40,13 @@ def test_merge(spark, tmp_path):
     assert held(spark, path) == sorted([*want, (6, 1, "first")], key=str)
 
 
+def test_first_and_last_of_text_order(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-02", "b"), (1, "2024-01", "a"), (1, "2024-03", "c")], "k int, at string, v string")
+    merge_keyed(rows, f"{tmp_path}/new", ["k"], 0, ord_col="at", only_new=True, buckets=2)
+    merge_keyed(rows, f"{tmp_path}/old", ["k"], 0, ord_col="at", buckets=2)
+    assert [read_keyed(spark, f"{tmp_path}/{p}", rows.schema).first().v for p in ("new", "old")] == ["a", "c"]
+
+
 def test_only_touched_buckets_are_rewritten(spark, tmp_path):
     path = f"{tmp_path}/t"
     merge_keyed(frame(spark, [(k, 0, "x") for k in range(50)]), path, ["k"], 0, buckets=8)
