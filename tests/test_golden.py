@@ -377,6 +377,27 @@ def test_numbers_against_python(spark):
         assert scores[i] == pytest.approx(1.5 * hits if words else 0.0, abs=1e-9), t
 
 
+def test_numbers_of_the_sql_against_python():
+    """The SQL's count against Python's engine, with runs of exponents and letters that share digits (as in hexadecimal keys)."""
+    import random
+    import re
+
+    import duckdb
+
+    from evspark.plans.catalog_a import numbers_sql
+
+    r = random.Random(5)
+    texts = ["f16e3741e8 2", "3e456e78x", "12e34e56", "1e23e45e67e89e1", "5.2e6e7", "1,2e+34x 4e-5x", "-7e1", "\x01e5 \x021", "e5", "x6e35"]
+    for alphabet in ("0123456789abcdef", "12e", "1e+-.,x ", "7eE_\x01\x02\x03 "):
+        texts += ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(1000)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INT, text VARCHAR)")
+    con.execute("INSERT INTO t SELECT unnest(?), unnest(?)", [list(range(len(texts))), texts])
+    got = dict(con.execute(f"SELECT i, {numbers_sql('text')} FROM t").fetchall())
+    assert [x for i, x in enumerate(texts) if got[i] != len(re.findall(T.NUMBER, x))] == []
+    assert con.execute(f"SELECT {numbers_sql('NULL')}").fetchone() == (0,)
+
+
 @pytest.mark.parametrize("n", range(1, 9))
 def test_exact_p_values_by_enumeration(n):
     from itertools import product
