@@ -398,6 +398,23 @@ def test_numbers_of_the_sql_against_python():
     assert con.execute(f"SELECT {numbers_sql('NULL')}").fetchone() == (0,)
 
 
+def test_chunk_scores_of_hexadecimal_keys(spark, tmp_path):
+    """ev28 against its SQL on texts in which one number's exponent holds the first digit of the next."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = ["Key f16e3741e8 is known. Some 3e456e78x more", 'token = "37b82ad0dab34e35e3" of 5 km', "1e23e45e67e89e1. And 12 or 7e1f"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT unnest(range(3)) AS doc_id, unnest(?) AS text, 'en' AS lang, 's' AS source", [texts])
+    con.execute("CREATE TABLE benchmark AS SELECT unnest([0::BIGINT, 1]) AS item_id, unnest(['Which key is known and how many more', 'token of some']) AS text")
+    for name in ("documents", "benchmark"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    got = {(x.doc_id, x.section_no, x.chunk_no): x.score for x in entry.queries()["ev28_score_chunks"](spark, str(tmp_path)).collect()}
+    want = con.execute(f"SELECT doc_id, section_no, chunk_no, score FROM ({entry.oracle_sql()['ev28_score_chunks']})").fetchall()
+    assert got == {tuple(x[:3]): pytest.approx(x[3], abs=1e-9) for x in want} and len(got) == 3
+
+
 @pytest.mark.parametrize("n", range(1, 9))
 def test_exact_p_values_by_enumeration(n):
     from itertools import product
