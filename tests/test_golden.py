@@ -415,6 +415,28 @@ def test_chunk_scores_of_hexadecimal_keys(spark, tmp_path):
     assert got == {tuple(x[:3]): pytest.approx(x[3], abs=1e-9) for x in want} and len(got) == 3
 
 
+def test_similarity_shuffles_words_once(spark, monkeypatch):
+    """Words are counted within their rows and go through one shuffle, which counts and join share."""
+    from evspark.functions.text import word_counts
+
+    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, ["z"])], "i int, w array<string>")
+    assert sorted(map(tuple, word_counts(rows, "w").collect())) == [(1, 3, "a", 1), (1, 3, "b", 2), (3, 1, "z", 1)]
+    plans = []
+
+    def kept(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return df
+
+    monkeypatch.setattr(retrieve, "written", kept)
+    docs = spark.createDataFrame([(1, 0, "one two", "three"), (1, 1, "one", ""), (1, 2, None, None), (2, 0, "four", "x")], "question_id long, idx long, abstract string, title string")
+    asked = spark.createDataFrame([(1, "one three"), (2, "none")], "question_id long, question string")
+    got = {(x.question_id, x.idx): x.similarity for x in retrieve.tfidf_cosine(asked, docs).collect()}
+    assert got == {(1, 0): 0.712, (1, 1): 0.629, (1, 2): 0.0, (2, 0): 0.0}
+    shuffles = [x for x in "\n".join(plans).split("\n") if "Exchange hashpartitioning" in x and "term#" in x and "ReusedExchange" not in x]
+    assert len(shuffles) == 1, shuffles
+
+
 @pytest.mark.parametrize("n", range(1, 9))
 def test_exact_p_values_by_enumeration(n):
     from itertools import product
