@@ -437,6 +437,23 @@ def test_similarity_shuffles_words_once(spark, monkeypatch):
     assert len(shuffles) == 1, shuffles
 
 
+def test_blocks_are_not_shuffled_for_each_question(spark):
+    """Postings go to the place of their block, whatever the number of questions."""
+    docs = spark.createDataFrame([(i, "", f"the of word{i} word{i // 2}") for i in range(40)], "doc_id long, title string, abstract string")
+    asked = spark.createDataFrame([(q, f"the word{q}") for q in range(5)], "question_id long, question string")
+    index = retrieve.written(retrieve.block_postings(retrieve.postings(asked, docs)[1], 10))
+    blocks = index.select("block").distinct().crossJoin(asked.select("question_id")).selectExpr("question_id", "block", "array('the', 'word3') AS terms")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many questions
+    try:
+        scores = retrieve.block_scores(retrieve.written(blocks), index)
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(question_id" not in plan, plan
+        assert scores.count() == 5 * 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
 @pytest.mark.parametrize("n", range(1, 9))
 def test_exact_p_values_by_enumeration(n):
     from itertools import product
