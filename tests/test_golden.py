@@ -454,6 +454,23 @@ def test_blocks_are_not_shuffled_for_each_question(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
 
 
+def test_excerpts_read_lines_without_a_shuffle(spark, monkeypatch):
+    """The flagship query picks the lines of its few documents where they are read."""
+    from evspark.plans import catalog_c
+
+    plans, sectionize = [], catalog_c.C.sectionize
+
+    def seen(lines):
+        lines.collect()
+        plans.append(lines._jdf.queryExecution().executedPlan().toString())
+        return sectionize(lines)
+
+    monkeypatch.setattr(catalog_c.C, "sectionize", seen)
+    assert catalog_c.evidence(spark, "/root/testdata/sf0.001").count() > 0
+    final = plans[0].split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in final and "SortMergeJoin" not in final
+
+
 @pytest.mark.parametrize("n", range(1, 9))
 def test_exact_p_values_by_enumeration(n):
     from itertools import product
