@@ -471,6 +471,15 @@ def test_excerpts_read_lines_without_a_shuffle(spark, monkeypatch):
     assert "BroadcastHashJoin" in final and "SortMergeJoin" not in final
 
 
+def test_excerpt_stats_cut_chunks_once(spark, monkeypatch):
+    from evspark.plans import catalog_a
+
+    calls, chunk = [], catalog_a.C.chunk
+    monkeypatch.setattr(catalog_a.C, "chunk", lambda *a: calls.append(1) or chunk(*a))
+    catalog_a.QUERIES["ev31_excerpt_stats"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+
+
 @pytest.mark.parametrize("n", range(1, 9))
 def test_exact_p_values_by_enumeration(n):
     from itertools import product
