@@ -415,6 +415,24 @@ def test_chunk_scores_of_hexadecimal_keys(spark, tmp_path):
     assert got == {tuple(x[:3]): pytest.approx(x[3], abs=1e-9) for x in want} and len(got) == 3
 
 
+def test_chunk_scores_of_odd_signs(spark, tmp_path):
+    """ev28 against its SQL on other spaces, line ends, marks and letters whose capitals or small letters are several signs."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = ["\u00a0Key one.\u00a0Two\u2003\nmore\x01signs. And 5", "a\n2. Methods\r\nkey\x0b\r\nRESULTS \u00df\nb\nDISCUSSION \ufb01\nknown", "\u0130many key\n3\x0bResults\u2028\nmore"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT unnest(range(3)) AS doc_id, unnest(?) AS text, 'en' AS lang, 's' AS source", [texts])
+    con.execute("CREATE TABLE benchmark AS SELECT unnest([0::BIGINT, 1]) AS item_id, unnest(['Which key is known and how many more', 'imany of many']) AS text")
+    for name in ("documents", "benchmark"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    for name in ("ev26_chunk", "ev28_score_chunks"):
+        got = entry.queries()[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 4
+
+
 def test_similarity_shuffles_words_once(spark, monkeypatch):
     """Words are counted within their rows and go through one shuffle, which counts and join share."""
     from evspark.functions.text import word_counts
