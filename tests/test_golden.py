@@ -539,3 +539,27 @@ def test_empty_tables(spark):
         route.tier_sample(route.route(none("profiles")), {"tier-3": 2}), ingest.load_questions(asked), ingest.parse_kg_results(asked.withColumn("kg_results", F.lit("[]"))),
     ]
     assert [t.count() for t in tables] == [0] * len(tables)
+
+
+def test_profile_reads_each_text_once(spark):
+    """Small letters are made once a row, and types and flags are those of the patterns as they are written."""
+    texts = [
+        "", None, "By 2020x by 2020", "aby how. by howl", "what is", "xwhat is,", "redefine defined define", "a vs. b", "vs.c", "vsx", "how do 5 and and and b or x",
+        "past 12 years", "between 1999", "since1", "1999a 1999", "119 2020", "x19 a1999 12345 7", "Why does it work", "why does it", "ésince decadeé", "used foŕ", "9٣99 12",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = T.with_profile(rows, "text")
+    q = F.lower(F.coalesce("text", F.lit("")))
+    kind = F
+    for name, pattern in T.TYPE_PATTERNS:
+        kind = kind.when(q.rlike(pattern) & (T.any_contains(q, T.ACTING) if name == "mechanism" else F.lit(True)), name)
+    years = F.when(q.rlike(r"\b(19|20)[0-9]{2}\b"), 0.4).otherwise(0.0) + F.when(q.rlike(r"\b(decade|past [0-9]+ years|since|between [0-9]{4})\b"), 0.3).otherwise(0.0)
+    hits = q.rlike(r"\b[0-9]{2,4}\b").cast("int") + q.rlike("%|percent|percentage|fraction|rate|trend|magnitude|amount|volume").cast("int") + (F.col("k") == "quantitative").cast("int")
+    size = F.size(F.filter(F.split(q, r"\s+"), lambda w: w != "")) * 0.015 + 0.1 * sum((F.regexp_count(q, F.lit(w)) for w in T.JOINERS), F.lit(0))
+    least = lambda x: F.bround(F.least(F.lit(1.0), x), 2)
+    want = rows.withColumn("k", kind.otherwise("continuous")).select("i", "k", least(0.25 + size), least(0.15 + 0.25 * hits), least(0.1 + years))
+    columns = ["i", "question_type", "complexity", "quantitativity", "temporal_specificity"]
+    near = lambda x: (*x[:2], *[round(float(v), 2) for v in x[2:]])
+    assert sorted(map(near, got.select(*columns).collect())) == sorted(map(near, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.count("CASE WHEN") < 8
