@@ -563,3 +563,17 @@ def test_profile_reads_each_text_once(spark):
     assert sorted(map(near, got.select(*columns).collect())) == sorted(map(near, want.collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 1 and plan.count("CASE WHEN") < 8
+
+
+def test_candidates_are_scored_once(spark):
+    """The text of a candidate is made once a row, not once a literal, and the blocks start from written labels (ev50, ev78)."""
+    import __spark_entry__ as entry
+
+    docs = spark.createDataFrame([(1, 0, "A b key", "T"), (1, 1, None, None), (2, 0, "x", "Y")], "question_id long, idx long, abstract string, title string")
+    pairs = spark.createDataFrame([(1, 0, "key", "a B", "t")], "question_id long, pos int, attribute string, value string, description string")
+    got = docfilter.lexical_score(docs, pairs)
+    assert {(r.question_id, r.idx): r.lexical for r in got.collect()} == {(1, 0): 2.5, (1, 1): 0.0, (2, 0): 0.0}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(got).count("concat_ws(") == 1
+    for name in ("ev50_cited_block", "ev50_documents_block"):
+        assert "array_intersect" not in plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
