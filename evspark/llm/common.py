@@ -128,7 +128,7 @@ class ChunkTokens:
     def lookup(self, chunks: Iterable[str]) -> dict[str, bytes]:
         """A table that holds every one of the chunks, for use until the next call."""
         young = self.young
-        missing = {c for c in set(chunks) if c not in young}
+        missing = set(chunks).difference(young)
         if not missing:
             return young
         if len(young) + len(missing) > self.limit:
@@ -136,7 +136,7 @@ class ChunkTokens:
             young, missing = self.young, set(chunks)
         if self.old:
             old = self.old
-            known = {c: old[c] for c in missing if c in old}
+            known = {c: old[c] for c in old.keys() & missing}
             young.update(known)
             missing.difference_update(known)
         # a run of letters and the mark or line end after it are split by the tokenizer in any case
@@ -186,14 +186,14 @@ def split_chunks(text: str) -> list[str]:
     return (text if kept else ascii_lower(text)).replace("\t", " ").replace("\r", " ").replace("\n", "\n ").split(" ")
 
 
-_LOADED: dict[str, ChunkTokens] = {}
+_LOADED: dict[tuple[str, int], ChunkTokens] = {}
 
 
-def chunk_tokens(path: str) -> ChunkTokens:
-    """One cache for each tokenizer file and Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = ChunkTokens(path)
-    return _LOADED[path]
+def chunk_tokens(path: str, limit: int = 200_000) -> ChunkTokens:
+    """One cache for each tokenizer file, limit and Python worker."""
+    if (path, limit) not in _LOADED:
+        _LOADED[path, limit] = ChunkTokens(path, limit)
+    return _LOADED[path, limit]
 
 
 def default_tokenizer() -> str:

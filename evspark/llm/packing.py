@@ -149,6 +149,7 @@ def pack(
     split_penalty: float = 24.0,
     stride: int = 64,
     block: int = 1 << 20,
+    known_chunks: int = 400_000,
 ) -> DataFrame:
     """Pack every document, in row order within each input partition, into windows of ``window`` ids.
 
@@ -156,12 +157,13 @@ def pack(
     the gapless ``offset`` there. Null and empty texts become the single ``end_id``; texts of any
     length are cut, repeated rows are packed once each, a null id is kept; an empty table gives no
     rows; other columns are ignored. No row moves between partitions: a partition is solved in blocks
-    of about ``block`` tokens, the open window of a block being carried into the next one.
+    of about ``block`` tokens, the open window of a block being carried into the next one. A worker keeps the
+    ids of at most twice ``known_chunks`` chunks.
     """
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = chunk_tokens(path)
+        cache = chunk_tokens(path, known_chunks)
         packer = _Packer(window, exact, sentence_penalty, split_penalty, stride, block)
         base = TaskContext.get().partitionId() << 36
         end = np.array([end_id], np.uint32) | SENTENCE_END

@@ -410,3 +410,15 @@ def test_redaction_takes_linear_time():
     for text in ("a" * 1_000_000 + " @", "x@" + "b." * 500_000, "a" * 500_000 + "@" + "b" * 500_000, "a@" * 300_000, "1 " * 300_000 + "x", "1" + " " * 500_000):
         token_edits.redaction_edits(text)
     assert time.process_time() - began < 15
+
+
+def test_packing_with_few_known_chunks(spark):
+    """Packing's own limit of kept chunks changes no row, and is not that of the other users of the tokenizer."""
+    from evspark.llm import packing
+    from evspark.llm.common import chunk_tokens, default_tokenizer
+
+    docs = spark.createDataFrame([(i, prose(300, i)) for i in range(40)], "doc_id long, text string").coalesce(1)
+    rows = [sorted(map(tuple, packing.pack(docs, **o).drop("ids").collect())) for o in ({}, {"known_chunks": 7})]
+    assert rows[0] == rows[1] and len(rows[0]) >= 40
+    path = default_tokenizer()
+    assert chunk_tokens(path, 7) is chunk_tokens(path, 7) is not chunk_tokens(path) and chunk_tokens(path, 7).limit == 7
