@@ -162,3 +162,47 @@ def test_packed_columns(n):
     a, b = np.sort(np.random.default_rng(n).integers(0, 1 << 62, n).astype(np.uint64)), np.arange(n, dtype=np.uint8)
     x, y = lm.unpack(lm.pack(lm._steps(a), b), "<u8", "<u1")
     assert np.cumsum(x, dtype=np.uint64).tolist() == a.tolist() and y.tolist() == b.tolist()
+
+
+class Whole(Force):
+    """Every context keeps every follower seen ``follower`` times, whatever its last word and the follower are."""
+
+    def __init__(self, rows, groups, head_share, divergence, prior, follower):
+        super().__init__(rows, groups, head_share, 1.0, divergence, prior, follower)
+        n = sum(self.all.values())
+        rare = max(math.log10(max(2, math.ceil(n * head_share)) - 0.5) - math.log10(self.per[g] + 0.5 * (len(self.c[g]) + 1)) for g in range(groups))
+        most = {w: min(0.0, max(self.root(g, w) for g in range(groups)) if w in self.head else rare) for w in self.all}
+        self.states, self.counts = {}, {}
+        for length in (1, 2):
+            found = defaultdict(Counter)
+            for tokens, _ in self.rows:
+                for i in range(length, len(tokens)):
+                    found[tuple(tokens[i - length : i])][tokens[i]] += 1
+            for context, following in found.items():
+                kept = {w: k for w, k in following.items() if k >= follower}
+                parent = {w: most[w] + (self.step(context[1:], w) if length > 1 else 0.0) for w in kept}
+                self.counts[context] = sum(following.values())
+                self.settle(context, kept, self.counts[context], parent, divergence, prior)
+
+
+def test_no_follower_of_a_frequent_context_is_dropped(spark):
+    """Rare followers and counts of two, in light and in heavy contexts."""
+    options = {"head_share": 0.004, "divergence": 3.0, "prior": 0.5, "follower": 2}
+    more = lambda i: f" aa mid bb aa mid bb odd{i % 7} aa mid u{i}" if i % 2 else f" cc mid dd cc mid dd odd{i % 7} cc mid u{i}"
+    rows = [(i, t and t.replace("w3 ", f"w3 odd{i % 7} ") + more(i), lang) for i, t, lang in corpus() if i is not None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") % 5 != 1, heavy_share=0.005, **options).collect() if r.doc_id != 63}
+    force = Whole([(t, 0) for i, t, _ in rows if i % 5 != 1], 1, **options)
+    n = sum(force.all.values())
+    frequent = {c: gain for c, (_, gain) in force.states.items() if c[-1] in force.head}
+    assert any(len(c) == k and w not in force.head for c, gain in frequent.items() for w in gain for k in (1, 2))
+    assert {force.counts[c] >= 0.005 * n for c in frequent if len(c) == 2} == {True, False}
+    bounded = Force([(t, 0) for i, t, _ in rows if i % 5 != 1], 1, gram_share=0.0015, **options)
+    assert any(abs(force.score(t) - bounded.score(t)) > 0.1 for _, t, _ in rows)
+    for i, t, _ in rows:
+        if i != 63:
+            assert got[i] == pytest.approx(force.score(t), abs=1e-3)
+    for context in force.states:
+        rest, two = (context[-1:], context) if len(context) > 1 else (context, ())
+        total = sum(10 ** (force.root(0, w) + force.step(rest, w) + (force.step(two, w) if two else 0.0)) for w in force.all)
+        assert total <= 1 + 1e-9
