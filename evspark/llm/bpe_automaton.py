@@ -26,7 +26,7 @@ from array import array
 import numpy as np
 from pyspark.sql import DataFrame
 
-from evspark.llm.common import column, default_tokenizer, with_columns
+from evspark.llm.common import byte_signs, column, default_tokenizer, with_columns
 
 #: The pre-split of printable ASCII and Latin letters of one code point: contractions, letters, single digits, other signs.
 _PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -131,13 +131,6 @@ class Automaton:
         return found
 
 
-def _byte_signs() -> dict[int, str]:
-    """The sign that stands for each byte: itself where it prints, else the next one from U+0100 on."""
-    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in prints]
-    return {b: chr(b) for b in prints} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
-
-
 class AutomatonTokenizer:
     """A tokenizers file with byte-level symbols, encoded by an automaton.
 
@@ -159,7 +152,7 @@ class AutomatonTokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         labels = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
-        self.signs = _byte_signs()
+        self.signs = byte_signs()
         self.labels = [labels.get(i, "") for i in range(max(labels) + 1)]
         self.limit, self.longest, self.known, self.known_words = limit, longest, {}, {}
 

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterable
 from itertools import chain
 
@@ -22,6 +23,8 @@ _CLOSES = re.compile(r"""(?:[.!?]["')\]»”’]*|\n)$""")
 _CLOSING = re.compile(r"([a-zÀ-ÖØ-öø-įı-ɏ]+)([.,!?;:]?)\n?")
 #: Marks that make one sign with some small letters but not with their capitals (h, j, t, w, y).
 _SMALL_ONLY = "\u0331\u030c\u0308\u030a"
+#: Words that the tokenizer's normalizer and splitter leave whole: small letters of one code point, up to U+00FF.
+_WORD = re.compile(r"[a-zß-öø-ÿ]+")
 _ENDS = frozenset(".!?\"')]»”’\n")
 _MARKS = frozenset(".,!?;:\n")
 
@@ -100,6 +103,13 @@ def to_id(value: str | None) -> int | None:
     return None if value is None else int(value)
 
 
+def byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in byte-level tokens: itself where it prints, else the next one from U+0100 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 def _closed(ids: bytes) -> bytes:
     """The ids with the last one marked as closing a sentence."""
     if not ids:
@@ -121,7 +131,7 @@ class ChunkTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.marks = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.marks, self.signs = Tokenizer.from_file(path), limit, {}, byte_signs()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -143,6 +153,9 @@ class ChunkTokens:
         plain = {c: m for c in missing if c and c[-1] in _MARKS and (m := _CLOSING.fullmatch(c))}
         fresh = {c for c in missing if c not in plain}
         fresh.update(b for m in plain.values() if (b := m[1]) not in young)
+        words = [c for c in fresh if _WORD.fullmatch(c)]
+        fresh.difference_update(words)
+        self._encode_words(words)
         fresh = list(fresh)
         for i in range(0, len(fresh), 512):
             self._encode(fresh[i : i + 512])
@@ -156,6 +169,13 @@ class ChunkTokens:
             self.marks[mark, line_end] = _closed(ids) if line_end or _CLOSES.search(mark) else ids
         return self.marks[mark, line_end]
 
+    def _encode_words(self, words: list[str]) -> None:
+        """Words go to the model at once, with its sign for each byte."""
+        young, tokenize, signs = self.young, self.tokenizer.model.tokenize, self.signs
+        for w in words:
+            spelled = w if w.isascii() else w.encode().decode("latin-1").translate(signs)
+            young[w] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
+
     def _encode(self, chunks: list[str]) -> None:
         """One call for many chunks, joined by blanks; a token belongs to the chunk in which it starts."""
         starts = np.cumsum([0, *[len(c) + 1 for c in chunks]])

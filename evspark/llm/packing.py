@@ -149,7 +149,7 @@ def pack(
     split_penalty: float = 24.0,
     stride: int = 64,
     block: int = 1 << 20,
-    known_chunks: int = 400_000,
+    known_chunks: int = 800_000,
 ) -> DataFrame:
     """Pack every document, in row order within each input partition, into windows of ``window`` ids.
 

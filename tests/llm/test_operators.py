@@ -97,6 +97,20 @@ def test_chunk_tokens_equal_the_tokenizer():
         assert (ids & ID_MASK).tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_words_go_to_the_model_at_once(monkeypatch):
+    """With the ids of the whole tokenizer, and only once where a mark follows; other chunks go through all of it."""
+    cache, seen = ChunkTokens(default_tokenizer(), limit=100_000), []
+    encode = cache._encode
+    monkeypatch.setattr(cache, "_encode", lambda chunks: (seen.extend(chunks), encode(chunks)))
+    r = random.Random(5)
+    letters = [*"abcdefghijklmnopqrstuvwxyz" * 3, *map(chr, range(0xDF, 0x100))]
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 40))) for _ in range(4000)]
+    words += [*map(chr, range(0xDF, 0x100)), "x" * 3000, "ß", "straße", "don't", "ﬁn", "ŝi", "e\u0301t", "a×b"]
+    text = " ".join(w + r.choice(["", "", ".", ",\n", "\n"]) for w in words)
+    assert (cache.flagged([text])[0] & ID_MASK).tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids
+    assert seen and not [c for c in seen if re.fullmatch(r"[a-zß-öø-ÿ]+", c)]
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
